@@ -6,10 +6,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, tokens
+from . import decontaminate, language, lines, packing, pii, tokens, toxicity
 from .common import table
 
 
+def fold_of(n: int):
+    """crc32 of the id as text, modulo n: what the held-out rows are told by."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels.filter(fold_of(3) != 1))
+    scored = docs.withColumn("score", toxicity.score(docs, lexicon, F.col("text")))
+    return scored.select("doc_id", (fold_of(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(fold_of(4) != 2), language.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    found = docs.select("doc_id", language.predict(docs, model, F.col("text")).alias("_found"))
+    return found.select("doc_id", (fold_of(4) == 2).alias("held_out"), F.col("_found.lang").alias("lang_pred"), "_found.score")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.spans(F.col("text")).alias("_found"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("_found", lambda s: s["plain"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    plain = F.filter("_found", lambda s: s["plain"])
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("_found")).alias("spans"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = docs.withColumn("n_tokens", tokens.token_counts(spark, F.col("text"), public_tokenizers.path("word_bpe_49k.json")))
@@ -35,6 +67,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
