@@ -14,6 +14,8 @@ from .common import ascii_lower, row_key, same, stored
 
 #: The characters stripped at both ends of a line: space, \t, \n, \v, \f, \r.
 STRIPPED = " \t\n\x0b\x0c\r"
+#: Copies of each frequent line's row; there is one such row for `min_docs` places or more.
+SALTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -42,8 +44,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("_h1", "_h2").agg(F.count("_one").alias("_docs"), F.max("_id").alias("_last"))
         .filter(F.col("_docs") >= min_docs)
     )
+    # A line may be in a third of all documents: its places meet SALTS copies of its row instead of one.
+    salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dropped = (
-        keyed.join(frequent, ["_h1", "_h2"]).filter(~same(F.col("_id"), F.col("_last")))
+        keyed.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_h1", "_h2", "_salt"]).filter(~same(F.col("_id"), F.col("_last")))
         .groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
         .withColumnsRenamed({"_id": "_did", "_row": "_drow"})
     )
