@@ -1,0 +1 @@
+"""tidemark: market-data analytics as Spark DataFrame operators."""
