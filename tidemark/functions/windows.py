@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scalars import div
+
 SERIES = ("symbol", "timeframe")
 
 
@@ -32,11 +34,6 @@ def full(n: int, value: Column | str, agg: Callable[[Column], Column], window: W
     return F.when(F.count(c).over(w) == n, agg(c).over(w))
 
 
-def div(a: Column, b: Column, default=None) -> Column:
-    """a / b; `default` where b is zero."""
-    return F.when(b != 0, a / b).otherwise(F.lit(default).cast("double"))
-
-
 def lag(c: Column | str, n: int = 1, keys=SERIES) -> Column:
     return F.lag(c, n).over(series(keys))
 
