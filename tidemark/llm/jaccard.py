@@ -69,9 +69,10 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     words = mixed(words + long.astype(np.uint64))
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     n = len(words)
-    each = np.zeros(max(0, n - size + 1), np.uint64)
+    whole = max(0, n - size + 1)
+    each = np.zeros(whole, np.uint64)
     for k in range(size):
-        each += words[k : n - size + 1 + k] * _PLACE[k]
+        each += words[k : k + whole] * _PLACE[k]
     each = mixed(each)
     out = []
     for a, b in zip(bounds, bounds[1:], strict=False):
