@@ -32,7 +32,7 @@ MOST_WEIGHT = 6.0
 
 _FOLD, _LOOKALIKE = str.maketrans(HOMOGLYPHS), re.compile("[" + "".join(HOMOGLYPHS) + "]")
 _LEET = str.maketrans(SUBSTITUTES)
-_WORD = re.compile(r"[@$]?[^\W_]+(?:[@$][^\W_]+)*")
+_WORD = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*\$*")
 _DISGUISED = re.compile(r"[013-578@$]")
 
 
