@@ -223,7 +223,7 @@ def supertrend(spark, d):
 
 
 @query(
-    "labels",
+    "label_columns",
     C(f"SELECT symbol, ts, (r > 0)::INT AS label_binary_5, CASE WHEN r < -0.002 THEN 0 WHEN r > 0.002 THEN 2 WHEN r IS NOT NULL THEN 1 END AS label_multiclass_5, r AS label_future_return_5, CASE WHEN n = 5 THEN h / close - 1 END AS label_future_high_5, CASE WHEN n = 5 THEN l / close - 1 END AS label_future_low_5, CASE WHEN n = 5 AND greatest(close - l, 0) <> 0 THEN greatest(h - close, 0) / greatest(close - l, 0) END AS label_risk_reward_5, CASE WHEN n = 5 THEN sv END AS label_future_volatility_5 FROM (SELECT symbol, timeframe, ts, close, {_div(f'lead(close, 5) OVER ({SERIES_SQL}) - close', 'close')} AS r, count(*) OVER w AS n, max(high) OVER w AS h, min(low) OVER w AS l, stddev_pop(st) OVER w AS sv FROM (SELECT *, {_div(f'close - {lag_sql("close")}', lag_sql('close'))} AS st FROM candles) WINDOW w AS ({SERIES_SQL} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"),
     "symbol", "label_binary_5 label_multiclass_5 label_future_return_5 label_future_high_5 label_future_low_5 label_risk_reward_5 label_future_volatility_5", "ts",
 )

@@ -139,3 +139,15 @@ def random_projection(df: DataFrame, vec: str, dim: int, k: int, seed: int = 7,
     """Gaussian directions of unit length; data is not centred."""
     rows = np.random.default_rng(seed).normal(size=(k, dim))
     return projected(df, vec, np.zeros(dim), rows / np.linalg.norm(rows, axis=1, keepdims=True), name)
+
+
+def inertia_by_k(df: DataFrame, vec: str, ks=(2, 3, 4, 5), rounds: int = 5, metric: str = "euclidean") -> DataFrame:
+    """(k, inertia, chosen): summed squared distances for each number of clusters; chosen is the first whose relative drop is below 0.3 of the mean drop, else the last."""
+    found = []
+    for k in ks:
+        rows, _ = k_means(df, vec, k, rounds, metric)
+        found.append((k, rows.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0] or 0.0))
+    drops = [(a[1] - b[1]) / a[1] if a[1] else 0.0 for a, b in zip(found, found[1:], strict=False)]
+    mean = sum(drops) / max(1, len(drops))
+    best = next((found[i][0] for i, x in enumerate(drops) if x < 0.3 * mean), found[-1][0])
+    return df.sparkSession.createDataFrame([(k, float(x), k == best) for k, x in found], "k int, inertia double, chosen boolean")

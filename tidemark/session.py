@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def session(name: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def session(name: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None, config: dict[str, str] | None = None) -> SparkSession:
     """UTC, adaptive plans with skew joins; cluster settings such as memory are left to the deployment."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (config or {}).items():
+        builder = builder.config(key, value)
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
