@@ -151,9 +151,9 @@ def spearman(spark, d):
     return correlation.spearman(correlation.returns_by_position(hourly(spark, d)))
 
 
-@query("gamma", C("SELECT a, b, any_value(n) AS n, (sum((s > 0)::INT) - sum((s < 0)::INT)) / nullif(sum((s <> 0)::INT), 0) AS gamma FROM (SELECT p.a, p.b, p.n, sign((p.x - q.x) * (p.y - q.y)) AS s FROM pp p JOIN pp q ON p.a = q.a AND p.b = q.b AND p.pos < q.pos) GROUP BY a, b", _RETURNS + ", pp AS (SELECT p.symbol AS a, q.symbol AS b, p.pos, p.x, q.x AS y, count(*) OVER (PARTITION BY p.symbol, q.symbol) AS n FROM rr p JOIN rr q ON p.pos = q.pos AND p.symbol < q.symbol WHERE p.pos <= 100)"), "a b n", "gamma")
+@query("gamma", C("SELECT a, b, any_value(n) AS n, (sum((s > 0)::INT) - sum((s < 0)::INT)) / nullif(sum((s <> 0)::INT), 0) AS gamma FROM (SELECT p.a, p.b, p.n, sign((p.x - q.x) * (p.y - q.y)) AS s FROM pp p JOIN pp q ON p.a = q.a AND p.b = q.b AND p.pos < q.pos) GROUP BY a, b", _RETURNS + ", pp AS (SELECT p.symbol AS a, q.symbol AS b, p.pos, p.x, q.x AS y, count(*) OVER (PARTITION BY p.symbol, q.symbol) AS n FROM rr p JOIN rr q ON p.pos = q.pos AND p.symbol < q.symbol)"), "a b n", "gamma")
 def gamma(spark, d):
-    return correlation.gamma(correlation.returns_by_position(hourly(spark, d)), 100)
+    return correlation.gamma(correlation.returns_by_position(hourly(spark, d)))
 
 
 @query("best_lag", C("SELECT a, b, lag, n, r FROM (SELECT p.symbol AS a, q.symbol AS b, l.lag, count(*) AS n, corr(p.x, q.x) AS r FROM rr p, (SELECT unnest(range(-10, 11))::INT AS lag) l JOIN rr q ON q.pos = p.pos - l.lag AND p.symbol < q.symbol GROUP BY ALL HAVING count(*) >= 30) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(abs(r), 12) DESC, lag) = 1", _RETURNS), "a b lag n", "r")
@@ -203,15 +203,18 @@ def random_projection(spark, d):
 
 
 def _edges(spark, d):
-    """Who supplied what a customer ordered, as a graph of nations."""
+    """Which nations supplied others more than twice as much as is usual, as a graph of nations."""
     s = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
     c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    rows = read(spark, d, "lineitem").filter("l_shipdate < '1992-03-01'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
-    return rows.join(o, "o_orderkey").join(s, "s_suppkey").join(c, "c_custkey").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).withColumn("kind", F.lit("SUPPLIES"))
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    every = rows.join(o, "o_orderkey").join(s, "s_suppkey").join(c, "c_custkey").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    mean = every.agg(F.avg("weight").alias("_mean")).withColumn("_one", F.lit(1))
+    strong = every.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").filter(F.col("weight") > 2 * F.col("_mean"))  # one row
+    return strong.select("src", "dst", "weight", F.lit("SUPPLIES").alias("kind"))
 
 
-_EDGES = "edges AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey WHERE l_shipdate < TIMESTAMP '1992-03-01' AND s_nationkey <> c_nationkey GROUP BY 1, 2)"
+_EDGES = "edges AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2 QUALIFY count(*) > 2 * avg(count(*)) OVER ())"
 
 
 @query("graph_neighbours", f"WITH {_EDGES} SELECT DISTINCT * FROM (SELECT src AS node, dst AS neighbour FROM edges UNION ALL SELECT dst, src FROM edges) WHERE node IN (1, 2)", "node neighbour")
@@ -229,9 +232,9 @@ def graph_statistics(spark, d):
     return graphs.statistics(_edges(spark, d), read(spark, d, "nation").select(F.col("n_nationkey").alias("node")))
 
 
-@query("graph_distances", f"WITH RECURSIVE {_EDGES}, r AS (SELECT 0::INT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node", "node depth")
+@query("graph_distances", f"WITH RECURSIVE {_EDGES}, r AS (SELECT n_nationkey AS source, n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.source, e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE depth < 3) SELECT source, node, min(depth) AS depth FROM r GROUP BY source, node", "source node depth")
 def graph_distances(spark, d):
-    return graphs.distances(_edges(spark, d), spark.createDataFrame([(0,)], "node int"), 3)
+    return graphs.distances(_edges(spark, d), read(spark, d, "nation").select(F.col("n_nationkey").alias("node")), 3)
 
 
 _TREE = [("fx_major", "fx"), ("fx_minor", "fx"), ("fx", "currency"), ("currency", "asset"), ("metal", "commodity"), ("gold", "metal"), ("commodity", "asset"), ("asset", None)]

@@ -44,11 +44,11 @@ def session_overlaps(spark, d):
     return discovery.overlaps(discovery.trading_sessions(hourly(spark, d)))
 
 
-@query("linear_model", "SELECT l_orderkey, l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * x.l_quantity, 3) AS prediction FROM lineitem x WHERE l_linenumber = 1", "l_orderkey l_linenumber", "prediction")
+@query("linear_model", "SELECT l_orderkey, l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * x.l_quantity, 3) AS prediction FROM lineitem x", "l_orderkey l_linenumber", "prediction")
 def linear_model(spark, d):
     rows = read(spark, d, "lineitem")
     b = models.least_squares(rows, ["l_quantity"], "l_extendedprice")
-    return rows.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.round(models.linear(b, ["l_quantity"]), 3).alias("prediction"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(models.linear(b, ["l_quantity"]), 3).alias("prediction"))
 
 
 @query("voting", "SELECT p_partkey, (coalesce(CASE WHEN p_size > 10 THEN p_size / 50.0 END, 0) + p_retailprice / 3000.0) / (CASE WHEN p_size > 10 THEN 2 ELSE 1 END) AS vote FROM part", "p_partkey", "vote")

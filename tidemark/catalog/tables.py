@@ -38,9 +38,9 @@ def instruments(spark, d):
 
 for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
 
-    @query(f"merge_{_how}", f"SELECT coalesce(a.k, b.k) AS k, a.c_name, b.s_name, a.v, b.v AS v_right FROM (SELECT c_custkey AS k, c_name, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a {_sql} (SELECT s_suppkey AS k, s_name, s_acctbal AS v FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k", "k c_name s_name", "v v_right")
+    @query(f"merge_{_how}", f"SELECT coalesce(a.k, b.k) AS k, a.c_name, b.s_name, a.v, b.v AS v_right FROM (SELECT 2 * c_custkey AS k, c_name, c_acctbal AS v FROM customer) a {_sql} (SELECT s_suppkey AS k, s_name, s_acctbal AS v FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k", "k c_name s_name", "v v_right")
     def merge(spark, d, how=_how):
-        a = read(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name", F.col("c_acctbal").alias("v"))
+        a = read(spark, d, "customer").select((2 * F.col("c_custkey")).alias("k"), "c_name", F.col("c_acctbal").alias("v"))
         b = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", F.col("s_acctbal").alias("v"))
         return joins.merge(a, b, "k", how)
 

@@ -73,17 +73,28 @@ def spearman(series: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
-def gamma(series: DataFrame, last: int = 200) -> DataFrame:
-    """(a, b, n, gamma): concordant less discordant pairs over their sum, ties left out; of the `last` positions, as it looks at every two of them.
+def gamma(series: DataFrame, chunk: int = 256) -> DataFrame:
+    """(a, b, n, gamma): concordant less discordant pairs of positions over their sum, ties left out.
 
-    One array for each pair of symbols, of at most `last` values: a parameter, as in any statistic over a window.
+    The statistic looks at every two positions. Positions are held in chunks of bounded size; every two chunks of two
+    symbols are one row, in which pairs are counted, never listed. With more positions there are more rows, not larger ones.
     """
-    held = pairs(series.filter(F.col("pos") <= last)).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("_v"))
-    sign = F.transform("_v", lambda p: F.aggregate(F.filter("_v", lambda q: q["pos"] > p["pos"]), F.struct(F.lit(0).alias("c"), F.lit(0).alias("d")), lambda s, q: F.struct(
-        (s["c"] + F.when((p["x"] - q["x"]) * (p["y"] - q["y"]) > 0, 1).otherwise(0)).alias("c"), (s["d"] + F.when((p["x"] - q["x"]) * (p["y"] - q["y"]) < 0, 1).otherwise(0)).alias("d"))))
-    total = held.select("a", "b", F.size("_v").alias("n"), sign.alias("_s"))
-    c, d = (F.aggregate(F.col(f"_s.{f}"), F.lit(0), lambda s, x: s + x) for f in ("c", "d"))
-    return total.select("a", "b", "n", div((c - d).cast("double"), c + d, 0.0).alias("gamma"))
+    both = pairs(series).withColumn("_chunk", F.floor((F.col("pos") - 1) / chunk))
+    held = both.groupBy("a", "b", "_chunk").agg(F.collect_list(F.struct("pos", "x", "y")).alias("_v"))
+    other = held.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_chunk").alias("_c"), F.col("_v").alias("_w"))
+    met = held.join(other, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("_chunk") <= F.col("_c")))
+
+    def sign(p: Column, q: Column) -> Column:
+        return F.when(p["pos"] < q["pos"], F.signum((p["x"] - q["x"]) * (p["y"] - q["y"]))).otherwise(0.0)
+
+    def counted(p: Column) -> Column:
+        return F.aggregate("_w", F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d")), lambda s, q: F.struct((s["c"] + (sign(p, q) > 0).cast("long")).alias("c"), (s["d"] + (sign(p, q) < 0).cast("long")).alias("d")))
+
+    # Two chunks of the same symbols each meet once; a pair within them counts in the order of its positions, whichever side holds it.
+    sums = met.withColumn("_s", F.transform("_v", counted))
+    total = sums.groupBy("a", "b").agg(*[F.sum(F.aggregate(F.col(f"_s.{k}"), F.lit(0).cast("long"), lambda s, x: s + x)).alias(f"_{k}") for k in ("c", "d")])
+    n = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(total, ["a", "b"]).select("a", "b", "n", div((F.col("_c") - F.col("_d")).cast("double"), F.col("_c") + F.col("_d"), 0.0).alias("gamma"))
 
 
 def best_lag(series: DataFrame, most: int = MOST_LAG, least_rows: int = LEAST_ROWS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import checkpointed
 from ..functions.scalars import div
 
 # Edges have columns src and dst, and kind and weight where an operator says so.
@@ -34,17 +35,6 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumns({"density": div(F.col("edges"), F.col("nodes") * (F.col("nodes") - 1), 0.0), "mean_degree": div(2 * F.col("edges"), F.col("nodes"), 0.0)})
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a checkpoint in the session's checkpoint folder, which executors share."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """(source, node, depth, previous): what each source (column node) reaches in at most `most` steps, breadth first.
 
@@ -53,11 +43,11 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """
     e = edges.select("src", "dst").distinct()
     front = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("previous")).distinct()
-    seen = front = _stored(front)
+    seen = front = checkpointed(front)
     for depth in range(1, most + 1):
         step = front.join(e, front["node"] == e["src"]).groupBy("source", F.col("dst").alias("_next")).agg(F.min("node").alias("previous"))
         new = step.join(seen.select(F.col("source").alias("_s"), F.col("node").alias("_n")), (F.col("source") == F.col("_s")) & (F.col("_next") == F.col("_n")), "left_anti")
-        front = _stored(new.select("source", F.col("_next").alias("node"), F.lit(depth).alias("depth"), "previous"))
+        front = checkpointed(new.select("source", F.col("_next").alias("node"), F.lit(depth).alias("depth"), "previous"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -89,11 +79,11 @@ def _on_path(found: DataFrame, target) -> DataFrame:
 def ancestors(parents: DataFrame, most: int = 20) -> DataFrame:
     """(node, ancestor, depth) of a hierarchy (node, parent): the closure, by doubling joins checkpointed each step."""
     step = parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    known = front = _stored(step)
+    known = front = checkpointed(step)
     for _ in range(most - 1):
         longer = front.join(parents.select(F.col("node").alias("_n"), "parent"), front["ancestor"] == F.col("_n")).filter(F.col("parent").isNotNull())
         new = longer.groupBy("node", F.col("parent").alias("_a")).agg(F.min(F.col("depth") + 1).alias("depth")).withColumnRenamed("_a", "ancestor")
-        front = _stored(new.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
+        front = checkpointed(new.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
         if front.isEmpty():
             break
         known = known.unionByName(front)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_totals
 from ..functions.scalars import clip, div
 
 INF = float("inf")
@@ -73,8 +74,8 @@ def _by_score(df: DataFrame, actual: str, score: str, by) -> DataFrame:
 def roc_auc(df: DataFrame, actual: str = "y", score: str = "s", by=()) -> DataFrame:
     """Area under the ROC curve by rank sums, tied scores sharing their mean rank; null with one class only."""
     scores = _by_score(df, actual, score, by)
-    before = F.coalesce(F.sum("_all").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = scores.withColumn("_rank", before + (F.col("_all") + 1) / 2)
+    summed = running_totals(scores, [F.col("_s").asc()], {"_upto": F.col("_all")}, tuple(by))
+    ranked = summed.withColumn("_rank", F.col("_upto") - (F.col("_all") - 1) / 2)
     out = _grouped(ranked, by).agg(F.sum("_pos").alias("positives"), F.sum(F.col("_all") - F.col("_pos")).alias("negatives"), F.sum(F.col("_pos") * F.col("_rank")).alias("_ranks"))
     p, n = F.col("positives"), F.col("negatives")
     return out.withColumn("auc", div(F.col("_ranks") - p * (p + 1) / 2, p * n)).drop("_ranks")
@@ -82,10 +83,9 @@ def roc_auc(df: DataFrame, actual: str = "y", score: str = "s", by=()) -> DataFr
 
 def average_precision(df: DataFrame, actual: str = "y", score: str = "s", by=(), tie: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Mean precision at each positive by falling score; equal scores go by `tie`, so the result is the same each time."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    hit = (F.col(actual) == 1).cast("long")
-    known = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull()).withColumn("_hit", hit)
-    ranked = known.withColumn("_precision", F.sum("_hit").over(w) / F.count(F.lit(1)).over(w))
+    known = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull()).withColumn("_hit", (F.col(actual) == 1).cast("long"))
+    order = [F.col(score).desc(), *[F.col(t).asc() for t in tie]]
+    ranked = running_totals(known, order, {"_hits": F.col("_hit"), "_rows": F.lit(1).cast("long")}, tuple(by)).withColumn("_precision", F.col("_hits") / F.col("_rows"))
     return _grouped(ranked, by).agg(F.sum("_hit").alias("positives"), div(F.sum(F.col("_hit") * F.col("_precision")), F.sum("_hit"), 0.0).alias("average_precision"))
 
 
