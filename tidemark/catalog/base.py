@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import candles
+from ..schema import TIMEFRAMES, candles
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Moves values off the middle between two sixth decimals, which prices of two decimals often have as their mean.
@@ -55,6 +55,8 @@ def query(name: str, sql: str | None = None, keys: str = "", values: str = "", t
     return register
 
 
+TIMEFRAMES_SQL = "tf AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s}, {k})" for k, (n, s) in enumerate(TIMEFRAMES.items(), 1)) + ") t(name, seconds, sort_order))"
+
 #: Pieces of SQL over series of candles.
 SERIES_SQL = "PARTITION BY symbol, timeframe ORDER BY ts"
 

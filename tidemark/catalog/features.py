@@ -36,7 +36,7 @@ def forward_backward_fill(spark, d):
     return hourly(spark, d).withColumn("x", F.when(F.col("volume") >= 3, F.col("close"))).withColumns({"ff": W.forward_fill("x"), "bf": W.backward_fill("x")})
 
 
-@query("rolling_correlation", C(f"SELECT symbol, ts, CASE WHEN count(*) OVER {over(20)} = 20 THEN corr(close, volume) OVER {over(20)} END AS c, CASE WHEN count(*) OVER {over(20)} = 20 AND var_pop(volume) OVER {over(20)} <> 0 THEN covar_pop(close, volume) OVER {over(20)} / var_pop(volume) OVER {over(20)} END AS b FROM candles"), "symbol", "c b", "ts")
+@query("rolling_correlation", C(f"SELECT symbol, ts, CASE WHEN count(*) OVER {over(20)} = 20 AND var_pop(close) OVER {over(20)} <> 0 AND var_pop(volume) OVER {over(20)} <> 0 THEN corr(close, volume) OVER {over(20)} END AS c, CASE WHEN count(*) OVER {over(20)} = 20 AND var_pop(volume) OVER {over(20)} <> 0 THEN covar_pop(close, volume) OVER {over(20)} / var_pop(volume) OVER {over(20)} END AS b FROM candles"), "symbol", "c b", "ts")
 def rolling_correlation(spark, d):
     return hourly(spark, d).withColumns({"c": W.correlation("close", "volume", 20), "b": W.beta("close", "volume", 20)})
 
@@ -262,7 +262,7 @@ def basic_features(spark, d):
     return price.basic_features(hourly(spark, d))
 
 
-@query("peer_features", C(f"SELECT symbol, ts, CASE WHEN count(CASE WHEN r IS NOT NULL AND pr IS NOT NULL THEN 1 END) OVER w = 20 THEN corr(r, pr) OVER w END AS correlation, r - pr AS relative_return FROM (SELECT a.symbol, a.timeframe, a.ts, a.r, b.r AS pr FROM rr a ASOF LEFT JOIN (SELECT * FROM rr WHERE symbol = 'view') b ON a.timeframe = b.timeframe AND a.ts >= b.ts WHERE a.symbol <> 'view') WINDOW w AS ({SERIES_SQL} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", f"rr AS (SELECT symbol, timeframe, ts, {_div(f'close - {lag_sql("close")}', lag_sql('close'))} AS r FROM candles)"), "symbol", "correlation relative_return", "ts")
+@query("peer_features", C(f"SELECT symbol, ts, CASE WHEN count(CASE WHEN r IS NOT NULL AND pr IS NOT NULL THEN 1 END) OVER w = 20 AND var_pop(r) OVER w <> 0 AND var_pop(pr) OVER w <> 0 THEN corr(r, pr) OVER w END AS correlation, r - pr AS relative_return FROM (SELECT a.symbol, a.timeframe, a.ts, a.r, b.r AS pr FROM rr a ASOF LEFT JOIN (SELECT * FROM rr WHERE symbol = 'view') b ON a.timeframe = b.timeframe AND a.ts >= b.ts WHERE a.symbol <> 'view') WINDOW w AS ({SERIES_SQL} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", f"rr AS (SELECT symbol, timeframe, ts, {_div(f'close - {lag_sql("close")}', lag_sql('close'))} AS r FROM candles)"), "symbol", "correlation relative_return", "ts")
 def peer_features(spark, d):
     rows = hourly(spark, d)
     return correlation.peer_features(rows, rows.filter(F.col("symbol") == "view"), 20)

@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.symbols import identity, normalized, valid_symbol
 from ..operators import repository as R
 from ..operators import resample
-from ..schema import TIMEFRAMES, timeframes
-from .base import hourly, query, read, ticks, with_candles
-
-_TF_SQL = "tf AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s}, {k})" for k, (n, s) in enumerate(TIMEFRAMES.items(), 1)) + ") t(name, seconds, sort_order))"
-
+from ..schema import timeframes
+from .base import TIMEFRAMES_SQL, hourly, query, read, ticks, with_candles
 
 @query("candles_hourly", with_candles("SELECT symbol, ts, open, high, low, close, volume FROM candles"), "symbol", "open high low close volume", "ts")
 def candles_hourly(spark, d):
@@ -132,7 +129,7 @@ def minor_currencies(spark, d):
     return R.minor_currencies(spark.createDataFrame(_CODES, "code string, kind string"), _MAJORS)
 
 
-@query("timeframe_ladder", f"WITH {_TF_SQL} SELECT name, lag(name) OVER w AS lower, lead(name) OVER w AS higher, coalesce(lead(seconds) OVER w // seconds, 0)::BIGINT AS per_higher FROM tf WINDOW w AS (ORDER BY sort_order)", "name lower higher per_higher")
+@query("timeframe_ladder", f"WITH {TIMEFRAMES_SQL} SELECT name, lag(name) OVER w AS lower, lead(name) OVER w AS higher, coalesce(lead(seconds) OVER w // seconds, 0)::BIGINT AS per_higher FROM tf WINDOW w AS (ORDER BY sort_order)", "name lower higher per_higher")
 def timeframe_ladder(spark, d):
     return R.timeframe_ladder(timeframes(spark))
 

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..functions import windows as W
 from ..operators import asof, cleaning, joins, quality, resample, scaling, splits
 from ..schema import candles
-from .base import CANDLES_SQL, SERIES_SQL, hourly, lag_sql, query, read, ticks, with_candles
+from .base import CANDLES_SQL, SERIES_SQL, TIMEFRAMES_SQL, hourly, lag_sql, query, read, ticks, with_candles
 
 C = with_candles
 
@@ -138,7 +138,7 @@ def volume_bars(spark, d):
     return resample.by_volume(hourly(spark, d), 20.0)
 
 
-@query("detect_timeframe", C("SELECT symbol, avg(g) AS mean_gap, CASE WHEN avg(g) BETWEEN 3600 * 0.7 AND 3600 * 1.3 THEN 'H1' END AS timeframe FROM (SELECT symbol, date_diff('second', lag(ts) OVER w, ts) AS g, row_number() OVER w AS i FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE i <= 101 AND g > 0 GROUP BY symbol"), "symbol timeframe", "mean_gap")
+@query("detect_timeframe", C("SELECT symbol, m AS mean_gap, CASE WHEN min(abs(m - seconds) / seconds) <= 0.3 THEN arg_min(name, abs(m - seconds) / seconds) END AS timeframe FROM (SELECT symbol, avg(g) AS m FROM (SELECT symbol, date_diff('second', lag(ts) OVER w, ts) AS g, row_number() OVER w AS i FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE i <= 101 AND g > 0 GROUP BY symbol), tf GROUP BY symbol, m", TIMEFRAMES_SQL), "symbol timeframe", "mean_gap")
 def detect_timeframe(spark, d):
     return resample.detected_timeframe(hourly(spark, d))
 
@@ -245,7 +245,7 @@ def normalize_inverse(spark, d):
     return scaling.inverse(scaling.transform(rows, state, ["x"], "robust"), state, ["x"], "robust")
 
 
-@query("scale_by_train", f"WITH {CANDLES_SQL}, n AS (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM candles), p AS (SELECT *, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + 5 THEN NULL WHEN i < floor(n * 0.85) THEN 'val' WHEN i < floor(n * 0.85) + 5 THEN NULL ELSE 'test' END AS split FROM n) SELECT symbol, ts, split, (close - (SELECT avg(close) FROM p WHERE split = 'train')) / (SELECT stddev_pop(close) FROM p WHERE split = 'train') AS close FROM p WHERE split IS NOT NULL", "symbol split", "close", "ts")
+@query("scale_by_train", f"WITH {CANDLES_SQL}, n AS (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM candles), p AS (SELECT *, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * 0.7::DOUBLE) + 5 THEN NULL WHEN i < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' WHEN i < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) + 5 THEN NULL ELSE 'test' END AS split FROM n) SELECT symbol, ts, split, (close - (SELECT avg(close) FROM p WHERE split = 'train')) / (SELECT stddev_pop(close) FROM p WHERE split = 'train') AS close FROM p WHERE split IS NOT NULL", "symbol split", "close", "ts")
 def scale_by_train(spark, d):
     return scaling.scale_splits(splits.chronological(hourly(spark, d)), ["close"])
 

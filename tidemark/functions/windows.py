@@ -78,9 +78,16 @@ def percent_rank(c: str, n: int) -> Column:
     return F.when(F.count(c).over(last(n)) == n, F.size(F.filter(held, lambda x: x <= F.col(c))) / n)
 
 
+def pearson(x: str, y: str, over: Callable[[Column], Column] = lambda a: a) -> Column:
+    """Correlation of the rows that have both, as an aggregate or over a window; null where one of them does not vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return div(over(F.covar_pop(a, b)), over(F.stddev_pop(a)) * over(F.stddev_pop(b)))
+
+
 def correlation(x: str, y: str, n: int) -> Column:
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
-    return F.when(F.count(both).over(last(n)) == n, F.corr(x, y).over(last(n)))
+    return F.when(F.count(both).over(last(n)) == n, pearson(x, y, lambda a: a.over(last(n))))
 
 
 def beta(target: str, benchmark: str, n: int) -> Column:

@@ -57,7 +57,7 @@ def pairs(series: DataFrame) -> DataFrame:
 
 def matrix(series: DataFrame) -> DataFrame:
     """(a, b, n, r) for every two symbols, with strength and direction."""
-    out = pairs(series).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    out = pairs(series).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), W.pearson("x", "y").alias("r"))
     return out.withColumns({"strength": strength(F.col("r")), "direction": direction(F.col("r"))})
 
 
@@ -70,7 +70,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
 def spearman(series: DataFrame) -> DataFrame:
     """(a, b, n, rho): correlation of average ranks."""
     both = average_ranks(average_ranks(pairs(series), ["a", "b"], "x", "_rx"), ["a", "b"], "y", "_ry")
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), W.pearson("_rx", "_ry").alias("rho"))
 
 
 def gamma(series: DataFrame, chunk: int = 256) -> DataFrame:
@@ -106,7 +106,7 @@ def best_lag(series: DataFrame, most: int = MOST_LAG, least_rows: int = LEAST_RO
     shifted = series.select(F.col("symbol").alias("a"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "pos", "x").withColumn("pos", F.col("pos") - F.col("lag"))
     other = series.select(F.col("symbol").alias("b"), "pos", F.col("x").alias("y"))
     both = shifted.join(other, "pos").filter(F.col("a") < F.col("b"))
-    each = both.groupBy("a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).filter((F.col("n") >= least_rows) & F.col("r").isNotNull())
+    each = both.groupBy("a", "b", "lag").agg(F.count(F.lit(1)).alias("n"), W.pearson("x", "y").alias("r")).filter((F.col("n") >= least_rows) & F.col("r").isNotNull())
     best = each.groupBy("a", "b").agg(F.max_by(F.struct("lag", "n", "r"), F.struct(F.round(F.abs("r"), 12), -F.col("lag"))).alias("_b"))
     return best.select("a", "b", "_b.lag", "_b.n", "_b.r")
 
@@ -136,7 +136,7 @@ def peer_features(base: DataFrame, peers: DataFrame, window: int = 50) -> DataFr
     enough = F.col("_n") == window
     ratio_mean, ratio_std = W.full(window, "_ratio", F.avg, w), W.full(window, "_ratio", F.stddev_pop, w)
     return both.select(
-        *keys, "ts", F.when(enough, F.corr("ret", "right_ret").over(w)).alias("correlation"), F.when(enough, div(F.covar_pop("ret", "right_ret").over(w), F.var_pop("right_ret").over(w))).alias("beta"),
+        *keys, "ts", F.when(enough, W.pearson("ret", "right_ret", lambda a: a.over(w))).alias("correlation"), F.when(enough, div(F.covar_pop("ret", "right_ret").over(w), F.var_pop("right_ret").over(w))).alias("beta"),
         (F.col("ret") - F.col("right_ret")).alias("relative_return"), div(F.col("_ratio") - ratio_mean, ratio_std).alias("spread_zscore"), peer_class(F.col("peer")).alias("peer_class"),
     )
 

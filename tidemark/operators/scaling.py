@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div
+from ..functions.windows import pearson
 
 METHODS = ("min_max", "z_score", "robust", "max_abs", "mean", "unit_vector", "log", "square_root")
 
@@ -96,7 +97,7 @@ def scale_splits(df: DataFrame, columns: list[str], split: str = "split", method
 
 def selected(df: DataFrame, columns: list[str], target: str, k: int, least_variance: float = 0.0) -> DataFrame:
     """(feature, variance, score, position) of the k columns with the largest absolute correlation with the target, of those that vary."""
-    row = df.agg(*[F.var_pop(c).alias(f"v_{c}") for c in columns], *[F.corr(c, target).alias(f"c_{c}") for c in columns])
+    row = df.agg(*[F.var_pop(c).alias(f"v_{c}") for c in columns], *[pearson(c, target).alias(f"c_{c}") for c in columns])
     long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"v_{c}").alias("variance"), F.coalesce(F.abs(f"c_{c}"), F.lit(0.0)).alias("score")) for c in columns])).alias("_f")).select("_f.*")
     w = Window.orderBy(F.desc("score"), "feature")  # one row for each column
     return long.filter(F.col("variance") > least_variance).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
