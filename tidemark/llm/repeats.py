@@ -9,7 +9,9 @@ another, and each string lies in one phrase of the dictionary.
 The corpus order of suffixes is needed to depth `size` only, and only up to equality. So phrases are
 ranked first by the bytes that all strings of a trigger share (their core), then as a whole. A core that
 stands once rules out all its strings; phrases that stand twice repeat as a whole. Only cores with several
-phrases have their suffixes compared one by one, once for each phrase of the dictionary.
+phrases have their suffixes compared, once for each phrase of the dictionary: first by stretches of STRETCH
+starts, by what all strings of a stretch share and by all that they cover, and one by one only where those
+two disagree.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, same, stored
+from .common import discard, row_key, same, stored
 from .jaccard import mixed
 
 #: Bytes that are parsed together. Places fit into PLACE_BITS.
 PART, PLACE_BITS = 1 << 22, 24
+#: Starts of strings, counted back from the trigger, that are compared together.
+STRETCH = 16
 _LETTER = np.random.default_rng(1_123).integers(1, 1 << 63, 256, dtype=np.uint64)
 _RATIO = 0x9E3779B97F4A7C15
 
@@ -110,25 +114,46 @@ def _phrases(size: int):
             g = np.array([digest(data[t : t + core]) for t in trigger.tolist()], np.uint64).view(np.int64)
             f = np.array([digest(data[a : b + size], 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.uint64).view(np.int64)
             row, shift = np.array(rows, np.int64)[part], (np.array(places, np.int64) - bounds[:-1])[part]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(low + shift), pa.array((high - low).astype(np.int32)), pa.array(g), pa.array(f)], ["_id", "_row", "_low", "_more", "_g", "_f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(low + shift), pa.array((high - low).astype(np.int32)), pa.array((trigger - low).astype(np.int32)), pa.array(g), pa.array(f)], ["_id", "_row", "_low", "_more", "_trigger", "_g", "_f"])
 
     return phrases
 
 
 def _suffixes(size: int):
-    """A row for each string of the phrases wanted of a text: columns _text, _want."""
+    """Of texts and the phrases wanted of them (columns _text, _want), a row for each stretch of starts.
+
+    _at is the stretch's first start in the phrase, _inner a hash of the bytes that all strings of the whole
+    stretch share, _outer one of all bytes that those of this phrase cover, _strings their hashes one by one.
+    """
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
+            rows: list[tuple] = []
             for text, wanted in zip(*batch.columns, strict=True):
                 raw = (text.as_py() or "").encode()
-                want = wanted.as_py()
-                more = np.array([w["_more"] + 1 for w in want])
-                h = np.array([digest(raw[w["_low"] + k : w["_low"] + k + size], 2) for w in want for k in range(w["_more"] + 1)], np.uint64).view(np.int64)
-                g, f = (np.repeat(np.array([w[c] for w in want], np.int64), more) for c in ("_g", "_f"))
-                at = np.arange(len(h)) - np.repeat(np.cumsum(more) - more, more)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(f), pa.array(h), pa.array(at.astype(np.int32))], ["_g", "_f", "_h", "_at"])
+                for w in wanted.as_py():
+                    low, trigger = w["_low"], w["_low"] + w["_trigger"]
+                    last = low + w["_more"]
+                    for k in range((trigger - last) // STRETCH, (trigger - low) // STRETCH + 1):
+                        end = trigger - k * STRETCH  # the stretch's last start if the phrase goes on
+                        a, b = max(low, end - STRETCH + 1), min(last, end)
+                        inner = digest(raw[end : end - STRETCH + 1 + size], 3)
+                        rows.append((w["_g"], w["_f"], w["_single"], a - low, inner, digest(raw[a : b + size], 4), [digest(raw[s : s + size], 2) for s in range(a, b + 1)]))
+                if len(rows) >= 1 << 14:
+                    yield packed(rows)
+                    rows = []
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        g, f, single, at, inner, outer, strings = zip(*rows, strict=True)
+        inner, outer, flat = (np.array(x, np.uint64).view(np.int64) for x in (inner, outer, [h for own in strings for h in own]))
+        ends = np.cumsum([0, *map(len, strings)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(g, pa.int64()), pa.array(f, pa.int64()), pa.array(single, pa.bool_()), pa.array(at, pa.int32()), pa.array(inner), pa.array(outer), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+            ["_g", "_f", "_single", "_at", "_inner", "_outer", "_strings"],
+        )
 
     return suffixes
 
@@ -155,27 +180,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _shared_starts(suffixes: DataFrame) -> DataFrame:
+    """(_g, _f, _at, _n): stretches of starts, or single ones, of phrases that stand once whose strings another phrase has too."""
+
+    def several(rows: DataFrame, key: str) -> DataFrame:
+        found = rows.groupBy("_g", key).agg(F.min("_f").alias("_least"), F.max("_f").alias("_most"))
+        return found.filter(F.col("_least") != F.col("_most")).select("_g", key, "_least")
+
+    # What no other phrase shares the middle of has no shared string.
+    near = stored(suffixes.join(several(suffixes, "_inner").drop("_least"), ["_g", "_inner"]).drop("_inner"), "stretches")
+    discard(suffixes)
+    alike = several(near.select("_g", "_f", "_outer"), "_outer")
+    marked = stored(near.join(alike, ["_g", "_outer"], "left").drop("_outer"), "marked")
+    discard(near)
+    whole = marked.filter(F.col("_single") & F.col("_least").isNotNull()).select("_g", "_f", "_at", F.size("_strings").alias("_n"))
+    # Strings of stretches that are not alike as a whole meet each other, and those of one phrase of each that is.
+    open_ = marked.filter(F.col("_least").isNull() | (F.col("_least") == F.col("_f")))
+    strings = open_.select("_g", "_f", (F.col("_single") & F.col("_least").isNull()).alias("_open"), "_at", F.posexplode("_strings").alias("_k", "_h"))
+    twice = several(strings.select("_g", "_f", "_h"), "_h").drop("_least")
+    part = strings.filter("_open").join(twice, ["_g", "_h"]).select("_g", "_f", (F.col("_at") + F.col("_k")).alias("_at"), F.lit(1).alias("_n"))
+    found = stored(whole.unionByName(part), "shared")
+    discard(marked)
+    return found
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:
-    """(_id, _row, start, end): spans of UTF-8 bytes that strings of `size` bytes cover which start anywhere else too. They overlap."""
+    """(_id, _row, _spans): for each row that has any, spans (start, end) of UTF-8 bytes that strings of `size` bytes cover which start anywhere else too. They overlap."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
-    phrases = stored(rows.mapInArrow(_phrases(size), "_id long, _row long, _low long, _more int, _g long, _f long"), "phrases")
+    phrases = stored(rows.mapInArrow(_phrases(size), "_id long, _row long, _low long, _more int, _trigger int, _g long, _f long"), "phrases")
     cores = phrases.groupBy("_g").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > 1).select("_g")
     near = stored(phrases.join(cores, "_g"), "near")
-    dictionary = stored(near.groupBy("_g", "_f").agg(F.count(F.lit(1)).alias("_in"), F.min(F.struct("_id", "_row", "_low", "_more")).alias("_first")), "dictionary")
+    discard(phrases)
+    dictionary = stored(near.groupBy("_g", "_f").agg(F.count(F.lit(1)).alias("_in"), F.min(F.struct("_id", "_row", "_low", "_more", "_trigger")).alias("_first")), "dictionary")
     several = dictionary.groupBy("_g").agg(F.count(F.lit(1)).alias("_kinds")).filter(F.col("_kinds") > 1).select("_g")
 
-    want = dictionary.join(several, "_g").select(F.col("_first._id").alias("_wid"), F.col("_first._row").alias("_wrow"), F.struct("_first._low", "_first._more", "_g", "_f").alias("_w"))
+    want = dictionary.join(several, "_g").select(F.col("_first._id").alias("_wid"), F.col("_first._row").alias("_wrow"), F.struct("_first._low", "_first._more", "_first._trigger", "_g", "_f", (F.col("_in") == 1).alias("_single")).alias("_w"))
     want = want.groupBy("_wid", "_wrow").agg(F.collect_list("_w").alias("_want"))
     texts = rows.join(want, same(F.col("_id"), F.col("_wid")) & (F.col("_row") == F.col("_wrow"))).select("_text", "_want")
-    suffixes = stored(texts.mapInArrow(_suffixes(size), "_g long, _f long, _h long, _at int"), "suffixes")
-    twice = suffixes.groupBy("_g", "_h").agg((F.min("_f") != F.max("_f")).alias("_twice")).filter("_twice").select("_g", "_h")
-    single = dictionary.filter(F.col("_in") == 1).select("_g", "_f")
-    shared = suffixes.join(twice, ["_g", "_h"]).select("_g", "_f", "_at").join(single, ["_g", "_f"])
+    schema = "_g long, _f long, _single boolean, _at int, _inner long, _outer long, _strings array<long>"
+    shared = _shared_starts(stored(texts.mapInArrow(_suffixes(size), schema), "suffixes"))
 
     whole = near.join(dictionary.filter(F.col("_in") > 1).select("_g", "_f"), ["_g", "_f"])
     whole = whole.select("_id", "_row", F.col("_low").alias("start"), (F.col("_low") + F.col("_more") + size).alias("end"))
-    part = near.join(shared, ["_g", "_f"]).select("_id", "_row", (F.col("_low") + F.col("_at")).alias("start"), (F.col("_low") + F.col("_at") + size).alias("end"))
-    return whole.unionByName(part)
+    start = F.col("_first._low") + F.col("_at")
+    part = dictionary.filter(F.col("_in") == 1).join(shared, ["_g", "_f"]).select("_first._id", "_first._row", start.alias("start"), (start + F.col("_n") - 1 + size).alias("end"))
+    spans = whole.unionByName(part).groupBy("_id", "_row").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    found = stored(spans, "spans")
+    for table in (near, dictionary, shared):
+        discard(table)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:
@@ -187,6 +240,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other. An empty table gives an empty one. Other columns of `docs` do not matter.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
-    spans = repeated_spans(docs, id_col, text_col, size).groupBy(F.col("_id").alias("_sid"), F.col("_row").alias("_srow")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    spans = repeated_spans(docs, id_col, text_col, size).withColumnsRenamed({"_id": "_sid", "_row": "_srow"})
     found = rows.join(spans, same(F.col("_id"), F.col("_sid")) & (F.col("_row") == F.col("_srow")), "left").select("_id", "_text", "_spans")
     return found.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
