@@ -21,8 +21,8 @@ from .common import ascii_lower, row_key, same, stored
 
 #: Whatever lies between words: all of ASCII but digits and lower-case letters.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Slots of the bitmap (bytes).
-SLOTS = 1 << 20
+#: Slots of the bitmap at most, and for each term where they are fewer.
+SLOTS, SPARSE = 1 << 20, 32
 #: Windows that are broadcast at most; of about 200 bytes each.
 BROADCAST_WINDOWS = 50_000
 
@@ -39,16 +39,24 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return rows.filter(F.size("_w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("_w"), i, size))).alias("_win")).distinct()
 
 
-def _bitmap(terms: DataFrame, column: str) -> bytes:
-    """A byte for each slot, 1 where a term falls: at most SLOTS numbers come to the driver, however many terms there are."""
-    bits = bytearray(SLOTS)
-    for (slot,) in terms.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")).distinct().collect():
-        bits[slot] = 1
-    return bytes(bits)
+def _bitmap(terms: DataFrame, column: str) -> tuple[bytes, int]:
+    """A bit for each slot, 1 where a term falls, and the number of slots: a power of two, about SPARSE for each term, SLOTS at most.
 
-
-def _marked(term: Column, bits: bytes) -> Column:
-    return F.substring(F.lit(bits), F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int") + 1, 1) == F.lit(b"\x01")
+    At most SLOTS numbers come to the driver, however many terms there are. Six slots make a printable byte.
+    """
+    taken = [slot for (slot,) in terms.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")).distinct().collect()]
+    slots = min(SLOTS, max(1 << 10, 1 << (SPARSE * len(taken)).bit_length()))
+    bits = bytearray(b"0") * (slots // 6 + 1)
+    for slot in {x % slots for x in taken}:
+        bits[slot // 6] += 1 << slot % 6
+    return bytes(bits), slots
+
+
+def _marked(term: Column, bitmap: tuple[bytes, int]) -> Column:
+    bits, slots = bitmap
+    slot = F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+    own = F.ascii(F.substring(F.lit(bits), F.floor(slot / 6).cast("int") + 1, F.lit(1)).cast("string")) - ord("0")
+    return F.getbit(own, slot % 6) == 1
 
 
 def anchors(docs: DataFrame, wins: DataFrame, text_col: str = "text") -> DataFrame:
