@@ -208,9 +208,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_id, _row, _spans): for each row that has any, spans (start, end) of UTF-8 bytes that strings of `size` bytes cover which start anywhere else too. They overlap."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
     phrases = stored(rows.mapInArrow(_phrases(size), "_id long, _row long, _low long, _more int, _trigger int, _g long, _f long"), "phrases")
-    cores = phrases.groupBy("_g").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > 1).select("_g")
+    # Written first, so that the join has a shuffle of its own whose hot cores Spark can split.
+    cores = stored(phrases.groupBy("_g").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > 1).select("_g"), "cores")
     near = stored(phrases.join(cores, "_g"), "near")
     discard(phrases)
+    discard(cores)
     dictionary = stored(near.groupBy("_g", "_f").agg(F.count(F.lit(1)).alias("_in"), F.min(F.struct("_id", "_row", "_low", "_more", "_trigger")).alias("_first")), "dictionary")
     several = dictionary.groupBy("_g").agg(F.count(F.lit(1)).alias("_kinds")).filter(F.col("_kinds") > 1).select("_g")
 
