@@ -37,6 +37,22 @@ def test_exceptions_and_the_largest_weight_at_a_word():
     assert lex.matched("trashy trash".split()) == [3.0, 2.0]
 
 
+@pytest.mark.parametrize("text", ["1oser", "c1own", "a |oser", "!diot", "id!ot", "lo\xadser", "c\u200blo\u200bwn", "6astard", "bi9ot", "hello!loser", "you\u200bloser", "l0ser!"])
+def test_every_reading_of_a_disguise_matches(text):
+    lex = toxicity.Lexicon({" loser": 2.0, " clown ": 2.0, " idiot ": 2.0, " bastard ": 2.0, " bigot ": 2.0}).build()
+    assert lex.matched(*toxicity.read(text)) == [2.0]
+
+
+@pytest.mark.parametrize("text", ["ioser", "ciown", "1619 111", "gastard", "foo! bar", "class c1own", "class c!own", "| a | b |"])
+def test_other_words_do_not_match(text):
+    lex = toxicity.Lexicon({" loser": 2.0, " clown ": 2.0, " ill ": 2.0, " bastard ": 2.0, " fool ": 2.0}).build()
+    assert lex.matched(*toxicity.read(text)) == []
+
+
+def test_a_disguise_teaches_all_its_readings():
+    assert {" loser ", " ioser ", " lose", " iose"} <= toxicity.features(toxicity.read("1oser")[0])
+
+
 def test_toxicity_on_rows_that_were_held_out(spark):
     found = queries.op1_toxicity(spark, "/root/testdata/sf0.01").alias("f")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

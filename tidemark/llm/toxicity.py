@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs inside words to the
-letters they stand for. The lexicon's entries are words and beginnings of words, weighted by the log odds
+letters they stand for. A sign that may stand for several letters keeps all of its readings, and a word
+that signs or invisible characters cut is read in its parts and as a whole. The lexicon's entries are words and beginnings of words, weighted by the log odds
 of their document frequencies in toxic and other rows. Entries inside an exception phrase do not count.
 The weights of a text's matches, as a sum and for its length, give the score by a logistic function.
 """
@@ -11,9 +12,11 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, product
 
 import ahocorasick
 import numpy as np
@@ -21,40 +24,85 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pii import INVISIBLE
+
 #: Characters that look like Latin letters, with those letters (Cyrillic, Greek, full-width).
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏвкмнтαοερτυκν", "aeopcyxijshdlbkmhtaoeptukv", strict=True)) | {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): chr(48 + k) for k in range(10)}
 #: Digits and signs that stand for letters inside words.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+SUBSTITUTES = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: Those that may stand for several, the usual one first. ! and | do so before or between letters only.
+READINGS = {"1": "il", "!": "il", "|": "il", "6": "gb6", "9": "gq9"}
+#: Words with more of them teach their usual reading only; matching is not limited.
+TAUGHT_SIGNS = 4
 #: Phrases in which an entry of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "class clown", "clown fish")
 SHORTEST, LONGEST = 4, 6  # beginnings of words that are candidates
 MOST_WEIGHT = 6.0
 
 _FOLD, _LOOKALIKE = str.maketrans(HOMOGLYPHS), re.compile("[" + "".join(HOMOGLYPHS) + "]")
-_LEET = str.maketrans(SUBSTITUTES)
+# In unmasked words, private characters stand for the signs of READINGS.
+_OPEN = {chr(0xE000 + ord(c)): letters for c, letters in READINGS.items()}
+_LEET = str.maketrans(SUBSTITUTES | {c: chr(0xE000 + ord(c)) for c in READINGS})
+_USUAL = str.maketrans({c: letters[0] for c, letters in _OPEN.items()})
+# Letters and signs that have a reading in common are one character for the automaton.
+_CLASS = str.maketrans({c: "i" for c in ("l", *(chr(0xE000 + ord(c)) for c in "1!|"))} | {c: "g" for c in ("b", "q", "6", "9", *(chr(0xE000 + ord(c)) for c in "69"))})
 _WORD = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*\$*")
-_DISGUISED = re.compile(r"[013-578@$]")
+_JOINED = re.compile(rf"[@$!|]?[^\W_]+(?:[@$!|{INVISIBLE}]+[^\W_]+)*\$*")
+_CUT, _INVISIBLE = re.compile(f"[!|{INVISIBLE}]"), re.compile(f"[{INVISIBLE}]")
+_DISGUISED = re.compile(r"[013-9@$!|]")
 
 
-def fold(text: str | None) -> list[str]:
-    """The folded words of a text. A word is unmasked only if it has a letter besides its digits and signs."""
+def _unmasked(word: str) -> str:
+    return word.translate(_LEET) if _DISGUISED.search(word) and any(c.isalpha() for c in word) else word
+
+
+def read(text: str | None) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """The words of a text, with open signs, and its words as they are across ! | and invisible characters.
+
+    The latter come with the range of words that they take the place of; there are none if both are the same.
+    A word is unmasked only if it has a letter besides its digits and signs.
+    """
     if not text:
-        return []
+        return [], []
     text = text.lower()
     if not text.isascii() and _LOOKALIKE.search(text):
         text = text.translate(_FOLD)
-    words = _WORD.findall(text)
-    if _DISGUISED.search(text):
-        words = [w.translate(_LEET) if _DISGUISED.search(w) and any(c.isalpha() for c in w) else w for w in words]
-    return words
+    if not _CUT.search(text):
+        words = _WORD.findall(text)
+        return [_unmasked(w) for w in words] if _DISGUISED.search(text) else words, []
+    words: list[str] = []
+    joined, any_cut = [], False
+    for token in _JOINED.findall(text):
+        cut = _CUT.search(token) is not None
+        own = _WORD.findall(token) if cut else [token]
+        joined.append((_unmasked(_INVISIBLE.sub("", token)), len(words), len(words) + len(own)))
+        words += map(_unmasked, own)
+        any_cut |= cut
+    return words, joined if any_cut else []
+
+
+def fold(text: str | None) -> list[str]:
+    """The folded words of a text, each in its usual reading."""
+    return [w.translate(_USUAL) for w in read(text)[0]]
+
+
+def readings(word: str) -> list[str]:
+    signs = sum(c in _OPEN for c in word)
+    if not signs or signs > TAUGHT_SIGNS:
+        return [word.translate(_USUAL)]
+    return ["".join(r) for r in product(*(_OPEN.get(c, c) for c in word))]
 
 
 def features(words: list[str]) -> set[str]:
     """Candidates for the lexicon: whole words, and beginnings of words, both with a space in front."""
-    found = set(words)
+    found = {r for w in set(words) for r in readings(w)}
     return {f" {w} " for w in found if len(w) <= 24} | {f" {w[:k]}" for w in found for k in range(SHORTEST, LONGEST + 1) if len(w) > k}
 
 
+def _starts(words: list[str]) -> list[int]:
+    return list(accumulate((len(w) + 1 for w in words), initial=0))
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -63,32 +111,53 @@ class Lexicon:
     automaton: ahocorasick.Automaton | None = field(default=None, repr=False)
 
     def build(self) -> Lexicon:
+        entries: dict[str, list[tuple[str, float]]] = {}
+        for entry, weight in [*self.weights.items(), *((f" {p} ", 0.0) for p in self.exceptions)]:
+            entries.setdefault(entry.translate(_CLASS), []).append((entry, weight))
         self.automaton = ahocorasick.Automaton()
-        for entry, weight in self.weights.items():
-            self.automaton.add_word(entry, (len(entry), weight))
-        for phrase in self.exceptions:
-            self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, 0.0))
+        for key, own in entries.items():
+            self.automaton.add_word(key, own)
         self.automaton.make_automaton()
         return self
 
-    def matched(self, words: list[str]) -> list[float]:
-        """The largest weight at each word that an entry matches, without those inside exception phrases."""
-        if not words or not len(self.automaton):
-            return []
+    def _hits(self, words: list[str]) -> dict[int, float]:
+        """The largest weight at each place where an entry matches, without those inside exception phrases."""
+        text = f" {' '.join(words)} "
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton.iter(f" {' '.join(words)} "):
-            at = end - size + 1
-            if weight:
-                best[at] = max(best.get(at, 0.0), weight)
-            else:
-                spared.append((at, end))
-        return [w for at, w in best.items() if not any(a <= at < b for a, b in spared)]
+        for end, entries in self.automaton.iter(text.translate(_CLASS)):
+            for entry, weight in entries:
+                at = end - len(entry) + 1
+                here = text[at : end + 1]
+                if here != entry and not all(c == e or e in _OPEN.get(c, "") for c, e in zip(here, entry, strict=True)):
+                    continue
+                if weight:
+                    best[at] = max(best.get(at, 0.0), weight)
+                else:
+                    spared.append((at, end))
+        return {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+
+    def matched(self, words: list[str], joined: list[tuple[str, int, int]] = ()) -> list[float]:
+        """The largest weight at each word that an entry matches; a joined word counts where its parts match nothing."""
+        if not words or not len(self.automaton):
+            return []
+        own = self._hits(words)
+        found = list(own.values())
+        if joined:
+            places = _starts(words)
+            taken = {bisect_right(places, at) - 1 for at in own}
+            whole = [w for w, _, _ in joined]
+            places = _starts(whole)
+            for at, weight in self._hits(whole).items():
+                word, first, last = joined[bisect_right(places, at) - 1]
+                if words[first:last] != [word] and taken.isdisjoint(range(first, last)):
+                    found.append(weight)
+        return found
 
     def inputs(self, text: str | None) -> tuple[float, float, float]:
         """Whether anything matches, how much, and how much for the length."""
-        words = fold(text)
-        total = sum(self.matched(words))
+        words, joined = read(text)
+        total = sum(self.matched(words, joined))
         return float(total > 0), math.log1p(total), math.log1p(100 * total / max(20, len(words)))
 
     def score(self, text: str | None) -> float:
@@ -100,7 +169,8 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         toxic, other = Counter(), Counter()
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else other).update(features(fold(text.as_py())))
+            words, joined = read(text.as_py())
+            (toxic if label else other).update(features(words + [w for w, _, _ in joined]))
         names = list(toxic.keys() | other.keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([other[n] for n in names], pa.int64())], ["entry", "toxic", "other"])
 
