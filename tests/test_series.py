@@ -220,3 +220,20 @@ def test_detectors_can_be_added(candles):
 
     assert book.detect(candles).count() == candles.filter("close > open").count()
     assert book.detect(candles, least=0.95).count() == 0
+
+
+def test_rolling_folds_follow_each_series(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(s, "H1", start + dt.timedelta(hours=i), i) for s, n in (("a", 1050), ("b", 300), ("c", 299)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, i int")
+    for step in (100, 70, 400):
+        want = {(s, k, part, i) for s, n in (("a", 1050), ("b", 300), ("c", 299)) for k, a in enumerate(range(0, n - 299, step)) for part, x, y in (("train", a, a + 200), ("test", a + 200, a + 300)) for i in range(x, y)}
+        got = [(r["symbol"], r["fold"], r["part"], r["i"]) for r in splits.rolling_walk_forward(df, 200, 100, step).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["walk_forward_whole", "walk_forward_search_whole"])
+def test_later_folds_are_in_the_queries(spark, name):
+    from tidemark import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.max("fold")).first()[0] == 4

@@ -265,6 +265,11 @@ def walk_forward(spark, d):
     return splits.walk_forward(hourly(spark, d), splits.rolling_folds(600, 200, 100, most=4))
 
 
+@query("walk_forward_whole", C(f"SELECT symbol, ts, fold, CASE WHEN i < fold * 100 + 200 THEN 'train' ELSE 'test' END AS part FROM (SELECT symbol, ts, i, unnest(range(greatest(0, (n - 200) // 100)))::INT AS fold FROM (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM candles)) WHERE i >= fold * 100 AND i < fold * 100 + 300"), "symbol fold part", times="ts")
+def walk_forward_whole(spark, d):
+    return splits.rolling_walk_forward(hourly(spark, d), 200, 100)
+
+
 @query("k_folds", C(f"SELECT symbol, ts, ntile(5) OVER ({SERIES_SQL}) - 1 AS fold FROM candles"), "symbol fold", times="ts")
 def k_folds(spark, d):
     return splits.k_folds(hourly(spark, d), 5)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +61,15 @@ def permutation_importance(df: DataFrame, model: Column, target: str, features:
     return out.join(F.broadcast(base), "_one").select("feature", (F.col("error") - F.col("_base")).alias("importance"))  # one row
 
 
-def walk_forward_search(df: DataFrame, candidates: dict[str, Column], folds: Sequence[tuple[int, int, int, int, int]], keys=W.SERIES, order=("ts",)) -> DataFrame:
+def walk_forward_search(df: DataFrame, candidates: dict[str, Column], folds: Sequence[tuple[int, int, int, int, int]] | Callable[[DataFrame], DataFrame], keys=W.SERIES, order=("ts",)) -> DataFrame:
     """Per fold, the candidate with the largest mean score on its training rows, and the candidate's mean on its test rows.
 
+    `folds` are places of rows, or a function that deals rows to `fold` and `part`, such as by splits.rolling_walk_forward.
     `candidates` are a score for each row by name of parameters; ties go to the smaller name. All folds and candidates are one aggregation.
     """
     scored = df.withColumns({f"_c{k}": c for k, c in enumerate(candidates.values())})
-    rows = walk_forward(scored.select(*keys, *order, *[f"_c{k}" for k in range(len(candidates))]), folds, keys, order)
+    scored = scored.select(*keys, *order, *[f"_c{k}" for k in range(len(candidates))])
+    rows = folds(scored) if callable(folds) else walk_forward(scored, folds, keys, order)
     means = rows.groupBy("fold", "part").agg(*[F.avg(f"_c{k}").alias(f"_c{k}") for k in range(len(candidates))])
     long = means.select("fold", "part", F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(f"_c{k}").alias("score")) for k, n in enumerate(candidates)])).alias("_s")).select("fold", "part", "_s.*")
     train, test = (long.filter(F.col("part") == p).select("fold", "candidate", F.col("score").alias(f"{p}_score")) for p in ("train", "test"))

@@ -56,6 +56,17 @@ def walk_forward(df: DataFrame, folds: Sequence[tuple[int, int, int, int, int]],
     return _by_folds(numbered(df, keys, order), folds)
 
 
+def rolling_walk_forward(df: DataFrame, train: int, test: int, step: int | None = None, keys=W.SERIES, order=("ts",)) -> DataFrame:
+    """As walk_forward, with all whole folds of each series: windows of fixed size that move on by `step` up to its own last row."""
+    step, row, size = step or test, F.col("row"), train + test
+    first = F.greatest(F.lit(0), F.ceil((row - size + 1) / step)).cast("int")
+    last = F.least(F.floor(row / step), F.floor((F.col("rows") - size) / step)).cast("int")
+    rows = numbered(df, keys, order)
+    dealt = rows.withColumn("fold", F.explode(F.when(first <= last, F.sequence(first, last))))
+    part = F.when(row < F.col("fold") * step + train, "train").otherwise("test")
+    return dealt.withColumn("part", part).select(*[c for c in rows.columns if c not in ("row", "rows")], "fold", "part")
+
+
 def k_folds(df: DataFrame, k: int, keys=W.SERIES, order=("ts",), shuffle_by: str | None = None) -> DataFrame:
     """`fold` of each row: blocks in order of time, or, with a column to shuffle by, its hash."""
     if shuffle_by:
