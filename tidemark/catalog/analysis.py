@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import correlation, drift, graphs, labels, metrics, risk, vectors
@@ -202,13 +203,25 @@ def random_projection(spark, d):
     return vectors.random_projection(read(spark, d, "embeddings"), "embedding", 64, 4).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
 
 
-def _edges(spark, d):
-    """Which nations supplied others more than twice as much as is usual, as a graph of nations."""
+def _supplies(spark, d):
+    """Which nations supplied others, and how often, as a graph of nations."""
     s = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
     c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
     every = rows.join(o, "o_orderkey").join(s, "s_suppkey").join(c, "c_custkey").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return every.withColumn("kind", F.lit("SUPPLIES"))
+
+
+def _strongest(spark, d, k=3):
+    """The k destinations that each nation supplied most; with equal weights the smaller ones."""
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return _supplies(spark, d).withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def _edges(spark, d):
+    """Which nations supplied others more than twice as much as is usual; with many rows none does."""
+    every = _supplies(spark, d).drop("kind")
     mean = every.agg(F.avg("weight").alias("_mean")).withColumn("_one", F.lit(1))
     strong = every.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").filter(F.col("weight") > 2 * F.col("_mean"))  # one row
     return strong.select("src", "dst", "weight", F.lit("SUPPLIES").alias("kind"))
@@ -237,6 +250,31 @@ def graph_distances(spark, d):
     return graphs.distances(_edges(spark, d), read(spark, d, "nation").select(F.col("n_nationkey").alias("node")), 3)
 
 
+# The same on every edge; distances on each nation's strongest edges, as with every edge nearly all of them are one.
+_EVERY = _EDGES[: _EDGES.index(" QUALIFY")] + ")"
+_STRONGEST = _EDGES[: _EDGES.index(" QUALIFY")] + " QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, c_nationkey) <= 3)"
+
+
+@query("graph_neighbours_all", f"WITH {_EVERY} SELECT DISTINCT * FROM (SELECT src AS node, dst AS neighbour FROM edges UNION ALL SELECT dst, src FROM edges) WHERE node IN (1, 2)", "node neighbour")
+def graph_neighbours_all(spark, d):
+    return graphs.neighbours(_supplies(spark, d), spark.createDataFrame([(1,), (2,)], "node int"))
+
+
+@query("graph_subgraph_all", f"WITH {_EVERY} SELECT src, dst, weight FROM edges WHERE src < 10 AND dst < 10", "src dst weight")
+def graph_subgraph_all(spark, d):
+    return graphs.subgraph(_supplies(spark, d), read(spark, d, "nation").filter("n_nationkey < 10").select(F.col("n_nationkey").alias("node")))
+
+
+@query("graph_statistics_all", f"WITH {_EVERY} SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges, count(*) / (25.0 * 24) AS density, 2 * count(*) / 25.0 AS mean_degree FROM edges", "nodes edges", "density mean_degree")
+def graph_statistics_all(spark, d):
+    return graphs.statistics(_supplies(spark, d), read(spark, d, "nation").select(F.col("n_nationkey").alias("node")))
+
+
+@query("graph_distances_strongest", f"WITH RECURSIVE {_STRONGEST}, r AS (SELECT n_nationkey AS source, n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.source, e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE depth < 3) SELECT source, node, min(depth) AS depth FROM r GROUP BY source, node", "source node depth")
+def graph_distances_strongest(spark, d):
+    return graphs.distances(_strongest(spark, d), read(spark, d, "nation").select(F.col("n_nationkey").alias("node")), 3)
+
+
 _TREE = [("fx_major", "fx"), ("fx_minor", "fx"), ("fx", "currency"), ("currency", "asset"), ("metal", "commodity"), ("gold", "metal"), ("commodity", "asset"), ("asset", None)]
 _TREE_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', " + (f"'{b}'" if b else "NULL") + ")" for a, b in _TREE) + ") v(node, parent))"
 
