@@ -167,6 +167,29 @@ def test_disguised_spans_map_back(text, kind, covered):
     assert (kind, covered) in found
 
 
+@pytest.mark.parametrize(
+    ("text", "covered"),
+    [
+        ("john at acme.com", "john at acme.com"),
+        ("mail John.Doe at mail.acme.co.uk.", "John.Doe at mail.acme.co.uk"),
+        ("john at acme dot xyz", "john at acme dot xyz"),
+        ("ask mary at acme dot museum now", "mary at acme dot museum"),
+        ("us at Acme dot Com", "us at Acme dot Com"),
+        ("office at Acme.Com", "office at Acme.Com"),
+        ("jane (dot) doe@host.org", "jane (dot) doe@host.org"),
+        ("jane dot doe@host.org", "jane dot doe@host.org"),
+    ],
+)
+def test_more_disguised_emails(text, covered):
+    assert ("email", covered) in [(s[0], text[s[1] : s[2]]) for s in pii.find(text) if not s[3]]
+    assert [s[:3] for s in pii.find(text) if s[3]] == base(text)
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "the shop at example.com is open", "we stayed at home.Then it rained", "open until 9 at example.com", "costs 3 at 20.50", "was sold at example.com"])
+def test_addresses_of_sites_in_prose_are_no_personal_data(text):
+    assert pii.find(text) == []
+
+
 @pytest.mark.parametrize("text", ["meet me at noon dot", "look at this, one two three", "at home [at] the end", "costs 10 at 20"])
 def test_prose_is_no_personal_data(text):
     assert pii.find(text) == []

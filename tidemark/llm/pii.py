@@ -37,8 +37,15 @@ SPELLED = {
     for line in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
     for n, w in enumerate(line.split())
 } | {"oh": "0"}
-#: The ends of domains by which "name at host dot end" is told from prose.
+#: Ends of domains that are no words, so that "at host dot end" is an address whatever is before it.
 DOMAIN_ENDS = frozenset("com net org edu gov int mil info biz io ai app dev co uk us ca au de at ch fr be nl es it pt eu ru pl se no dk fi jp cn in br mx".split())
+#: Words before "at" that are prose and no names, and words before a name that make it prose ("the shop at host.com").
+PROSE = frozenset("""look looks looked looking see seen meet meets met meeting available found find live lives lived living work works worked working stay
+    stays stayed arrive arrives arrived start starts started begin begins began end ends ended buy registered hosted located based
+    published posted listed read visit us me you him her it them we i he she they is are was were be been am not now here there again online everyone all
+    and or but that this these those what who where when while more most less best only just even still home price
+    prices open closed held stop stopped sit sits sat sitting stand stands stood eat ate call called noon night midnight aimed laugh laughed shout""".split())
+BEFORE_PROSE = frozenset("a an the our my your his its their this that these those some any every each new is are was were be been being".split())
 
 _LOOKALIKE = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "]")
 _DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
@@ -47,9 +54,12 @@ _SPELLED_WORD = re.compile(rf"plus|{_DIGIT}", re.I)
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
 _BRACKETED = re.compile(rf"\x20{{0,2}}{_OPEN}(?:(at|@)|(dot|punkt|point|punto|\.)){_CLOSE}\x20{{0,2}}", re.I)
 _NAMED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+){0,4}(\x20at\x20|@)[A-Za-z0-9-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]+){1,6}", re.I)
+_DOMAIN_END = re.compile(r"[a-z]{2,24}|xn--[a-z0-9-]+", re.I)
+_NEW_SENTENCE = re.compile(r"[a-z0-9-]+\.[A-Z][a-z]+")
+_WORD_BEFORE = re.compile(r"([A-Za-z]+)\x20$")
 _DOT = re.compile(r"\x20dot\x20", re.I)
 _DOTTED_DIGITS = re.compile(r"(?<=[0-9])\x20(?:dot|point|punkt|punto)\x20(?=[0-9])", re.I)
-_TRIGGER = re.compile(rf"[\[({{<]\x20?(?:at|@|dot|punkt|point|punto|\.)\x20?[\])}}>]|\x20(?:dot|point|punkt|punto)\x20|{_LOOKALIKE.pattern}", re.I)
+_TRIGGER = re.compile(rf"[\[({{<]\x20?(?:at|@|dot|punkt|point|punto|\.)\x20?[\])}}>]|\x20(?:dot|point|punkt|punto)\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]|{_LOOKALIKE.pattern}", re.I)
 
 Span = tuple[int, int]
 
@@ -144,6 +154,18 @@ class Rewritten:
         return k >= 0 and self.pieces[k][0] + max(1, self.sizes[k]) > start
 
 
+def _is_prose(text: str, m: re.Match) -> bool:
+    """Whether "name at host.end" is prose by its words: no end of a domain, a short number, or a word that is no name there."""
+    name, host = text[m.start() : m.start(1)], text[m.end(1) : m.end()]
+    end = re.split(r"[.\x20]", host)[-1]
+    if _DOT.search(host) and end.lower() in DOMAIN_ENDS:
+        return False
+    if not _DOMAIN_END.fullmatch(end) or _NEW_SENTENCE.fullmatch(host) or (name.isdigit() and len(name) <= 4) or name.lower() in PROSE:
+        return True
+    before = _WORD_BEFORE.search(text, max(0, m.start() - 24), m.start())
+    return before is not None and name.isalpha() and before[1].lower() in BEFORE_PROSE
+
+
 def rewrite(text: str) -> Rewritten:
     """All transducers, one after another."""
     r = Rewritten(text)
@@ -154,9 +176,7 @@ def rewrite(text: str) -> Rewritten:
     edits = []
     for m in _NAMED.finditer(r.text):
         dots = [d for d in _DOT.finditer(r.text, m.start(), m.end())]
-        if m[1] == "@" and not dots or m[1] != "@" and not any(d.start() >= m.end(1) for d in dots):
-            continue  # nothing disguised, or "at" without a spelled dot after it: prose
-        if m[1] != "@" and m[0].rpartition(" ")[2].rpartition(".")[2].lower() not in DOMAIN_ENDS:
+        if m[1] == "@" and not dots or m[1] != "@" and _is_prose(r.text, m):
             continue
         edits += sorted([(d.start(), d.end(), ".") for d in dots] + ([(m.start(1), m.end(1), "@")] if m[1] != "@" else []))
     return r.apply(edits)
@@ -175,7 +195,7 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
                 for a, b in own:
                     if r.touched(a, b):
                         start, end = r.source(a, False), r.source(b, True)
-                        if not any(s < end and start < e for s, e in base.get(kind, [])):
+                        if not any(s <= start and end <= e for s, e in base.get(kind, [])):
                             spans.append((kind, start, end, False))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -188,7 +208,7 @@ def spans(text: Column) -> Column:
     """The identifiers of each whole text, as an array of (kind, start, end, plain): code points, end exclusive.
 
     Null and empty texts have none. `plain` ones are those of the text as it is; the others were disguised,
-    and overlap no plain one of their kind.
+    and each covers something that no plain one of its kind does, which it may overlap.
     """
 
     @F.arrow_udf(SPANS)
