@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, lines, packing, toxicity
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import row_key, same, stored, table
 
 TOXIC_FROM = 0.7
 
@@ -36,19 +36,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with equal ids and texts are one document.
     """
-    found = stored(jaccard.near_duplicates(docs), "near-duplicates")
-    kept = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = stored(jaccard.near_duplicates(docs, with_row=True).withColumnRenamed("row", "_row"), "near-duplicates")
+    keyed, both = docs.withColumn("_row", row_key(F.col("text"))), ["doc_id", "_row"]  # rows with a null id are all kept, and match nothing here
+    kept = keyed.join(found.filter(~F.col("kept")).select(both).distinct(), both, "left_anti")
+    repeated = found.groupBy(both).count().filter("count > 1").select(both)
     if not repeated.limit(1).count():
         return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    once = kept.join(repeated, both, "left_anti")
+    return once.unionByName(kept.join(repeated, both, "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), with_row=True)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_hit")).distinct()
+    return docs.join(hit, same(F.col("doc_id"), F.col("_id")) & (row_key(F.col("text")) == F.col("_hit")), "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

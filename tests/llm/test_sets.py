@@ -327,3 +327,25 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
 def test_kept_texts_are_hashed(spark):
     r = queries.op10_line_dedup(spark, DATA).orderBy("doc_id").first()
     assert len(r["kept_sha256"]) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_different_texts_with_one_id_are_judged_apart(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (0, b + " other")]
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (5, 1, 1, False), (6, 2, 0, False)]
+    vectors = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (5, [1.0, 0.1, 0.0]), (0, [0.0, 1.0, 0.1])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 0, False), (1, 1, 1, True), (5, 1, 1, False)]
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="without the pipeline")
+def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    import corpus_pipeline as p
+
+    a, b, item = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, [(1, a), (1, b), (0, b + " more"), (1, a)])
+    assert sorted(map(tuple, p.drop_near_duplicates(spark, docs, str(tmp_path)).collect())) == [(0, b + " more"), (1, a)]
+    docs = frame(spark, [(1, a), (1, item), (None, item), (None, a)])
+    assert sorted(map(tuple, p.drop_contaminated(spark, docs, str(tmp_path)).collect()), key=repr) == [(1, a), (None, a)]

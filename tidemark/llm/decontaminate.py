@@ -105,12 +105,12 @@ def matches(indexed: DataFrame, chosen: DataFrame, proximity: float | None = Non
     return found.filter(F.col("kind").isNotNull()).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, with_row: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, n_items, items (array of strings, sorted) and contaminated.
 
     Null and empty texts have no words and are clean; so is everything if the benchmark is empty. Rows of
     `docs` that share id and text are judged alike, each with a row of its own; a null id is an id like
-    others. Items that share a window all count. Null item ids count as no item, but their words are hit.
+    others; `with_row` adds `row`, the row_key of the text. Items that share a window all count. Null item ids count as no item, but their words are hit.
     """
     wins = stored(windows(benchmark, item_col, item_text_col, size), "windows")
     chosen = stored(anchors(docs, wins, text_col), "anchors")
@@ -133,4 +133,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.col("_row").alias("row")] if with_row else []),
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .common import stored
-from .graph import components
+from .graph import components, least_ids
 
 #: Rows of a chunk of a bucket.
 CHUNK = 512
@@ -159,8 +159,7 @@ def _one_dimension(classes: DataFrame, dim: int, rows: int, threshold: float, re
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.999) -> DataFrame:
     """Per row of `df`: vec_id, n_links (other rows with a cosine of `threshold` or more), component_id and kept.
 
-    Equal vectors are one class, whose pairs are counted and never listed; classes are compared by the
-    smallest id. `recall` is the expected share of links that are found at the threshold itself. Null, empty
+    Equal vectors are one class, keyed by its hashes, whose pairs are counted and never listed. `recall` is the expected share of links that are found at the threshold itself. Null, empty
     and zero vectors, those with null or non-finite components and rows with a null id link with nothing
     and are kept; vectors are compared with those of as many components. Repeated ids are rows of their
     own. An empty table gives an empty one.
@@ -170,8 +169,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     ok = F.coalesce(F.col(id_col).isNotNull() & (F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.when(ok, vec).alias("_vec"))
     rows = rows.withColumns({"_h1": F.when(F.col("_vec").isNotNull(), F.xxhash64("_vec")), "_h2": F.when(F.col("_vec").isNotNull(), F.xxhash64(F.lit("vector"), "_vec"))})
-    found = rows.filter(F.col("_vec").isNotNull()).groupBy("_h1", "_h2").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.any_value("_vec").alias("_vec"))
-    classes = stored(found, "classes")
+    found = rows.filter(F.col("_vec").isNotNull()).groupBy("_h1", "_h2").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_size"), F.any_value("_vec").alias("_vec"))
+    classes = stored(found.withColumn("_rep", F.xxhash64("_h1", "_h2")), "classes")
     links = None
     for dim, n in sorted(map(tuple, classes.groupBy(F.size("_vec")).count().collect())):
         own = _one_dimension(classes.filter(F.size("_vec") == dim), dim, n, threshold, recall)
@@ -180,9 +179,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         return rows.select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     links = stored(links, "links")
     counts = links.filter(F.col("b").isNull()).groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))
-    reach = components(links.filter(F.col("b").isNotNull())).withColumnRenamed("node", "_rep")
-    info = classes.select("_h1", "_h2", "_rep", "_size").join(counts, "_rep", "left").join(reach, "_rep", "left")
-    info = info.select("_h1", "_h2", (F.col("_size") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), F.coalesce("component", "_rep").alias("_component"))
+    reach = least_ids(components(links.filter(F.col("b").isNotNull())), classes, SALTS)
+    info = classes.select("_h1", "_h2", "_rep", "_least", "_size").join(counts, "_rep", "left").join(reach, "_rep", "left")
+    info = info.select("_h1", "_h2", (F.col("_size") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), F.coalesce("component", "_least").alias("_component"))
     salted = info.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_h1", "_h2", "_salt"], "left")
     component = F.coalesce("_component", "_id")

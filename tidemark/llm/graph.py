@@ -12,6 +12,18 @@ def _min_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("_m"))
 
 
+def least_ids(reach: DataFrame, classes: DataFrame, salts: int) -> DataFrame:
+    """(_rep, component): for each class of `reach` (node, component), the smallest _least of the classes in its component.
+
+    Classes have a _rep of their own each, and _least, their smallest id, which several may have in common.
+    `salts` copies of each component's row meet its classes, as one component may hold many.
+    """
+    named = stored(reach.withColumnRenamed("node", "_rep").join(classes.select("_rep", "_least"), "_rep"), "components")
+    least = named.groupBy("component").agg(F.min("_least").alias("_component")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = named.withColumn("_salt", F.pmod(F.xxhash64("_rep"), F.lit(salts)).cast("int"))
+    return salted.join(least, ["component", "_salt"]).select("_rep", F.col("_component").alias("component"))
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach. Nodes without edges have no row.
 

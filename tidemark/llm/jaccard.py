@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .common import row_key, stored
-from .graph import components
+from .graph import components, least_ids
 
 TREES, DEPTH = 16, 8
 #: Rows, and shingles, of a chunk of a bucket.
@@ -194,21 +194,22 @@ def _verified(threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.998, with_row: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, class_id, n_links, component_id and kept.
 
-    Texts with equal shingle sets are a class, named by its smallest id. n_links counts the other rows whose
+    Texts with equal shingle sets are a class, keyed by its hashes and named by its smallest id. n_links counts the other rows whose
     Jaccard similarity on word shingles of `size` is `threshold` or more, those of the same class included.
     component_id is the smallest id reachable by links; a row is kept if that is its own. Texts without a
     word (null and empty ones among them) and rows with a null id link with nothing and are kept. Repeated
-    ids are rows of their own. An empty table gives an empty one. Other columns of `docs` do not matter.
+    ids are rows of their own, also if their texts differ; `with_row` adds `row`, the row_key of the text,
+    by which they are told apart. An empty table gives an empty one. Other columns of `docs` do not matter.
     """
     length = prefix_length(threshold, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
     signed = stored(rows.mapInArrow(_signed(size, length), "_id long, _row long, _n long, _h1 long, _h2 long, _keys array<long>"), "signatures")
     linked = (F.col("_n") > 0) & F.col("_id").isNotNull()
     found = signed.filter(linked).groupBy("_h1", "_h2", "_n").agg(F.min(F.struct("_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_size"), F.any_value("_keys").alias("_keys"))
-    classes = stored(found.select("_h1", "_h2", "_n", F.col("_first._id").alias("_rep"), F.col("_first._row").alias("_row"), "_size", "_keys"), "classes")
+    classes = stored(found.select("_h1", "_h2", "_n", F.xxhash64("_h1", "_h2", "_n").alias("_rep"), F.col("_first._id").alias("_least"), F.col("_first._row").alias("_row"), "_size", "_keys"), "classes")
 
     places = classes.select("_rep", F.posexplode("_keys").alias("_tree", "_key"))
     met = places.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > 1).select("_key")
@@ -221,18 +222,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = F.greatest(F.ceil(F.col("_in") / CHUNK_ROWS), F.ceil(F.col("_weight") / CHUNK_SHINGLES))
     members = stored(blocks.in_blocks(near.select("_key", "_tree", "_rep").join(buckets, "_key"), ["_key"], "_rep", chunks).drop("_weight", "_in"), "members")
 
-    wanted = classes.join(members.select("_rep").distinct(), "_rep").select("_rep", F.col("_row").alias("_want"))
-    texts = rows.join(wanted, (F.col("_id") == F.col("_rep")) & (F.col("_row") == F.col("_want"))).select("_rep", "_text").dropDuplicates(["_rep"])
+    wanted = classes.join(members.select("_rep").distinct(), "_rep").select("_rep", "_least", F.col("_row").alias("_want"))
+    texts = rows.join(wanted, (F.col("_id") == F.col("_least")) & (F.col("_row") == F.col("_want"))).select("_rep", "_text").dropDuplicates(["_rep"])
     sets = stored(texts.mapInArrow(_shingled(size), "_rep long, _set array<long>"), "sets")
     full = members.join(sets, "_rep").join(classes.select("_rep", "_size", "_keys"), "_rep")
     links = stored(blocks.by_block(full, ["_key"], "_rep").mapInArrow(_verified(threshold), blocks.LINKS), "links")
 
     counts = links.filter(F.col("b").isNull()).groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
-    reach = components(links.filter(F.col("b").isNotNull())).withColumnRenamed("node", "_rep")
-    info = classes.select("_h1", "_h2", "_n", "_rep", "_size").join(counts, "_rep", "left").join(reach, "_rep", "left")
-    info = info.select("_h1", "_h2", "_n", "_rep", (F.col("_size") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"), F.coalesce("component", "_rep").alias("_component"))
+    reach = least_ids(components(links.filter(F.col("b").isNotNull())), classes, SALTS)
+    info = classes.select("_h1", "_h2", "_n", "_rep", "_least", "_size").join(counts, "_rep", "left").join(reach, "_rep", "left")
+    info = info.select("_h1", "_h2", "_n", "_least", (F.col("_size") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"), F.coalesce("component", "_least").alias("_component"))
     salted = info.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = signed.select("_id", F.when(linked, F.col("_h1")).alias("_h1"), "_h2", "_n", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    own = signed.select("_id", "_row", F.when(linked, F.col("_h1")).alias("_h1"), "_h2", "_n", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt"))
     out = own.join(salted, ["_h1", "_h2", "_n", "_salt"], "left")
     component = F.coalesce("_component", "_id")
-    return out.select(F.col("_id").alias("doc_id"), F.coalesce("_rep", "_id").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("_id").alias("doc_id"), F.coalesce("_least", "_id").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"), *([F.col("_row").alias("row")] if with_row else []))
