@@ -1,5 +1,6 @@
 """Toxicity, language, personal data, token counts and packing."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -208,11 +209,40 @@ def test_token_counts_are_the_library_s(spark):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     odd = ["", None, "Hello, WORLD's don't 12345", "naïve ÇA Σίσυφος ΟΔΟΣ", "日本語 text 中文", "a<|endoftext|>b <|startoftext|>", "<|endoftext|", "é é é ﬁ", "  x\ty\n\r z", "½ ² ٣ 4", "🙂🙃 ok", "x" * 5000, "İstanbul ǅ", "\x00\x1f​", "don’t ''s 's'S 'RE"]
     docs = frame(spark, odd + texts_of(spark))
-    counted = docs.withColumn("n", tokens.token_counts(spark, F.col("text"), public_tokenizers.path("word_bpe_49k.json")))
+    counted = docs.withColumn("n", tokens.token_counts(docs, "text", public_tokenizers.path("word_bpe_49k.json")))
     for r in counted.collect():
         assert r["n"] == len(lib.encode(r["text"] or "", add_special_tokens=False).ids), r["text"]
 
 
+def test_every_assigned_code_point_is_split_as_the_library_does():
+    lib = tokens.Splitter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()).library
+    for c in map(chr, range(1, 0x110000)):
+        if "\ud800" <= c <= "\udfff" or tokens.unassigned().search(c):
+            continue
+        text = f"a{c}b {c}1"
+        assert tokens.pre_tokens(text) == [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))], hex(ord(c))
+
+
+def test_counts_of_code_points_that_python_does_not_know(spark):
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    new = [c for c in map(chr, range(1, 0x30000)) if tokens.unassigned().search(c)]
+    texts = [f"a{c}b {c}1" for c in ["\ua7cb", "\ua7dc", *rng.sample(new, 3000)]]
+    texts += ["".join(rng.choice(["a", "Σ", " ", "1", "\u0301", "<|endoftext|>", rng.choice(new), chr(rng.randrange(0x20, 0x3000))]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    docs = frame(spark, texts).withColumn("n_tokens", F.lit("clash")).withColumn("word", F.lit("clash"))
+    counted = docs.select("text", tokens.token_counts(docs, "text", public_tokenizers.path("word_bpe_49k.json")).alias("n")).collect()
+    assert [r["n"] for r in counted] == [len(e.ids) for e in lib.encode_batch([r["text"] for r in counted], add_special_tokens=False)]
+
+
+def test_the_table_of_frequent_words_is_bounded_and_of_an_empty_table_empty(spark):
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    words, lengths = tokens.frequent_lengths(frame(spark, ["b a a", "a b c", None, ""]), "text", spec, entries=2)
+    assert words == "a\nb" and lengths.tolist() == [1, 1]
+    empty = frame(spark, ["x"]).filter("false")
+    assert len(tokens.frequent_lengths(empty, "text", spec)[1]) == 0
+    assert empty.select(tokens.token_counts(empty, "text", public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
 # Packing
 
 

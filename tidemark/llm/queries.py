@@ -44,7 +44,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.withColumn("n_tokens", tokens.token_counts(spark, F.col("text"), public_tokenizers.path("word_bpe_49k.json")))
+    counted = docs.withColumn("n_tokens", tokens.token_counts(docs, "text", public_tokenizers.path("word_bpe_49k.json")))
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
