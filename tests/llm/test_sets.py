@@ -269,8 +269,10 @@ def test_lines(spark):
     rng = random.Random(7)
     pool = [f"Line number {k} of the pool with some more words é" for k in range(6)] + ["short", "", "  " + "padded line that is long enough to count here\t", "x" * 40, "X" * 40, "y" * 39]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(6)))) for k in range(40)] + [(50, None), (51, ""), (52, "\n\n"), (53, pool[0] + "\r\n" + pool[0])]
-    got = lines.dedup_lines(frame(spark, rows).withColumns({"_line": F.lit(1), "n_lines": F.lit("old")}).repartition(4))
-    assert got.columns == ["doc_id", "text", "_line", "n_lines", "n_dropped"]
+    clashing = ["_line", "_row", "_text", "_did", "_drop", "_id", "_key", "_lines", "_salt"]
+    got = lines.dedup_lines(frame(spark, rows).withColumns({c: F.lit(c) for c in clashing} | {"n_lines": F.lit("old")}).repartition(4))
+    assert got.columns == ["doc_id", "text", *clashing, "n_lines", "n_dropped"]
+    assert [tuple(r) for r in got.select(clashing).distinct().collect()] == [tuple(clashing)]
     assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute_lines(rows)
 
 

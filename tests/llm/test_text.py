@@ -1,7 +1,9 @@
 """Toxicity, language, personal data, token counts and packing."""
 
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -78,9 +80,89 @@ def test_a_learned_word_scores_high(spark):
     assert high > 0.7 > low
 
 
+def naive_hits(text, weights, exceptions):
+    """Weights by place, with a loop over all entries and places; the text has no open signs."""
+    text = f" {' '.join(toxicity.fold(text))} "
+    spared = [(k, k + len(e) + 1) for e in exceptions for k in range(len(text)) if text.startswith(f" {e} ", k)]
+    best = {}
+    for entry, weight in weights.items():
+        for k in range(len(text)):
+            if text.startswith(entry, k) and not any(a <= k < b for a, b in spared):
+                best[k] = max(best.get(k, 0), weight)
+    return best
+
+
+def test_scores_are_those_of_a_plain_scan(spark):
+    rng = random.Random(8)
+    words = ["trash", "trashy", "can", "moron", "the", "m0ron", "dull", "dullard", "bin", "a"]
+    weights, exceptions = {" trash": 2.0, " trash ": 2.5, " moron ": 3.0, " dull": 1.0, " dullard ": 4.0}, ("trash can", "can trash", "the dull bin", "moron moron")
+    lex = toxicity.Lexicon(weights, exceptions, (-2.0, 1.0, 0.5, 0.25)).build()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(300)] + ["", None]
+    docs = frame(spark, texts)
+    got = [r[0] for r in docs.orderBy("doc_id").select(toxicity.score(docs, lex, F.col("text"))).collect()]
+    for text, score in zip(texts, got, strict=True):
+        total = sum(naive_hits(text, weights, exceptions).values())
+        n = len(toxicity.fold(text))
+        z = -2.0 + (total > 0) + 0.5 * math.log1p(total) + 0.25 * math.log1p(100 * total / max(20, n))
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def test_exceptions_are_learned_from_pairs_of_other_rows(spark):
+    texts = ["you grobnik go away"] * 40 + ["the grobnik valley is a fine place"] * 6 + ["a calm text about things"] * 300
+    docs = frame(spark, texts).withColumns({c: F.lit("clash") for c in ("_id", "_label", "_did", "_text", "toxic", "other", "entry", "odds")})
+    labels = docs.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic"), F.lit(1).alias("_id"), F.lit("clash").alias("text"))
+    lex = toxicity.fit(docs, labels)
+    assert {"the grobnik", "grobnik valley"} <= set(lex.exceptions) and "you grobnik" not in lex.exceptions
+    score = lex.build().score
+    assert score("that grobnik again") > 0.5 > 0.1 > score("near the grobnik valley")
+
+
+def seconds(call):
+    start = time.perf_counter()
+    call()
+    return time.perf_counter() - start
+
+
+def test_scans_take_linear_time():
+    lex = toxicity.Lexicon({" trash": 2.0, " moron": 2.0}).build()
+    for call, text in ((lex.score, "moron trash can "), (pii.find, "a@b.co x [at] y.com \n")):
+        call(text * 10)
+        short, long = min(seconds(lambda: call(text * 4_000)) for _ in range(3)), min(seconds(lambda: call(text * 16_000)) for _ in range(3))
+        assert long < 8 * short
+
+
 # Language
 
 
+def naive_likelihood(word, pieces, n):
+    """The sum over all segmentations, listed one by one."""
+    text = language.START + word
+
+    def cut(rest):
+        if not rest:
+            yield (1.0,) * n
+        for j in range(1, min(len(rest), language.LONGEST_PIECE) + 1):
+            p = pieces.get(rest[:j]) or ((language.UNKNOWN,) * n if j == 1 else None)
+            if p:
+                for tail in cut(rest[j:]):
+                    yield tuple(a * b for a, b in zip(p, tail, strict=True))
+
+    return [math.fsum(x) for x in zip(*cut(text), strict=True)]
+
+
+def test_predictions_are_those_of_listed_segmentations(spark):
+    rng = random.Random(9)
+    pieces = {p: (rng.random() / 10, rng.random() / 10) for p in ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "▁b", "ca", "cab"]}
+    model = language.Model(["x", "y"], [0.3, 0.7], pieces)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 6))) for _ in range(200)]
+    docs = frame(spark, texts).withColumns({"lang": F.lit("clash"), "score": F.lit("clash")})
+    got = [r[0] for r in docs.orderBy("doc_id").select(language.predict(docs, model, F.col("text"))).collect()]
+    for text, (lang, score) in zip(texts, got, strict=True):
+        total = [math.log(q) + sum(math.log(naive_likelihood(w, pieces, 2)[k]) for w in text.split()) for k, q in enumerate(model.prior)]
+        best = max(range(2), key=lambda k: total[k])
+        assert lang == model.langs[best] and abs(score - 1 / (1 + math.exp(min(total) - max(total)))) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return language.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))

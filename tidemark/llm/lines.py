@@ -28,17 +28,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key is the line without white space at its ends and with A-Z lower-cased; keys of fewer than
     `min_chars` code points never count. Returns the rows of `docs` with `text_col` replaced by the kept
     lines joined by a newline, plus n_lines (before dropping) and n_dropped; input columns of these names
-    are replaced. Null and empty texts are one empty line and come back as an empty text. Rows that share
+    are replaced, and others may have any names. Null and empty texts are one empty line and come back as an empty text. Rows that share
     an id are one document when documents are counted, a null id being one id of its own, which is
     smaller than all others; each row loses lines of its own text only. An empty table gives an empty one.
     """
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", row_key(F.col("_text")))
     lines = (
-        docs.select(F.col(id_col).alias("_id"), row_key(F.col(text_col)).alias("_row"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"))
-        .select("_id", "_row", "_pos", F.btrim("_line", F.lit(STRIPPED)).alias("_line"))
+        rows.select("_id", "_key", F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line"))
+        .select("_id", "_key", "_pos", F.btrim("_line", F.lit(STRIPPED)).alias("_line"))
         .filter(F.char_length("_line") >= min_chars)
     )
-    key = ascii_lower(F.col("_line"))
-    keyed = stored(lines.select("_id", "_row", "_pos", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit("line"), key).alias("_h2")), "lines")
+    line = ascii_lower(F.col("_line"))
+    keyed = stored(lines.select("_id", "_key", "_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit("line"), line).alias("_h2")), "lines")
     frequent = (
         keyed.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
         .groupBy("_h1", "_h2").agg(F.count("_one").alias("_docs"), F.max("_id").alias("_last"))
@@ -47,19 +48,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A line may be in a third of all documents: its places meet SALTS copies of its row instead of one.
     salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dropped = (
-        keyed.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_h1", "_h2", "_salt"]).filter(~same(F.col("_id"), F.col("_last")))
-        .groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
-        .withColumnsRenamed({"_id": "_did", "_row": "_drow"})
+        keyed.withColumn("_salt", F.pmod(F.col("_key"), F.lit(SALTS)).cast("int")).join(salted, ["_h1", "_h2", "_salt"]).filter(~same(F.col("_id"), F.col("_last")))
+        .groupBy("_id", "_key").agg(F.collect_set("_pos").alias("_drop"))
+        .withColumnsRenamed({"_id": "_did", "_key": "_dkey"})
     )
-    here = docs.drop("n_lines", "n_dropped").withColumn("_row", row_key(F.col(text_col)))
-    joined = here.join(dropped, same(F.col(id_col), F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
-    split = joined.withColumns(
-        {
-            "_lines": _lines(F.col(text_col)),
-            "n_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
-        }
-    ).withColumn("n_lines", F.size("_lines").cast("long"))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    joined = rows.join(dropped, same(F.col("_id"), F.col("_did")) & (F.col("_key") == F.col("_dkey")), "left")
+    split = joined.withColumns({"_lines": _lines(F.col("_text")), "_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")})
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    text = F.when(F.col("_drop").isNull(), F.coalesce(F.col("_text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return split.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in names], "n_lines", "n_dropped")
+    return split.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in names], F.size("_lines").cast("long").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
