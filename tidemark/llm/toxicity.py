@@ -1,9 +1,11 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs inside words to the
-letters they stand for. A sign that may stand for several letters keeps all of its readings, and a word
-that signs or invisible characters cut is read in its parts and as a whole. The lexicon's entries are words and beginnings of words, weighted by the log odds
-of their document frequencies in toxic and other rows. Entries inside an exception phrase do not count.
+letters they stand for. A sign that may stand for several letters keeps all of its readings, and a word that signs
+or invisible characters cut is read in its parts and as a whole. The lexicon's entries are words and
+beginnings of words, weighted by the log odds of their document frequencies in toxic and other rows. Entries
+inside an exception phrase do not count; those phrases are pairs of words with an entry that are found
+mostly in other rows, and a few given ones.
 The weights of a text's matches, as a sum and for its length, give the score by a logistic function.
 """
 
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, stored
 from .pii import INVISIBLE
 
 #: Characters that look like Latin letters, with those letters (Cyrillic, Greek, full-width).
@@ -34,7 +37,7 @@ SUBSTITUTES = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@":
 READINGS = {"1": "il", "!": "il", "|": "il", "6": "gb6", "9": "gq9"}
 #: Words with more of them teach their usual reading only; matching is not limited.
 TAUGHT_SIGNS = 4
-#: Phrases in which an entry of the lexicon is harmless.
+#: Given phrases in which an entry of the lexicon is harmless, beside those that are learned.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "class clown", "clown fish")
 SHORTEST, LONGEST = 4, 6  # beginnings of words that are candidates
 MOST_WEIGHT = 6.0
@@ -122,9 +125,11 @@ class Lexicon:
 
     def _hits(self, words: list[str]) -> dict[int, float]:
         """The largest weight at each place where an entry matches, without those inside exception phrases."""
+        if not words or not len(self.automaton):
+            return {}
         text = f" {' '.join(words)} "
         best: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: list[tuple[int, int]] = []  # by their ends, which rise
         for end, entries in self.automaton.iter(text.translate(_CLASS)):
             for entry, weight in entries:
                 at = end - len(entry) + 1
@@ -135,12 +140,14 @@ class Lexicon:
                     best[at] = max(best.get(at, 0.0), weight)
                 else:
                     spared.append((at, end))
-        return {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+        if not spared:
+            return best
+        # A place is spared if the phrases that end beyond it include one that starts at it or before.
+        ends, starts = [b for _, b in spared], list(accumulate((a for a, _ in reversed(spared)), min))[::-1]
+        return {at: w for at, w in best.items() if (k := bisect_right(ends, at)) == len(ends) or starts[k] > at}
 
     def matched(self, words: list[str], joined: list[tuple[str, int, int]] = ()) -> list[float]:
         """The largest weight at each word that an entry matches; a joined word counts where its parts match nothing."""
-        if not words or not len(self.automaton):
-            return []
         own = self._hits(words)
         found = list(own.values())
         if joined:
@@ -175,6 +182,25 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([other[n] for n in names], pa.int64())], ["entry", "toxic", "other"])
 
 
+def _pair_counts(weights: dict[str, float]):
+    """Pairs of neighbouring words, in their usual readings, one of which an entry matches: rows with them, by label."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(weights, ()).build()
+        for batch in batches:
+            counts = Counter(), Counter()
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = read(text.as_py())[0]
+                places = _starts(words)
+                hit = {bisect_right(places, at) - 1 for at in own._hits(words)}
+                pairs = {(i, i + 1) for i in hit if i + 1 < len(words)} | {(i - 1, i) for i in hit if i}
+                counts[0 if label else 1].update({" ".join(words[k].translate(_USUAL) for k in p) for p in pairs})
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in counts)], ["entry", "toxic", "other"])
+
+    return count
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     """Newton's method with a small ridge; the first coefficient is the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -188,26 +214,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50)
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 30_000, least_docs: int = 12, least_odds: float = 3.0, entries: int = 5_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon and its logistic function from labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 30_000, least_docs: int = 12, least_odds: float = 3.0, entries: int = 5_000, least_spared: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon, its exception phrases and its logistic function from labelled rows.
 
-    About `max_rows` labels, which a hash of the id chooses from all, are broadcast and meet their texts
-    in one pass; so texts are not shuffled. Entries are found in `least_docs` toxic rows at least and have
-    log odds of `least_odds` at least; the `entries` with the largest are kept. Null labels teach nothing;
-    without toxic rows the lexicon is empty and every score is that of a clean text.
+    About `max_rows` labels, which a hash of the id chooses from all, are broadcast and meet their texts in
+    one pass, so texts are not shuffled; those rows are written, as they are read three times. Entries are
+    found in `least_docs` toxic rows at least and have log odds of `least_odds` at least; the `entries` with
+    the largest are kept. A pair of words with an entry is an exception if at least `least_spared` other rows
+    hold it, and relatively more of them than of the toxic rows. Null labels and ids teach nothing; a text
+    counts once for each label of its id, and rows that share an id all count. Ties of entries go by name.
+    Without toxic rows, with empty tables too, the lexicon is empty and every score is that of a clean text.
+    Other columns may have any names.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0))).first()
     if not total or not toxic:
         return Lexicon({}, exceptions)
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("_id")), F.lit(1_000_000)) < min(1.0, max_rows / total) * 1_000_000)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col), "_label")
-    counts = rows.mapInArrow(_feature_counts, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    n, n_toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0))).first()
-    n_other = n - n_toxic
-    odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / F.lit(n_other + 1.0))
-    found = counts.filter(F.col("toxic") >= least_docs).select("entry", odds.alias("odds")).filter(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "entry").limit(entries).collect()
-    lexicon = Lexicon({e: min(MOST_WEIGHT, o) for e, o in found}, exceptions)
+    texts = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_text"))
+    rows = stored(texts.join(F.broadcast(chosen), F.col("_did") == F.col("_id")).select("_text", "_label"), "labelled")
+    n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / F.lit(n - n_toxic + 1.0))
+
+    def by_label(count) -> DataFrame:
+        counts = rows.mapInArrow(count, "entry string, toxic long, other long")
+        return counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).withColumn("odds", odds)
+
+    best = by_label(_feature_counts).filter((F.col("toxic") >= least_docs) & (F.col("odds") >= least_odds))
+    weights = {e: min(MOST_WEIGHT, o) for e, o in best.orderBy(F.desc("odds"), "entry").limit(entries).select("entry", "odds").collect()}
+    harmless = by_label(_pair_counts(weights)).filter((F.col("other") >= least_spared) & (F.col("odds") < 0))
+    learned = [e for (e,) in harmless.orderBy("odds", "entry").limit(entries).select("entry").collect()]
+    lexicon = Lexicon(weights, tuple(dict.fromkeys([*exceptions, *learned])))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(lexicon.weights, lexicon.exceptions).build()
@@ -217,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*inputs, batch.column(1).cast(pa.float64())], ["x", "y", "z", "label"])
 
     data = np.array(rows.mapInArrow(measured, "x double, y double, z double, label double").groupBy("x", F.round("y", 3), F.round("z", 3), "label").count().collect(), dtype=float)
+    discard(rows)
     if len(data):
         data = np.repeat(data[:, :4], data[:, 4].astype(int), axis=0)
         lexicon.coefficients = tuple(float(c) for c in logistic(data[:, :3], data[:, 3]))
@@ -227,7 +265,10 @@ _WORKER: dict[str, Lexicon] = {}
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: Column) -> Column:
-    """The score of each whole text, 0 to 1; null and empty texts have that of a text without matches."""
+    """The score of each whole text, 0 to 1; null and empty texts have that of a text without matches.
+
+    It depends on the text alone, so repeated rows score alike whatever their other columns hold and are called.
+    """
     shared, key = df.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.coefficients)), uuid.uuid4().hex
 
     @F.arrow_udf("double")
