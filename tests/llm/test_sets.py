@@ -226,10 +226,36 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(0, 0, True), (1, 2, True), (1, 2, True), (2, 2, False)]
 
 
-def test_recall_follows_from_the_prefix():
-    assert jaccard.prefix_length(0.8, 0.998) >= 2
-    k = jaccard.prefix_length(0.8, 0.998)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= 0.998
+def test_recall_at_the_threshold_against_brute_force(spark):
+    rng = random.Random(11)
+    rows, linked = [], set()
+    for _ in range(400):  # pairs whose similarity is 0.80 to 0.85
+        base = [f"v{rng.randrange(5000)}" for _ in range(100)]
+        other = list(base)
+        for k in rng.sample(range(10, 80, 10), 2):
+            other[k] = "changed"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+        linked.add((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    found = {r["doc_id"]: r for r in jaccard.near_duplicates(frame(spark, rows).repartition(4)).collect()}
+    hit = sum(found[b]["component_id"] == a and found[a]["n_links"] == 1 for a, b in linked)
+    assert hit >= 0.995 * len(linked)
+
+
+def test_prefixes_are_shortened_by_what_was_found():
+    assert jaccard.next_depth({}, 8, 0.8, 0.9999) == jaccard.SHORTEST
+    assert jaccard.next_depth({196: 1_000_000}, 8, 0.8, 0.9999) == 8
+    many = {162: 1_000, 198: 100_000}
+    d = jaccard.next_depth(many, 8, 0.8, 0.9999)
+    assert jaccard.SHORTEST < d < 8 and jaccard.next_depth(many, d, 0.8, 0.9999) == d
+
+
+def test_signatures_share_values_as_often_as_the_sets_are_similar():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    a, b = jaccard.signatures([np.unique(x[:3600]), np.unique(x[400:])]).view(np.uint8).reshape(2, -1)
+    assert abs((a == b).mean() - 0.8) < 0.12
 
 
 def test_components(spark):
@@ -245,6 +271,18 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_large_stars(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 20)
+    rng = random.Random(7)
+    pairs = [(c, rng.randrange(1000)) for c in (3, 500, 999) for _ in range(200)] + [(k, k + 1) for k in range(2000, 2100)]
+    links = defaultdict(set)
+    for a, b in pairs:
+        links[a].add(b)
+        links[b].add(a)
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: c for n, c in reachable(links, list(links)).items() if links[n] - {n}}
+
+
 # Lines
 
 

@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("_m"))
+#: A node with more than a share of 1 / HOT of all edges, and more than HOT, is hot; so at most 2 * HOT nodes are.
+HOT = 1_000
+
+
+def _with_least(edges: DataFrame, ends: DataFrame, count: int) -> DataFrame:
+    """`edges` (u, v) with _m, the smallest v of their u in `ends`. What belongs to hot nodes is joined where it lies."""
+    least = ends.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_in"))
+    limit = max(HOT, count // HOT)
+    hot, other = least.filter(F.col("_in") > limit).select("u", "_m"), least.filter(F.col("_in") <= limit).select("u", "_m")
+    if count <= HOT:
+        return edges.join(other, "u")
+    return edges.join(F.broadcast(hot), "u").unionByName(edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(other, "u"))
 
 
 def least_ids(reach: DataFrame, classes: DataFrame, salts: int) -> DataFrame:
@@ -40,9 +50,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         was = checksum
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour, or to itself.
-        nearest = _min_neighbour(both).select("u", F.least("u", "_m").alias("_m"))
-        large = both.filter(F.col("v") > F.col("u")).join(nearest, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+        nearest = _with_least(both.filter(F.col("v") > F.col("u")), both, checksum[0])
+        large = nearest.select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
         # Small star: every smaller neighbour of a node, and the node, go to the smallest.
-        small = large.join(_min_neighbour(large), "u")
+        small = _with_least(large, large, checksum[0])
         linked = small.select(F.col("v").alias("u"), F.col("_m").alias("v")).filter(F.col("u") != F.col("v")).unionByName(small.select("u", F.col("_m").alias("v")))
         now = stored(linked.distinct(), "edges")

@@ -1,26 +1,32 @@
 """Near-duplicate texts: a similarity join of word shingles by a MinHash LSH forest with exact verification.
 
-Every tree of the forest orders documents by a signature of its own. Documents that share a prefix of it
-meet; prefixes are shortened from the longest on until the expected recall at the threshold reaches the
-target. As a shorter prefix finds all that a longer one does, only the last length is sorted. Each pair
-that meets is verified on its whole shingle sets, in the first tree where it meets.
+Each class of texts with equal shingle sets has a signature for each tree: DEPTH minima of a byte each, in one
+long. The forest is the table of signatures, sorted by tree and signature; in it every node of a tree's prefix
+trie is one run of rows. Classes that share a node meet. The first round takes whole signatures. What its
+verified pairs tell of all pairs at each similarity says how short the prefixes have to be for the share of
+lost pairs that is allowed; the next round takes nodes of that depth, and so on until the target recall is
+reached. A pair is verified once, on its whole shingle sets, at the deepest prefix by which it meets.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import row_key, stored
+from .common import discard, row_key, stored
 from .graph import components, least_ids
 
-TREES, DEPTH = 16, 8
+#: Trees, values of a signature (a byte each), and the shortest prefix that is tried.
+TREES, DEPTH, SHORTEST = 16, 8, 4
+#: Similarities are counted in steps of 1 / STEPS.
+STEPS = 200
 #: Rows, and shingles, of a chunk of a bucket.
 CHUNK_ROWS, CHUNK_SHINGLES = 256, 1 << 17
 #: Copies of each class's row when documents meet their class: a class may hold a third of all documents.
@@ -42,9 +48,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix whose expected recall at the threshold is at least `recall`; 1 if none is."""
-    return next((k for k in range(depth, 1, -1) if 1 - (1 - threshold**k) ** trees >= recall), 1)
+def recall_at(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that a pair shares a prefix of `depth` values in a tree at least."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def next_depth(found: dict[int, int], depth: int, threshold: float, recall: float) -> int:
+    """The longest prefix that loses at most 1 - `recall` of all pairs, as far as those found tell; `depth` if it does.
+
+    `found` counts verified pairs by similarity, in steps. Each stands for as many as its chance of being
+    found says; one more pair at the threshold stands for those that nothing was found of.
+    """
+    pairs = [(threshold, 1.0)] + [(max(threshold, step / STEPS), n / recall_at(max(threshold, step / STEPS), depth)) for step, n in found.items()]
+    total = sum(n for _, n in pairs)
+    return next((d for d in range(depth, SHORTEST, -1) if sum(n * (1 - recall_at(s, d)) for s, n in pairs) <= (1 - recall) * total), SHORTEST)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -85,8 +102,8 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def prefixes(sets: list[np.ndarray], length: int) -> np.ndarray:
-    """(sets, TREES): a hash of each tree's signature prefix; the sets are not empty."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, TREES): for each tree DEPTH minima, a byte of each, the first one on top; the sets are not empty."""
     out = np.empty((len(sets), TREES), np.uint64)
     low = 0
     while low < len(sets):  # as many sets at once as the processor's cache holds
@@ -97,14 +114,21 @@ def prefixes(sets: list[np.ndarray], length: int) -> np.ndarray:
         flat = (np.concatenate(sets[low:high]) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0, *map(len, sets[low : high - 1])])
         for t in range(TREES):
-            key = np.full(high - low, t + 1, np.uint64)
-            for a, b in _PERMUTE[t * DEPTH : t * DEPTH + length]:
-                key = mixed(key * _RATIO + np.minimum.reduceat(flat * a + b, starts))
+            key = np.zeros(high - low, np.uint64)
+            for a, b in _PERMUTE[t * DEPTH : (t + 1) * DEPTH]:
+                least = mixed(np.minimum.reduceat(flat * a + b, starts).astype(np.uint64) + np.uint64(t + 1))
+                key = (key << np.uint64(8)) | (least >> np.uint64(56))
             out[low:high, t] = key
         low = high
     return out
 
 
+def prefix(signature, depth: int):
+    """The first `depth` values of signatures, as columns or arrays of signed longs."""
+    bits = 8 * (DEPTH - depth)
+    return F.shiftright(signature, bits) if isinstance(signature, Column) else signature >> bits
+
+
 def _bytes(column) -> list[bytes]:
     return [(x.as_py() or "").encode() for x in column]
 
@@ -122,13 +146,13 @@ def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             low = high
 
 
-def _signed(size: int, length: int):
+def _signed(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _sliced(batches, 2):
             sets = shingle_sets(texts, size)
             full = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
             keys: list = [None] * len(sets)
-            for k, row in zip(full, prefixes([sets[k] for k in full], length).view(np.int64), strict=True):
+            for k, row in zip(full, signatures([sets[k] for k in full]).view(np.int64), strict=True):
                 keys[k] = row
             one = np.array([s.sum() for s in sets], np.uint64).view(np.int64)
             two = np.array([mixed(s ^ _RATIO).sum() for s in sets], np.uint64).view(np.int64)
@@ -165,11 +189,15 @@ def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, depth: int, was: int | None):
+    """Links of pairs that meet at `depth` and not at depth `was`; and rows (null, step, n): pairs of each similarity."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in blocks.runs(batches, ["_key"]):
+        found = np.zeros(STEPS + 1, np.int64)
+        for table, starts in blocks.runs(batches, ["_tree", "_node"]):
             ids, size, own, lo, hi, tree = (table.column(c).to_numpy() for c in ("_rep", "_size", "_own", "_lo", "_hi", "_tree"))
             keys = table.column("_keys").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+            here, before = prefix(keys, depth), None if was is None else prefix(keys, was)
             sets = table.column("_set").combine_chunks()
             offsets, values = sets.offsets.to_numpy() - sets.offsets[0].as_py(), sets.flatten().to_numpy()
             lengths = np.diff(offsets)
@@ -179,54 +207,94 @@ def _verified(threshold: float):
                 n = lengths[a:b]
                 fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
                 i, j = i[fits], j[fits]
-                fresh = ~(keys[a:b, : tree[a]][i] == keys[a:b, : tree[a]][j]).any(1)
+                fresh = ~(here[a:b, : tree[a]][i] == here[a:b, : tree[a]][j]).any(1)
+                if before is not None:
+                    fresh &= ~(before[a:b][i] == before[a:b][j]).any(1)
                 i, j = i[fresh], j[fresh]
                 if not len(i):
                     continue
-                both = intersections(values[offsets[a] : offsets[b]], np.repeat(np.arange(b - a), n), b - a)[i, j]
-                near = both >= threshold * (n[i] + n[j] - both) - 1e-9
+                both = intersections(values[offsets[a] : offsets[b]], np.repeat(np.arange(b - a), n), b - a)[i, j].astype(float)
+                either = n[i] + n[j] - both
+                near = both >= threshold * either - 1e-9
                 left.append(i[near] + a)
                 right.append(j[near] + a)
+                found += np.bincount((STEPS * both[near] / either[near]).astype(np.int64), minlength=STEPS + 1)
             i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
             if len(i):
                 yield blocks.links(ids, size, i, j)
+        steps = np.flatnonzero(found)
+        if len(steps):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(steps), pa.int64()), pa.array(steps), pa.array(found[steps])], ["a", "b", "n"])
 
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.998, with_row: bool = False) -> DataFrame:
+def _round(forest: DataFrame, classes: DataFrame, depth: int, was: int | None) -> DataFrame:
+    """Members (_tree, _node, _rep, _own, _lo, _hi) of the blocks of all nodes of `depth` that hold pairs which did not meet at depth `was`."""
+    places = forest.withColumn("_node", prefix(F.col("_sig"), depth))
+    met = places.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("_in"), F.min("_sig").alias("_a"), F.max("_sig").alias("_b")).filter(F.col("_in") > 1)
+    if was is not None:  # nodes with a single child have no new pair
+        met = met.filter(prefix(F.col("_a"), was) != prefix(F.col("_b"), was))
+    near = stored(places.drop("_sig").join(met.select("_tree", "_node"), ["_tree", "_node"]).join(classes.select("_rep", "_n", "_keys"), "_rep"), "near")
+    ends = [f(F.get("_keys", F.lit(t))).alias(f"_{n}{t}") for t in range(TREES) for n, f in (("min", F.min), ("max", F.max))]
+    nodes = near.groupBy("_tree", "_node").agg(F.sum("_n").alias("_weight"), F.count(F.lit(1)).alias("_in"), *ends)
+
+    # Nor has one whose members all met in one node of an earlier tree, or of the last round.
+    def shared(t: int, d: int) -> Column:
+        return prefix(F.col(f"_min{t}"), d) == prefix(F.col(f"_max{t}"), d)
+
+    known = reduce(lambda a, b: a | b, [(F.col("_tree") > t) & shared(t, depth) for t in range(TREES)] + [shared(t, was) for t in range(TREES) if was is not None])
+    nodes = nodes.filter(~known).select("_tree", "_node", "_weight", "_in")
+    chunks = F.greatest(F.ceil(F.col("_in") / CHUNK_ROWS), F.ceil(F.col("_weight") / CHUNK_SHINGLES))
+    keys = ["_tree", "_node"]
+    members = stored(blocks.in_blocks(near.select(*keys, "_rep").join(nodes, keys), keys, "_rep", chunks).drop("_weight", "_in"), "members")
+    discard(near)
+    return members
+
+
+def _links(rows: DataFrame, classes: DataFrame, size: int, threshold: float, recall: float) -> DataFrame:
+    """Links (a, b, n) of all rounds between classes (_rep, _least, _row, _n, _size, _keys), whose texts are in `rows`."""
+    places = classes.select("_rep", F.posexplode("_keys").alias("_tree", "_sig"))
+    forest = stored(places.repartitionByRange("_tree", "_sig", "_rep").sortWithinPartitions("_tree", "_sig", "_rep"), "forest")
+    links, sets, found = None, None, Counter()
+    depth, was = DEPTH, None
+    while True:
+        members = _round(forest, classes, depth, was)
+        wanted = members.select("_rep").distinct()
+        wanted = (wanted if sets is None else wanted.join(sets, "_rep", "left_anti")).join(classes.select("_rep", "_least", F.col("_row").alias("_want")), "_rep")
+        texts = rows.join(wanted, (F.col("_id") == F.col("_least")) & (F.col("_row") == F.col("_want"))).select("_rep", "_text").dropDuplicates(["_rep"])
+        more = stored(texts.mapInArrow(_shingled(size), "_rep long, _set array<long>"), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        full = members.join(sets, "_rep").join(classes.select("_rep", "_size", "_keys"), "_rep")
+        own = stored(blocks.by_block(full, ["_tree", "_node"], "_rep").mapInArrow(_verified(threshold, depth, was), blocks.LINKS), "links")
+        discard(members)
+        links = own if links is None else links.unionByName(own)
+        found.update(dict(map(tuple, own.filter(F.col("a").isNull()).groupBy("b").agg(F.sum("n")).collect())))
+        then = next_depth(found, depth, threshold, recall)
+        if then == depth:
+            discard(forest)
+            return links.filter(F.col("a").isNotNull())
+        depth, was = then, depth
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, with_row: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, class_id, n_links, component_id and kept.
 
-    Texts with equal shingle sets are a class, keyed by its hashes and named by its smallest id. n_links counts the other rows whose
-    Jaccard similarity on word shingles of `size` is `threshold` or more, those of the same class included.
-    component_id is the smallest id reachable by links; a row is kept if that is its own. Texts without a
+    Texts with equal shingle sets are a class, keyed by its hashes and named by its smallest id. n_links
+    counts the other rows whose Jaccard similarity on word shingles of `size` is `threshold` or more, those of
+    the same class included. `recall` is the share of the linked pairs of classes that is expected to be found,
+    as the pairs that were found tell; with prefixes of SHORTEST values the search ends in any case, which
+    finds 0.9997 of the pairs at a threshold of 0.8. component_id is the smallest id reachable by links; a row is kept if that is its own. Texts without a
     word (null and empty ones among them) and rows with a null id link with nothing and are kept. Repeated
     ids are rows of their own, also if their texts differ; `with_row` adds `row`, the row_key of the text,
     by which they are told apart. An empty table gives an empty one. Other columns of `docs` do not matter.
     """
-    length = prefix_length(threshold, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
-    signed = stored(rows.mapInArrow(_signed(size, length), "_id long, _row long, _n long, _h1 long, _h2 long, _keys array<long>"), "signatures")
+    signed = stored(rows.mapInArrow(_signed(size), "_id long, _row long, _n long, _h1 long, _h2 long, _keys array<long>"), "signatures")
     linked = (F.col("_n") > 0) & F.col("_id").isNotNull()
     found = signed.filter(linked).groupBy("_h1", "_h2", "_n").agg(F.min(F.struct("_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_size"), F.any_value("_keys").alias("_keys"))
     classes = stored(found.select("_h1", "_h2", "_n", F.xxhash64("_h1", "_h2", "_n").alias("_rep"), F.col("_first._id").alias("_least"), F.col("_first._row").alias("_row"), "_size", "_keys"), "classes")
-
-    places = classes.select("_rep", F.posexplode("_keys").alias("_tree", "_key"))
-    met = places.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > 1).select("_key")
-    near = stored(places.join(met, "_key").join(classes.select("_rep", "_n", "_keys"), "_rep"), "near")
-    ends = [f(F.get("_keys", F.lit(t))).alias(f"_{n}{t}") for t in range(TREES) for n, f in (("min", F.min), ("max", F.max))]
-    buckets = near.groupBy("_key", "_tree").agg(F.sum("_n").alias("_weight"), F.count(F.lit(1)).alias("_in"), *ends)
-    # A bucket whose members all met in one bucket of an earlier tree has no new pair.
-    known = reduce(lambda a, b: a | b, [(F.col("_tree") > t) & (F.col(f"_min{t}") == F.col(f"_max{t}")) for t in range(TREES)])
-    buckets = buckets.filter(~known).select("_key", "_weight", "_in")
-    chunks = F.greatest(F.ceil(F.col("_in") / CHUNK_ROWS), F.ceil(F.col("_weight") / CHUNK_SHINGLES))
-    members = stored(blocks.in_blocks(near.select("_key", "_tree", "_rep").join(buckets, "_key"), ["_key"], "_rep", chunks).drop("_weight", "_in"), "members")
-
-    wanted = classes.join(members.select("_rep").distinct(), "_rep").select("_rep", "_least", F.col("_row").alias("_want"))
-    texts = rows.join(wanted, (F.col("_id") == F.col("_least")) & (F.col("_row") == F.col("_want"))).select("_rep", "_text").dropDuplicates(["_rep"])
-    sets = stored(texts.mapInArrow(_shingled(size), "_rep long, _set array<long>"), "sets")
-    full = members.join(sets, "_rep").join(classes.select("_rep", "_size", "_keys"), "_rep")
-    links = stored(blocks.by_block(full, ["_key"], "_rep").mapInArrow(_verified(threshold), blocks.LINKS), "links")
+    links = _links(rows, classes, size, threshold, recall)
 
     counts = links.filter(F.col("b").isNull()).groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
     reach = least_ids(components(links.filter(F.col("b").isNotNull())), classes, SALTS)
