@@ -40,6 +40,10 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
 
+def close(w, terms, reach, share=0.8):
+    return any(len(terms & set(w[k : k + reach])) >= share * len(terms) - 1e-9 for k in range(max(1, len(w) - reach + 1)))
+
+
 def brute_contamination(docs, items, size=10):
     wins = {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for i, t in items if (w := words(t))}
     out = []
@@ -51,7 +55,8 @@ def brute_contamination(docs, items, size=10):
                     if tuple(w[k : k + len(win)]) == win:
                         hit.update(range(k, k + len(win)))
                         found.add(str(i))
-        out.append((d, len(w), len(hit), len(found), sorted(found)))
+        near = {i for i, own in wins.items() if any(len(x) == size and close(w, set(x), size + 5) for x in own)}
+        out.append((d, len(w), len(hit), len(found), sorted(found), len(near)))
     return sorted(out, key=repr)
 
 
@@ -65,7 +70,7 @@ def test_contamination(spark):
     items = [(1, some(25)), (2, some(3)), (3, "w1"), (4, ""), (5, None), (6, some(10)), (7, "a b c d e f g h i j k"), (8, "... !")]
     docs = [(k, some(rng.randrange(60))) for k in range(40)] + [(100, "x A b, c d E f g h i j k y"), (101, None), (102, ""), (103, items[0][1]), (104, "W1")]
     found = decontaminate.contamination(frame(spark, docs).withColumn("items", F.lit("clash")), frame(spark, items, "item_id long, text string"))
-    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in found.collect()), key=repr)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["n_near"]) for r in found.collect()), key=repr)
     assert got == brute_contamination(docs, items)
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in found.collect())
 
@@ -78,12 +83,29 @@ def test_contamination_of_empty_tables_and_null_ids(spark):
     assert sorted(r["n_hit"] for r in twice) == [0, 3, 3]
 
 
-def test_proximity(spark):
-    items, docs = frame(spark, [(1, "a b c d e f g h i j")], "item_id long, text string"), frame(spark, [(1, "j i h g f e d c b a"), (2, "a b x"), (3, "a b c d e f g h i j")])
-    wins = decontaminate.windows(items)
-    chosen = decontaminate.anchors(docs, wins)
-    found = decontaminate.matches(decontaminate.index(docs, chosen), chosen, proximity=0.9).collect()
-    assert {(r["_id"], r["kind"]) for r in found} == {(1, "proximity"), (3, "phrase")}
+@pytest.mark.parametrize("seed", range(2))
+def test_proximity(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randrange(8, 16)))) for k in range(6)]
+    docs = []
+    for k in range(60):
+        own = words(rng.choice(items)[1])
+        rng.shuffle(own)
+        for _ in range(rng.randrange(6)):
+            own.insert(rng.randrange(len(own)), rng.choice(vocab))
+        docs.append((k, " ".join([rng.choice(vocab) for _ in range(rng.randrange(9))] + own)))
+    found = decontaminate.contamination(frame(spark, docs).withColumns({c: F.lit("clash") for c in ("_win", "_posts", "_term", "near")}), frame(spark, items, "item_id long, text string"))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["n_near"]) for r in found.collect()), key=repr)
+    assert got == brute_contamination(docs, items) and sum(r[5] for r in got) > 10
+
+
+def test_windows_beyond_the_broadcast_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 10)
+    items = frame(spark, [(1, "a b c d e f g h i j k")], "item_id long, text string")
+    docs = [(1, "x a b c d e f g h i j k"), (2, "j i h g f e d c b a"), (3, "a b")]
+    got = sorted((r["doc_id"], r["n_hit"], r["n_near"]) for r in decontaminate.contamination(frame(spark, docs), items).collect())
+    assert got == [(1, 11, 1), (2, 0, 1), (3, 0, 0)]
 
 
 # Repeated strings
@@ -346,7 +368,7 @@ def test_pipeline_stages(spark):
         if name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
             judged = brute_contamination([(d, r["text"]) for d, r in before.items()], items)
-            assert set(after) == {d for d, _, hit, _, _ in judged if not hit}
+            assert set(after) == {d for d, _, hit, *_ in judged if not hit}
     packed = p.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r["doc_id"] for r in packed} == set(after)
 

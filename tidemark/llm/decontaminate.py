@@ -1,15 +1,17 @@
 """Benchmark decontamination over a positional inverted index, with DataFrame functions only.
 
-1. The corpus frequency of every benchmark term is counted over all documents.
-2. Every distinct window of benchmark words gets its rarest term as anchor, with the term's offset in it.
-3. One pass over the corpus stores the postings of the anchors: document, position and the words around
-   it, which is what the lists of the window's other terms hold near that position.
-4. Anchor postings meet windows by term. A posting whose neighbourhood, shifted by the offset, is the
-   window's other terms is an exact phrase; one with enough of the terms in any order is a proximity match.
-
-Only postings of anchors leave a document. Which words are looked up is decided by a bitmap of fixed
-size, whose false positives the join removes, so nothing that is broadcast grows with the benchmark;
-windows are broadcast up to a checked number of rows and shuffled beyond it.
+1. One pass over the corpus stores the postings (term, position) of all benchmark terms, in order, document
+   by document.
+2. The index tells how often each term stands in the corpus. Every distinct window of benchmark words lists
+   its terms from the rarest on, with their offsets in it.
+3. Postings of a window's rarest term meet the window; each gives a start, shifted by the term's offset. The
+   lists of its other terms, shifted by theirs, are intersected with it in turn; a start that is left in the
+   end is an exact phrase. For matches by proximity, so many of the rarest terms are anchors that no match
+   lacks them all, and the terms of a window that stand near an anchor are counted.
+
+Which words are benchmark terms is decided by a bitmap of fixed size, whose false positives the joins remove,
+so nothing that is broadcast grows with the benchmark; windows are broadcast up to a checked number of rows
+and bytes and shuffled beyond it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from .common import ascii_lower, row_key, same, stored
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Slots of the bitmap at most, and for each term where they are fewer.
 SLOTS, SPARSE = 1 << 20, 32
-#: Windows that are broadcast at most; of about 200 bytes each.
-BROADCAST_WINDOWS = 50_000
+#: Windows that are broadcast at most, and bytes of their words.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 50_000, 20_000_000
+#: Copies of each term's count: places of one benchmark word meet them by a hash of their window.
+SALTS = 16
+#: A match by proximity: the share of a window's distinct terms, and words of a document beyond the window's that they may take.
+PROXIMITY, SLACK = 0.8, 5
 
 
 def words(text: Column) -> Column:
@@ -59,79 +65,100 @@ def _marked(term: Column, bitmap: tuple[bytes, int]) -> Column:
     return F.getbit(own, slot % 6) == 1
 
 
-def anchors(docs: DataFrame, wins: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_win, _term, _off): each window's rarest term in `docs` and the offset of its first place; ties go to the first offset."""
-    places = wins.select("_win").distinct().select("_win", F.posexplode("_win").alias("_off", "_term"))
-    bits = _bitmap(places, "_term")
-    found = docs.select(F.explode(words(F.col(text_col))).alias("_term")).filter(_marked(F.col("_term"), bits))
-    seen = found.groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = places.join(seen, "_term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    best = rarest.groupBy("_win").agg(F.min(F.struct("_n", "_off", "_term")).alias("_best"))
-    return best.filter(F.col("_best._n") > 0).select("_win", "_best._term", "_best._off")
+def index(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional index: per row _id, _row, n_words and _posts, the postings (term, at) of all terms of `wins` in order."""
+    bits = _bitmap(wins.select(F.explode("_win").alias("_term")), "_term")
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(text_col)).alias("_row"), F.inline(F.array(F.struct(words(F.col(text_col)).alias("_w")))))
+    posts = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("term"), i.alias("at"))), lambda p: _marked(p["term"], bits))
+    return rows.select("_id", "_row", F.size("_w").cast("long").alias("n_words"), posts.alias("_posts"))
 
 
-def index(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10) -> DataFrame:
-    """The positional index: per row _id, _row, n_words and _posts, the postings (term, at, low, near) of the anchors.
+def anchors(indexed: DataFrame, wins: DataFrame, proximity: float | None = None, size: int = 10) -> DataFrame:
+    """(_win, _lists, _need, _term, _rank): windows by the terms whose postings are looked up for them.
 
-    `near` has the words from position `low` on, up to size - 1 before and after position `at`.
+    `_lists` has (n, off, term) of all places of the window, the rarest in the index first, then by offset.
+    The term of rank 0 is the first of them. With `proximity`, windows of `size` words have as many more of
+    their distinct terms as make sure that no set of `_need` terms lacks all.
     """
-    bits = _bitmap(chosen, "_term")
-    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(text_col)).alias("_row"), F.inline(F.array(F.struct(words(F.col(text_col)).alias("_w")))))
-    at = F.filter(F.transform("_w", lambda w, i: F.when(_marked(w, bits), i)), lambda i: i.isNotNull())
+    places = wins.select("_win").distinct().select("_win", F.posexplode("_win").alias("_off", "_term")).withColumn("_salt", F.pmod(F.xxhash64("_win"), F.lit(SALTS)).cast("int"))
+    seen = indexed.select(F.explode("_posts.term").alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
+    salted = seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = places.join(salted, ["_term", "_salt"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    listed = counted.groupBy("_win").agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_off").alias("off"), F.col("_term").alias("term")))).alias("_lists"))
+    terms = F.array_distinct(F.transform("_lists", lambda p: p["term"]))
+    need = F.lit(None).cast("int") if proximity is None else F.when(F.size("_win") >= size, F.ceil(F.size(terms) * F.lit(proximity) - 1e-9).cast("int"))
+    more = listed.withColumns({"_need": need, "_terms": terms})
+    taken = more.withColumn("_taken", F.coalesce(F.size("_terms") - F.col("_need") + 1, F.lit(1)))
+    return taken.select("_win", "_lists", "_need", F.posexplode(F.slice(F.col("_terms"), F.lit(1), F.col("_taken"))).alias("_rank", "_term"))
+
+
+def matches(indexed: DataFrame, chosen: DataFrame, size: int = 10, slack: int = SLACK, broadcast: bool = False) -> DataFrame:
+    """(_id, _row, _win, start, length, near): where windows occur in documents.
+
+    `start` is that of an exact phrase, and null where there is none. `near` says that some `size` + `slack`
+    consecutive words of the document hold `_need` distinct terms of the window, or more.
+    """
+    reach = size + slack - 1
+    bits = _bitmap(chosen.select("_term"), "_term")
 
-    def posting(i: Column) -> Column:
-        low = F.greatest(i - size + 1, F.lit(0))
-        return F.struct(F.get(F.col("_w"), i).alias("term"), i.alias("at"), low.alias("low"), F.slice(F.col("_w"), low + 1, i - low + size).alias("near"))
+    def around(p: Column, k: Column) -> Column:
+        low = F.greatest(k - reach, F.lit(0))
+        return F.when(_marked(p["term"], bits), F.struct(p["term"].alias("_term"), p["at"].alias("at"), F.slice(F.col("_posts"), low + 1, k - low + reach + 1).alias("near")))
 
-    return rows.select("_id", "_row", F.size("_w").cast("long").alias("n_words"), F.transform(at, posting).alias("_posts"))
+    posts = indexed.select("_id", "_row", F.inline(F.filter(F.transform("_posts", around), lambda x: x.isNotNull())))
+    both = posts.join(F.broadcast(chosen) if broadcast else chosen, "_term")
 
+    def shifted(p: Column) -> Column:
+        return F.transform(F.filter("near", lambda q: q["term"] == p["term"]), lambda q: q["at"] - p["off"])
 
-def matches(indexed: DataFrame, chosen: DataFrame, proximity: float | None = None, broadcast: bool = False) -> DataFrame:
-    """(_id, _row, _win, start, length, kind): where windows occur, kind "phrase".
+    # The anchor's own list gives one start; the others' lists are intersected with it from the rarest on.
+    first = F.array(F.col("at") - F.get(F.col("_lists"), F.lit(0))["off"])
+    starts = F.when(F.col("_rank") == 0, F.aggregate("_lists", first, lambda acc, p: F.when(F.size(acc) > 0, F.array_intersect(acc, shifted(p))).otherwise(acc)))
+    own = F.filter("near", lambda q: F.array_contains("_win", q["term"]) & (q["at"] >= F.col("at") - reach) & (q["at"] <= F.col("at") + reach))
 
-    With `proximity`, also kind "proximity": neighbourhoods that hold at least that share of a window's
-    distinct terms in any order; their start is the anchor's place less its offset, at least 0.
-    """
-    posts = indexed.filter(F.size("_posts") > 0).select("_id", "_row", F.inline("_posts"))
-    by_term = chosen.withColumnRenamed("_term", "term")
-    both = posts.join(F.broadcast(by_term) if broadcast else by_term, "term")
-    start, length = F.col("at") - F.col("_off"), F.size("_win")
-    phrase = F.when(start >= F.col("low"), F.slice(F.col("near"), start - F.col("low") + 1, length) == F.col("_win")).otherwise(False)
-    kind = F.when(phrase, "phrase")
-    if proximity is not None:
-        terms = F.array_distinct("_win")
-        kind = kind.when(F.size(F.array_intersect(F.col("near"), terms)) >= F.ceil(F.size(terms) * F.lit(proximity)), "proximity")
-    found = both.select("_id", "_row", "_win", F.greatest(start, F.lit(0)).alias("start"), length.alias("length"), kind.alias("kind"))
-    return found.filter(F.col("kind").isNotNull()).distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, with_row: bool = False) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit, n_items, items (array of strings, sorted) and contaminated.
-
-    Null and empty texts have no words and are clean; so is everything if the benchmark is empty. Rows of
-    `docs` that share id and text are judged alike, each with a row of its own; a null id is an id like
-    others; `with_row` adds `row`, the row_key of the text. Items that share a window all count. Null item ids count as no item, but their words are hit.
+    def held(low: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(F.filter("_own", lambda q: (q["at"] >= low) & (q["at"] <= low + reach)), lambda q: q["term"])))
+
+    spans = F.transform(F.filter("_own", lambda q: q["at"] <= F.col("at")), lambda q: q["at"])
+    near = F.when(F.size("_own") < F.col("_need"), False).otherwise(F.exists(spans, lambda low: held(low) >= F.col("_need")))
+    judged = both.withColumns({"start": F.get(starts, F.lit(0)), "_own": F.when(F.col("_need").isNotNull(), own)}).withColumn("near", F.coalesce(near, F.lit(False)))
+    return judged.filter(F.col("start").isNotNull() | F.col("near")).select("_id", "_row", "_win", "start", F.size("_win").alias("length"), "near").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, proximity: float | None = PROXIMITY, slack: int = SLACK, with_row: bool = False) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_hit, n_items, items (array of strings, sorted), contaminated and n_near.
+
+    n_hit counts the words inside exact phrases, n_items and items are the items that these come from. n_near
+    counts the items with a window of `size` words of whose distinct terms a share of `proximity` stands in
+    `size` + `slack` consecutive words of the document; without `proximity` it is 0. Null and empty texts
+    have no words and are clean; so is everything if the benchmark is empty. Rows of `docs` that share id and
+    text are judged alike, each with a row of its own; a null id is an id like others; `with_row` adds `row`,
+    the row_key of the text. Items that share a window all count. Null item ids count as no item, but their
+    words are hit. Terms that stand equally often go by their offset. Other columns may have any names.
     """
     wins = stored(windows(benchmark, item_col, item_text_col, size), "windows")
-    chosen = stored(anchors(docs, wins, text_col), "anchors")
-    small = wins.count() <= BROADCAST_WINDOWS
-    indexed = stored(index(docs, chosen, id_col, text_col, size), "index")
-    found = stored(matches(indexed, chosen, broadcast=small).drop("kind"), "matches")
+    count, volume = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("_win", F.lit(0).cast("long"), lambda acc, w: acc + F.octet_length(w))), F.lit(0))).first()
+    small = count <= BROADCAST_WINDOWS and volume <= BROADCAST_BYTES
+    indexed = stored(index(docs, wins, id_col, text_col), "index")
+    chosen = stored(anchors(indexed, wins, proximity, size), "anchors")
+    found = stored(matches(indexed, chosen, size, slack, small), "matches")
+    phrases = found.filter(F.col("start").isNotNull())
     before = Window.partitionBy("_id", "_row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.select("_id", "_row", "start", "length", (F.col("start") + F.col("length")).alias("_end")).distinct()
+    spans = phrases.select("_id", "_row", "start", "length", (F.col("start") + F.col("length")).alias("_end")).distinct()
     fresh = F.greatest(F.lit(0), F.col("_end") - F.greatest(F.col("start"), F.coalesce(F.max("_end").over(before), F.lit(0))))
     hit = spans.select("_id", "_row", fresh.alias("_new")).groupBy("_id", "_row").agg(F.sum("_new").alias("n_hit"))
     by_win = wins.withColumn("item", F.col("item").cast("string"))
+    by_doc = found.groupBy("_id", "_row", "_win").agg(F.max(F.col("start").isNotNull()).alias("_phrase"), F.max("near").alias("_near"))
     items = (
-        found.select("_id", "_row", "_win").distinct().join(F.broadcast(by_win) if small else by_win, "_win")
-        .groupBy("_id", "_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        by_doc.join(F.broadcast(by_win) if small else by_win, "_win").groupBy("_id", "_row")
+        .agg(F.array_sort(F.collect_set(F.when(F.col("_phrase"), F.col("item")))).alias("items"), F.count_distinct(F.when(F.col("_near"), F.col("item"))).alias("n_near"))
     )
-    stats = hit.join(items, same(hit._id, items._id) & (hit._row == items._row), "left").select(hit._id.alias("_did"), hit._row.alias("_drow"), "n_hit", "items")
+    stats = items.join(hit, same(hit._id, items._id) & (hit._row == items._row), "left").select(items._id.alias("_did"), items._row.alias("_drow"), "n_hit", "items", "n_near")
     rows = indexed.select("_id", "_row", "n_words").join(stats, same(F.col("_id"), F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
     return rows.select(
         F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         *([F.col("_row").alias("row")] if with_row else []),
     )

@@ -58,7 +58,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +103,17 @@ dw AS (SELECT doc_id, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k)),
 hits AS (SELECT doc_id, s, dw.k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id),
+full_w AS (SELECT item_id, g, string_split(g, ' ') AS ws FROM bw WHERE k = 10),
+wt AS (SELECT DISTINCT g, unnest(ws) AS t, ceil(len(list_distinct(ws)) * 0.8 - 1e-9) AS need FROM full_w),
+dp AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+cand AS (SELECT doc_id, g FROM (SELECT DISTINCT doc_id, t FROM dp) x JOIN wt USING (t) GROUP BY doc_id, g HAVING count(*) >= min(need)),
+span AS (SELECT doc_id, g, need, count(DISTINCT t) OVER (PARTITION BY doc_id, g ORDER BY p RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) AS c
+  FROM cand JOIN wt USING (g) JOIN dp USING (doc_id, t)),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (SELECT DISTINCT doc_id, g FROM span WHERE c >= need) JOIN full_w USING (g) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(its.l, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+  sha256(coalesce(its.l, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated, coalesce(nr.n, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)""",
     "op8_embedding_near_dedup": r"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
