@@ -128,7 +128,7 @@ def fit(rows: DataFrame, pieces: list[str], text_col: str = "text", lang_col: st
     """A model from labelled rows; rows without a text or a language teach nothing, and no rows give a model without languages.
 
     It is fitted on about `max_docs` rows, which a hash of `key_col` chooses from all; what comes to the
-    driver is a number for each piece and language.
+    driver is a number for each piece and language. Repeated rows all count; other columns may have any names.
     """
     spark = rows.sparkSession
     known = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -231,7 +231,11 @@ _WORKER: dict[str, Scorer] = {}
 
 
 def predict(df: DataFrame, model: Model, text: Column) -> Column:
-    """struct(lang, score) of each whole text; lang `und` and score 0 if it is null or has no letter, or nothing was learned."""
+    """struct(lang, score) of each whole text; lang `und` and score 0 if it is null or has no letter, or nothing was learned.
+
+    Languages that are equally likely go by name. It depends on the text alone, so repeated rows have equal
+    predictions whatever their other columns hold and are called; an empty table gives none.
+    """
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang:string,score:double>")

@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences, as a tree of residual packings.
 
 Partitions pack their own pieces best-fit and emit nearly full bins. Underfull bins become the items of
-the next round, which deals them to fewer partitions, and so on until one partition is left or a round
-no longer saves bins. A partition never holds more than a block of items at once, so no task grows with
+the next round, which deals them to fewer partitions, and so on until one partition is left, or as few bins
+as their volume asks for, or a round saves none. A partition never holds more than a block of items at once, so no task grows with
 the corpus: with more underfull bins there are more partitions.
 """
 
@@ -28,8 +28,6 @@ CAPACITY = 1024
 NEARLY_FULL = 0.995
 #: Items that a task packs at once, and partitions that feed one in the next round.
 BLOCK, FAN_IN = 100_000, 8
-#: The least share of bins that a round must save for another one to follow.
-LEAST_SAVING = 0.002
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int64()), ("members", pa.list_(MEMBER))])
@@ -48,7 +46,9 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[s
     """(doc_id, piece, start, length, ids_crc32): each document's token ids and `end_id`, cut if longer than `capacity`.
 
     The first piece of a cut document takes the remainder, all others are full. Null and empty texts are
-    `end_id` alone. Special strings inside a text are their own ids, as the tokenizer's library has it.
+    `end_id` alone. Special strings inside a text are their own ids, as the tokenizer's library has it. Each
+    row is a document of its own, repeated rows and those with a null id too; an empty table gives no pieces.
+    Other columns may have any names.
     """
     with open(ranks_path, "rb") as f:
         shared, key = docs.sparkSession.sparkContext.broadcast((f.read(), pattern, special)), uuid.uuid4().hex
@@ -126,27 +126,24 @@ def _packer(level: int, capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """`pieces` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset: gapless from 0 in each sequence.
 
-    Repeated rows are pieces of their own. No pieces give no rows. Lengths are 1 to `capacity`.
+    Repeated rows are pieces of their own, and pieces of equal length go by id, piece and checksum; null ids
+    come first. No pieces give no rows. Lengths are 1 to `capacity`.
     """
-    spark = pieces.sparkSession
     member = F.struct("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     items = pieces.select(F.lit(0).cast("long").alias("sequence_id"), F.col("length").alias("fill"), F.array(member).alias("members"))
     full, level, done = F.col("fill") >= math.ceil(capacity * nearly_full), 0, []
-    parts = None
+    parts, was = None, None
     while True:
         bins = stored(items.mapInArrow(_packer(level, capacity), BIN_DDL), f"bins{level}")
+        # Of the bins of this round those that are full are done, and the others are the items of the next one.
         left = bins.filter(~full)
-        before, after = left.agg(F.coalesce(F.sum("fill"), F.lit(0)), F.count(F.lit(1))).first()
-        # The volume left needs before/capacity bins at least, so that is what more rounds can save.
-        if parts == 1 or after - before / capacity <= LEAST_SAVING * max(1, bins.count()):
+        volume, count, total = bins.agg(F.coalesce(F.sum(F.when(~full, F.col("fill"))), F.lit(0)), F.count_if(~full), F.count(F.lit(1))).first()
+        # Their volume needs so many bins at least; more rounds save nothing then, nor after one that saved none.
+        if parts == 1 or count <= -(-volume // capacity) or total == was:
             done.append(bins)
             break
         done.append(bins.filter(full))
-        was = parts or bins.rdd.getNumPartitions()
-        parts = max(-(-was // FAN_IN), -(-after // (BLOCK // 2)))
-        if level and parts >= was:
-            done.append(left)
-            break
+        parts, was = max(-(-(parts or bins.rdd.getNumPartitions()) // FAN_IN), -(-count // (BLOCK // 2))), count
         items, level = left.repartition(parts), level + 1
     rows = done[0]
     for more in done[1:]:
