@@ -4,6 +4,7 @@ import hashlib
 import importlib.util
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -139,6 +140,16 @@ def test_repeats(spark, size, seed):
     assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got), key=repr) == brute_repeats(rows, size)
 
 
+def test_periodic_texts_are_a_few_runs(spark):
+    rng = random.Random(1)
+    period = "".join(rng.choice("abcdefgh") for _ in range(180))
+    docs = frame(spark, [(1, "x" * 3_000_000), (2, period * 16_000), (3, "xy" * 500_000)])
+    start = time.perf_counter()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: (3_000_000, 3_000_000, 1), 2: (2_880_000, 2_880_000, 1), 3: (1_000_000, 1_000_000, 1)}
+    assert time.perf_counter() - start < 60
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 

@@ -4,7 +4,8 @@ A rolling hash over short grams is minimised over a window; the places where a m
 Every string of `size` bytes has one, at a place that depends on its bytes alone, so equal strings are
 parsed alike wherever they stand. The parse is the triggers in order; the phrase of a trigger is all that
 the strings it stands for cover. Phrases overlap by `size` - 1 bytes, so none is a prefix of what follows
-another, and each string lies in one phrase of the dictionary.
+another, and each string lies in one phrase of the dictionary. Equal phrases that follow each other, as in
+text with a short period, are one run, counted as many times as it holds.
 
 The corpus order of suffixes is needed to depth `size` only, and only up to equality. So phrases are
 ranked first by the bytes that all strings of a trigger share (their core), then as a whole. A core that
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, row_key, same, stored
@@ -113,8 +114,12 @@ def _phrases(size: int):
             part, trigger, low, high = parse(data, bounds, size)
             g = np.array([digest(data[t : t + core]) for t in trigger.tolist()], np.uint64).view(np.int64)
             f = np.array([digest(data[a : b + size], 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.uint64).view(np.int64)
+            new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1]) | (part[1:] != part[:-1])))[: len(g)]
+            times = np.diff(np.append(new, len(g)))
+            part, trigger, low, high, g, f = (x[new] for x in (part, trigger, low, high, g, f))
             row, shift = np.array(rows, np.int64)[part], (np.array(places, np.int64) - bounds[:-1])[part]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(low + shift), pa.array((high - low).astype(np.int32)), pa.array((trigger - low).astype(np.int32)), pa.array(g), pa.array(f)], ["_id", "_row", "_low", "_more", "_trigger", "_g", "_f"])
+            columns = [low + shift, (high - low).astype(np.int32), (trigger - low).astype(np.int32), g, f, times]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *map(pa.array, columns)], ["_id", "_row", "_low", "_more", "_trigger", "_g", "_f", "_times"])
 
     return phrases
 
@@ -205,15 +210,15 @@ def _shared_starts(suffixes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:
-    """(_id, _row, _spans): for each row that has any, spans (start, end) of UTF-8 bytes that strings of `size` bytes cover which start anywhere else too. They overlap."""
+    """(_id, _row, _spans): for each row that has any, spans (start, end) of UTF-8 bytes that strings of `size` bytes cover which start anywhere else too. They are apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
-    phrases = stored(rows.mapInArrow(_phrases(size), "_id long, _row long, _low long, _more int, _trigger int, _g long, _f long"), "phrases")
+    phrases = stored(rows.mapInArrow(_phrases(size), "_id long, _row long, _low long, _more int, _trigger int, _g long, _f long, _times long"), "phrases")
     # Written first, so that the join has a shuffle of its own whose hot cores Spark can split.
-    cores = stored(phrases.groupBy("_g").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > 1).select("_g"), "cores")
+    cores = stored(phrases.groupBy("_g").agg(F.sum("_times").alias("_in")).filter(F.col("_in") > 1).select("_g"), "cores")
     near = stored(phrases.join(cores, "_g"), "near")
     discard(phrases)
     discard(cores)
-    dictionary = stored(near.groupBy("_g", "_f").agg(F.count(F.lit(1)).alias("_in"), F.min(F.struct("_id", "_row", "_low", "_more", "_trigger")).alias("_first")), "dictionary")
+    dictionary = stored(near.groupBy("_g", "_f").agg(F.sum("_times").alias("_in"), F.min(F.struct("_id", "_row", "_low", "_more", "_trigger")).alias("_first")), "dictionary")
     several = dictionary.groupBy("_g").agg(F.count(F.lit(1)).alias("_kinds")).filter(F.col("_kinds") > 1).select("_g")
 
     want = dictionary.join(several, "_g").select(F.col("_first._id").alias("_wid"), F.col("_first._row").alias("_wrow"), F.struct("_first._low", "_first._more", "_first._trigger", "_g", "_f", (F.col("_in") == 1).alias("_single")).alias("_w"))
@@ -223,10 +228,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _shared_starts(stored(texts.mapInArrow(_suffixes(size), schema), "suffixes"))
 
     whole = near.join(dictionary.filter(F.col("_in") > 1).select("_g", "_f"), ["_g", "_f"])
-    whole = whole.select("_id", "_row", F.col("_low").alias("start"), (F.col("_low") + F.col("_more") + size).alias("end"))
+    whole = whole.select("_id", "_row", F.col("_low").alias("start"), (F.col("_low") + (F.col("_more") + 1) * F.col("_times") - 1 + size).alias("end"))
     start = F.col("_first._low") + F.col("_at")
     part = dictionary.filter(F.col("_in") == 1).join(shared, ["_g", "_f"]).select("_first._id", "_first._row", start.alias("start"), (start + F.col("_n") - 1 + size).alias("end"))
-    spans = whole.unionByName(part).groupBy("_id", "_row").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    # Spans that meet are one, before a text's spans come together.
+    joined = whole.unionByName(part)
+    so_far = F.max("end").over(Window.partitionBy("_id", "_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = joined.withColumn("_new", F.when(F.col("start") <= so_far, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(Window.partitionBy("_id", "_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("_id", "_row", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = merged.groupBy("_id", "_row").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     found = stored(spans, "spans")
     for table in (near, dictionary, shared):
         discard(table)
