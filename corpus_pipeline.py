@@ -1,7 +1,9 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes (spark, docs, sf_dir), calls one operator of tidemark.llm and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents, and
+none minds what further columns are called. Rows with equal ids and texts are judged alike; empty tables give
+empty ones.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ TOXIC_FROM = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below TOXIC_FROM, by a lexicon learned from the labels of these documents.
 
-    Null and empty texts stay; without labels everything does.
+    Null and empty texts stay; without labels everything does. Each repeated row is judged by its own text.
     """
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.score(docs, lexicon, F.col("text")) < TOXIC_FROM).select(docs.columns)
@@ -36,25 +38,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with equal ids and texts are one document.
     """
-    found = stored(jaccard.near_duplicates(docs, with_row=True).withColumnRenamed("row", "_row"), "near-duplicates")
-    keyed, both = docs.withColumn("_row", row_key(F.col("text"))), ["doc_id", "_row"]  # rows with a null id are all kept, and match nothing here
-    kept = keyed.join(found.filter(~F.col("kept")).select(both).distinct(), both, "left_anti")
-    repeated = found.groupBy(both).count().filter("count > 1").select(both)
-    if not repeated.limit(1).count():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, both, "left_anti")
-    return once.unionByName(kept.join(repeated, both, "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    found = stored(jaccard.near_duplicates(docs, with_row=True), "near-duplicates")
+    key = [F.col("doc_id").alias("_id"), F.col("row").alias("_key")]
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"))
+    both = ["_id", "_key"]  # rows with a null id are all kept, and match nothing here
+    kept = keyed.join(found.filter(~F.col("kept")).select(key).distinct(), both, "left_anti")
+    repeated = found.groupBy(key).count().filter("count > 1").select(both)
+    if repeated.limit(1).count():
+        once = kept.join(repeated, both, "left_anti")
+        kept = once.unionByName(kept.join(repeated, both, "left_semi").withColumn("_text", F.col("_doc.text")).dropDuplicates(["_id", "_text"]).drop("_text"))
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), with_row=True)
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_hit")).distinct()
-    return docs.join(hit, same(F.col("doc_id"), F.col("_id")) & (row_key(F.col("text")) == F.col("_hit")), "left_anti").select(docs.columns)
+    """Documents that hold no window of a benchmark item. Null and empty texts stay; rows with a null id are judged like others."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), proximity=None, with_row=True)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("_hid"), F.col("row").alias("_hit")).distinct()
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"))
+    kept = keyed.join(hit, same(F.col("_id"), F.col("_hid")) & (F.col("_key") == F.col("_hit")), "left_anti")
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences of at most 1024 tokens."""
+    """The pieces of every document and their places in sequences of at most 1024 tokens.
+
+    Null and empty texts are one piece, the end token; repeated rows are documents of their own.
+    """
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
     return packing.pack(pieces)
 
