@@ -15,10 +15,9 @@ HOT = 1_000
 def _with_least(edges: DataFrame, ends: DataFrame, count: int) -> DataFrame:
     """`edges` (u, v) with _m, the smallest v of their u in `ends`. What belongs to hot nodes is joined where it lies."""
     least = ends.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_in"))
-    limit = max(HOT, count // HOT)
-    hot, other = least.filter(F.col("_in") > limit).select("u", "_m"), least.filter(F.col("_in") <= limit).select("u", "_m")
-    if count <= HOT:
-        return edges.join(other, "u")
+    hot, other = (least.filter(c).select("u", "_m") for c in (F.col("_in") > max(HOT, count // HOT), F.col("_in") <= max(HOT, count // HOT)))
+    if count <= HOT or not hot.limit(1).count():
+        return edges.join(least.select("u", "_m"), "u")
     return edges.join(F.broadcast(hot), "u").unionByName(edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(other, "u"))
 
 

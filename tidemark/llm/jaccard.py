@@ -25,6 +25,8 @@ from .graph import components, least_ids
 
 #: Trees, values of a signature (a byte each), and the shortest prefix that is tried.
 TREES, DEPTH, SHORTEST = 16, 8, 4
+#: Trees by which nodes without a new pair are told early.
+TOLD_BY = 4
 #: Similarities are counted in steps of 1 / STEPS.
 STEPS = 200
 #: Rows, and shingles, of a chunk of a bucket.
@@ -134,12 +136,12 @@ def _bytes(column) -> list[bytes]:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of batches with a few MB of text each, or one longer text."""
+    """Parts of batches with a MB of text each, or one longer text."""
     for batch in batches:
         low, texts = 0, _bytes(batch.column(column))
         while low < len(texts):
             high, total = low, 0
-            while high < len(texts) and (high == low or total + len(texts[high]) <= 1 << 22):
+            while high < len(texts) and (high == low or total + len(texts[high]) <= 1 << 20):
                 total += len(texts[high])
                 high += 1
             yield batch.slice(low, high - low), texts[low:high]
@@ -236,14 +238,15 @@ def _round(forest: DataFrame, classes: DataFrame, depth: int, was: int | None) -
     if was is not None:  # nodes with a single child have no new pair
         met = met.filter(prefix(F.col("_a"), was) != prefix(F.col("_b"), was))
     near = stored(places.drop("_sig").join(met.select("_tree", "_node"), ["_tree", "_node"]).join(classes.select("_rep", "_n", "_keys"), "_rep"), "near")
-    ends = [f(F.get("_keys", F.lit(t))).alias(f"_{n}{t}") for t in range(TREES) for n, f in (("min", F.min), ("max", F.max))]
+    ends = [f(F.get("_keys", F.lit(t))).alias(f"_{n}{t}") for t in range(TOLD_BY) for n, f in (("min", F.min), ("max", F.max))]
     nodes = near.groupBy("_tree", "_node").agg(F.sum("_n").alias("_weight"), F.count(F.lit(1)).alias("_in"), *ends)
 
-    # Nor has one whose members all met in one node of an earlier tree, or of the last round.
+    # Nor has one whose members all met in one node of an earlier tree, or of the last round. A few trees tell
+    # most of these; pairs that met before are left out of the others one by one.
     def shared(t: int, d: int) -> Column:
         return prefix(F.col(f"_min{t}"), d) == prefix(F.col(f"_max{t}"), d)
 
-    known = reduce(lambda a, b: a | b, [(F.col("_tree") > t) & shared(t, depth) for t in range(TREES)] + [shared(t, was) for t in range(TREES) if was is not None])
+    known = reduce(lambda a, b: a | b, [(F.col("_tree") > t) & shared(t, depth) for t in range(TOLD_BY)] + [shared(t, was) for t in range(TOLD_BY) if was is not None])
     nodes = nodes.filter(~known).select("_tree", "_node", "_weight", "_in")
     chunks = F.greatest(F.ceil(F.col("_in") / CHUNK_ROWS), F.ceil(F.col("_weight") / CHUNK_SHINGLES))
     keys = ["_tree", "_node"]
