@@ -73,8 +73,13 @@ def index(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.select("_id", "_row", F.size("_w").cast("long").alias("n_words"), posts.alias("_posts"))
 
 
+def _bits(terms: Column) -> Column:
+    """A long with a bit set for each term of an array of (term, ...), by its hash."""
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(p["term"]), F.lit(64)).cast("int"))))
+
+
 def anchors(indexed: DataFrame, wins: DataFrame, proximity: float | None = None, size: int = 10) -> DataFrame:
-    """(_win, _lists, _need, _term, _rank): windows by the terms whose postings are looked up for them.
+    """(_win, _lists, _need, _set, _least, _term, _rank): windows by the terms whose postings are looked up for them.
 
     `_lists` has (n, off, term) of all places of the window, the rarest in the index first, then by offset.
     The term of rank 0 is the first of them. With `proximity`, windows of `size` words have as many more of
@@ -88,8 +93,9 @@ def anchors(indexed: DataFrame, wins: DataFrame, proximity: float | None = None,
     terms = F.array_distinct(F.transform("_lists", lambda p: p["term"]))
     need = F.lit(None).cast("int") if proximity is None else F.when(F.size("_win") >= size, F.ceil(F.size(terms) * F.lit(proximity) - 1e-9).cast("int"))
     more = listed.withColumns({"_need": need, "_terms": terms})
-    taken = more.withColumn("_taken", F.coalesce(F.size("_terms") - F.col("_need") + 1, F.lit(1)))
-    return taken.select("_win", "_lists", "_need", F.posexplode(F.slice(F.col("_terms"), F.lit(1), F.col("_taken"))).alias("_rank", "_term"))
+    taken = more.withColumns({"_taken": F.coalesce(F.size("_terms") - F.col("_need") + 1, F.lit(1)), "_set": _bits(F.col("_lists"))})
+    least = F.bit_count("_set") - F.size("_terms") + F.coalesce("_need", F.size("_terms"))  # a term that is not there takes one bit at most
+    return taken.select("_win", "_lists", "_need", "_set", least.alias("_least"), F.posexplode(F.slice(F.col("_terms"), F.lit(1), F.col("_taken"))).alias("_rank", "_term"))
 
 
 def matches(indexed: DataFrame, chosen: DataFrame, size: int = 10, slack: int = SLACK, broadcast: bool = False) -> DataFrame:
@@ -106,23 +112,26 @@ def matches(indexed: DataFrame, chosen: DataFrame, size: int = 10, slack: int =
         return F.when(_marked(p["term"], bits), F.struct(p["term"].alias("_term"), p["at"].alias("at"), F.slice(F.col("_posts"), low + 1, k - low + reach + 1).alias("near")))
 
     posts = indexed.select("_id", "_row", F.inline(F.filter(F.transform("_posts", around), lambda x: x.isNotNull())))
-    both = posts.join(F.broadcast(chosen) if broadcast else chosen, "_term")
+    posts = posts.withColumn("_around", _bits(F.col("near")))
+    both = posts.join(F.broadcast(chosen) if broadcast else chosen, "_term").filter(F.bit_count(F.col("_around").bitwiseAND(F.col("_set"))) >= F.col("_least"))
 
     def shifted(p: Column) -> Column:
         return F.transform(F.filter("near", lambda q: q["term"] == p["term"]), lambda q: q["at"] - p["off"])
 
+    # What the bits left is worked out once, in a generated row.
+    some = both.filter(F.col("_need").isNull() | (F.size(F.array_intersect("_win", F.col("near.term"))) >= F.col("_need")))
     # The anchor's own list gives one start; the others' lists are intersected with it from the rarest on.
     first = F.array(F.col("at") - F.get(F.col("_lists"), F.lit(0))["off"])
     starts = F.when(F.col("_rank") == 0, F.aggregate("_lists", first, lambda acc, p: F.when(F.size(acc) > 0, F.array_intersect(acc, shifted(p))).otherwise(acc)))
-    own = F.filter("near", lambda q: F.array_contains("_win", q["term"]) & (q["at"] >= F.col("at") - reach) & (q["at"] <= F.col("at") + reach))
 
     def held(low: Column) -> Column:
-        return F.size(F.array_distinct(F.transform(F.filter("_own", lambda q: (q["at"] >= low) & (q["at"] <= low + reach)), lambda q: q["term"])))
+        inside = F.filter("near", lambda q: (q["at"] >= low) & (q["at"] <= low + reach))
+        return F.size(F.array_intersect("_win", F.transform(inside, lambda q: q["term"])))
 
-    spans = F.transform(F.filter("_own", lambda q: q["at"] <= F.col("at")), lambda q: q["at"])
-    near = F.when(F.size("_own") < F.col("_need"), False).otherwise(F.exists(spans, lambda low: held(low) >= F.col("_need")))
-    judged = both.withColumns({"start": F.get(starts, F.lit(0)), "_own": F.when(F.col("_need").isNotNull(), own)}).withColumn("near", F.coalesce(near, F.lit(False)))
-    return judged.filter(F.col("start").isNotNull() | F.col("near")).select("_id", "_row", "_win", "start", F.size("_win").alias("length"), "near").distinct()
+    lows = F.filter("near", lambda q: (q["at"] <= F.col("at")) & (q["at"] >= F.col("at") - reach) & F.array_contains("_win", q["term"]))
+    near = F.coalesce(F.exists(lows, lambda q: held(q["at"]) >= F.col("_need")), F.lit(False))
+    judged = F.array(F.struct(F.get(starts, F.lit(0)).alias("start"), F.size("_win").alias("length"), near.alias("near")))
+    return some.select("_id", "_row", "_win", F.inline(F.filter(judged, lambda x: x["start"].isNotNull() | x["near"]))).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, proximity: float | None = PROXIMITY, slack: int = SLACK, with_row: bool = False) -> DataFrame:
