@@ -4,24 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "t": T.TimestampType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.split(":") for f in spec.split())])
-
-
-_AUDIT = " status:s metadata:s created_at:t updated_at:t"
+#: The columns of the tables, as schemas for createDataFrame and readers.
 TABLES = {
-    "brokers": _struct("broker_id:l broker_uuid:s name:s broker_type:s server:s host:s port:l description:s login:s password_encrypted:s" + _AUDIT),
-    "currencies": _struct("currency_id:l currency_uuid:s code:s name:s currency_type:s symbol:s iso_number:l decimals:l description:s" + _AUDIT),
-    "timeframes": _struct("timeframe_id:l timeframe_uuid:s name:s seconds:l sort_order:l description:s category:s" + _AUDIT),
-    "markets": _struct("market_id:l broker_id:l symbol:s canonical_symbol:s market_type:s description:s base_currency:s quote_currency:s pip_size:d point:d digits:l contract_size:d name:s category:s active:l spread:d trade_mode:l" + _AUDIT),
-    "symbol_aliases": _struct("alias_id:l alias:s canonical_symbol:s asset_class:s description:s" + _AUDIT),
-    "candles": _struct("candle_id:l candle_uuid:s symbol:s timeframe:s timestamp:t open:d high:d low:d close:d volume:d market_id:l broker_id:l spread:d tick_volume:l" + _AUDIT),
-    "ticks": _struct("tick_id:l tick_uuid:s symbol:s timestamp:t bid:d ask:d last:d volume:d flags:l market_id:l broker_id:l" + _AUDIT),
-    "sync_status": _struct("market_id:l timeframe:s status:s last_synced:t last_candle_time:t candles_count:l error_message:s"),
+    "brokers": (
+        "broker_id long, broker_uuid string, name string, broker_type string, server string, host string, port long, description string, "
+        "login string, password_encrypted string, status string, metadata string, created_at timestamp, updated_at timestamp"
+    ),
+    "currencies": (
+        "currency_id long, currency_uuid string, code string, name string, currency_type string, symbol string, iso_number long, decimals long, "
+        "description string, status string, metadata string, created_at timestamp, updated_at timestamp"
+    ),
+    "timeframes": (
+        "timeframe_id long, timeframe_uuid string, name string, seconds long, sort_order long, description string, category string, status string, "
+        "metadata string, created_at timestamp, updated_at timestamp"
+    ),
+    "markets": (
+        "market_id long, broker_id long, symbol string, canonical_symbol string, market_type string, description string, base_currency string, quote_currency string, "
+        "pip_size double, point double, digits long, contract_size double, name string, category string, active long, spread double, "
+        "trade_mode long, status string, metadata string, created_at timestamp, updated_at timestamp"
+    ),
+    "symbol_aliases": (
+        "alias_id long, alias string, canonical_symbol string, asset_class string, description string, status string, metadata string, created_at timestamp, "
+        "updated_at timestamp"
+    ),
+    "candles": (
+        "candle_id long, candle_uuid string, symbol string, timeframe string, timestamp timestamp, open double, high double, low double, "
+        "close double, volume double, market_id long, broker_id long, spread double, tick_volume long, status string, metadata string, "
+        "created_at timestamp, updated_at timestamp"
+    ),
+    "ticks": (
+        "tick_id long, tick_uuid string, symbol string, timestamp timestamp, bid double, ask double, last double, volume double, "
+        "flags long, market_id long, broker_id long, status string, metadata string, created_at timestamp, updated_at timestamp"
+    ),
+    "sync_status": (
+        "market_id long, timeframe string, status string, last_synced timestamp, last_candle_time timestamp, candles_count long, error_message string"
+    ),
 }
 #: Columns that tell rows of a table apart.
 KEYS = {
