@@ -11,7 +11,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import sys
 import unicodedata
 import uuid
 from collections import Counter
@@ -37,14 +36,24 @@ LATIN_TEXT = re.compile(rf"{SUFFIXES}|[{LETTERS}]+|[0-9]|[^{SPACES}{LETTERS}0-9]
 NOT_LATIN = re.compile("[²³¹¼½¾ɐ-\U0010ffff]")
 
 
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 @functools.cache
-def unassigned() -> re.Pattern:
-    """The code points that Python's Unicode tables do not know. A newer library may, so it splits texts with any."""
-    known = np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+def _unassigned() -> re.Pattern:
+    """The code points up to U+FFFF that Python's Unicode tables do not know; classes with more are slow."""
+    known = np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(1 << 16)), bool, 1 << 16)
     edges = np.flatnonzero(np.diff(np.concatenate([[True], known, [True]]).astype(np.int8)))
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
 
 
+def is_known(text: str) -> bool:
+    """Whether Python's Unicode tables know all code points. A newer library may know more, so it splits the other texts."""
+    if not NOT_LATIN.search(text):
+        return True
+    return not _unassigned().search(text) and all(unicodedata.category(c) != "Cn" for c in set(_BEYOND.findall(text)))
+
+
 def pre_tokens(text: str) -> list[str]:
     """The normalised pre-tokens of a text without special strings and unassigned code points."""
     if text.isascii():
@@ -73,7 +82,7 @@ class Splitter:
         return self.special.split(text) if "<|" in text else [text]
 
     def words(self, part: str) -> list[str]:
-        if part.isascii() or not unassigned().search(part):
+        if part.isascii() or is_known(part):
             return pre_tokens(part)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
 
