@@ -367,12 +367,12 @@ def test_every_piece_is_packed_once(spark):
 
 
 def test_underfull_bins_are_merged_round_by_round(spark):
-    data = [(i, 0, 0, 350 + i % 40, i) for i in range(400)]
+    data = [(i, 0, 0, 120 + i % 5, i) for i in range(400)]  # about 48 bins by volume; 200 after the first round
     pieces = spark.createDataFrame(data, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(200)
     rows = packing.pack(pieces).collect()
     assert sorted(r["ids_crc32"] for r in rows) == list(range(400))
-    assert check_packed(rows) <= 205
-    assert max(r["sequence_id"] >> 56 for r in rows) >= 2
+    assert check_packed(rows) <= 60
+    assert max(r["sequence_id"] >> 56 for r in rows) >= 1  # the few small files of the first round make one partition
 
 
 def test_packing_nothing_and_repeats(spark):
