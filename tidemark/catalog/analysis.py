@@ -41,7 +41,11 @@ def per_class_metrics(spark, d):
     return metrics.per_class(predictions_of(spark, d).filter("y IS NOT NULL AND p IS NOT NULL"))
 
 
-@query("averaged_metrics")
+_CLASSES = "c AS (SELECT y AS label FROM pred UNION SELECT p FROM pred), k AS (SELECT label, (SELECT count(*) FROM pred WHERE y = label) AS support, (SELECT count(*) FROM pred WHERE p = label) AS named, (SELECT count(*) FROM pred WHERE y = label AND p = label) AS hit FROM c), s AS (SELECT support, CASE WHEN named > 0 THEN hit / named ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall FROM k), t AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM s)"
+_AVERAGES = [f"{kind}_{c}" for kind in ("macro", "weighted") for c in ("precision", "recall", "f1")]
+
+
+@query("averaged_metrics", f"WITH {PREDICTIONS_SQL}, {_CLASSES} SELECT {', '.join(f'avg({c}) AS macro_{c}, sum({c} * support) / sum(support) AS weighted_{c}' for c in ('precision', 'recall', 'f1'))} FROM t", "", " ".join(_AVERAGES))
 def averaged_metrics(spark, d):
     return metrics.averaged(metrics.per_class(predictions_of(spark, d)))
 
@@ -61,12 +65,15 @@ def log_loss(spark, d):
     return metrics.log_loss(predictions_of(spark, d).filter("s IS NOT NULL"))
 
 
-@query("calibration_bins", f"WITH {PREDICTIONS_SQL}, b AS (SELECT least(9, floor(s * 10))::INT AS bin, s, y FROM pred WHERE s IS NOT NULL) SELECT g.bin, count(b.s) AS n, coalesce(avg(b.s), (g.bin + 0.5) / 10) AS mean_probability, coalesce(avg(CASE WHEN b.s IS NOT NULL THEN (b.y = 1)::INT END), 0) AS positive_share FROM (SELECT unnest(range(10))::INT AS bin) g LEFT JOIN b USING (bin) GROUP BY g.bin", "bin n", "mean_probability positive_share")
+_BINS = f"WITH {PREDICTIONS_SQL}, b AS (SELECT least(9, floor(s * 10))::INT AS bin, s, y FROM pred WHERE s IS NOT NULL) SELECT g.bin, count(b.s) AS n, coalesce(avg(b.s), (g.bin + 0.5) / 10) AS mean_probability, coalesce(avg(CASE WHEN b.s IS NOT NULL THEN (b.y = 1)::INT END), 0) AS positive_share FROM (SELECT unnest(range(10))::INT AS bin) g LEFT JOIN b USING (bin) GROUP BY g.bin"
+
+
+@query("calibration_bins", _BINS, "bin n", "mean_probability positive_share")
 def calibration_bins(spark, d):
     return metrics.calibration(predictions_of(spark, d))
 
 
-@query("calibration_error")
+@query("calibration_error", f"SELECT avg(abs(mean_probability - positive_share)) AS mean_gap, sum(abs(mean_probability - positive_share) * n) / sum(n) AS weighted_gap FROM ({_BINS}) WHERE n > 0", "", "mean_gap weighted_gap")
 def calibration_error(spark, d):
     return metrics.calibration_error(metrics.calibration(predictions_of(spark, d)))
 
@@ -157,12 +164,15 @@ def gamma(spark, d):
     return correlation.gamma(correlation.returns_by_position(hourly(spark, d)))
 
 
-@query("best_lag", C("SELECT a, b, lag, n, r FROM (SELECT p.symbol AS a, q.symbol AS b, l.lag, count(*) AS n, corr(p.x, q.x) AS r FROM rr p, (SELECT unnest(range(-10, 11))::INT AS lag) l JOIN rr q ON q.pos = p.pos - l.lag AND p.symbol < q.symbol GROUP BY ALL HAVING count(*) >= 30) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(abs(r), 12) DESC, lag) = 1", _RETURNS), "a b lag n", "r")
+_BEST_LAG = C("SELECT a, b, lag, n, r FROM (SELECT p.symbol AS a, q.symbol AS b, l.lag, count(*) AS n, corr(p.x, q.x) AS r FROM rr p, (SELECT unnest(range(-10, 11))::INT AS lag) l JOIN rr q ON q.pos = p.pos - l.lag AND p.symbol < q.symbol GROUP BY ALL HAVING count(*) >= 30) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(abs(r), 12) DESC, lag) = 1", _RETURNS)
+
+
+@query("best_lag", _BEST_LAG, "a b lag n", "r")
 def best_lag(spark, d):
     return correlation.best_lag(correlation.returns_by_position(hourly(spark, d)))
 
 
-@query("leading_symbols")
+@query("leading_symbols", f"SELECT *, CASE WHEN lag > 0 THEN a ELSE b END AS leader FROM ({_BEST_LAG}) WHERE lag <> 0", "a b lag n leader", "r")
 def leading_symbols(spark, d):
     return correlation.leading(best_lag(spark, d))
 

@@ -80,14 +80,18 @@ UNION ALL SELECT symbol, ts, 'marubozu', CASE WHEN close > open THEN 'bullish' W
 UNION ALL SELECT symbol, ts, 'spinning_top', 'neutral', 0.5 FROM w WHERE high > low AND abs(close - open) / (high - low) > 0.3 AND abs(close - open) / (high - low) < 0.6
 UNION ALL SELECT symbol, ts, 'engulfing', CASE WHEN close > open THEN 'bullish' ELSE 'bearish' END, CASE WHEN abs(close - open) > 1.5 * abs(pc - po) THEN 0.85 ELSE 0.7 END FROM w WHERE (pc < po AND close > open AND open < pc AND close > po) OR (pc > po AND close < open AND open > pc AND close < po)
 UNION ALL SELECT symbol, ts, 'three_white_soldiers', 'bullish', 0.8 FROM w WHERE close > pc AND pc > pc2 AND (close - open) > 0.5 * (high - low) AND (pc - po) > 0.5 * (ph - pl) AND (pc2 - po2) > 0.5 * (ph2 - pl2) AND high > low AND ph > pl AND ph2 > pl2
+UNION ALL SELECT symbol, ts, 'hammer', 'bullish', CASE WHEN i <= 5 THEN 0.6 WHEN move < -0.005 THEN 0.75 ELSE 0.55 END FROM w WHERE high > low AND abs(close - open) / (high - low) < 0.3 AND (least(open, close) - low) / (high - low) > 0.6 AND (high - greatest(open, close)) / (high - low) < 0.1
+UNION ALL SELECT symbol, ts, 'shooting_star', 'bearish', CASE WHEN i <= 5 THEN 0.6 WHEN move > 0.005 THEN 0.75 ELSE 0.55 END FROM w WHERE high > low AND abs(close - open) / (high - low) < 0.3 AND (high - greatest(open, close)) / (high - low) > 0.6 AND (least(open, close) - low) / (high - low) < 0.1
+UNION ALL SELECT symbol, ts, 'harami', CASE WHEN close > open THEN 'bullish' ELSE 'bearish' END, 0.65 FROM w WHERE greatest(open, close) < greatest(po, pc) AND least(open, close) > least(po, pc) AND ((pc < po AND close > open) OR (pc > po AND close < open))
+UNION ALL SELECT symbol, ts, 'three_black_crows', 'bearish', 0.8 FROM w WHERE close < pc AND pc < pc2 AND (open - close) > 0.5 * (high - low) AND (po - pc) > 0.5 * (ph - pl) AND (po2 - pc2) > 0.5 * (ph2 - pl2) AND high > low AND ph > pl AND ph2 > pl2
 UNION ALL SELECT symbol, ts, 'trend', CASE WHEN (slope > 0 AND slope > 1.5 * slope4) OR (slope < 0 AND slope < 1.5 * slope4) THEN 'continuation' WHEN slope > 0 THEN 'bullish' ELSE 'bearish' END, CASE WHEN (slope > 0 AND slope > 1.5 * slope4) OR (slope < 0 AND slope < 1.5 * slope4) THEN 0.7 ELSE 0.6 END FROM w WHERE i >= 5 AND abs(slope) > 0.5)""",
-    f"n AS (SELECT *, row_number() OVER ({SERIES_SQL}) AS i FROM candles), w AS (SELECT *, {lag_sql('open')} AS po, {lag_sql('close')} AS pc, {lag_sql('high')} AS ph, {lag_sql('low')} AS pl, {lag_sql('open', 2)} AS po2, {lag_sql('close', 2)} AS pc2, {lag_sql('high', 2)} AS ph2, {lag_sql('low', 2)} AS pl2, regr_slope(close, i) OVER {over(5)} AS slope, regr_slope(close, i) OVER ({SERIES_SQL} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS slope4 FROM n)",
+    f"n AS (SELECT *, row_number() OVER ({SERIES_SQL}) AS i FROM candles), w AS (SELECT *, {lag_sql('open')} AS po, {lag_sql('close')} AS pc, {lag_sql('high')} AS ph, {lag_sql('low')} AS pl, {lag_sql('open', 2)} AS po2, {lag_sql('close', 2)} AS pc2, {lag_sql('high', 2)} AS ph2, {lag_sql('low', 2)} AS pl2, regr_slope(close, i) OVER {over(5)} AS slope, {_div(f'{lag_sql("close")} - {lag_sql("close", 5)}', lag_sql('close', 5), '0.0')} AS move, regr_slope(close, i) OVER ({SERIES_SQL} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS slope4 FROM n)",
 )
 
 
 @query("pattern_detections", _PATTERN_SQL, "symbol pattern direction", "confidence", "ts")
 def pattern_detections(spark, d):
-    return patterns.patterns.detect(hourly(spark, d), ["doji", "marubozu", "spinning_top", "engulfing", "three_white_soldiers", "trend"])
+    return patterns.patterns.detect(hourly(spark, d))
 
 
 @query("pattern_summary", f"SELECT pattern, direction, count(*) AS n, avg(confidence) AS confidence FROM ({_PATTERN_SQL}) GROUP BY pattern, direction", "pattern direction n", "confidence")
@@ -95,7 +99,7 @@ def pattern_summary(spark, d):
     return patterns.summary(pattern_detections(spark, d))
 
 
-@query("patterns_latest")
+@query("patterns_latest", f"SELECT * FROM ({_PATTERN_SQL}) SEMI JOIN (SELECT event_type AS symbol, date_trunc('hour', max(ts)) AS ts FROM events GROUP BY event_type) USING (symbol, ts)", "symbol pattern direction", "confidence", "ts")
 def patterns_latest(spark, d):
     return patterns.patterns.detect(hourly(spark, d), latest=True)
 
@@ -197,22 +201,40 @@ def atr(spark, d):
     return recursive.atr(hourly(spark, d))
 
 
+def _ema_sql(name: str, source: str, value: str, period: int, first: int = 1, alpha: str | None = None) -> str:
+    """A smoothing of one column of rows numbered by i, as a recursive table name(symbol, i, y)."""
+    last, a = first + period - 1, alpha or f"(2.0::DOUBLE / {period + 1})"
+    return f"{name} AS (SELECT symbol, {last}::BIGINT AS i, avg({value}) AS y FROM ({source}) WHERE i BETWEEN {first} AND {last} GROUP BY symbol HAVING count(*) = {period} UNION ALL SELECT n.symbol, n.i, {a} * n.{value} + (1 - {a}) * e.y FROM {name} e JOIN ({source}) n ON n.symbol = e.symbol AND n.i = e.i + 1)"
+
+
+def _recursive(body: str, tables: str) -> str:
+    """SQL over b, the numbered candles with their true range, and recursive tables."""
+    return with_candles(body, f"b AS (SELECT *, row_number() OVER ({SERIES_SQL}) AS i FROM ({_TR})), {tables}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("rsi", with_candles("SELECT n.symbol, n.ts, CASE WHEN e.g = 0 AND e.l = 0 THEN 50 WHEN e.l = 0 THEN 100 ELSE 100 - 100 / (1 + e.g / e.l) END AS rsi_14 FROM n LEFT JOIN e ON n.symbol = e.symbol AND n.i = e.i", f"n AS (SELECT *, row_number() OVER ({SERIES_SQL}) AS i, greatest(close - {lag_sql('close')}, 0) AS gain, greatest({lag_sql('close')} - close, 0) AS loss FROM candles), e AS (SELECT symbol, 15::BIGINT AS i, avg(gain) AS g, avg(loss) AS l FROM n WHERE i BETWEEN 2 AND 15 GROUP BY symbol HAVING count(*) = 14 UNION ALL SELECT n.symbol, n.i, (e.g * 13 + n.gain) / 14, (e.l * 13 + n.loss) / 14 FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)").replace("WITH ", "WITH RECURSIVE ", 1), "symbol", "rsi_14", "ts")
 def rsi(spark, d):
     return recursive.rsi(hourly(spark, d))
 
 
-@query("macd")
+_MACD = f"{_ema_sql('f', 'SELECT * FROM b', 'close', 12)}, {_ema_sql('g', 'SELECT * FROM b', 'close', 26)}, l AS (SELECT b.symbol, b.i, f.y - g.y AS line FROM b JOIN f USING (symbol, i) JOIN g USING (symbol, i)), {_ema_sql('h', 'SELECT * FROM l', 'line', 9, 26)}"
+
+
+@query("macd", _recursive(f"SELECT b.symbol, b.ts, l.line AS macd, h.y AS macd_signal, l.line - h.y AS macd_histogram FROM b LEFT JOIN l USING (symbol, i) LEFT JOIN h USING (symbol, i)", _MACD), "symbol", "macd macd_signal macd_histogram", "ts")
 def macd(spark, d):
     return recursive.macd(hourly(spark, d))
 
 
-@query("adx")
+_DM = f"m AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS plus, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS minus FROM (SELECT *, high - lag(high) OVER ({SERIES_SQL}) AS up, lag(low) OVER ({SERIES_SQL}) - low AS dn FROM b))"
+_ADX = f"{_DM}, {', '.join(_ema_sql(n, 'SELECT * FROM m', x, 14, 1, '(1.0 / 14)') for n, x in (('f', 'tr'), ('g', 'plus'), ('h', 'minus')))}, l AS (SELECT symbol, i, 100 * g.y / f.y AS p, 100 * h.y / f.y AS q FROM f JOIN g USING (symbol, i) JOIN h USING (symbol, i)), x AS (SELECT *, 100 * abs(p - q) / (p + q) AS dx FROM l), {_ema_sql('k', 'SELECT * FROM x', 'dx', 14, 14, '(1.0 / 14)')}"
+
+
+@query("adx", _recursive("SELECT b.symbol, b.ts, l.p AS plus_di, l.q AS minus_di, k.y AS adx_14 FROM b LEFT JOIN l USING (symbol, i) LEFT JOIN k USING (symbol, i)", _ADX), "symbol", "plus_di minus_di adx_14", "ts")
 def adx(spark, d):
     return recursive.adx(hourly(spark, d))
 
 
-@query("keltner")
+@query("keltner", _recursive("SELECT b.symbol, b.ts, f.y AS keltner_mid, f.y + 2 * g.y AS keltner_upper, f.y - 2 * g.y AS keltner_lower, 4 * g.y / f.y AS keltner_width, CASE WHEN g.y <> 0 THEN (b.close - (f.y - 2 * g.y)) / (4 * g.y) END AS keltner_position FROM b LEFT JOIN f USING (symbol, i) LEFT JOIN g USING (symbol, i)", f"{_ema_sql('f', 'SELECT * FROM b', 'close', 20)}, {_ema_sql('g', 'SELECT * FROM b', 'tr', 20)}"), "symbol", "keltner_mid keltner_upper keltner_lower keltner_width keltner_position", "ts")
 def keltner(spark, d):
     return recursive.keltner(hourly(spark, d))
 
@@ -251,7 +273,10 @@ def monthly_profile(spark, d):
     return profiles.monthly_profile(hourly(spark, d))
 
 
-@query("pattern_profile")
+_AHEAD = f"a AS (SELECT symbol, ts, {_div(f'lead(close, 5) OVER ({SERIES_SQL}) - close', 'close')} AS ahead FROM candles), o AS (SELECT p.pattern, CASE WHEN p.direction = 'bearish' THEN -1 ELSE 1 END * a.ahead AS result FROM ({_PATTERN_SQL}) p JOIN a USING (symbol, ts) WHERE a.ahead IS NOT NULL), g AS (SELECT pattern, count(*) AS n, avg((result > 0)::INT) AS success_rate, coalesce(avg(result) FILTER (result > 0), 0) AS avg_win, coalesce(avg(result) FILTER (NOT result > 0), 0) AS avg_loss FROM o GROUP BY pattern)"
+
+
+@query("pattern_profile", C(f"SELECT *, 5 AS avg_hold, least(1, n / 100 * success_rate) AS confidence, success_rate * avg_win + (1 - success_rate) * avg_loss AS expectancy, {_div('avg_win', 'abs(avg_loss)', '0')} AS win_loss_ratio FROM g", _AHEAD), "pattern n", "success_rate avg_win avg_loss avg_hold confidence expectancy win_loss_ratio")
 def pattern_profile(spark, d):
     rows = hourly(spark, d)
     return profiles.pattern_profile(profiles.outcomes_of(patterns.patterns.detect(rows), rows))

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..functions import windows as W
 from ..operators import asof, cleaning, joins, quality, resample, scaling, splits
 from ..schema import candles
-from .base import CANDLES_SQL, SERIES_SQL, TIMEFRAMES_SQL, hourly, lag_sql, query, read, ticks, with_candles
+from .base import CANDLES_SQL, SERIES_SQL, TIMEFRAMES_SQL, full_sql, hourly, lag_sql, query, read, ticks, with_candles
 
 C = with_candles
 
@@ -128,7 +128,7 @@ def resample_mean(spark, d):
     return resample.by_calendar(hourly(spark, d), "D1", "mean")
 
 
-@query("resample_interpolated")
+@query("resample_interpolated", C(f"SELECT symbol, ts + to_seconds(k * 900) AS ts, close + (coalesce(nx, close) - close) * k / n AS close, 4 AS per_source FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT symbol, ts, close, lead(close) OVER ({SERIES_SQL}) AS nx, coalesce(greatest(1, date_diff('second', ts, lead(ts) OVER ({SERIES_SQL})) // 900), 1) AS n FROM candles))"), "symbol", "close per_source", "ts")
 def resample_interpolated(spark, d):
     return resample.interpolated(hourly(spark, d), "H1", "M15")
 
@@ -187,12 +187,18 @@ def outliers_drop(spark, d):
     return cleaning.handle_outliers(hourly(spark, d), ["close"], "drop", 1.5)
 
 
-@query("quality_issues", C(f"SELECT symbol, issue, count(*) AS n FROM (SELECT symbol, unnest(list_filter([CASE WHEN high = low THEN 'zero_range' END, CASE WHEN close <> 0 AND (high - low) / close > 0.05 THEN 'wide_range' END, CASE WHEN n >= 10 AND volume > 10 * med THEN 'volume_spike' END, CASE WHEN least(open, high, low, close) < 1e-4 THEN 'out_of_range' END, CASE WHEN gap > 3 * mg AND gap > 10 THEN 'long_gap' END], lambda x: x IS NOT NULL)) AS issue FROM (SELECT *, quantile_cont(volume, 0.5) OVER p AS med, count(*) OVER p AS n, avg(CASE WHEN gap > 0 THEN gap END) OVER p AS mg FROM (SELECT *, date_diff('second', {lag_sql('ts')}, ts) AS gap FROM candles) WINDOW p AS (PARTITION BY symbol, timeframe))) GROUP BY symbol, issue"), "symbol issue n")
+_ISSUES = f"SELECT symbol, issue, count(*) AS n FROM (SELECT symbol, unnest(list_filter([CASE WHEN high = low THEN 'zero_range' END, CASE WHEN close <> 0 AND (high - low) / close > 0.05 THEN 'wide_range' END, CASE WHEN n >= 10 AND volume > 10 * med THEN 'volume_spike' END, CASE WHEN least(open, high, low, close) < 1e-4 THEN 'out_of_range' END, CASE WHEN gap > 3 * mg AND gap > 10 THEN 'long_gap' END], lambda x: x IS NOT NULL)) AS issue FROM (SELECT *, quantile_cont(volume, 0.5) OVER p AS med, count(*) OVER p AS n, avg(CASE WHEN gap > 0 THEN gap END) OVER p AS mg FROM (SELECT *, date_diff('second', {lag_sql('ts')}, ts) AS gap FROM candles) WINDOW p AS (PARTITION BY symbol, timeframe))) GROUP BY symbol, issue"
+
+
+@query("quality_issues", C(_ISSUES), "symbol issue n")
 def quality_issues(spark, d):
     return quality.issue_counts(quality.issues(hourly(spark, d), "strict"))
 
 
-@query("quality_comprehensive")
+_MORE_ISSUES = f"SELECT symbol, unnest(list_filter([CASE WHEN abs(z) > 3 THEN 'extreme_close' END, CASE WHEN again THEN 'repeated_bar' END, CASE WHEN close <> 0 AND span / close < 5e-4 THEN 'flat_price' END], lambda x: x IS NOT NULL)) AS issue FROM (SELECT *, CASE WHEN stddev_samp(close) OVER p <> 0 THEN (close - avg(close) OVER p) / stddev_samp(close) OVER p ELSE 0 END AS z, open = {lag_sql('open')} AND high = {lag_sql('high')} AND low = {lag_sql('low')} AND close = {lag_sql('close')} AS again, {full_sql('max', 'high', 10)} - {full_sql('min', 'low', 10)} AS span FROM candles WINDOW p AS (PARTITION BY symbol, timeframe))"
+
+
+@query("quality_comprehensive", C(f"SELECT * FROM ({_ISSUES}) UNION ALL SELECT symbol, issue, count(*) AS n FROM ({_MORE_ISSUES}) GROUP BY symbol, issue"), "symbol issue n")
 def quality_comprehensive(spark, d):
     return quality.issue_counts(quality.issues(hourly(spark, d), "comprehensive"))
 

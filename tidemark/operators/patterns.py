@@ -52,15 +52,27 @@ def pattern_flags(candles: DataFrame, fractal: int = 2) -> DataFrame:
 
 
 Detector = Callable[[DataFrame], DataFrame]
+#: Where a pattern is, its direction and its confidence, as columns over the helper columns of `prepared`.
+Shape = Callable[[], tuple[Column, Column, Column]]
 
 
 class Patterns:
-    """Named detectors. Each takes candles with the helper columns of `prepared` and returns rows of them with direction and confidence."""
+    """Named detectors, of two kinds: shapes, which are looked for on one row of `prepared`, and functions of all its rows."""
 
     def __init__(self):
+        self.shapes: dict[str, Shape] = {}
         self.detectors: dict[str, Detector] = {}
 
+    def shape(self, name: str):
+        def add(f: Shape) -> Shape:
+            self.shapes[name] = f
+            return f
+
+        return add
+
     def register(self, name: str):
+        """Adds a function that takes the rows of `prepared` and returns those with the pattern, with direction and confidence."""
+
         def add(f: Detector) -> Detector:
             self.detectors[name] = f
             return f
@@ -70,14 +82,24 @@ class Patterns:
     def detect(self, candles: DataFrame, names: list[str] | None = None, least: float = 0.5, latest: bool = False) -> DataFrame:
         """(symbol, timeframe, ts, pattern, direction, confidence) of the patterns found with a confidence of `least` or more.
 
-        All detectors share one pass of windows over the candles. With `latest`, only those on the last candle of each series.
+        All shapes are looked for in one pass: each candle has an array of what was found, which is exploded. A
+        registered function adds a pass of its own. With `latest`, only those on the last candle of each series.
         """
         rows = prepared(candles)
         if latest:
             rows = rows.filter(F.col("_from_end") == 1)
-        chosen = names or sorted(self.detectors)
-        found = [self.detectors[n](rows).select("symbol", "timeframe", "ts", F.lit(n).alias("pattern"), "direction", "confidence") for n in chosen]
-        return reduce(DataFrame.unionByName, found).filter(F.col("confidence") >= least)
+        chosen = names or sorted(self.shapes | self.detectors)
+        parts = []
+        shapes = [n for n in chosen if n in self.shapes]
+        if shapes:
+            found = F.array_compact(F.array(*[_found(n, *self.shapes[n]()) for n in shapes]))
+            parts.append(rows.select("symbol", "timeframe", "ts", F.explode(found).alias("_f")).select("symbol", "timeframe", "ts", "_f.*"))
+        parts += [self.detectors[n](rows).select("symbol", "timeframe", "ts", F.lit(n).alias("pattern"), "direction", "confidence") for n in chosen if n not in self.shapes]
+        return reduce(DataFrame.unionByName, parts).filter(F.col("confidence") >= least)
+
+
+def _found(name: str, where: Column, direction: Column, confidence: Column) -> Column:
+    return F.when(where, F.struct(F.lit(name).alias("pattern"), direction.alias("direction"), confidence.cast("double").alias("confidence")))
 
 
 def prepared(candles: DataFrame) -> DataFrame:
@@ -106,99 +128,89 @@ def prepared(candles: DataFrame) -> DataFrame:
 patterns = Patterns()
 
 
-def _as(direction, confidence) -> dict[str, Column]:
-    def lit(x):
-        return x if isinstance(x, Column) else F.lit(x)
-
-    return {"direction": lit(direction), "confidence": lit(confidence).cast("double")}
-
-
 def _share(x: str) -> Column:
-    return F.col(x) / F.col("_size")
-
-
-def _ranged(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("_size") > 0)
+    """A part of the candle as a share of its range; null without a range."""
+    return F.col(x) / F.when(F.col("_size") > 0, F.col("_size"))
 
 
 def _trend_side() -> Column:
     return F.when(F.col("close") > F.col("open"), "bullish").when(F.col("close") < F.col("open"), "bearish").otherwise("neutral")
 
 
-@patterns.register("doji")
-def doji(rows: DataFrame) -> DataFrame:
-    rose = F.col("close") > F.col("_c1")
-    direction = F.when(F.col("_i") == 0, "neutral").when(rose, "bullish").otherwise("bearish")
-    return _ranged(rows).filter(_share("_body") < 0.1).withColumns(_as(direction, F.when(F.col("_i") == 0, 0.5).when(rose, 0.65).otherwise(0.55)))
+# Fixed values in the shapes below: limits of shares and slopes, and confidences.
+
+
+@patterns.shape("doji")
+def doji():
+    first, rose = F.col("_i") == 0, F.col("close") > F.col("_c1")
+    return _share("_body") < 0.1, F.when(first, "neutral").when(rose, "bullish").otherwise("bearish"), F.when(first, 0.5).when(rose, 0.65).otherwise(0.55)
 
 
-@patterns.register("hammer")
-def hammer(rows: DataFrame) -> DataFrame:
-    shape = (_share("_body") < 0.3) & (_share("_lower") > 0.6) & (_share("_upper") < 0.1)
-    return _ranged(rows).filter(shape).withColumns(_as("bullish", F.when(F.col("_i") < 5, 0.6).when(F.col("_move") < -0.005, 0.75).otherwise(0.55)))
+@patterns.shape("hammer")
+def hammer():
+    where = (_share("_body") < 0.3) & (_share("_lower") > 0.6) & (_share("_upper") < 0.1)
+    return where, F.lit("bullish"), F.when(F.col("_i") < 5, 0.6).when(F.col("_move") < -0.005, 0.75).otherwise(0.55)
 
 
-@patterns.register("shooting_star")
-def shooting_star(rows: DataFrame) -> DataFrame:
-    shape = (_share("_body") < 0.3) & (_share("_upper") > 0.6) & (_share("_lower") < 0.1)
-    return _ranged(rows).filter(shape).withColumns(_as("bearish", F.when(F.col("_i") < 5, 0.6).when(F.col("_move") > 0.005, 0.75).otherwise(0.55)))
+@patterns.shape("shooting_star")
+def shooting_star():
+    where = (_share("_body") < 0.3) & (_share("_upper") > 0.6) & (_share("_lower") < 0.1)
+    return where, F.lit("bearish"), F.when(F.col("_i") < 5, 0.6).when(F.col("_move") > 0.005, 0.75).otherwise(0.55)
 
 
-@patterns.register("marubozu")
-def marubozu(rows: DataFrame) -> DataFrame:
-    shape = (_share("_body") > 0.8) & (_share("_upper") < 0.05) & (_share("_lower") < 0.05)
-    return _ranged(rows).filter(shape).withColumns(_as(_trend_side(), 0.8))
+@patterns.shape("marubozu")
+def marubozu():
+    return (_share("_body") > 0.8) & (_share("_upper") < 0.05) & (_share("_lower") < 0.05), _trend_side(), F.lit(0.8)
 
 
-@patterns.register("spinning_top")
-def spinning_top(rows: DataFrame) -> DataFrame:
-    return _ranged(rows).filter((_share("_body") > 0.3) & (_share("_body") < 0.6)).withColumns(_as("neutral", 0.5))
+@patterns.shape("spinning_top")
+def spinning_top():
+    return (_share("_body") > 0.3) & (_share("_body") < 0.6), F.lit("neutral"), F.lit(0.5)
 
 
-@patterns.register("engulfing")
-def engulfing(rows: DataFrame) -> DataFrame:
+@patterns.shape("engulfing")
+def engulfing():
     """Strict inequalities, unlike the flag of the same name."""
     o, c, po, pc = F.col("open"), F.col("close"), F.col("_o1"), F.col("_c1")
     up = (pc < po) & (c > o) & (o < pc) & (c > po)
     down = (pc > po) & (c < o) & (o > pc) & (c < po)
-    return rows.filter(up | down).withColumns(_as(F.when(up, "bullish").otherwise("bearish"), F.when(F.abs(c - o) > 1.5 * F.abs(pc - po), 0.85).otherwise(0.7)))
+    return up | down, F.when(up, "bullish").otherwise("bearish"), F.when(F.abs(c - o) > 1.5 * F.abs(pc - po), 0.85).otherwise(0.7)
 
 
-@patterns.register("harami")
-def harami(rows: DataFrame) -> DataFrame:
+@patterns.shape("harami")
+def harami():
     o, c, po, pc = F.col("open"), F.col("close"), F.col("_o1"), F.col("_c1")
     inside = (F.greatest(o, c) < F.greatest(po, pc)) & (F.least(o, c) > F.least(po, pc))
     up, down = inside & (pc < po) & (c > o), inside & (pc > po) & (c < o)
-    return rows.filter(up | down).withColumns(_as(F.when(up, "bullish").otherwise("bearish"), 0.65))
+    return up | down, F.when(up, "bullish").otherwise("bearish"), F.lit(0.65)
 
 
-def _three(rows: DataFrame, sign: int) -> DataFrame:
+def _three(sign: int) -> Column:
     def bodied(o: str, h: str, l: str, c: str) -> Column:
         body = (F.col(c) - F.col(o)) * sign
-        return (body > 0) & (F.col(h) > F.col(l)) & (body / (F.col(h) - F.col(l)) > 0.5)
+        return (body > 0) & (F.col(h) > F.col(l)) & (body > 0.5 * (F.col(h) - F.col(l)))
 
     c0, c1, c2 = F.col("close") * sign, F.col("_c1") * sign, F.col("_c2") * sign
-    shape = bodied("open", "high", "low", "close") & bodied("_o1", "_h1", "_l1", "_c1") & bodied("_o2", "_h2", "_l2", "_c2") & (c0 > c1) & (c1 > c2)
-    return rows.filter(shape).withColumns(_as("bullish" if sign > 0 else "bearish", 0.8))
+    return bodied("open", "high", "low", "close") & bodied("_o1", "_h1", "_l1", "_c1") & bodied("_o2", "_h2", "_l2", "_c2") & (c0 > c1) & (c1 > c2)
 
 
-@patterns.register("three_white_soldiers")
-def three_white_soldiers(rows: DataFrame) -> DataFrame:
-    return _three(rows, 1)
+@patterns.shape("three_white_soldiers")
+def three_white_soldiers():
+    return _three(1), F.lit("bullish"), F.lit(0.8)
 
 
-@patterns.register("three_black_crows")
-def three_black_crows(rows: DataFrame) -> DataFrame:
-    return _three(rows, -1)
+@patterns.shape("three_black_crows")
+def three_black_crows():
+    return _three(-1), F.lit("bearish"), F.lit(0.8)
 
 
-@patterns.register("trend")
-def trend(rows: DataFrame) -> DataFrame:
+@patterns.shape("trend")
+def trend():
     """A slope of more than 0.5 price units a bar over five bars; a continuation if 1.5 times that of the four bars before."""
     slope, before = F.col("_slope"), F.col("_slope4") * 1.5
     faster = F.when(slope > 0, slope > before).otherwise(slope < before)
     direction = F.when(faster, "continuation").when(slope > 0, "bullish").otherwise("bearish")
-    return rows.filter(F.abs(slope) > 0.5).withColumns(_as(direction, F.when(faster, 0.7).otherwise(0.6)))
+    return F.abs(slope) > 0.5, direction, F.when(faster, 0.7).otherwise(0.6)
 
 
 def summary(found: DataFrame) -> DataFrame:
