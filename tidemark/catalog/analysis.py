@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import correlation, drift, graphs, labels, metrics, risk, vectors
+from ..operators import correlation, drift, graphs, labels, metrics, models, risk, vectors
 from ..plans import datasets
 from ..streaming import bars
-from .base import PREDICTIONS_SQL, SERIES_SQL, TRADES_SQL, hourly, lag_sql, predictions_of, query, read, ticks, trades_of, with_candles
+from .base import PREDICTIONS_SQL, SERIES_SQL, TICKS_SQL, TRADES_SQL, hourly, lag_sql, predictions_of, query, read, ticks, trades_of, with_candles
 
 C = with_candles
 ORDER = ("l_shipdate", "l_orderkey", "l_linenumber")
@@ -230,14 +231,11 @@ def _strongest(spark, d, k=3):
 
 
 def _edges(spark, d):
-    """Which nations supplied others more than twice as much as is usual; with many rows none does."""
-    every = _supplies(spark, d).drop("kind")
-    mean = every.agg(F.avg("weight").alias("_mean")).withColumn("_one", F.lit(1))
-    strong = every.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").filter(F.col("weight") > 2 * F.col("_mean"))  # one row
-    return strong.select("src", "dst", "weight", F.lit("SUPPLIES").alias("kind"))
+    """The five nations that each nation supplied most."""
+    return _strongest(spark, d, 5)
 
 
-_EDGES = "edges AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2 QUALIFY count(*) > 2 * avg(count(*)) OVER ())"
+_EDGES = "edges AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, c_nationkey) <= 5)"
 
 
 @query("graph_neighbours", f"WITH {_EDGES} SELECT DISTINCT * FROM (SELECT src AS node, dst AS neighbour FROM edges UNION ALL SELECT dst, src FROM edges) WHERE node IN (1, 2)", "node neighbour")
@@ -346,8 +344,8 @@ def backtest(spark, d):
 
 @query("monte_carlo")
 def monte_carlo(spark, d):
-    r = correlation.returns_by_position(hourly(spark, d)).select((F.col("x") / 100).alias("r"), F.col("pos").alias("ts"))
-    return risk.bands(risk.reshuffled(r, 50))
+    r = correlation.returns_by_position(hourly(spark, d)).select("symbol", "pos", (F.col("x") / 100).alias("r"))
+    return risk.bands(risk.reshuffled(r, 50, ids=("symbol", "pos")))
 
 
 @query("model_promotion", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN false WHEN c_nationkey = 0 THEN true ELSE c_acctbal - 1000 >= 0.005 END AS promoted FROM customer", "c_custkey promoted")
@@ -366,29 +364,64 @@ def training_table(spark, d):
     return datasets.training_table(hourly(spark, d), ["returns", "momentum", "channels", "rsi"])
 
 
-def _streamed(spark, d, make, mode: str = "append"):
-    """Runs a stream over the ticks once, into a folder of its own, and reads what it wrote."""
-    from pyspark.sql import types as T
-
+def _folder(spark) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    source = read(spark, d, "events").select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("last"), F.lit(1.0).alias("volume"))
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def _stream_of(spark, source, at: str):
+    """Rows as a stream of the files that they are written to."""
     source.write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(T.StructType(source.schema.fields)).parquet(f"{at}/in")
-    out = make(stream)
+    return spark.readStream.schema(T.StructType(source.schema.fields)).parquet(f"{at}/in")
+
+
+def _streamed(spark, source, make, mode: str = "append"):
+    """Runs a stream over the rows once, into a folder of its own, and reads what it wrote."""
+    at = _folder(spark)
+    out = make(_stream_of(spark, source, at))
     bars.stream_into(out, f"{at}/out", f"{at}/state", mode).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
-@query("stream_tumbling_bars")
+def _tick_source(spark, d):
+    return read(spark, d, "events").select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("last"), F.lit(1.0).alias("volume"))
+
+
+@query("stream_tumbling_bars", C("SELECT symbol, ts, open, high, low, close, volume::BIGINT AS ticks FROM candles"), "symbol ticks", "high low", "ts")
 def stream_tumbling_bars(spark, d):
-    """Bars that the watermark has passed."""
-    return _streamed(spark, d, lambda s: bars.tumbling_bars(s, "1 hour"))
+    """All bars: a closing tick lets the watermark pass the last one."""
+    return _streamed(spark, bars.with_closing_tick(_tick_source(spark, d)), lambda s: bars.tumbling_bars(s, "1 hour"))
 
 
-@query("stream_volume_bars")
+@query("stream_volume_bars", f"WITH {TICKS_SQL}, g AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1) // 20 AS g FROM ticks) SELECT symbol, min(ts) AS ts, first(last ORDER BY ts, event_id) AS open, max(last) AS high, min(last) AS low, last(last ORDER BY ts, event_id) AS close, count(*) AS volume FROM g GROUP BY symbol, g", "symbol", "open high low close volume", "ts")
 def stream_volume_bars(spark, d):
-    return _streamed(spark, d, lambda s: bars.volume_bars(s, 20.0))
+    """Bars of 20 ticks; the last one of each symbol closes when the watermark is an hour past it."""
+    return _streamed(spark, bars.with_closing_tick(_tick_source(spark, d)), lambda s: bars.volume_bars(s, 20.0, ("ts", "event_id"), idle=3600))
+
+
+@query("stream_distinct_ticks", "SELECT DISTINCT event_type AS symbol, ts, value AS last FROM events", "symbol", "last", "ts")
+def stream_distinct_ticks(spark, d):
+    """Every tick comes twice and is kept once."""
+    rows = _tick_source(spark, d)
+    return _streamed(spark, rows.unionByName(rows), bars.distinct_ticks)
+
+
+@query("stream_live_monitor", "WITH r AS (SELECT event_type AS symbol, ts, event_id, (value - 50) / 1000 AS r FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500), e AS (SELECT *, 1 + sum(r) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS equity FROM r), p AS (SELECT *, greatest(1, max(equity) OVER (PARTITION BY symbol ORDER BY ts, event_id)) AS peak FROM e) SELECT symbol, max(ts) AS ts, count(*) AS n, 1 + sum(r) AS equity, avg((r > 0)::INT) AS win_rate, avg(r) / stddev_samp(r) AS sharpe, min(equity / peak - 1) AS drawdown FROM p GROUP BY symbol", "symbol n", "equity win_rate sharpe drawdown", "ts")
+def stream_live_monitor(spark, d):
+    """The last snapshot of each symbol."""
+    rows, at = _tick_source(spark, d).withColumn("r", (F.col("last") - 50) / 1000), _folder(spark)
+    shown = bars.live_monitor(_stream_of(spark, rows, at), order=("ts", "event_id"))
+    bars.upsert_batches(shown, lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"), f"{at}/state", "update").awaitTermination()
+    written = spark.read.schema(T.StructType([*shown.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
+    return written.groupBy("symbol").agg(F.max_by(F.struct(*shown.columns[1:]), "batch").alias("_s")).select("symbol", "_s.*")
+
+
+@query("stream_predictions", "SELECT l_orderkey, l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * x.l_quantity, 3) AS prediction FROM lineitem x", "l_orderkey l_linenumber", "prediction")
+def stream_predictions(spark, d):
+    """A model fitted on a table scores the rows of a stream as they come."""
+    rows = read(spark, d, "lineitem")
+    fitted = models.least_squares(rows, ["l_quantity"], "l_extendedprice")
+    return _streamed(spark, rows.select("l_orderkey", "l_linenumber", "l_quantity"), lambda s: s.select("l_orderkey", "l_linenumber", F.round(models.linear(fitted, ["l_quantity"]), 3).alias("prediction")))
 
 
 @query("batch_sliding_bars", "SELECT event_type AS symbol, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (k * 15) MINUTE AS ts, max(value) AS high, min(value) AS low, count(*) AS ticks FROM events, (SELECT unnest(range(4)) AS k) GROUP BY 1, 2", "symbol ticks", "high low", "ts")

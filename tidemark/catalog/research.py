@@ -64,8 +64,16 @@ def permutation_importance(spark, d):
     return models.permutation_importance(rows, models.linear(b, ["l_quantity", "l_tax"]), "l_extendedprice", ["l_quantity", "l_tax"], ["l_orderkey", "l_linenumber"])
 
 
-def _folds(columns: str, source: str) -> str:
-    return f"SELECT fold, CASE WHEN i < fold * 100 + 200 THEN 'train' ELSE 'test' END AS part, {columns} FROM {source}, (SELECT unnest(range(4))::INT AS fold) WHERE i >= fold * 100 AND i < fold * 100 + 300"
+def _folds(train: int, test: int) -> str:
+    """All whole folds of each series, of `test` rows after `train` rows."""
+    return f"SELECT fold, CASE WHEN i < fold * {test} + {train} THEN 'train' ELSE 'test' END AS part, sign(close - a) * nx AS fast, sign(close - b) * nx AS slow FROM (SELECT *, unnest(range(greatest(0, (n - {train}) // {test})))::INT AS fold FROM r) WHERE i >= fold * {test} AND i < fold * {test} + {train + test}"
+
+
+def _search_sql(train: int, test: int) -> str:
+    rows = f"r AS (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n, lead(close) OVER ({SERIES_SQL}) / close - 1 AS nx, {full_sql('avg', 'close', 5)} AS a, {full_sql('avg', 'close', 20)} AS b FROM candles)"
+    means = "m AS (SELECT fold, part, 'fast' AS candidate, avg(fast) AS score FROM f GROUP BY ALL UNION ALL SELECT fold, part, 'slow', avg(slow) FROM f GROUP BY ALL)"
+    best = "SELECT * FROM m WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC NULLS LAST, candidate) = 1"
+    return C(f"SELECT t.fold, t.candidate, t.score AS train_score, u.score AS test_score FROM ({best}) t LEFT JOIN m u ON u.part = 'test' AND u.fold = t.fold AND u.candidate = t.candidate", f"{rows}, f AS ({_folds(train, test)}), {means}")
 
 
 def _search(spark, d):
@@ -74,16 +82,14 @@ def _search(spark, d):
     return rows, candidates
 
 
-@query("walk_forward_search", C(f"SELECT t.fold, t.candidate, t.score AS train_score, u.score AS test_score FROM (SELECT * FROM m WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC NULLS LAST, candidate) = 1) t LEFT JOIN m u ON u.part = 'test' AND u.fold = t.fold AND u.candidate = t.candidate", f"r AS (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, lead(close) OVER ({SERIES_SQL}) / close - 1 AS nx, {full_sql('avg', 'close', 5)} AS a, {full_sql('avg', 'close', 20)} AS b FROM candles), f AS ({_folds('sign(close - a) * nx AS fast, sign(close - b) * nx AS slow', 'r')}), m AS (SELECT fold, part, 'fast' AS candidate, avg(fast) AS score FROM f GROUP BY ALL UNION ALL SELECT fold, part, 'slow', avg(slow) FROM f GROUP BY ALL)"), "fold candidate", "train_score test_score")
+@query("walk_forward_search", _search_sql(300, 60), "fold candidate", "train_score test_score")
 def walk_forward_search(spark, d):
+    """Longer training, shorter tests and more folds than walk_forward_search_whole has."""
     rows, candidates = _search(spark, d)
-    return models.walk_forward_search(rows, candidates, splits.rolling_folds(600, 200, 100, most=4))
-
-
-_WHOLE_FOLDS = "SELECT fold, CASE WHEN i < fold * 100 + 200 THEN 'train' ELSE 'test' END AS part, sign(close - a) * nx AS fast, sign(close - b) * nx AS slow FROM (SELECT *, unnest(range(greatest(0, (n - 200) // 100)))::INT AS fold FROM r) WHERE i >= fold * 100 AND i < fold * 100 + 300"
+    return models.walk_forward_search(rows, candidates, lambda df: splits.rolling_walk_forward(df, 300, 60))
 
 
-@query("walk_forward_search_whole", C(f"SELECT t.fold, t.candidate, t.score AS train_score, u.score AS test_score FROM (SELECT * FROM m WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC NULLS LAST, candidate) = 1) t LEFT JOIN m u ON u.part = 'test' AND u.fold = t.fold AND u.candidate = t.candidate", f"r AS (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n, lead(close) OVER ({SERIES_SQL}) / close - 1 AS nx, {full_sql('avg', 'close', 5)} AS a, {full_sql('avg', 'close', 20)} AS b FROM candles), f AS ({_WHOLE_FOLDS}), m AS (SELECT fold, part, 'fast' AS candidate, avg(fast) AS score FROM f GROUP BY ALL UNION ALL SELECT fold, part, 'slow', avg(slow) FROM f GROUP BY ALL)"), "fold candidate", "train_score test_score")
+@query("walk_forward_search_whole", _search_sql(200, 100), "fold candidate", "train_score test_score")
 def walk_forward_search_whole(spark, d):
     rows, candidates = _search(spark, d)
     return models.walk_forward_search(rows, candidates, lambda df: splits.rolling_walk_forward(df, 200, 100))

@@ -266,9 +266,10 @@ def mutual_information(spark, d):
     return scaling.binned_information(read(spark, d, "lineitem"), "l_quantity", "l_returnflag")
 
 
-@query("walk_forward", C(f"SELECT symbol, ts, fold, part FROM (SELECT symbol, ts, fold, CASE WHEN i >= fold * 100 AND i < fold * 100 + 200 THEN 'train' WHEN i >= fold * 100 + 200 AND i < fold * 100 + 300 THEN 'test' END AS part FROM (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i FROM candles), (SELECT unnest(range(4))::INT AS fold)) WHERE part IS NOT NULL"), "symbol fold part", times="ts")
+@query("walk_forward", C(f"SELECT symbol, ts, fold, CASE WHEN i < fold * 60 + 300 THEN 'train' ELSE 'test' END AS part FROM (SELECT symbol, ts, i, unnest(range(greatest(0, (n - 300) // 60)))::INT AS fold FROM (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM candles)) WHERE i >= fold * 60 AND i < fold * 60 + 360"), "symbol fold part", times="ts")
 def walk_forward(spark, d):
-    return splits.walk_forward(hourly(spark, d), splits.rolling_folds(600, 200, 100, most=4))
+    """Longer training, shorter tests and more folds than walk_forward_whole has."""
+    return splits.rolling_walk_forward(hourly(spark, d), 300, 60)
 
 
 @query("walk_forward_whole", C(f"SELECT symbol, ts, fold, CASE WHEN i < fold * 100 + 200 THEN 'train' ELSE 'test' END AS part FROM (SELECT symbol, ts, i, unnest(range(greatest(0, (n - 200) // 100)))::INT AS fold FROM (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM candles)) WHERE i >= fold * 100 AND i < fold * 100 + 300"), "symbol fold part", times="ts")

@@ -86,13 +86,14 @@ def allocation(mean: np.ndarray, cov: np.ndarray, kind: str = "mean_variance", r
     return w / w.sum() if w.sum() > 0 else np.full(n, 1 / n)
 
 
-def reshuffled(trades: DataFrame, simulations: int, result: str = "r", order: str = "ts", seed: int = 7, replacement: bool = False) -> DataFrame:
+def reshuffled(trades: DataFrame, simulations: int, result: str = "r", ids: tuple[str, ...] = ("ts",), seed: int = 7, replacement: bool = False) -> DataFrame:
     """(simulation, final, max_drawdown) of trades in other orders, or drawn again with replacement.
 
-    Every simulation orders the rows by a hash of its own; drawing with replacement counts a row Poisson(1) times.
-    Simulations are spread over tasks; each is one window over the trades.
+    Every simulation orders the rows by a hash of its own and their `ids`, so it is the same however the rows are
+    dealt; drawing with replacement counts a row Poisson(1) times. Simulations are spread over tasks; each is one
+    window over the trades.
     """
-    rows = trades.select(F.col(result).alias("_r"), F.monotonically_increasing_id().alias("_id"))
+    rows = trades.select(F.col(result).alias("_r"), F.struct(*ids).alias("_id"))
     many = rows.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "simulation", "_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     if replacement:

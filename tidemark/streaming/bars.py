@@ -38,50 +38,70 @@ def distinct_ticks(ticks: DataFrame, keys: tuple[str, ...] = ("symbol", "ts", "l
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def volume_bars(ticks: DataFrame, threshold: float) -> DataFrame:
-    """Bars that close when so much volume has gone by (column volume), with state of one open bar for each symbol."""
+def volume_bars(ticks: DataFrame, threshold: float, order: tuple[str, ...] = ("ts",), idle: int | None = None, late: str = LATE) -> DataFrame:
+    """Bars that close when so much volume has gone by (column volume), with state of one open bar for each symbol.
+
+    The ticks of a symbol in one micro-batch are put into `order` together, so a micro-batch is held to what a worker
+    takes by the source's own limit (files or offsets a trigger). With `idle`, an open bar also closes once the
+    watermark is so many seconds past its last tick; without, it stays open. Ticks without a price are left out.
+    """
+    names = list(dict.fromkeys([*order, "ts", "last", "volume"]))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bar = list(state.get) if state.exists else None
-        out = []
-        for rows in batches:
-            for ts, price, volume in rows.sort_values("ts")[["ts", "last", "volume"]].itertuples(index=False, name=None):
+        bar, out = (list(state.get) if state.exists else None), []
+        if state.hasTimedOut:
+            out.append((key[0], *bar[:-1]))
+            bar = None
+        else:
+            rows = pd.concat([*batches]).dropna(subset=["last"]).sort_values(list(order))
+            for ts, price, volume, at in rows[["ts", "last", "volume", "_at"]].itertuples(index=False, name=None):
                 if bar is None:
-                    bar = [ts, price, price, price, price, 0.0]
-                bar[2], bar[3], bar[4], bar[5] = max(bar[2], price), min(bar[3], price), price, bar[5] + volume
+                    bar = [ts, price, price, price, price, 0.0, at]
+                bar[2], bar[3], bar[4], bar[5], bar[6] = max(bar[2], price), min(bar[3], price), price, bar[5] + volume, max(bar[6], at)
                 if bar[5] >= threshold:
-                    out.append((key[0], *bar))
+                    out.append((key[0], *bar[:-1]))
                     bar = None
-        if bar is None:
-            state.remove() if state.exists else None
-        else:
+        if bar is not None:
             state.update(tuple(bar))
+            if idle is not None:
+                state.setTimeoutTimestamp(max(bar[6] + idle * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["symbol", "ts", "open", "high", "low", "close", "volume"])
 
     schema = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
-    kept = "ts timestamp, open double, high double, low double, close double, volume double"
-    return ticks.groupBy("symbol").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    kept = "ts timestamp, open double, high double, low double, close double, volume double, at long"
+    rows = ticks.select("symbol", *names, F.unix_millis("ts").alias("_at"))
+    if idle is not None:
+        rows = rows.withWatermark("ts", late)
+    return rows.groupBy("symbol").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout)
 
 
-def live_monitor(results: DataFrame, keep: int = 500) -> DataFrame:
-    """Running snapshot for each symbol of (symbol, ts, r): trades, equity, win rate, Sharpe and drawdown over the last `keep` results."""
+def live_monitor(results: DataFrame, keep: int = 500, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Running snapshot for each symbol of (symbol, ts, r): trades, equity, win rate, Sharpe and drawdown over the last `keep` results.
+
+    Results of one micro-batch are put into `order` together.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        last = None
-        for rows in batches:
-            rows = rows.sort_values("ts")
-            held = (held + rows["r"].tolist())[-keep:]
-            last = rows["ts"].iloc[-1]
+        rows = pd.concat([*batches]).sort_values(list(order))
+        held = ((list(state.get[0]) if state.exists else []) + rows["r"].tolist())[-keep:]
         state.update((held,))
         r = pd.Series(held, dtype=float)
         equity = 1 + r.cumsum()
         std = r.std() if len(r) > 1 else 0.0
-        drawdown = float((equity / equity.cummax().clip(lower=1.0) - 1).min()) if len(r) else 0.0
-        yield pd.DataFrame([(key[0], last, len(r), float(equity.iloc[-1]), float((r > 0).mean()), float(r.mean() / std) if std else 0.0, drawdown)], columns=["symbol", "ts", "n", "equity", "win_rate", "sharpe", "drawdown"])
+        drawdown = float((equity / equity.cummax().clip(lower=1.0) - 1).min())
+        yield pd.DataFrame([(key[0], rows["ts"].iloc[-1], len(r), float(equity.iloc[-1]), float((r > 0).mean()), float(r.mean() / std) if std else 0.0, drawdown)], columns=["symbol", "ts", "n", "equity", "win_rate", "sharpe", "drawdown"])
 
     schema = "symbol string, ts timestamp, n long, equity double, win_rate double, sharpe double, drawdown double"
-    return results.groupBy("symbol").applyInPandasWithState(step, schema, "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    rows = results.select("symbol", *dict.fromkeys([*order, "ts", "r"]))
+    return rows.groupBy("symbol").applyInPandasWithState(step, schema, "held array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def with_closing_tick(ticks: DataFrame, after: str = "1 day") -> DataFrame:
+    """Finite ticks and one of no symbol and no price, so much later: once read, the watermark has passed every other tick."""
+    end = ticks.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    return ticks.unionByName(end, allowMissingColumns=True)
 
 
 def stream_into(bars: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True):
@@ -90,6 +110,6 @@ def stream_into(bars: DataFrame, path: str, checkpoint: str, mode: str = "append
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def upsert_batches(stream: DataFrame, apply, checkpoint: str):
+def upsert_batches(stream: DataFrame, apply, checkpoint: str, mode: str = "append"):
     """Hands each micro-batch to `apply(batch, number)`, which merges it into a table: last write wins as with any upsert."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
