@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import div
 from .asof import asof_join, interpolated_join
 
-STRATEGIES = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
+STRATEGIES = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "cross": "cross"}
 #: What alignments are called: `forward` takes the row before, which is carried forward; `backward` the row after.
 ALIGNMENTS = {"nearest": "nearest", "forward": "backward", "backward": "forward", "exact": "exact"}
 
@@ -34,9 +34,14 @@ def compare_closes(candles: DataFrame, a: str, b: str, broker: str = "broker", k
 
 
 def merge(left: DataFrame, right: DataFrame, key: str, strategy: str = "inner", suffix: str = "_right") -> DataFrame:
-    """Joins on one key, null meeting null; columns of `right` that `left` has too get the suffix, the key is that of either side."""
+    """Joins on one key, null meeting null; columns of `right` that `left` has too get the suffix, the key is that of either side.
+
+    `cross` pairs every row with every row, whatever the keys, and keeps the left one: for tables of a few rows, such as settings.
+    """
     names = {c: f"{c}{suffix}" if c in left.columns else c for c in right.columns if c != key}
     other = right.select(F.col(key).alias("_key"), *[F.col(c).alias(n) for c, n in names.items()])
+    if strategy == "cross":
+        return left.crossJoin(other.drop("_key"))
     both = left.join(other, F.col(key).eqNullSafe(F.col("_key")), STRATEGIES[strategy])
     return both.select(F.coalesce(F.col(key), F.col("_key")).alias(key), *[c for c in left.columns if c != key], *names.values())
 

@@ -62,6 +62,18 @@ def candle_files(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
     return rows.filter(F.col("ts").isNotNull() & F.col("close").isNotNull()).withColumn("canonical", canonical(F.col("symbol")))
 
 
+def tick_files(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """Ticks (symbol, ts, bid, ask, last, volume) of all CSV files below `path`, the symbol from a column or from a name like EURUSD_T1.csv.
+
+    Rows without a time, or without any price, are left out; without a last price, the middle of bid and ask is taken.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("header", "true").option("sep", delimiter).option("enforceSchema", "false").csv(path)
+    named = raw.withColumn("_symbol", F.nullif(F.regexp_extract("_metadata.file_path", FILE_NAME, 1), F.lit("")))
+    rows = normalized(named, ("symbol", "ts", "bid", "ask", "close", "volume"), keep=("_symbol",))
+    last = F.coalesce("close", (F.col("bid") + F.col("ask")) / 2, "bid", "ask")
+    return rows.select(F.coalesce("symbol", "_symbol").alias("symbol"), "ts", "bid", "ask", last.alias("last"), "volume").filter(F.col("ts").isNotNull() & F.col("last").isNotNull())
+
+
 def symbols(candles: DataFrame, pairs_only: bool = False) -> DataFrame:
     """Distinct symbols with their canonical name and class; only currency pairs if asked."""
     out = candles.select("symbol").distinct().withColumns({"canonical": canonical(F.col("symbol")), "asset_class": asset_class(canonical(F.col("symbol")))})
