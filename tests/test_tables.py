@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordered
 from tidemark.functions import scalars as S
 from tidemark.operators import drift, graphs, joins, metrics, repository, risk, scaling, vectors
 from tidemark.sources import files
@@ -86,6 +87,18 @@ def test_metrics_of_one_class_and_ties(spark):
     assert got["profit_factor"] == math.inf and got["profit_factor_or_zero"] == 0.0
 
 
+def test_quantiles_by_ranges_are_the_exact_ones(spark):
+    x = F.when(F.col("id") % 11 != 0, F.floor(F.col("id") * F.col("id") % 97).cast("double") / 7)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), x.alias("x")).union(spark.sql("SELECT 7L, CAST(NULL AS DOUBLE) UNION ALL SELECT 8L, 2.5D"))
+    fractions = [0.0, 0.05, 0.5, 0.77, 1.0]
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, fractions))).alias("q")).collect() if r["q"]}
+    got = {r["g"]: r["q"] for r in ordered.quantiles(df, "x", fractions, ("g",)).collect()}
+    assert got == want and set(got) == {None, 1, 2, 8}
+    whole = df.agg(F.percentile("x", F.array(*map(F.lit, fractions))).alias("q")).first()["q"]
+    assert ordered.quantiles(df, "x", fractions).first()["q"] == whole
+    assert ordered.quantiles(df.limit(0), "x", [0.5]).collect() == []
+
+
 def test_drift_of_equal_and_moved_tables(spark):
     a = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     same = drift.stability(a, a, ["x"]).first()

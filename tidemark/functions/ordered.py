@@ -34,3 +34,37 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     here = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(offsets, on)
     return joined.select(*df.columns, *[(F.col(f"_v{k}_off") + F.sum(f"_v{k}").over(here)).alias(n) for k, n in enumerate(totals)])
+
+
+def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, q): exact interpolated quantiles of the known values of each group, as an array in the order of `fractions`.
+
+    Equal values are counted before they are ordered, and ranks are running totals over ranges of the values, so
+    no task holds the distinct values of a group. A group without a known value has no row.
+    """
+    x = F.col(value).cast("double")
+    counted = df.filter(x.isNotNull()).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = by or ("_one",)
+    ranked = running_totals(counted if by else counted.withColumn("_one", F.lit(1)), [F.col("_x").asc()], {"_upto": F.col("_n")}, keys)
+    placed = with_group(ranked, ranked.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_x")))
+
+    places = [(F.col("_total") - 1) * F.lit(float(f)) for f in fractions]
+    ends = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *[at(F.floor(p)).alias(f"_low{k}") for k, p in enumerate(places)], *[at(F.ceil(p)).alias(f"_high{k}") for k, p in enumerate(places)])
+    between = [
+        F.when(F.col(f"_low{k}") == F.col(f"_high{k}"), F.col(f"_low{k}")).otherwise((F.ceil(p) - p) * F.col(f"_low{k}") + (p - F.floor(p)) * F.col(f"_high{k}"))
+        for k, p in enumerate(places)
+    ]
+    return ends.select(*by, F.array(*between).alias("q"))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """`rows` with the columns of their group in `groups`, one row for each group; keys may be null."""
+    others = [c for c in groups.columns if c not in by]
+    named = groups.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], *others)
+    on = F.lit(True)
+    for k, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by{k}"))
+    return rows.join(named, on, "left").select(*rows.columns, *others)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.ordered import quantiles, with_group
 from ..functions.scalars import div
 
 FILLS = ("drop", "zero", "mean", "median", "forward", "backward", "linear")
@@ -46,7 +47,10 @@ def fill_missing(df: DataFrame, fields: list[str], method: str = "linear", most:
     if method == "mean":
         return out.withColumns({c: F.coalesce(F.col(c), means[c]) for c in fields})
     if method == "median":
-        return out.withColumns({c: F.coalesce(F.col(c), F.percentile(c, 0.5).over(_whole()), F.lit(0.0)) for c in fields})
+        helped = out
+        for c in fields:
+            helped = with_group(helped, quantiles(out, c, [0.5], W.SERIES).select(*W.SERIES, F.get("q", F.lit(0)).alias(f"_m_{c}")), W.SERIES)
+        return helped.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in fields}).select(*out.columns)
     if method == "forward":
         return out.withColumns({c: F.coalesce(W.forward_fill(c), means[c]) for c in fields})
     if method == "backward":

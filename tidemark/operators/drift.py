@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import quantiles
 from ..functions.scalars import div
 
 
@@ -20,9 +21,9 @@ def stability(reference: DataFrame, current: DataFrame, columns: list[str], bins
     One row for each column and bin leaves the aggregations, whatever the size of the tables.
     """
     ref, cur = _long(reference, columns), _long(current, columns)
-    stats = ref.groupBy("feature").agg(
-        F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(bins + 1)])))).alias("edges"), F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"), F.count("x").alias("_n"),
-    )
+    moments = ref.groupBy("feature").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"), F.count("x").alias("_n"))
+    cuts = quantiles(ref, "x", [k / bins for k in range(bins + 1)], ("feature",)).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
+    stats = moments.join(cuts, "feature")
     edges = F.broadcast(stats.select("feature", "edges", "_n"))  # one row for each column of the table
 
     def histogram(rows: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_totals
+from ..functions.ordered import quantiles, running_totals, with_group
 from ..functions.scalars import clip, div
 
 INF = float("inf")
@@ -124,8 +124,11 @@ def trades(df: DataFrame, result: str = "r", by=(), periods: int = 252) -> DataF
 
 def risk(df: DataFrame, result: str = "r", by=()) -> DataFrame:
     """Value at risk at 95 and 99 percent (interpolated) and the mean result at or beyond it, and mean over deviation without a year."""
-    levels = _grouped(df, by).agg(F.percentile(result, 0.05).alias("var_95"), F.percentile(result, 0.01).alias("var_99"), F.avg(result).alias("mean"), F.stddev_samp(result).alias("std"))
-    both = df.join(levels, list(by)) if by else df.withColumn("_one", F.lit(1)).join(levels.withColumn("_one", F.lit(1)), "_one")
+    one = ("_one",)
+    rows, keys = (df, tuple(by)) if by else (df.withColumn("_one", F.lit(1)), one)
+    moments = rows.groupBy(*keys).agg(F.avg(result).alias("mean"), F.stddev_samp(result).alias("std"))
+    levels = with_group(moments, quantiles(rows, result, [0.05, 0.01], keys), keys).select(*keys, F.get("q", F.lit(0)).alias("var_95"), F.get("q", F.lit(1)).alias("var_99"), "mean", "std")
+    both = with_group(rows, levels if by else F.broadcast(levels), keys)  # without groups, levels are one row
     r = F.col(result)
     return _grouped(both, by).agg(
         F.first("var_95").alias("var_95"), F.first("var_99").alias("var_99"), F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"), F.avg(F.when(r <= F.col("var_99"), r)).alias("cvar_99"), F.first(div(F.col("mean"), F.col("std"), 0.0)).alias("sharpe_plain"),

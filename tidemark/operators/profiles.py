@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.ordered import quantiles, with_group
 from ..functions.scalars import clip, div, profile_session_of
 
 
 def volatility_profile(candles: DataFrame) -> DataFrame:
     """Per series, of true range / close: mean, median, sample deviation, extremes and interpolated quartiles."""
     x = candles.select(*W.SERIES, div(W.true_range(), F.col("close"), 0.0).alias("x"))
-    return x.groupBy(*W.SERIES).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", 0.25).alias("p25"), F.percentile("x", 0.75).alias("p75"),
-    )
+    moments = x.groupBy(*W.SERIES).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    both = with_group(moments, quantiles(x, "x", [0.25, 0.5, 0.75], W.SERIES), W.SERIES)
+    p25, median, p75 = (F.get("q", F.lit(k)) for k in range(3))
+    return both.select(*W.SERIES, "n", "mean", median.alias("median"), "std", "min", "max", p25.alias("p25"), p75.alias("p75"))
 
 
 def session_profile(candles: DataFrame) -> DataFrame:

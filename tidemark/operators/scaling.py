@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import quantiles, with_group
 from ..functions.scalars import div
 from ..functions.windows import pearson
 
@@ -19,12 +20,12 @@ def _finite(c: str) -> Column:
 def fit(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each column: n, min, max, mean, std (sample), std_pop, median, q25, q75, max_abs and norm. Written as JSON it is the state of a scaler."""
     long = df.select(*[_finite(c).alias(c) for c in columns]).unpivot([], columns, "field", "x")
-    quartiles = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("field").agg(
+    moments = long.groupBy("field").agg(
         F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.stddev_pop("x").alias("std_pop"),
-        quartiles.alias("_q"), F.max(F.abs("x")).alias("max_abs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"),
+        F.max(F.abs("x")).alias("max_abs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"),
     )
-    return out.select("*", F.get("_q", F.lit(0)).alias("q25"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("q75")).drop("_q")
+    out = with_group(moments, quantiles(long, "x", [0.25, 0.5, 0.75], ("field",)), ("field",))
+    return out.select("*", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "median", "q75"))]).drop("q")
 
 
 def _wide(state: DataFrame, columns: list[str]) -> DataFrame:
