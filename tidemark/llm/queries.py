@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, language, lines, packing, pii, repeats, tokens, toxicity
+from . import codes, decontaminate, embeddings, jaccard, language, lines, merkle, packing, pii, repeats, tokens, toxicity, windows
 from .common import table
 
 
@@ -79,6 +79,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and whether tampered rows fail against it. A null doc_id or n_chars is never tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    tampered = F.when(hit, merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")))
+    rows = merkle.manifest(docs, also={"_tampered": tampered})
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("_tampered", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that an earlier document has."""
+    out = windows.remove_windows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, with a digest of the codebooks in every row."""
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -90,8 +114,32 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_window_dedup": op12_window_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _product_code_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of product coding, written out one after the other."""
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"s AS MATERIALIZED (SELECT vec_id, label, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS p))",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < {entries})",
+        "b0 AS MATERIALIZED (SELECT p, e, x FROM s JOIN f USING (vec_id))"]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, label, s.p, min((list_sum(list_transform(list_zip(s.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) AS best
+  FROM s JOIN b{k} b ON s.p = b.p GROUP BY vec_id, label, s.p)""")
+        if k < rounds:
+            steps.append(f"""t{k} AS (SELECT p, e, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM
+  (SELECT a.p, a.best[2] AS e, unnest(s.x) AS x, generate_subscripts(s.x, 1) AS i FROM a{k} a JOIN s ON a.vec_id = s.vec_id AND a.p = s.p) GROUP BY p, e, i)""")
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS x FROM t{k} GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)""")
+    return f"""WITH {", ".join(steps)},
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best[2]::INT), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(v, ',' ORDER BY p, e)) AS d FROM (SELECT p, e, array_to_string(x, ',') AS v FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, d AS codebooks_sha256 FROM c, h"""
+
+
 ORACLE_SQL = {
     "op6_decontaminate": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -144,4 +192,37 @@ m AS (SELECT k.doc_id, p, line, f.key IS NOT NULL AND k.doc_id <> f.last AS gone
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE f AS (SELECT doc_id, coalesce('=' || lang, '') AS g, n_chars,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS front,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS chars, coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-') AS more, coalesce(strlen(text) || ':' || text, '-') AS back,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) % 7 = 0 AS tampered FROM documents),
+l AS (SELECT doc_id, g, sha256(front || chars || back) AS leaf, CASE WHEN tampered THEN sha256(front || more || back) ELSE sha256(front || chars || back) END AS other FROM f),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+t AS (SELECT 0 AS lvl, g, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p
+  UNION ALL SELECT lvl + 1, g, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY lvl, g, pos // 2),
+q AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM q
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM u WHERE n > 1 GROUP BY lvl, pos // 2),
+own AS (SELECT p.g, p.pos, a.lvl, CASE WHEN s.h IS NULL THEN '' WHEN s.pos < a.pos THEN 'L' || s.h ELSE 'R' || s.h END AS step
+  FROM p JOIN t a ON a.g = p.g AND a.pos = p.pos // (1::BIGINT << a.lvl) AND a.n > 1 LEFT JOIN t s ON s.g = a.g AND s.lvl = a.lvl AND s.pos = xor(a.pos, 1)),
+up AS (SELECT q.g, a.lvl, CASE WHEN s.h IS NULL THEN '' WHEN s.pos < a.pos THEN 'L' || s.h ELSE 'R' || s.h END AS step
+  FROM q JOIN u a ON a.pos = q.pos // (1::BIGINT << a.lvl) AND a.n > 1 LEFT JOIN u s ON s.lvl = a.lvl AND s.pos = xor(a.pos, 1)),
+paths AS (SELECT g, pos, list(step ORDER BY lvl) AS path FROM own GROUP BY g, pos),
+tops AS (SELECT g, list(step ORDER BY lvl) AS path FROM up GROUP BY g),
+full_paths AS (SELECT p.*, subroot, list_concat(coalesce(paths.path, []), coalesce(tops.path, [])) AS path
+  FROM p JOIN q ON q.g = p.g LEFT JOIN paths ON paths.g = p.g AND paths.pos = p.pos LEFT JOIN tops ON tops.g = p.g),
+r AS (SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256,
+  list_reduce(list_prepend(other, path), lambda a, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded_root FROM full_paths)
+SELECT *, folded_root = root AS verified FROM r""",
+    "op12_window_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS p FROM s JOIN m USING (g) WHERE doc_id > first),
+x AS (SELECT d.doc_id, count(h.p)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (h.p IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) d LEFT JOIN h ON h.doc_id = d.doc_id AND h.p = d.i GROUP BY d.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)""",
+    "op13_vector_codes": _product_code_sql(),
 }
