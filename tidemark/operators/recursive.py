@@ -1,8 +1,9 @@
 """Recursive indicators: each value depends on the one before, so no window can express them.
 
-A series is dealt to one partition, sorted, and streamed through a state machine batch by batch, so a task
-holds one Arrow batch and a few numbers however long the series is. Smoothings are computed a block at a
-time as a matrix product; only SuperTrend and bars by volume go row by row.
+Smoothings and what is made of them (averages, RSI, MACD, ADX, ATR, Keltner) run on time chunks, many for each
+series, as in recurrence. SuperTrend, bars by volume and positions held one at a time depend on their last state in a way that does not
+compose: there a series is dealt to one partition, sorted, and streamed through a state machine batch by batch,
+so a task holds one Arrow batch and a few numbers however long the series is.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions import windows as W
 from ..functions.scalars import div
+from .recurrence import Average, smoothed
 
-BLOCK = 128
 Machine = Callable[..., tuple[np.ndarray, ...]]
 
 
@@ -58,200 +59,109 @@ def length(keys=W.SERIES) -> Column:
     return F.count(F.lit(1)).over(Window.partitionBy(*keys))
 
 
-class Smooth:
-    """y = (1 - a) * last y + a * x, a block at a time; a NaN input repeats the last y."""
+def _ema(period: int, rows: float = np.inf) -> Callable[[], Average]:
+    return lambda: Average(period, 2 / (period + 1), rows)
 
-    def __init__(self, alpha: float):
-        k = np.arange(BLOCK)
-        self.alpha, self.last = alpha, np.nan
-        self.weights = np.tril(alpha * (1 - alpha) ** np.clip(k[:, None] - k[None, :], 0, None))
-        self.decay = (1 - alpha) ** (k + 1)
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        known = ~np.isnan(x)
-        dense, out = x[known], np.empty(int(known.sum()))
-        for a in range(0, len(dense), BLOCK):
-            part = dense[a : a + BLOCK]
-            n = len(part)
-            out[a : a + n] = self.weights[:n, :n] @ part + self.decay[:n] * self.last
-            self.last = out[a + n - 1]
-        place = np.cumsum(known)
-        spread = np.append(np.nan, out)[place]
-        return spread
+def _wilder(period: int) -> Callable[[], Average]:
+    return lambda: Average(period, 1 / period)
 
 
-class Seeded:
-    """Smoothing that starts with the mean of the first `period` values, at the last of them; NaN before.
-
-    With `skip`, NaN inputs do not count as values of the seed. A series of fewer rows is seeded by all of them.
-    """
-
-    def __init__(self, period: int, alpha: float, rows: float = np.inf):
-        self.need, self.smooth = int(min(period, rows)), Smooth(alpha)
-        self.total, self.seen = 0.0, 0
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), np.nan)
-        at = 0
-        if self.seen < self.need:
-            known = np.flatnonzero(~np.isnan(x))[: self.need - self.seen]
-            self.total += x[known].sum()
-            self.seen += len(known)
-            if self.seen < self.need:
-                return out
-            at = int(known[-1])
-            self.smooth.last = out[at] = self.total / self.need
-            at += 1
-        out[at:] = self.smooth(x[at:])
-        if np.isnan(out[at:]).any():  # leading NaN of the batch repeat the last value
-            out[at:] = np.where(np.isnan(out[at:]), self._held(out, at), out[at:])
-        return out
-
-    def _held(self, out: np.ndarray, at: int) -> float:
-        return out[at - 1] if at else self.before
-
-    before = np.nan
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(b == 0, np.nan, a / b)
 
 
-class Ema(Seeded):
-    def __init__(self, period: int, rows: float = np.inf):
-        super().__init__(period, 2 / (period + 1), rows)
+def _true_range(lag: Callable[[str], Column]) -> Column:
+    before = F.coalesce(lag("close"), F.col("close"))
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        self.before = self.smooth.last
-        return super().__call__(x)
 
-
-class Wilder(Ema):
-    def __init__(self, period: int):
-        Seeded.__init__(self, period, 1 / period)
-
-
-def ema(df: DataFrame, value: str, period: int, name: str | None = None, keys=W.SERIES, order=("ts",)) -> DataFrame:
+def ema(df: DataFrame, value: str, period: int, name: str | None = None, keys=W.SERIES, order=("ts",), width: float | None = None) -> DataFrame:
     """Exponential average with weight 2 / (period + 1), seeded by the mean of the first `period` rows."""
 
-    def machine():
-        own: list[Ema] = []
+    def program(x, rows, first):
+        (y,) = yield [(_ema(period, rows), x)]
+        return (y,)
 
-        def step(x, n):
-            if not own:
-                own.append(Ema(period, n[0]))
-            return (own[0](x),)
+    return smoothed(df, lambda lag: {"x": F.col(value)}, [name or f"ema_{period}"], program, 1, keys, order, width)
 
-        return step
 
-    return scan(df, {"x": F.col(value), "n": length(keys)}, [name or f"ema_{period}"], machine, keys, order)
-
-
-def wilder(df: DataFrame, value: str, period: int, name: str | None = None) -> DataFrame:
+def wilder(df: DataFrame, value: str, period: int, name: str | None = None, width: float | None = None) -> DataFrame:
     """Wilder's average: (last * (period - 1) + x) / period, seeded by a mean."""
-    return scan(df, {"x": F.col(value)}, [name or f"wilder_{period}"], lambda: _one(Wilder(period)))
 
+    def program(x, rows, first):
+        (y,) = yield [(_wilder(period), x)]
+        return (y,)
 
-def _one(f):
-    return lambda x: (f(x),)
+    return smoothed(df, lambda lag: {"x": F.col(value)}, [name or f"wilder_{period}"], program, width=width)
 
 
-def atr(candles: DataFrame, period: int = 14) -> DataFrame:
+def atr(candles: DataFrame, period: int = 14, width: float | None = None) -> DataFrame:
     """atr: the exponential average of the true range; atr_wilder: Wilder's, 0 in warm-up; atr_pct against the close."""
 
-    def machine():
-        own: list = []
-
-        def step(tr, n):
-            first = not own
-            if first:
-                own.extend([Ema(period, n[0]), Wilder(period)])
-            # Wilder's seed leaves out the first bar, whose range has no close before it.
-            later = tr.copy()
-            if first:
-                later[0] = np.nan
-            smoothed = own[1](later)
-            return own[0](tr), np.where(np.isnan(smoothed), 0.0, smoothed)
+    def program(tr, rows, first):
+        later = tr.copy()
+        if first:  # Wilder's seed leaves out the first bar, whose range has no close before it.
+            later[0] = np.nan
+        mean, slow = yield [(_ema(period, rows), tr), (_wilder(period), later)]
+        return mean, np.where(np.isnan(slow), 0.0, slow)
 
-        return step
-
-    out = scan(candles, {"tr": W.true_range(), "n": length()}, [f"atr_{period}", f"atr_wilder_{period}"], machine)
+    out = smoothed(candles, lambda lag: {"tr": _true_range(lag)}, [f"atr_{period}", f"atr_wilder_{period}"], program, width=width)
     return out.withColumn(f"atr_pct_{period}", div(F.col(f"atr_{period}"), F.col("close")))
 
 
-def rsi(candles: DataFrame, period: int = 14) -> DataFrame:
+def rsi(candles: DataFrame, period: int = 14, width: float | None = None) -> DataFrame:
     """rsi: null in warm-up, 50 in a flat market; rsi_filled: 50 in warm-up, 100 without losses."""
 
-    def machine():
-        up, down = Wilder(period), Wilder(period)
-
-        def step(change):
-            gain, loss = up(np.maximum(change, 0.0)), down(np.maximum(-change, 0.0))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                value = np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), 100 - 100 / (1 + gain / loss))
-            value = np.where(np.isnan(gain), np.nan, value)
-            return value, np.where(np.isnan(gain), 50.0, np.where(loss == 0, 100.0, value))
-
-        return step
+    def program(change, rows, first):
+        gain, loss = yield [(_wilder(period), np.maximum(change, 0.0)), (_wilder(period), np.maximum(-change, 0.0))]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), 100 - 100 / (1 + gain / loss))
+        value = np.where(np.isnan(gain), np.nan, value)
+        return value, np.where(np.isnan(gain), 50.0, np.where(loss == 0, 100.0, value))
 
-    return scan(candles, {"change": F.col("close") - W.lag("close")}, [f"rsi_{period}", f"rsi_filled_{period}"], machine)
+    return smoothed(candles, lambda lag: {"change": F.col("close") - lag("close")}, [f"rsi_{period}", f"rsi_filled_{period}"], program, width=width)
 
 
-def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, width: float | None = None) -> DataFrame:
     """macd, macd_signal and macd_histogram."""
 
-    def machine():
-        own: list = []
-
-        def step(x, n):
-            if not own:
-                own.extend([Ema(fast, n[0]), Ema(slow, n[0]), Ema(signal)])
-            line = own[0](x) - own[1](x)
-            mean = own[2](line)
-            return line, mean, line - mean
-
-        return step
+    def program(x, rows, first):
+        quick, late = yield [(_ema(fast, rows), x), (_ema(slow, rows), x)]
+        line = quick - late
+        (mean,) = yield [(_ema(signal), line)]
+        return line, mean, line - mean
 
-    return scan(candles, {"x": F.col("close"), "n": length()}, ["macd", "macd_signal", "macd_histogram"], machine)
+    return smoothed(candles, lambda lag: {"x": F.col("close")}, ["macd", "macd_signal", "macd_histogram"], program, 2, width=width)
 
 
-def adx(candles: DataFrame, period: int = 14) -> DataFrame:
+def adx(candles: DataFrame, period: int = 14, width: float | None = None) -> DataFrame:
     """plus_di, minus_di and adx by Wilder's averages."""
-    up, down = F.col("high") - W.lag("high"), W.lag("low") - F.col("low")
-    plus = F.when((up > down) & (up > 0), up).otherwise(0.0)
-    minus = F.when((down > up) & (down > 0), down).otherwise(0.0)
 
-    def machine():
-        averages = [Wilder(period) for _ in range(4)]
-
-        def ratio(a, b):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.where(b == 0, np.nan, a / b)
+    def inputs(lag):
+        up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+        return {"tr": _true_range(lag), "plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)}
 
-        def step(tr, p, m):
-            tr, p, m = (f(x) for f, x in zip(averages, (tr, p, m), strict=False))
-            p, m = 100 * ratio(p, tr), 100 * ratio(m, tr)
-            return p, m, averages[3](100 * ratio(np.abs(p - m), p + m))
+    def program(tr, plus, minus, rows, first):
+        tr, plus, minus = yield [(_wilder(period), x) for x in (tr, plus, minus)]
+        plus, minus = 100 * _ratio(plus, tr), 100 * _ratio(minus, tr)
+        (mean,) = yield [(_wilder(period), 100 * _ratio(np.abs(plus - minus), plus + minus))]
+        return plus, minus, mean
 
-        return step
+    return smoothed(candles, inputs, ["plus_di", "minus_di", f"adx_{period}"], program, 2, width=width)
 
-    return scan(candles, {"tr": W.true_range(), "plus": plus, "minus": minus}, ["plus_di", "minus_di", f"adx_{period}"], machine)
 
-
-def keltner(candles: DataFrame, period: int = 20, multiple: float = 2.0) -> DataFrame:
+def keltner(candles: DataFrame, period: int = 20, multiple: float = 2.0, width: float | None = None) -> DataFrame:
     """Channel of `multiple` average true ranges around the exponential average."""
 
-    def machine():
-        own: list = []
-
-        def step(close, tr, n):
-            if not own:
-                own.extend([Ema(period, n[0]), Ema(period, n[0])])
-            mid, size = own[0](close), own[1](tr)
-            top, bottom = mid + multiple * size, mid - multiple * size
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return mid, top, bottom, np.where(mid == 0, np.nan, (top - bottom) / mid), np.where(top == bottom, np.nan, (close - bottom) / (top - bottom))
-
-        return step
+    def program(close, tr, rows, first):
+        mid, size = yield [(_ema(period, rows), close), (_ema(period, rows), tr)]
+        top, bottom = mid + multiple * size, mid - multiple * size
+        return mid, top, bottom, _ratio(top - bottom, mid), _ratio(close - bottom, top - bottom)
 
     names = ["keltner_mid", "keltner_upper", "keltner_lower", "keltner_width", "keltner_position"]
-    return scan(candles, {"close": F.col("close"), "tr": W.true_range(), "n": length()}, names, machine)
+    return smoothed(candles, lambda lag: {"close": F.col("close"), "tr": _true_range(lag)}, names, program, width=width)
 
 
 def supertrend(candles: DataFrame, period: int = 10, multiple: float = 3.0) -> DataFrame:
@@ -263,7 +173,7 @@ def supertrend(candles: DataFrame, period: int = 10, multiple: float = 3.0) -> D
 
         def step(high, low, close, tr, n):
             if not own:
-                own.append(Ema(period, n[0]))
+                own.append(_ema(period, n[0])())
             size = own[0](tr)
             out = np.full((4, len(close)), np.nan)
             for i, (mid, r, c) in enumerate(zip(((high + low) / 2).tolist(), size.tolist(), close.tolist(), strict=True)):
@@ -287,25 +197,16 @@ def supertrend(candles: DataFrame, period: int = 10, multiple: float = 3.0) -> D
     return scan(candles, {"high": F.col("high"), "low": F.col("low"), "close": F.col("close"), "tr": W.true_range(), "n": length()}, names, machine)
 
 
-def filled_ema(df: DataFrame, value: str, period: int, name: str) -> DataFrame:
+def filled_ema(df: DataFrame, value: str, period: int, name: str, width: float | None = None) -> DataFrame:
     """Exponential average whose warm-up rows are the values themselves; in a series shorter than the period, its first value."""
 
-    def machine():
-        own: list = []
-        first: list[float] = []
-
-        def step(x, n):
-            if not own:
-                own.append(Ema(period))
-                first.append(x[0])
-            if n[0] < period:
-                return (np.full(len(x), first[0]),)
-            y = own[0](x)
-            return (np.where(np.isnan(y), x, y),)
-
-        return step
+    def program(x, rows, first):
+        (y,) = yield [(_ema(period), x)]
+        return (np.where(np.isnan(y), x, y),)
 
-    return scan(df, {"x": F.col(value), "n": length()}, [name], machine)
+    out = smoothed(df, lambda lag: {"x": F.col(value)}, [name], program, width=width)
+    short = F.first(F.col(value).cast("double")).over(W.series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return out.withColumn(name, F.when(length() < period, short).otherwise(F.col(name)))
 
 
 def volume_group(rows: DataFrame, threshold: float, keys=W.SERIES, order=("ts",), volume: str = "volume") -> DataFrame:
