@@ -108,8 +108,9 @@ def test_a_series_is_worked_on_by_several_tasks(candles):
     assert spread > 1
 
 
-def test_rows_are_shuffled_once(candles):
-    out = recursive.macd(candles, width=20 * HOUR)
+def test_rows_are_shuffled_once(spark, candles, tmp_path):
+    candles.write.parquet(str(tmp_path / "candles"))
+    out = recursive.macd(spark.read.parquet(str(tmp_path / "candles")), width=20 * HOUR)
     out.collect()
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     own = [line for line in final.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
