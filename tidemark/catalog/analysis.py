@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import gone_at_exit, shared_folder
 from ..operators import correlation, drift, graphs, labels, metrics, models, risk, vectors
 from ..plans import datasets
 from ..streaming import bars
@@ -365,8 +365,10 @@ def training_table(spark, d):
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, which goes when the session ends."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    gone_at_exit(spark, path)
+    return path
 
 
 def _stream_of(spark, source, at: str):

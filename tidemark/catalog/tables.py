@@ -241,7 +241,7 @@ for _method, _value in _SCALES.items():
     @query(f"normalize_{_method}", f"SELECT c_custkey, {_value} AS x FROM (SELECT c_custkey, c_acctbal AS x, min(c_acctbal) OVER () AS lo, max(c_acctbal) OVER () AS hi, avg(c_acctbal) OVER () AS m, stddev_samp(c_acctbal) OVER () AS s, quantile_cont(c_acctbal, 0.25) OVER () AS q25, quantile_cont(c_acctbal, 0.75) OVER () AS q75, max(abs(c_acctbal)) OVER () AS ma, sqrt(sum(c_acctbal * c_acctbal) OVER ()) AS nm FROM customer)", "c_custkey", "x")
     def normalize(spark, d, method=_method):
         rows = read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"))
-        return scaling.transform(rows, scaling.fit(rows, ["x"]), ["x"], method)
+        return scaling.transform(rows, scaling.fit(rows, ["x"], method), ["x"], method)
 
 
 @query("normalize_inverse", "SELECT c_custkey, c_acctbal AS x FROM customer", "c_custkey", "x")

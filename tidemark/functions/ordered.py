@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local sessions have one of their own, which goes when the session ends."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    gone_at_exit(spark, _own_folder())
+    return _own_folder()
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """`path` is removed when the session's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut, by a checkpoint in the session's checkpoint folder, which executors share."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -36,17 +60,26 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     return joined.select(*df.columns, *[(F.col(f"_v{k}_off") + F.sum(f"_v{k}").over(here)).alias(n) for k, n in enumerate(totals)])
 
 
-def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+def counted(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, _x, _n): how often each group has each known value."""
+    x = F.col(value).cast("double")
+    return df.filter(x.isNotNull()).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """(by, q): exact interpolated quantiles of the known values of each group, as an array in the order of `fractions`.
 
     Equal values are counted before they are ordered, and ranks are running totals over ranges of the values, so
-    no task holds the distinct values of a group. A group without a known value has no row.
+    no task holds the distinct values of a group. A group without a known value has no row. `few` as in `with_group`.
     """
-    x = F.col(value).cast("double")
-    counted = df.filter(x.isNotNull()).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of(counted(df, value, by), fractions, by, few)
+
+
+def quantiles_of(counts: DataFrame, fractions: list[float], by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
+    """`quantiles` of what `counted` gives."""
     keys = by or ("_one",)
-    ranked = running_totals(counted if by else counted.withColumn("_one", F.lit(1)), [F.col("_x").asc()], {"_upto": F.col("_n")}, keys)
-    placed = with_group(ranked, ranked.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    ranked = running_totals(counts if by else counts.withColumn("_one", F.lit(1)), [F.col("_x").asc()], {"_upto": F.col("_n")}, keys)
+    placed = with_group(ranked, ranked.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys, few or not by)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_x")))
@@ -60,11 +93,14 @@ def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str,
     return ends.select(*by, F.array(*between).alias("q"))
 
 
-def with_group(rows: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """`rows` with the columns of their group in `groups`, one row for each group; keys may be null."""
+def with_group(rows: DataFrame, groups: DataFrame, by: tuple[str, ...], few: bool = False) -> DataFrame:
+    """`rows` with the columns of their group in `groups`, one row for each group; keys may be null.
+
+    `few` says that there are no more groups than a table has columns, or a single one: then they are broadcast, and no value moves to its group.
+    """
     others = [c for c in groups.columns if c not in by]
     named = groups.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], *others)
     on = F.lit(True)
     for k, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"_by{k}"))
-    return rows.join(named, on, "left").select(*rows.columns, *others)
+    return rows.join(F.broadcast(named) if few else named, on, "left").select(*rows.columns, *others)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import quantiles
+from ..functions.ordered import checkpointed, quantiles
 from ..functions.scalars import div
 
 
@@ -22,13 +22,13 @@ def stability(reference: DataFrame, current: DataFrame, columns: list[str], bins
     """
     ref, cur = _long(reference, columns), _long(current, columns)
     moments = ref.groupBy("feature").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"), F.count("x").alias("_n"))
-    cuts = quantiles(ref, "x", [k / bins for k in range(bins + 1)], ("feature",)).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
-    stats = moments.join(cuts, "feature")
-    edges = F.broadcast(stats.select("feature", "edges", "_n"))  # one row for each column of the table
+    cuts = quantiles(ref, "x", [k / bins for k in range(bins + 1)], ("feature",), few=True).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
+    stats = checkpointed(moments.join(F.broadcast(cuts), "feature"))  # one row for each column of the table, worked out once
+    edges = F.broadcast(stats.select("feature", "edges"))
 
     def histogram(rows: DataFrame, name: str) -> DataFrame:
         inside = rows.join(edges, "feature").filter((F.col("x") >= F.get("edges", F.lit(0))) & (F.col("x") <= F.get("edges", F.size("edges") - 1)))
-        # The last edge at or below x, but at most the one before the last.
+        # The last edge at or below the value, but at most the one before the last.
         bin_ = F.least(F.size(F.filter("edges", lambda e: e <= F.col("x"))) - 1, F.greatest(F.size("edges") - 2, F.lit(0)))
         return inside.groupBy("feature", bin_.alias("bin")).agg(F.count(F.lit(1)).alias(name))
 

@@ -10,6 +10,7 @@ from ..functions.scalars import div
 from ..functions.windows import pearson
 
 METHODS = ("min_max", "z_score", "robust", "max_abs", "mean", "unit_vector", "log", "square_root")
+QUARTILES = ("q25", "median", "q75")
 
 
 def _finite(c: str) -> Column:
@@ -17,15 +18,20 @@ def _finite(c: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def fit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: n, min, max, mean, std (sample), std_pop, median, q25, q75, max_abs and norm. Written as JSON it is the state of a scaler."""
+def fit(df: DataFrame, columns: list[str], method: str | None = None) -> DataFrame:
+    """One row for each column: n, min, max, mean, std (sample), std_pop, median, q25, q75, max_abs and norm. Written as JSON it is the state of a scaler.
+
+    With a `method`, only what that one reads is worked out: quartiles, the costly part, are null unless it is `robust`.
+    """
     long = df.select(*[_finite(c).alias(c) for c in columns]).unpivot([], columns, "field", "x")
     moments = long.groupBy("field").agg(
         F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.stddev_pop("x").alias("std_pop"),
         F.max(F.abs("x")).alias("max_abs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"),
     )
-    out = with_group(moments, quantiles(long, "x", [0.25, 0.5, 0.75], ("field",)), ("field",))
-    return out.select("*", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "median", "q75"))]).drop("q")
+    if method not in (None, "robust"):
+        return moments.withColumns({n: F.lit(None).cast("double") for n in QUARTILES})
+    out = with_group(moments, quantiles(long, "x", [0.25, 0.5, 0.75], ("field",), few=True), ("field",), few=True)
+    return out.select("*", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(QUARTILES)]).drop("q")
 
 
 def _wide(state: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,7 +99,7 @@ def scale(df: DataFrame, state: DataFrame, columns: list[str], method: str = "zs
 
 def scale_splits(df: DataFrame, columns: list[str], split: str = "split", method: str = "zscore") -> DataFrame:
     """Scales all rows by what the rows of the split `train` alone show."""
-    return scale(df, fit(df.filter(F.col(split) == "train"), columns), columns, method)
+    return scale(df, fit(df.filter(F.col(split) == "train"), columns, method), columns, method)
 
 
 def selected(df: DataFrame, columns: list[str], target: str, k: int, least_variance: float = 0.0) -> DataFrame:
