@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import gone_at_exit, shared_folder
-from ..operators import correlation, drift, graphs, labels, metrics, models, risk, vectors
+from ..operators import clustering, correlation, drift, graphs, labels, metrics, models, risk, vectors
 from ..plans import datasets
 from ..streaming import bars
 from .base import PREDICTIONS_SQL, SERIES_SQL, TICKS_SQL, TRADES_SQL, hourly, lag_sql, predictions_of, query, read, ticks, trades_of, with_candles
@@ -202,6 +202,39 @@ def k_means(spark, d):
     return vectors.k_means(read(spark, d, "embeddings"), "embedding", 4, 8)[0].select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
+_NEAR = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.1), n AS (SELECT v.vec_id, count(b) AS n_near FROM v LEFT JOIN near ON a = v.vec_id GROUP BY v.vec_id), core AS (SELECT vec_id FROM n WHERE n_near >= 3)"
+
+
+@query("dbscan", f"WITH RECURSIVE {_NEAR}, l AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), r AS (SELECT vec_id AS node, vec_id AS dest FROM core UNION SELECT r.node, l.b FROM r JOIN l ON r.dest = l.a), c AS (SELECT node, min(dest) AS cluster FROM r GROUP BY node), e AS (SELECT a, min(cluster) AS cluster FROM near JOIN c ON c.node = b WHERE a NOT IN (FROM core) GROUP BY a) SELECT n.vec_id, n_near, CASE WHEN c.node IS NOT NULL THEN 'core' WHEN e.a IS NOT NULL THEN 'border' ELSE 'noise' END AS kind, coalesce(c.cluster, e.cluster, -1) AS cluster FROM n LEFT JOIN c ON c.node = n.vec_id LEFT JOIN e ON e.a = n.vec_id", "vec_id n_near kind cluster")
+def dbscan(spark, d):
+    """Density clusters of all vectors; noise is -1."""
+    return clustering.dbscan(read(spark, d, "embeddings"), "vec_id", "embedding", 1.1, 3).fillna(-1, subset=["cluster"])
+
+
+def _brand_profiles(spark, d):
+    """What each brand's parts sell for, by all line items."""
+    parts = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    rows = read(spark, d, "lineitem").join(parts, "l_partkey").groupBy("p_brand")
+    return rows.agg(F.avg("l_quantity").alias("quantity"), (F.avg("l_discount") * 100).alias("discount"), (F.avg("l_tax") * 100).alias("tax"), (F.avg("l_extendedprice") / 1000).alias("price"))
+
+
+def _profile_gap(a, b):
+    return F.sqrt(sum((a[c] - b[c]) * (a[c] - b[c]) for c in ("quantity", "discount", "tax", "price")))
+
+
+@query("complete_linkage", keys="first second size", values="height")
+def complete_linkage(spark, d):
+    """The merges of all brands by the distance of their profiles."""
+    return clustering.linkage(clustering.distance_table(_brand_profiles(spark, d), "p_brand", _profile_gap))
+
+
+@query("linkage_clusters", keys="p_brand cluster")
+def linkage_clusters(spark, d):
+    """Five clusters of brands, cut from the hierarchy."""
+    items = _brand_profiles(spark, d)
+    return clustering.cut(items, "p_brand", clustering.linkage(clustering.distance_table(items, "p_brand", _profile_gap)), 5)
+
+
 @query("principal_components")
 def principal_components(spark, d):
     rows = read(spark, d, "embeddings")

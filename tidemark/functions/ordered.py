@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """`df` written to the shared folder and read again. Unlike a checkpoint it forgets what is known of its columns, which loops would pile up."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
     """`df` with, by name, the sum of each of `totals` over its rows up to and including this one, in `order`, in each group of `by`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import checkpointed
+from ..functions.ordered import checkpointed, written
 from ..functions.scalars import div
 
 # Edges have columns src and dst, and kind and weight where an operator says so.
@@ -54,6 +54,26 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node that has an edge; the component is its smallest node.
+
+    Each round takes every node to the smallest label among its neighbours and then to that label's own, so rounds grow
+    with the logarithm of a component's length for chains as well; each is written. Labels are aggregated
+    before they are shuffled, so a node with very many edges costs one row for each task.
+    """
+    both = edges.select("src", "dst").filter("src <> dst")
+    both = written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_near"))
+        lower = labels.join(near, "node").select("node", "component", F.least("component", "_near").alias("_low"))
+        above = labels.select(F.col("node").alias("_low"), F.col("component").alias("_above"))
+        moved = written(lower.join(above, "_low", "left").select("node", F.col("component").alias("_was"), F.least("_low", F.coalesce("_above", "_low")).alias("component")))
+        labels = moved.drop("_was")
+        if moved.filter("_was <> component").isEmpty():
+            return labels
+
+
 def path(edges: DataFrame, source, target, most: int = 5) -> DataFrame:
     """(position, node): one shortest path of at most `most` nodes; no rows if there is none."""
     spark = edges.sparkSession
