@@ -242,6 +242,14 @@ def principal_components(spark, d):
     return vectors.projected(rows, "embedding", mean, components).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
 
 
+@query("independent_components")
+def independent_components(spark, d):
+    """The independent components of quantity, discount and tax of all line items, which are drawn apart from each other."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_discount") * 100, F.col("l_tax") * 100).alias("v"))
+    mean, rows_ = vectors.independent_components(rows, "v", 3)
+    return vectors.projected(rows, "v", mean, rows_).select("l_orderkey", "l_linenumber", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
+
+
 @query("random_projection")
 def random_projection(spark, d):
     return vectors.random_projection(read(spark, d, "embeddings"), "embedding", 64, 4).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))

@@ -151,3 +151,60 @@ def inertia_by_k(df: DataFrame, vec: str, ks=(2, 3, 4, 5), rounds: int = 5, metr
     mean = sum(drops) / max(1, len(drops))
     best = next((found[i][0] for i, x in enumerate(drops) if x < 0.3 * mean), found[-1][0])
     return df.sparkSession.createDataFrame([(k, float(x), k == best) for k, x in found], "k int, inertia double, chosen boolean")
+
+
+def independent_components(df: DataFrame, vec: str, k: int, rounds: int = 100, tolerance: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, unmixing rows): `projected` by them gives k independent components of unit variance, by FastICA with tanh.
+
+    Whitening comes from the covariance, by its k largest eigenvalues (fewer if others are none). Each round is one aggregation: tasks sum
+    tanh(w z) z and its derivative over their rows, and only k x k numbers each come together; then the directions are
+    made orthogonal to each other. Rounds end when no direction turns by more than `tolerance`. Each row's largest
+    entry is positive; rows are ordered by their largest entry's place, then by size. Null and empty vectors do not count.
+    """
+    mean, cov, n = covariance(df, vec)
+    if n < 2:
+        return mean, np.empty((0, 0))
+    values, vectors = np.linalg.eigh(cov * (n - 1) / n)
+    keep = [i for i in np.argsort(-values)[:k] if values[i] > 1e-10 * max(values.max(), 1e-300)]
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).T
+    # The sign of an eigenvector is not determined; fixed signs make the start, and so the result, the same everywhere.
+    whiten *= np.sign(whiten[np.arange(len(keep)), np.abs(whiten).argmax(1)])[:, None]
+    size = len(keep)
+
+    def orthogonal(w: np.ndarray) -> np.ndarray:
+        u, _, v = np.linalg.svd(w)
+        return u @ v
+
+    w = orthogonal(np.random.default_rng(seed).normal(size=(size, size)))
+    rows = df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(vec).cast("array<double>").alias("x"))
+
+    def step(w: np.ndarray):
+        def partial(batches):
+            import pyarrow as pa
+
+            outer, slope, count = np.zeros((size, size)), np.zeros(size), 0
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+                    z = (x - mean) @ whiten.T
+                    g = np.tanh(z @ w.T)
+                    outer, slope, count = outer + g.T @ z, slope + (1 - g * g).sum(0), count + len(x)
+            if count:
+                numbers = np.concatenate([outer.ravel(), slope])
+                yield pa.RecordBatch.from_pydict({"i": list(range(len(numbers))), "x": numbers.tolist()})
+
+        return partial
+
+    for _ in range(rounds if size else 0):
+        sums = np.zeros(size * size + size)
+        for r in rows.mapInArrow(step(w), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            sums[r["i"]] = r["x"]
+        new = orthogonal(sums[: size * size].reshape(size, size) / n - (sums[size * size :] / n)[:, None] * w)
+        turned = float(np.abs(np.abs((new * w).sum(1)) - 1).max())
+        w = new
+        if turned < tolerance:
+            break
+    unmix = w @ whiten
+    top = np.abs(unmix).argmax(1)
+    unmix = unmix * np.sign(unmix[np.arange(size), top])[:, None]
+    return mean, unmix[np.lexsort((-unmix[np.arange(size), top], top))]
