@@ -67,3 +67,37 @@ def test_simulations_do_not_depend_on_partitions(spark, replacement):
     assert one == other
     if not replacement:
         assert {f for _, f, _ in one} == {round(1 + sum(((i * 37) % 19 - 9) / 100 for i in range(60)), 9)}
+
+
+def plain_lots(fills):
+    """(open, closed, side, size, pnl) by a queue for each side."""
+    queue, out = [], []
+    for at, side, price, size in sorted(fills):
+        while size > 1e-12 and queue and queue[0][1] == -side:
+            opened = queue[0]
+            part = min(size, opened[3])
+            out.append((opened[0], at, opened[1], part, (price - opened[2]) * opened[1] * part))
+            size, opened[3] = size - part, opened[3] - part
+            if opened[3] <= 1e-12:
+                queue.pop(0)
+        if size > 1e-12:
+            queue.append([at, side, price, size])
+    return out + [(at, None, side, size, None) for at, side, _, size in queue]
+
+
+def test_lots_are_those_of_a_queue(spark):
+    import random
+
+    from tidemark.operators import validation
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        fills = [(k, rng.choice([1, -1]), float(rng.randrange(90, 110)), float(rng.choice([1, 2, 3, 5, 8]))) for k in range(60)]
+        more = [(61, 1, 100.0, 0.0), (62, 1, 100.0, None), (63, 0, 100.0, 1.0)]
+        df = spark.createDataFrame([("A", *f) for f in fills + more] + [("B", 1, -1, 5.0, 2.0), (None, 1, 1, 5.0, 2.0), (None, 2, -1, 6.0, 3.0)], "symbol string, ts long, side int, price double, size double")
+        rows = validation.lots(df).collect()
+        got = sorted(((r["ts"], r["ts_closed"], r["side"], r["size"], r["pnl"]) for r in rows if r["symbol"] == "A"), key=repr)
+        assert got == sorted(plain_lots(fills), key=repr)
+        assert [(r["side"], r["size"], r["exit"]) for r in rows if r["symbol"] == "B"] == [(-1, 2.0, None)]
+        assert sorted((r["side"], r["size"], r["pnl"]) for r in rows if r["symbol"] is None)[1] == (1, 2.0, 2.0)
+    assert validation.lots(df.limit(0)).collect() == []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import windows as W
-from ..operators import asof, cleaning, joins, quality, resample, scaling, splits
+from ..operators import asof, cleaning, information, joins, quality, resample, scaling, splits
 from ..schema import candles
 from .base import CANDLES_SQL, SERIES_SQL, TIMEFRAMES_SQL, full_sql, hourly, lag_sql, query, read, ticks, with_candles
 
@@ -266,6 +266,15 @@ def mutual_information(spark, d):
     return scaling.binned_information(read(spark, d, "lineitem"), "l_quantity", "l_returnflag")
 
 
+@query("knn_information", keys="pair n", values="information")
+def knn_information(spark, d):
+    """What the price of a line tells of its price for one, and what that tells of the order's number."""
+    rows = read(spark, d, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
+    pairs = (("l_extendedprice", "unit"), ("unit", "l_orderkey"))
+    found = [information.knn_information(rows, x, y).withColumn("pair", F.lit(f"{x} {y}")) for x, y in pairs]
+    return found[0].unionByName(found[1])
+
+
 @query("walk_forward", C(f"SELECT symbol, ts, fold, CASE WHEN i < fold * 60 + 300 THEN 'train' ELSE 'test' END AS part FROM (SELECT symbol, ts, i, unnest(range(greatest(0, (n - 300) // 60)))::INT AS fold FROM (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM candles)) WHERE i >= fold * 60 AND i < fold * 60 + 360"), "symbol fold part", times="ts")
 def walk_forward(spark, d):
     """Longer training, shorter tests and more folds than walk_forward_whole has."""

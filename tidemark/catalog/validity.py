@@ -8,7 +8,7 @@ from ..operators import correlation, joins, models, risk, validation
 from ..plans import datasets
 from ..sources import files
 from .analysis import _RETURNS, _folder
-from .base import hourly, lag_sql, query, read, ticks, with_candles
+from .base import TICKS_SQL, hourly, lag_sql, query, read, ticks, with_candles
 
 C = with_candles
 _R = f"rt AS (SELECT * FROM (SELECT symbol, ts, close / {lag_sql('close')} - 1 AS r FROM candles) WHERE r IS NOT NULL)"
@@ -73,6 +73,28 @@ def open_positions(spark, d):
     return validation.held_at_end(_positions(spark, d), ("symbol",))
 
 
+_LOTS = f"WITH {TICKS_SQL}, f AS (SELECT symbol, ts, event_id, CASE WHEN side = 0 THEN 1 ELSE -1 END AS side, last AS price, 1.0 + event_id % 4 AS size FROM ticks), c AS (SELECT *, sum(size) OVER w AS e FROM f WINDOW w AS (PARTITION BY symbol, side ORDER BY ts, event_id)), p AS (SELECT symbol, ts, event_id, side, price, e - size AS s, e FROM c), b AS (FROM p WHERE side = 1), a AS (FROM p WHERE side = -1), j AS (SELECT coalesce(b.symbol, a.symbol) AS symbol, (b.ts, b.event_id) < (a.ts, a.event_id) AS first, least(b.e, a.e) - greatest(b.s, a.s) AS size, b.event_id AS be, b.price AS bp, a.event_id AS ae, a.price AS ap FROM b JOIN a ON b.symbol = a.symbol AND b.s < a.e AND a.s < b.e), m AS (SELECT symbol, CASE WHEN first THEN be ELSE ae END AS event_id, CASE WHEN first THEN 1 ELSE -1 END AS side, size, CASE WHEN first THEN bp ELSE ap END AS entry, CASE WHEN first THEN ap ELSE bp END AS exit, CASE WHEN first THEN ae ELSE be END AS event_id_closed FROM j UNION ALL SELECT p.symbol, event_id, p.side, e - greatest(s, coalesce(o, 0)), price, NULL, NULL FROM p LEFT JOIN (SELECT symbol, side, max(e) AS o FROM p GROUP BY ALL) q ON q.symbol = p.symbol AND q.side = -p.side WHERE e > coalesce(o, 0)) SELECT *, (exit - entry) * side * size AS pnl FROM m"
+
+
+def _lots(spark, d):
+    size = (1 + F.col("event_id") % 4).cast("double")
+    fills = ticks(spark, d).select("symbol", "ts", "event_id", F.when(F.col("side") == 0, 1).otherwise(-1).alias("side"), F.col("last").alias("price"), size.alias("size"))
+    return validation.lots(fills, order=("ts", "event_id"))
+
+
+@query("lots_of_fills", _LOTS, "symbol event_id side", "size event_id_closed entry exit pnl")
+def lots_of_fills(spark, d):
+    """Every matched part of fills of one to four units, and what stays open."""
+    return _lots(spark, d)
+
+
+@query("lots_by_symbol", f"SELECT symbol, count(*) AS lots, sum(size) AS size, sum(pnl) AS pnl, sum(side * size) FILTER (exit IS NULL) AS exposure FROM ({_LOTS}) GROUP BY symbol", "symbol lots", "size pnl exposure")
+def lots_by_symbol(spark, d):
+    """Realised results and what is left open of each symbol."""
+    exposure = F.sum(F.when(F.col("exit").isNull(), F.col("side") * F.col("size"))).alias("exposure")
+    return _lots(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("lots"), F.sum("size").alias("size"), F.sum("pnl").alias("pnl"), exposure)
+
+
 _PAIRS = "SELECT p.symbol AS a, q.symbol AS b, count(*) AS n, corr(p.x, q.x) AS r FROM rr p JOIN rr q ON p.pos = q.pos AND p.symbol < q.symbol GROUP BY p.symbol, q.symbol"
 
 

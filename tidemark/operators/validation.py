@@ -88,6 +88,31 @@ def positions(fills: DataFrame, by=("symbol",), order=("ts",)) -> DataFrame:
     return both.select(*by, *order, "side", "size", F.col("price").alias("entry"), "exit", *[f"{c}_closed" for c in order], ((F.col("exit") - F.col("price")) * F.col("side") * F.col("size")).alias("pnl"))
 
 
+def lots(fills: DataFrame, by=("symbol",), order=("ts",)) -> DataFrame:
+    """First in, first out: a row for each part of a fill that another closes, and for each part that stays open (exit null), of fills (side 1 or -1, price, size).
+
+    Bought and sold quantities are laid end to end, each side on an axis of its own, in order of time; what the k-th
+    unit bought and the k-th unit sold have in common is one lot, opened by the earlier fill and closed by the later
+    one. So a fill that closes more than is open opens the other side with the rest, and positions of both sides
+    never stand at once. The overlaps come from the ends of all intervals in order, by two windows: no pair of
+    fills is tried, and no state is kept in a loop. Fills without a positive size do not count.
+    """
+    key, keys = F.struct(*[F.col(c) for c in order]), list(by)
+    own = Window.partitionBy(*keys, "side").orderBy(*order)
+    rows = fills.filter((F.col("size") > 0) & F.col("side").isin(1, -1)).select(*keys, *order, "side", "price", F.col("size").cast("double").alias("size"))
+    rows = rows.withColumn("_end", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # Every end of an interval closes a part: it belongs to the fill of either side that reaches that far.
+    fill = F.struct(key.alias("at"), F.col("price").alias("price"))
+    ends = rows.groupBy(*keys, "_end").agg(*[F.max(F.when(F.col("side") == s, fill)).alias(f"_{n}") for s, n in ((1, "long"), (-1, "short"))])
+    ahead = Window.partitionBy(*keys).orderBy("_end")
+    here = {f"_{n}": F.first(f"_{n}", ignorenulls=True).over(ahead.rowsBetween(0, Window.unboundedFollowing)) for n in ("long", "short")}
+    parts = ends.withColumns(here).withColumn("size", F.col("_end") - F.coalesce(F.lag("_end").over(ahead), F.lit(0.0))).filter(F.col("size") > 0)
+    first = F.col("_short").isNull() | (F.col("_long.at") < F.col("_short.at"))
+    parts = parts.withColumns({"side": F.when(first, 1).otherwise(-1), "_open": F.when(first, F.col("_long")).otherwise(F.col("_short")), "_close": F.when(first, F.col("_short")).otherwise(F.col("_long"))})
+    parts = parts.withColumns({"entry": F.col("_open.price"), "exit": F.col("_close.price")})
+    return parts.select(*keys, *[F.col(f"_open.at.{c}").alias(c) for c in order], "side", "size", "entry", "exit", *[F.col(f"_close.at.{c}").alias(f"{c}_closed") for c in order], ((F.col("exit") - F.col("entry")) * F.col("side") * F.col("size")).alias("pnl"))
+
+
 def concentration(pairs: DataFrame, held: DataFrame, limit: float = 0.8) -> DataFrame:
     """One row: the symbols held, the largest absolute correlation between two of them, the pairs at or beyond the limit, and whether there are any.
 
