@@ -101,3 +101,31 @@ def test_lots_are_those_of_a_queue(spark):
         assert [(r["side"], r["size"], r["exit"]) for r in rows if r["symbol"] == "B"] == [(-1, 2.0, None)]
         assert sorted((r["side"], r["size"], r["pnl"]) for r in rows if r["symbol"] is None)[1] == (1, 2.0, 2.0)
     assert validation.lots(df.limit(0)).collect() == []
+
+
+def test_fits_of_all_folds_are_those_of_each(spark):
+    import numpy as np
+
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(2)
+    rows = [("A", t, float(rng.normal()), float(rng.normal())) for t in range(53)]
+    rows = [(s, t, a, b, 2 * a - b + 3 + float(rng.normal()) / 9) for s, t, a, b in rows]
+    rows[7] = ("A", 7, None, 1.0, 1.0)
+    df = spark.createDataFrame([*rows, *[("B", t, 1.0, 2.0, 3.0) for t in range(11)]], "k string, t long, a double, b double, y double")
+    for train, test, step in ((12, 6, None), (10, 4, 3), (2, 2, 40)):
+        got = {r["fold"]: r for r in models.walk_forward_fit(df, ["a", "b"], "y", train, test, step, ("k",), ("t",)).filter("k = 'A'").collect()}
+        move = step or test
+        assert set(got) == set(range((53 - train - test) // move + 1))
+        for f, r in got.items():
+            parts = [[x for x in rows[f * move + low : f * move + high] if x[2] is not None] for low, high in ((0, train), (train, train + test))]
+            assert [r["n_train"], r["n_test"]] == [len(p) for p in parts]
+            if len(parts[0]) < 3:
+                assert r["coefficients"] is None and r["test_rmse"] is None
+                continue
+            x, y = ([np.array([[1, a, b] for *_, a, b, _ in p]) for p in parts], [np.array([q[-1] for q in p]) for p in parts])
+            beta = np.linalg.lstsq(x[0], y[0], rcond=None)[0]
+            assert np.allclose(r["coefficients"], beta, atol=1e-6)
+            for name, k in (("train_rmse", 0), ("test_rmse", 1)):
+                assert abs(r[name] - np.sqrt(((y[k] - x[k] @ beta) ** 2).mean())) < 1e-6
+    assert models.walk_forward_fit(df.limit(0), ["a"], "y", 5, 5, None, ("k",), ("t",)).collect() == []

@@ -95,6 +95,16 @@ def walk_forward_search_whole(spark, d):
     return models.walk_forward_search(rows, candidates, lambda df: splits.rolling_walk_forward(df, 200, 100))
 
 
+_FIT = f"SELECT symbol, fold, count(*) FILTER (tr AND k) AS n_train, count(*) FILTER (NOT tr AND k) AS n_test, any_value(b0) AS intercept, any_value(b1) AS slope, sqrt(avg((close - b0 - b1 * x) ** 2) FILTER (NOT tr)) AS test_rmse FROM (SELECT *, regr_slope(close, x) FILTER (tr) OVER g AS b1, regr_intercept(close, x) FILTER (tr) OVER g AS b0 FROM (SELECT symbol, fold, close, x, x IS NOT NULL AS k, i < fold * 60 + 300 AS tr FROM (SELECT *, unnest(range(greatest(0, (n - 300) // 60)))::INT AS fold FROM r) WHERE i >= fold * 60 AND i < fold * 60 + 360) WINDOW g AS (PARTITION BY symbol, fold)) GROUP BY symbol, fold"
+
+
+@query("walk_forward_fit", C(_FIT, f"r AS (SELECT *, row_number() OVER ({SERIES_SQL}) - 1 AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n, {full_sql('avg', 'close', 5)} AS x FROM candles)"), "symbol fold n_train n_test", "intercept slope test_rmse")
+def walk_forward_fit(spark, d):
+    """The close by its mean of five, fitted on each of all folds of 300 and 60 rows."""
+    fits = models.walk_forward_fit(hourly(spark, d).withColumn("x", W.mean("close", 5)), ["x"], "close", 300, 60)
+    return fits.withColumns({"intercept": F.get("coefficients", F.lit(0)), "slope": F.get("coefficients", F.lit(1))})
+
+
 @query("isolation_forest")
 def isolation_forest(spark, d):
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..functions.scalars import div
-from .splits import walk_forward
+from .splits import numbered, walk_forward
 
 
 def least_squares(df: DataFrame, features: list[str], target: str, ridge: float = 1e-9) -> np.ndarray:
@@ -77,6 +77,61 @@ def walk_forward_search(df: DataFrame, candidates: dict[str, Column], folds: Seq
     return best.join(test, ["fold", "candidate"], "left")
 
 
+def walk_forward_fit(df: DataFrame, features: list[str], target: str, train: int, test: int, step: int | None = None, keys=W.SERIES, order=("ts",), ridge: float = 1e-9) -> DataFrame:
+    """(keys, fold, n_train, n_test, coefficients, train_rmse, test_rmse): least squares on every fold's training rows, and how it does on its test rows.
+
+    Folds are `train` rows and the `test` rows after them, moved on by `step` (by default `test`) as long as they are
+    whole. Products of the features and the target are summed once for each block of rows and then along the series;
+    a fold's sums are the difference of two of these rows, however many folds share a row. Fits are solved fold by
+    fold in tasks; the errors come from the same sums. Rows with a null count for the place of folds only. The
+    intercept comes first. A fold with fewer training rows than coefficients has null coefficients and errors.
+    """
+    step = step or test
+    block = math.gcd(train, test, step)
+    names, size = [*features, target], len(features) + 2
+    rows = numbered(df.select(*keys, *order, *[F.col(c).cast("double").alias(c) for c in names]), keys, order)
+    known = F.lit(True)
+    for c in names:
+        known = known & F.col(c).isNotNull()
+    z = [F.when(known, x) for x in (F.lit(1.0), *map(F.col, names))]
+    products = [F.coalesce(F.sum(z[i] * z[j]), F.lit(0.0)) for i in range(size) for j in range(i, size)]
+    places = [f"_p{k}" for k in range(len(products))]
+    sums = rows.groupBy(*keys, F.floor(F.col("row") / block).alias("_k")).agg(F.max("rows").alias("_rows"), *[p.alias(n) for p, n in zip(products, places, strict=True)])
+    so_far = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    # After block k - 1 stand the sums before block k: where a fold starts, where its test rows start, or where they end.
+    ends = sums.select(*keys, "_rows", (F.col("_k") + 1).alias("_k"), F.array(*[F.sum(n).over(so_far) for n in places]).alias("_sums"))
+    start = ends.groupBy(*keys).agg(F.max("_rows").alias("_rows")).select(*keys, "_rows", F.lit(0).cast("long").alias("_k"), F.array_repeat(F.lit(0.0), len(places)).alias("_sums"))
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), ((F.col("_k") - shift) / (step // block)).alias("fold")) for r, shift in enumerate((0, train // block, (train + test) // block))]))
+    met = ends.unionByName(start).select(*keys, "_rows", "_sums", roles.alias("_r")).select(*keys, "_rows", "_sums", "_r.*")
+    whole = (F.col("fold") >= 0) & (F.col("fold") == F.floor("fold")) & (F.col("fold") * step + train + test <= F.col("_rows"))
+    folds = met.filter(whole).groupBy(*keys, F.col("fold").cast("int").alias("fold")).agg(*[F.max(F.when(F.col("role") == r, F.col("_sums"))).alias(f"_s{r}") for r in range(3)])
+    upper = np.triu_indices(size)
+    head = [*keys, "fold"]
+
+    def solved(batches):
+        for batch in batches:
+            out = []
+            for parts in zip(*(batch.column(f"_s{r}").to_pylist() for r in range(3)), strict=True):
+                full = []
+                for a, b in zip(parts, parts[1:], strict=False):
+                    m = np.zeros((size, size))
+                    m[upper] = np.array(b) - np.array(a)
+                    full.append(m + np.triu(m, 1).T)
+                n = [int(round(m[0, 0])) for m in full]
+                if n[0] < size - 1:
+                    out.append((*n, None, None, None))
+                    continue
+                beta = np.linalg.solve(full[0][:-1, :-1] + ridge * np.eye(size - 1), full[0][:-1, -1])
+                gap = np.append(beta, -1.0)
+                out.append((*n, beta.tolist(), *[math.sqrt(max(0.0, gap @ m @ gap) / k) if k else None for m, k in zip(full, n, strict=True)]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+            made = [pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in head], *made], [*head, "n_train", "n_test", "coefficients", "train_rmse", "test_rmse"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in folds.select(*head).schema.fields)
+    return folds.mapInArrow(solved, f"{fields}, n_train long, n_test long, coefficients array<double>, train_rmse double, test_rmse double")
+
+
 def _tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple | float:
     """(feature, cut, left, right), or the adjusted depth left at a leaf."""
     n = len(x)
