@@ -129,3 +129,41 @@ def test_fits_of_all_folds_are_those_of_each(spark):
             for name, k in (("train_rmse", 0), ("test_rmse", 1)):
                 assert abs(r[name] - np.sqrt(((y[k] - x[k] @ beta) ** 2).mean())) < 1e-6
     assert models.walk_forward_fit(df.limit(0), ["a"], "y", 5, 5, None, ("k",), ("t",)).collect() == []
+
+
+@pytest.mark.parametrize("replacement", [False, True])
+def test_equity_bands_are_those_of_plain_curves(spark, replacement):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import risk
+
+    df = spark.createDataFrame([(k, (k * 37 % 101 - 50) / 1000) for k in range(90)], "ts long, r double")
+    curves = {}
+    for r in risk.simulated(df, 7, replacement=replacement).collect():
+        curves.setdefault(r["simulation"], []).append((r["step"], r["r"], r["equity"], r["drawdown"]))
+    assert set(curves) == set(range(7)) and len({tuple(x[1] for x in sorted(c)) for c in curves.values()}) == 7
+    equity = []
+    for curve in curves.values():
+        step, r, e, d = (np.array(x) for x in zip(*sorted(curve), strict=True))
+        assert (step == np.arange(1, 91)).all() and np.allclose(e, 1 + np.cumsum(r))
+        peak = np.maximum.accumulate(np.append(1.0, e))[1:]
+        assert np.allclose(d, e / peak - 1)
+        if not replacement:
+            assert sorted(r) == sorted(x["r"] for x in df.collect())
+        equity.append(e)
+    got = risk.equity_bands(df, 7, replacement=replacement).orderBy("step").collect()
+    want = np.quantile(np.array(equity), [0.025, 0.5, 0.975], axis=0)
+    assert np.allclose([[r["low"], r["median"], r["high"]] for r in got], want.T) and np.allclose([r["mean"] for r in got], np.mean(equity, 0))
+    tasks = risk.simulated(df, 7).withColumn("_p", F.concat_ws(":", "simulation", F.spark_partition_id().cast("string")))
+    assert risk.equity_bands(df.limit(0), 7).collect() == [] and tasks.count() == 630
+
+
+def test_report_of_null_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import metrics
+
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, -1.0), (None, 1, 3.0), (None, 2, None)], "s string, m int, r double")
+    got = {(r["dimension"], r["value"]): (r["trades"], r["wins"], r["total"]) for r in metrics.report(df, "r", {"s": F.col("s"), "m": F.col("m")}).collect()}
+    assert got == {("all", None): (3, 2, 4.0), ("s", "a"): (2, 1, 1.0), ("s", None): (1, 1, 3.0), ("m", "1"): (2, 2, 5.0), ("m", "2"): (1, 0, -1.0)}

@@ -389,6 +389,23 @@ def monte_carlo(spark, d):
     return risk.bands(risk.reshuffled(r, 50, ids=("symbol", "pos")))
 
 
+@query("equity_bands", keys="step", values="mean low median high")
+def equity_bands(spark, d):
+    """Bands of the equity after every step of fifty orders of all returns."""
+    r = correlation.returns_by_position(hourly(spark, d)).select("symbol", "pos", (F.col("x") / 100).alias("r"))
+    return risk.equity_bands(r, 50, ids=("symbol", "pos"))
+
+
+_DIMENSIONS = {"period": "strftime(l_shipdate, '%Y-%m')", "flag": "l_returnflag", "status": "l_linestatus", "line": "l_linenumber::VARCHAR"}
+
+
+@query("performance_report", "WITH t AS (SELECT l_extendedprice * (l_discount - 0.05) AS r, " + ", ".join(f"{x} AS {n}" for n, x in _DIMENSIONS.items()) + " FROM lineitem) SELECT CASE " + " ".join(f"WHEN grouping({n}) = 0 THEN '{n}'" for n in _DIMENSIONS) + " ELSE 'all' END AS dimension, CASE " + " ".join(f"WHEN grouping({n}) = 0 THEN {n}" for n in _DIMENSIONS) + " END AS value, count(r) AS trades, count(*) FILTER (r > 0) AS wins, sum(r) AS total, avg(r) AS expectancy, avg((r > 0)::INT) AS win_rate, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor, max(r) AS best, min(r) AS worst FROM t GROUP BY GROUPING SETS (" + ", ".join(f"({n})" for n in _DIMENSIONS) + ", ())", "dimension value trades wins", "expectancy win_rate profit_factor best worst")
+def performance_report(spark, d):
+    """All line items as trades, by month, flag, status and line, in one pass."""
+    rows = read(spark, d, "lineitem").withColumn("r", F.col("l_extendedprice") * (F.col("l_discount") - 0.05))
+    return metrics.report(rows, "r", {"period": F.date_format("l_shipdate", "yyyy-MM"), "flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "line": F.col("l_linenumber")})
+
+
 @query("model_promotion", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN false WHEN c_nationkey = 0 THEN true ELSE c_acctbal - 1000 >= 0.005 END AS promoted FROM customer", "c_custkey promoted")
 def model_promotion(spark, d):
     challenger, champion = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), F.when(F.col("c_nationkey") != 0, F.lit(1000.0))

@@ -192,3 +192,26 @@ def composite_score(weights: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of parts within [0, 1]."""
     total = sum(w for _, w in weights.values())
     return sum((clip(c, 0.0, 1.0) * w for c, w in weights.values()), F.lit(0.0)) / total
+
+
+def report(df: DataFrame, result: str, dimensions: dict[str, Column]) -> DataFrame:
+    """(dimension, value, trades, wins, total, expectancy, win_rate, profit_factor, best, worst): all trades, and those of each value of each dimension.
+
+    One aggregation by grouping sets: trades are read once, and partial sums of all dimensions are shuffled together.
+    `dimension` is `all` for the row of everything. Values are text; a null value is a group of its own.
+    """
+    x = F.col(result)
+    rows = df.select(x.alias("_r"), *[c.cast("string").alias(n) for n, c in dimensions.items()])
+    r, names = F.col("_r"), list(dimensions)
+    sets = rows.groupingSets([[F.col(n)] for n in names] + [[]], *names)
+    gains, losses = F.sum(F.when(r > 0, r)), F.sum(F.when(r < 0, r))
+    out = sets.agg(
+        F.grouping_id(*names).alias("_g"), F.count("_r").alias("trades"), F.count_if(r > 0).alias("wins"), F.sum("_r").alias("total"), F.avg("_r").alias("expectancy"),
+        F.avg((r > 0).cast("int")).alias("win_rate"), (gains / -losses).alias("profit_factor"), F.max("_r").alias("best"), F.min("_r").alias("worst"),
+    )
+    full = (1 << len(names)) - 1
+    dimension, value = F.lit("all"), F.lit(None).cast("string")
+    for k, n in enumerate(names):
+        own = F.col("_g") == full - (1 << (len(names) - 1 - k))
+        dimension, value = F.when(own, n).otherwise(dimension), F.when(own, F.col(n)).otherwise(value)
+    return out.select(dimension.alias("dimension"), value.alias("value"), *[c for c in out.columns if c not in ("_g", *names)])

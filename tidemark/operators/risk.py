@@ -86,23 +86,52 @@ def allocation(mean: np.ndarray, cov: np.ndarray, kind: str = "mean_variance", r
     return w / w.sum() if w.sum() > 0 else np.full(n, 1 / n)
 
 
-def reshuffled(trades: DataFrame, simulations: int, result: str = "r", ids: tuple[str, ...] = ("ts",), seed: int = 7, replacement: bool = False) -> DataFrame:
-    """(simulation, final, max_drawdown) of trades in other orders, or drawn again with replacement.
+#: Ranges that the trades of a simulation are dealt to.
+RANGES = 32
+
+
+def simulated(trades: DataFrame, simulations: int, result: str = "r", ids: tuple[str, ...] = ("ts",), seed: int = 7, replacement: bool = False, ranges: int | None = None) -> DataFrame:
+    """(simulation, step, r, equity, drawdown) of trades in other orders, or drawn again with replacement; equity starts at 1.
 
     Every simulation orders the rows by a hash of its own and their `ids`, so it is the same however the rows are
-    dealt; drawing with replacement counts a row Poisson(1) times. Simulations are spread over tasks; each is one
-    window over the trades.
+    dealt; drawing with replacement counts a row Poisson(1) times. Hashes spread evenly, so their high bits deal each simulation
+    to `ranges` of its order: sums, peaks and steps are worked out within a range, and what lies before it comes
+    from a table of one row for each range of each simulation.
     """
-    rows = trades.select(F.col(result).alias("_r"), F.struct(*ids).alias("_id"))
+    ranges = ranges or RANGES
+    rows = trades.select(F.col(result).cast("double").alias("_r"), F.struct(*ids).alias("_id"))
     many = rows.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "simulation", "_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     if replacement:
+        u = (F.pmod(F.xxhash64(F.lit(seed), "simulation", "_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
         times = sum(((u > float(p)).cast("int") for p in _poisson_steps()), F.lit(0))
         many = many.withColumn("_r", F.col("_r") * times)
-    w = Window.partitionBy("simulation").orderBy(F.xxhash64(F.lit(seed + 1), "simulation", "_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = many.withColumn("_e", 1 + F.sum("_r").over(w))
-    curve = curve.withColumn("_d", div(F.col("_e") - F.greatest(F.lit(1.0), F.max("_e").over(w)), F.greatest(F.lit(1.0), F.max("_e").over(w)), 0.0))
-    return curve.groupBy("simulation").agg((1 + F.sum("_r")).alias("final"), F.min("_d").alias("max_drawdown"))
+    many = many.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed + 1), "simulation", "_id"), F.lit(1 << 30)))
+    many = many.withColumn("_range", F.floor(F.col("_h") * ranges / (1 << 30)).cast("int"))
+    w = Window.partitionBy("simulation", "_range").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    here = many.withColumns({"_s": F.coalesce(F.sum("_r").over(w), F.lit(0.0)), "_n": F.count(F.lit(1)).over(w)})
+    here = here.withColumn("_m", F.max("_s").over(w))
+    ends = here.groupBy("simulation", "_range").agg(F.sum("_r").alias("_total"), F.max("_n").alias("_count"), F.max("_s").alias("_most"))
+    before = Window.partitionBy("simulation").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.sum("_total").over(before), F.lit(0.0))
+    ends = ends.withColumns({"_off": off, "_before": F.coalesce(F.sum("_count").over(before), F.lit(0))}).withColumn("_top", F.coalesce(F.max(F.col("_off") + F.col("_most")).over(before), F.lit(0.0)))
+    table = ends.select("simulation", "_range", "_off", "_before", "_top")
+    curve = here.join(F.broadcast(table) if simulations * ranges <= 1_000_000 else table, ["simulation", "_range"])
+    curve = curve.withColumns({"equity": 1 + F.col("_off") + F.col("_s"), "_peak": 1 + F.greatest(F.lit(0.0), F.col("_top"), F.col("_off") + F.col("_m"))})
+    return curve.select("simulation", (F.col("_before") + F.col("_n")).alias("step"), F.col("_r").alias("r"), "equity", div(F.col("equity") - F.col("_peak"), F.col("_peak"), 0.0).alias("drawdown"))
+
+
+def reshuffled(trades: DataFrame, simulations: int, result: str = "r", ids: tuple[str, ...] = ("ts",), seed: int = 7, replacement: bool = False) -> DataFrame:
+    """(simulation, final, max_drawdown) of `simulated` trades."""
+    return simulated(trades, simulations, result, ids, seed, replacement).groupBy("simulation").agg((1 + F.sum("r")).alias("final"), F.min("drawdown").alias("max_drawdown"))
+
+
+def equity_bands(trades: DataFrame, simulations: int, result: str = "r", ids: tuple[str, ...] = ("ts",), seed: int = 7, replacement: bool = False, confidence: float = 0.95) -> DataFrame:
+    """(step, mean, low, median, high): equity after each step over all simulations. A step has a value for each simulation, which partial aggregates merge."""
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    curves = simulated(trades, simulations, result, ids, seed, replacement)
+    q = F.percentile("equity", F.array(*map(F.lit, (low, 0.5, high))))
+    bands_ = curves.groupBy("step").agg(F.avg("equity").alias("mean"), q.alias("_q"))
+    return bands_.select("step", "mean", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("low", "median", "high"))])
 
 
 def _poisson_steps() -> list[float]:
