@@ -167,3 +167,20 @@ def test_report_of_null_groups(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, -1.0), (None, 1, 3.0), (None, 2, None)], "s string, m int, r double")
     got = {(r["dimension"], r["value"]): (r["trades"], r["wins"], r["total"]) for r in metrics.report(df, "r", {"s": F.col("s"), "m": F.col("m")}).collect()}
     assert got == {("all", None): (3, 2, 4.0), ("s", "a"): (2, 1, 1.0), ("s", None): (1, 1, 3.0), ("m", "1"): (2, 2, 5.0), ("m", "2"): (1, 0, -1.0)}
+
+
+def test_cleaning_counts_what_each_step_meets(spark):
+    from tidemark.operators import cleaning
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("A", "H1", t0 + dt.timedelta(hours=k), 10.0, 11.0, 9.0, 10.0 + k % 2 / 10, 1.0, 0) for k in range(40)]
+    rows[5] = (*rows[5][:6], None, 1.0, 0)
+    rows[20] = (*rows[20][:6], 99.0, 1.0, 0)
+    rows += [(*rows[3][:6], 50.0, 1.0, 1), ("A", "H1", t0 - dt.timedelta(hours=1), 10.0, 8.0, 9.0, 10.0, 1.0, 0), ("A", "H1", t0 - dt.timedelta(hours=2), -1.0, 8.0, 7.0, None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double, copy int")
+    for outliers, kept in (("clip", 40), ("drop", 39)):
+        out, counters = cleaning.cleaned(df, ["close"], ("copy",), outliers=outliers)
+        got = {r["ts"]: r["close"] for r in out.collect()}
+        assert counters() == {"rows": 43, "invalid": 2, "duplicates": 1, "missing": 1, "outliers": 1, "kept": kept}
+        assert len(got) == kept and got[rows[5][2]] == 10.0 and got[rows[3][2]] == 10.1 and got.get(rows[20][2], 0.0) < 99
+        assert out.columns == df.columns

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import correlation, joins, models, risk, validation
+from ..operators import cleaning, correlation, joins, models, risk, validation
 from ..plans import datasets
 from ..sources import files
 from .analysis import _RETURNS, _folder
@@ -164,3 +164,29 @@ def only_new_candles(spark, d):
     rows = hourly(spark, d)
     stored = rows.filter((F.hour("ts") < 12) & (F.col("ts") < F.lit("2024-01-10").cast("timestamp")) & (F.col("symbol") != "view"))
     return files.only_new(rows, stored, ["symbol"])
+
+
+_ROUGH = "SELECT symbol, timeframe, ts, open, CASE WHEN symbol = 'view' AND hour(ts) = 5 THEN low - 1 ELSE high END AS high, low, CASE WHEN hour(ts) % 11 <> 3 THEN close END AS close, volume, 0 AS copy FROM candles UNION ALL SELECT symbol, timeframe, ts, open, high, low, close + 1, volume, 1 FROM candles WHERE hour(ts) % 6 = 0"
+_VALID = "coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= low AND volume >= 0, true)"
+_CLEAN = f"rough AS ({_ROUGH}), uniq AS (SELECT * FROM rough WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY symbol, timeframe, ts ORDER BY copy) = 1), filled AS (SELECT * REPLACE (coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol, timeframe ORDER BY ts), avg(close) OVER (PARTITION BY symbol, timeframe)) AS close) FROM uniq), z AS (SELECT *, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s FROM filled WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)), o AS (SELECT *, coalesce(abs((close - m) / nullif(s, 0)) > 2, false) AS beyond FROM z)"
+
+
+def _rough(spark, d):
+    """Candles with repeated times, missing closes and highs below their lows."""
+    rows = hourly(spark, d)
+    hour = F.hour("ts")
+    broken = rows.withColumns({"high": F.when((F.col("symbol") == "view") & (hour == 5), F.col("low") - 1).otherwise(F.col("high")), "close": F.when(hour % 11 != 3, F.col("close")), "copy": F.lit(0)})
+    return broken.unionByName(rows.filter(hour % 6 == 0).withColumns({"close": F.col("close") + 1, "copy": F.lit(1)}))
+
+
+@query("cleaned_candles", C("SELECT symbol, ts, copy, CASE WHEN beyond THEN m + sign(close - m) * 2 * s ELSE close END AS close, high FROM o", _CLEAN), "symbol copy", "close high", "ts")
+def cleaned_candles(spark, d):
+    return cleaning.cleaned(_rough(spark, d), ["close"], ("copy",), "forward", "clip", 2.0)[0]
+
+
+@query("cleaning_counters", C(f"SELECT (SELECT count(*) FROM rough) AS rows, (SELECT count(*) FROM rough WHERE NOT {_VALID}) AS invalid, (SELECT count(*) FROM rough WHERE {_VALID}) - (SELECT count(*) FROM uniq) AS duplicates, (SELECT count(*) FROM uniq WHERE close IS NULL) AS missing, (SELECT count(*) FROM o WHERE beyond) AS outliers, (SELECT count(*) FROM o) AS kept", _CLEAN), "rows invalid duplicates missing outliers kept")
+def cleaning_counters(spark, d):
+    """What the pass over the candles met at each step."""
+    rows, counters = cleaning.cleaned(_rough(spark, d), ["close"], ("copy",), "forward", "clip", 2.0)
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([counters()], "rows long, invalid long, duplicates long, missing long, outliers long, kept long")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
@@ -111,3 +114,35 @@ def handle_outliers(df: DataFrame, fields: list[str], method: str = "clip", thre
         "median": lambda c: F.col(f"_med_{c}"),
     }[method]
     return staged.withColumns({c: F.when(outlier(c), new(c)).otherwise(F.col(c)) for c in fields}).drop(*helpers)
+
+
+def valid_candle() -> Column:
+    """Positive prices, a high not below the low and a volume that is not negative; what is missing is not invalid."""
+    good = (F.col("high") >= F.col("low")) & (F.col("volume") >= 0)
+    for c in ("open", "high", "low", "close"):
+        good = good & (F.col(c) > 0)
+    return F.coalesce(good, F.lit(True))
+
+
+def cleaned(df: DataFrame, fields: list[str], order: tuple[str, ...], fill: str = "linear", outliers: str = "clip", threshold: float = 3.0, keys=(*W.SERIES, "ts")) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Candles without invalid rows and repeated times (the first by `order` stays), gaps filled and outliers handled, and a function that gives the counters.
+
+    The counters are metrics that ride along in the one pass over the rows, for each step what it met: rows, invalid, duplicates,
+    missing and outliers of `fields`, kept. They are there once an action has read the cleaned rows to their end;
+    the function waits for the first one. A table that is read by two actions is counted by the first. Parts that are
+    worked out again after an executor is lost may count twice.
+    """
+    taken, unique, met, left = (Observation(f"{n}-{uuid.uuid4().hex}") for n in ("taken", "unique", "met", "left"))
+    rows = df.observe(taken, F.count(F.lit(1)).alias("rows"), F.count_if(~valid_candle()).alias("invalid"))
+    rows = drop_duplicates(rows.filter(valid_candle()), keys, order)
+    gaps = sum((F.count_if(F.col(c).isNull() | F.isnan(c)) for c in fields), F.lit(0))
+    rows = fill_missing(rows.observe(unique, F.count(F.lit(1)).alias("unique"), gaps.alias("missing")), fields, fill)
+    flags = {f"_out_{c}": F.coalesce(F.abs(rolling_zscore(c)) > threshold, F.lit(False)) for c in fields}
+    seen = rows.withColumns(flags).observe(met, sum((F.count_if(f) for f in flags), F.lit(0)).alias("outliers"))
+    out = handle_outliers(seen, fields, outliers, threshold).drop(*flags).observe(left, F.count(F.lit(1)).alias("kept"))
+
+    def counters() -> dict[str, int]:
+        found = taken.get | unique.get | met.get | left.get
+        return {"rows": found["rows"], "invalid": found["invalid"], "duplicates": found["rows"] - found["invalid"] - found["unique"], **{k: found[k] for k in ("missing", "outliers", "kept")}}
+
+    return out, counters
