@@ -484,6 +484,22 @@ def stream_predictions(spark, d):
     return _streamed(spark, rows.select("l_orderkey", "l_linenumber", "l_quantity"), lambda s: s.select("l_orderkey", "l_linenumber", F.round(models.linear(fitted, ["l_quantity"]), 3).alias("prediction")))
 
 
+@query("stream_windowed_predictions", C("SELECT symbol, ts, n AS rows, 0.5 * close + 0.5 * m AS prediction FROM (SELECT symbol, ts, close, count(*) OVER w AS n, avg(close) OVER w AS m FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n >= 5"), "symbol rows", "prediction", "ts")
+def stream_windowed_predictions(spark, d):
+    """Streamed candles, each halfway between its close and the mean of the last twenty."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, bars.ROCKS)
+    try:
+        return _streamed(spark, hourly(spark, d), lambda s: bars.windowed_predictions(s, ["close"], _halfway, 20, 5))
+    finally:
+        spark.conf.set(name, before)
+
+
+def _halfway(windows):
+    return 0.5 * windows[:, -1, 0] + 0.5 * windows[:, :, 0].mean(1)
+
+
 @query("batch_sliding_bars", "SELECT event_type AS symbol, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (k * 15) MINUTE AS ts, max(value) AS high, min(value) AS low, count(*) AS ticks FROM events, (SELECT unnest(range(4)) AS k) GROUP BY 1, 2", "symbol ticks", "high low", "ts")
 def batch_sliding_bars(spark, d):
     return bars.sliding_bars(ticks(spark, d))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
@@ -98,6 +100,70 @@ def live_monitor(results: DataFrame, keep: int = 500, order: tuple[str, ...] = (
     return rows.groupBy("symbol").applyInPandasWithState(step, schema, "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Windowed(StatefulProcessor):
+    """Holds the last `window` rows of a key in a list state and scores each row with the rows up to it."""
+
+    def __init__(self, key: str, features: list[str], window: int, least: int, score: Callable[[np.ndarray], np.ndarray], order: list[str], idle: int):
+        self.key, self.features, self.window, self.least, self.score, self.order, self.idle = key, features, window, least, score, order, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "x array<double>")
+        self.until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([*rows]).sort_values(self.order)
+        before = [list(r[0]) for r in self.held.get()]
+        x = np.array(before + new[self.features].to_numpy(float).tolist(), float).reshape(-1, len(self.features))
+        self.held.put([(r,) for r in x[-self.window :].tolist()])
+        last = int(new["at_ms"].max()) + 1000 * self.idle
+        if self.until.exists():
+            last = max(last, self.until.get()[0])
+            self.handle.deleteTimer(self.until.get()[0])
+        self.until.update((last,))
+        self.handle.registerTimer(last)
+        yield self.scored(key[0], new, x, len(before))
+
+    def scored(self, key, new: pd.DataFrame, x: np.ndarray, before: int) -> pd.DataFrame:
+        """Windows of one length are scored together: all whole ones, and those of a key's first rows one length at a time."""
+        ends = np.arange(before, len(x)) + 1
+        out = np.full(len(ends), np.nan)
+        size = np.minimum(ends, self.window)
+        for n in np.unique(size[size >= self.least]):
+            own = np.flatnonzero(size == n)
+            out[own] = self.score(np.stack([x[e - n : e] for e in ends[own]]))
+        done = pd.DataFrame({self.key: key, "ts": new["ts"].to_numpy(), "rows": size, "prediction": out})
+        return done[size >= self.least]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        self.until.clear()
+        yield pd.DataFrame({self.key: [], "ts": [], "rows": [], "prediction": []})
+
+    def close(self) -> None:
+        pass
+
+
+def windowed_predictions(bars: DataFrame, features: list[str], score: Callable[[np.ndarray], np.ndarray], window: int, least: int = 1, key: str = "symbol", order: tuple[str, ...] = ("ts",), idle: int = 7 * 86_400, late: str = LATE) -> DataFrame:
+    """(key, ts, rows, prediction): every streamed row scored with the last `window` rows of its key, once there are `least`.
+
+    `score` gets an array of windows, (number, rows, features), and gives a number for each. The state of a key is at
+    most `window` rows of features; it goes when the watermark is `idle` seconds past the key's last row, after which the key
+    starts anew. Rows of one micro-batch are put into `order` together. State lists and timers need the RocksDB store (`ROCKS`).
+    """
+    timed = bars.withColumn("ts", F.col("ts").cast("timestamp"))
+    # Workers rename columns that start with an underscore, so all that the processor reads has a name of its own.
+    named = [F.col(c).alias(f"x{k}") for k, c in enumerate(features)] + [F.col(c).alias(f"o{k}") for k, c in enumerate(order)]
+    rows = timed.select(key, "ts", *named, F.unix_millis("ts").alias("at_ms")).withWatermark("ts", late)
+    kind = bars.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Windowed(key, [f"x{k}" for k in range(len(features))], window, least, score, [f"o{k}" for k in range(len(order))], idle), outputStructType=f"{key} {kind}, ts timestamp, rows long, prediction double", outputMode="Append", timeMode="EventTime",
+    )
+
+
 def with_closing_tick(ticks: DataFrame, after: str = "1 day") -> DataFrame:
     """Finite ticks and one of no symbol and no price, so much later: once read, the watermark has passed every other tick."""
     end = ticks.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
