@@ -237,3 +237,46 @@ def test_later_folds_are_in_the_queries(spark, name):
     from tidemark import catalog
 
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.max("fold")).first()[0] == 4
+
+
+def test_supertrend_is_that_of_a_plain_loop(candles):
+    rows = walk()
+    close, high, low = ([r[k] for r in rows] for k in (6, 4, 5))
+    before = [close[0], *close]
+    size = plain_ema([max(h - l, abs(h - c), abs(l - c)) for h, l, c in zip(high, low, before, strict=False)], 10)
+    line, upper, lower, out = None, None, None, []
+    for k, r in enumerate(size):
+        if r is None:
+            out.append(None)
+            continue
+        up, down = (high[k] + low[k]) / 2 + 3 * r, (high[k] + low[k]) / 2 - 3 * r
+        if line is None:
+            upper, lower, line = up, down, down
+        else:
+            falling = line == upper
+            upper = up if up < upper or close[k - 1] > upper else upper
+            lower = down if down > lower or close[k - 1] < lower else lower
+            line = (upper if close[k] <= upper else lower) if falling else (lower if close[k] >= lower else upper)
+        out.append(line)
+    near(series(recursive.supertrend(candles), "supertrend"), out)
+
+
+def test_training_table_has_the_values_of_its_groups(candles):
+    from tidemark.plans import datasets
+
+    table = datasets.training_table(candles, ["momentum", "channels", "rsi"], scale="none").cache()
+    found = 0
+    for f in (indicators.momentum, indicators.channels, recursive.rsi):
+        alone = f(candles)
+        new = [c for c in alone.columns if c in table.columns and c not in candles.columns]
+        keys = ["symbol", "timeframe", "ts"]
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in table.select(*keys, *new).collect()}
+        want = {tuple(r)[:3]: tuple(r)[3:] for r in alone.select(*keys, *new).collect()}
+        assert new and got and set(got) <= set(want)
+        for k, values in got.items():
+            near(list(values), list(want[k]))
+        found += len(new)
+    assert found > 5
+    scaled = datasets.training_table(candles, ["momentum", "rsi"]).filter("split = 'train'")
+    r = scaled.agg(F.avg("rsi_14").alias("m"), F.stddev_pop("rsi_14").alias("s")).first()
+    near([r["m"], r["s"]], [0.0, 1.0])

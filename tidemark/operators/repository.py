@@ -131,14 +131,22 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Codes that a table of currencies may have where every two of them are paired.
+CURRENCIES = 10_000
+
+
 def currency_pairs(currencies: DataFrame, majors: list[str]) -> DataFrame:
-    """(base, quote): every two different majors, and every coin with every fiat currency; `currencies` has code and kind."""
-    major = currencies.filter(F.col("code").isin(*majors)).select(F.lit(1).alias("_all"), "code")
-    fiat, coins = (currencies.filter(F.col("kind") == k).select(F.lit(1).alias("_all"), "code") for k in ("fiat", "crypto"))
+    """(base, quote): every two different majors, and every coin with every fiat currency; `currencies` has code and kind.
+
+    The result is all pairs, so the table has to be one of currencies: CURRENCIES codes at most, which is checked.
+    """
+    if currencies.count() > CURRENCIES:
+        raise ValueError(f"more than {CURRENCIES} currencies")
+    major = currencies.filter(F.col("code").isin(*majors)).select("code")
+    fiat, coins = (currencies.filter(F.col("kind") == k).select("code") for k in ("fiat", "crypto"))
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        # A constant key keeps these small tables an ordinary equi-join.
-        return a.withColumnRenamed("code", "base").join(b.withColumnRenamed("code", "quote"), "_all").filter("base <> quote").select("base", "quote")
+        return a.withColumnRenamed("code", "base").crossJoin(F.broadcast(b.withColumnRenamed("code", "quote"))).filter("base <> quote")
 
     return pairs(major, major).unionByName(pairs(coins, fiat))
 
