@@ -171,7 +171,13 @@ def linkage(distances: DataFrame, method: str = "complete") -> DataFrame:
     """
     if method not in ("complete", "single", "average"):
         raise ValueError(f"unknown method {method!r}")
-    table = written(distances.select("a", "b", F.col("d").cast("double").alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+
+    def both_ways(half: DataFrame) -> DataFrame:
+        """Each distance is worked out once and read from both sides, so they agree to the last bit."""
+        kept = written(half)
+        return kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", F.col("nb").alias("na"), F.col("na").alias("nb")))
+
+    table = both_ways(distances.filter("a < b").select("a", "b", F.col("d").cast("double").alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
     merges = None
     while not table.isEmpty():
         # Ties are broken by the pair, not by the side, so two clusters agree on which pair is nearer.
@@ -186,10 +192,10 @@ def linkage(distances: DataFrame, method: str = "complete") -> DataFrame:
         weight = F.col("na") * F.col("nb")
         value = {"complete": F.max("d"), "single": F.min("d"), "average": F.sum(F.col("d") * weight) / F.sum(weight)}[method]
         sizes = F.broadcast(new.select(F.col("first").alias("_f"), F.col("size").alias("_s")))
-        moved = moved.filter("_a <> _b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(value.alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        moved = moved.filter("_a < _b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(value.alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         for side in ("a", "b"):
             moved = moved.join(sizes, F.col(side) == F.col("_f"), "left").withColumn(f"n{side}", F.coalesce("_s", f"n{side}")).drop("_f", "_s")
-        table = written(moved)
+        table = both_ways(moved)
     if merges is None:
         return distances.select(F.col("a").alias("first"), F.col("b").alias("second"), F.col("d").cast("double").alias("height"), F.lit(2).cast("long").alias("size"))
     return merges
