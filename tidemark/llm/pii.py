@@ -49,17 +49,32 @@ BEFORE_PROSE = frozenset("a an the our my your his its their this that these tho
 
 _LOOKALIKE = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "]")
 _DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?{_DIGIT}(?:[\x20,-]{{1,3}}{_DIGIT}){{2,}}(?!\w)", re.I)
-_SPELLED_WORD = re.compile(rf"plus|{_DIGIT}", re.I)
+_DOT_WORD = "(?:dot|point|punkt|punto)"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?{_DIGIT}(?:(?:[\x20,-]{{1,3}}|\x20{_DOT_WORD}\x20){_DIGIT}){{2,}}(?!\w)", re.I)
+_SPELLED_WORD = re.compile(rf"plus|{_DOT_WORD}|{_DIGIT}", re.I)
+_SPELLED_SIGN = {"plus": "+"} | dict.fromkeys(("dot", "point", "punkt", "punto"), ".")
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
 _BRACKETED = re.compile(rf"\x20{{0,2}}{_OPEN}(?:(at|@)|(dot|punkt|point|punto|\.)){_CLOSE}\x20{{0,2}}", re.I)
-_NAMED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+){0,4}(\x20at\x20|@)[A-Za-z0-9-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]+){1,6}", re.I)
+# A name starts where no dot, written or spelled, is before it, so a chain of parts has one start however long it is.
+_NAMED = re.compile(r"(?<![\w.%+-])(?<!\w\x20dot\x20)[A-Za-z0-9_%+-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]++)*+(\x20at\x20|@)[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)++", re.I)
+#: Ends of domains after which "name @ host . end" is an address and no sentence.
+SURE_ENDS = "com net org edu gov mil info biz io co uk ca ru pl se dk jp cn nz fr eu".split()
+_LABEL = "[A-Za-z0-9-]{1,63}"  # as long as a part of a host may be
+_PART = "(?:(?!(?P=mark)dot(?P=mark))[A-Za-z0-9-]){1,63}+"
+# Addresses that are told by both of their signs: "name -at- host -dot- end", "name_at_host_dot_end", "name arroba host punto end", "name @ host . end".
+_SIGNED = (
+    re.compile(rf"(?<=[A-Za-z0-9])(?P<at>\x20?(?P<mark>[-_*~])at(?P=mark)\x20?)(?P<host>{_PART}(?:\x20?(?P=mark)dot(?P=mark)\x20?{_PART})++)", re.I),
+    re.compile(rf"(?<=[A-Za-z0-9])(?P<at>\x20(?:arroba|arobase|klammeraffe)\x20)(?P<host>{_LABEL}(?:(?:\x20{_DOT_WORD}\x20|\.){_LABEL})+)", re.I),
+    re.compile(rf"(?<=[A-Za-z0-9])(?P<at>\x20?@\x20?)(?P<host>{_LABEL}(?:\x20?\.\x20?{_LABEL})*?\x20?\.\x20?(?:{'|'.join(SURE_ENDS)}))(?![A-Za-z0-9-])", re.I),
+)
+_SIGNED_DOT = re.compile(rf"\x20?([-_*~])dot\1\x20?|\x20{_DOT_WORD}\x20|\x20?\.\x20?", re.I)
 _DOMAIN_END = re.compile(r"[a-z]{2,24}|xn--[a-z0-9-]+", re.I)
 _NEW_SENTENCE = re.compile(r"[a-z0-9-]+\.[A-Z][a-z]+")
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)\x20$")
+_NAME_BEFORE = re.compile(r"[A-Za-z]+$")
 _DOT = re.compile(r"\x20dot\x20", re.I)
 _DOTTED_DIGITS = re.compile(r"(?<=[0-9])\x20(?:dot|point|punkt|punto)\x20(?=[0-9])", re.I)
-_TRIGGER = re.compile(rf"[\[({{<]\x20?(?:at|@|dot|punkt|point|punto|\.)\x20?[\])}}>]|\x20(?:dot|point|punkt|punto)\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]|{_LOOKALIKE.pattern}", re.I)
+_TRIGGER = re.compile(rf"[\[({{<]\x20?(?:at|@|dot|punkt|point|punto|\.)\x20?[\])}}>]|\x20(?:dot|point|punkt|punto)\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]|[-_*~]at[-_*~]|\x20(?:arroba|arobase|klammeraffe)\x20|\x20@|@\x20|\x20\.\x20|{_LOOKALIKE.pattern}", re.I)
 
 Span = tuple[int, int]
 
@@ -170,9 +185,17 @@ def rewrite(text: str) -> Rewritten:
     """All transducers, one after another."""
     r = Rewritten(text)
     r = r.apply([(m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _LOOKALIKE.finditer(r.text)])
-    r = r.apply([(m.start(), m.end(), "".join("+" if w.lower() == "plus" else SPELLED[w.lower()] for w in _SPELLED_WORD.findall(m[0]))) for m in _SPELLED.finditer(r.text)])
+    r = r.apply([(m.start(), m.end(), "".join(_SPELLED_SIGN.get(w.lower()) or SPELLED[w.lower()] for w in _SPELLED_WORD.findall(m[0]))) for m in _SPELLED.finditer(r.text)])
     r = r.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(r.text)])
     r = r.apply([(m.start(), m.end(), ".") for m in _DOTTED_DIGITS.finditer(r.text)])
+    for pattern in _SIGNED:
+        edits = []
+        for m in pattern.finditer(r.text):
+            name = _NAME_BEFORE.search(r.text, max(0, m.start() - 24), m.start())
+            if (m["at"] != "@" or " " in m["host"]) and not ("@" in m["at"] and name and name[0].lower() in PROSE):
+                dots = [(d.start(), d.end(), ".") for d in _SIGNED_DOT.finditer(r.text, *m.span("host")) if d[0] != "."]
+                edits += ([(*m.span("at"), "@")] if m["at"] != "@" else []) + dots
+        r = r.apply(edits)
     edits = []
     for m in _NAMED.finditer(r.text):
         dots = [d for d in _DOT.finditer(r.text, m.start(), m.end())]
