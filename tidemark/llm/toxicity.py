@@ -214,13 +214,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50)
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 30_000, least_docs: int = 12, least_odds: float = 3.0, entries: int = 5_000, least_spared: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def _evidence(share: float) -> Column:
+    """The log likelihood ratio of an entry's own share of toxic rows against the share of all rows."""
+    rows, toxic, other = F.col("toxic") + F.col("other"), F.col("toxic"), F.col("other")
+    rest = F.when(other > 0, other * (F.log(other / rows) - math.log(max(1e-12, 1 - share)))).otherwise(F.lit(0.0))
+    return toxic * (F.log(toxic / rows) - math.log(max(1e-12, share))) + rest
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 30_000, chance: float = 20.0, least_odds: float = 3.0, entries: int = 5_000, least_spared: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon, its exception phrases and its logistic function from labelled rows.
 
     About `max_rows` labels, which a hash of the id chooses from all, are broadcast and meet their texts in
-    one pass, so texts are not shuffled; those rows are written, as they are read three times. Entries are
-    found in `least_docs` toxic rows at least and have log odds of `least_odds` at least; the `entries` with
-    the largest are kept. A pair of words with an entry is an exception if at least `least_spared` other rows
+    one pass, so texts are not shuffled; those rows are written, as they are read three times. Entries have
+    log odds of `least_odds` at least, and their likelihood ratio against the share of toxic rows is so large
+    that of all candidates at most `chance` would reach it by chance: the support asked for follows from how
+    many rows and candidates there are (4 rows in the smallest tables). The `entries` with the largest odds
+    are kept; words above 24 characters are known by their beginnings. A pair of words with an entry is an exception if at least `least_spared` other rows
     hold it, and relatively more of them than of the toxic rows. Null labels and ids teach nothing; a text
     counts once for each label of its id, and rows that share an id all count. Ties of entries go by name.
     Without toxic rows, with empty tables too, the lexicon is empty and every score is that of a clean text.
@@ -240,8 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counts = rows.mapInArrow(count, "entry string, toxic long, other long")
         return counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).withColumn("odds", odds)
 
-    best = by_label(_feature_counts).filter((F.col("toxic") >= least_docs) & (F.col("odds") >= least_odds))
+    candidates = stored(by_label(_feature_counts).filter("toxic > 0"), "candidates")
+    best = candidates.filter((F.col("odds") >= least_odds) & (_evidence(n_toxic / max(1, n)) >= math.log(max(1, candidates.count()) / chance)))
     weights = {e: min(MOST_WEIGHT, o) for e, o in best.orderBy(F.desc("odds"), "entry").limit(entries).select("entry", "odds").collect()}
+    discard(candidates)
     harmless = by_label(_pair_counts(weights)).filter((F.col("other") >= least_spared) & (F.col("odds") < 0))
     learned = [e for (e,) in harmless.orderBy("odds", "entry").limit(entries).select("entry").collect()]
     lexicon = Lexicon(weights, tuple(dict.fromkeys([*exceptions, *learned])))
