@@ -63,6 +63,17 @@ def test_toxicity_on_rows_that_were_held_out(spark):
     assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.9
 
 
+def test_support_follows_the_number_of_labels(spark):
+    """Four toxic rows teach a word where there are few candidates; where there are many, chance would give as much."""
+    few = frame(spark, ["you grobnik"] * 4 + ["calm words"] * 40)
+    learned = toxicity.fit(few, few.select("doc_id", (F.col("doc_id") < 4).cast("int").alias("toxic")))
+    assert " grobnik " in learned.weights and learned.build().score("that grobnik") > learned.score("calm words")
+    many = frame(spark, [f"you {'grobnik' if k < 4 else ''} " + " ".join(f"word{k}x{j}" for j in range(900)) for k in range(44)])
+    learned = toxicity.fit(many, many.select("doc_id", (F.col("doc_id") < 22).cast("int").alias("toxic")))
+    assert " grobnik " not in learned.weights
+    assert queries.op1_toxicity(spark, "/root/testdata/sf0.001").select("score").distinct().count() > 1
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs = frame(spark, ["fine", "", None])
     empty = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -243,6 +254,7 @@ def test_base_matches_of_documents(spark):
         ("server 10 dot 20 dot 30 dot 40 up", "ip", "10 dot 20 dot 30 dot 40"),
         ("call plus one five five five zero one zero nine nine nine nine now", "phone", "plus one five five five zero one zero nine nine nine nine"),
         ("pay ４１１１ 1111 1111 1111 now", "card", "４１１１ 1111 1111 1111"),
+        ("at one nine two dot one six eight dot one dot one now", "ip", "one nine two dot one six eight dot one dot one"),
     ],
 )
 def test_disguised_spans_map_back(text, kind, covered):
@@ -261,6 +273,14 @@ def test_disguised_spans_map_back(text, kind, covered):
         ("office at Acme.Com", "office at Acme.Com"),
         ("jane (dot) doe@host.org", "jane (dot) doe@host.org"),
         ("jane dot doe@host.org", "jane dot doe@host.org"),
+        ("john @ acme . com", "john @ acme . com"),
+        ("ask john@ mail.acme.com now", "john@ mail.acme.com"),
+        ("john -at- acme -dot- com", "john -at- acme -dot- com"),
+        ("john-at-acme-dot-co-dot-uk, ok", "john-at-acme-dot-co-dot-uk"),
+        ("juan arroba acme punto com", "juan arroba acme punto com"),
+        ("jean arobase acme.fr", "jean arobase acme.fr"),
+        ("(john_at_acme_dot_com)", "john_at_acme_dot_com"),
+        (" dot ".join("abcdefgh") + " at " + " dot ".join("ijklmnopqr") + " dot com", " dot ".join("abcdefgh") + " at " + " dot ".join("ijklmnopqr") + " dot com"),
     ],
 )
 def test_more_disguised_emails(text, covered):
@@ -273,13 +293,14 @@ def test_addresses_of_sites_in_prose_are_no_personal_data(text):
     assert pii.find(text) == []
 
 
-@pytest.mark.parametrize("text", ["meet me at noon dot", "look at this, one two three", "at home [at] the end", "costs 10 at 20"])
+@pytest.mark.parametrize("text", ["meet me at noon dot", "look at this, one two three", "at home [at] the end", "costs 10 at 20", "meet @ noon . Then we go", "prices @ home . it was", "look_at_data.csv and polka-dot-dress", "see us @ acme.com", "three point one four one five nine"])
 def test_prose_is_no_personal_data(text):
     assert pii.find(text) == []
 
 
 def test_long_texts_take_linear_time(spark):
-    text = "a" * 200_000 + "@ " + "1 " * 200_000 + "one " * 50_000 + "x at " * 50_000
+    dense = ("x_at_y_dot_", "a-dot-", "a arroba b punto ", "a @ b . ", "a dot ", "a at b.")
+    text = "a" * 200_000 + "@ " + "1 " * 200_000 + "one " * 50_000 + "x at " * 50_000 + " ".join(d * 20_000 for d in dense)
     docs = frame(spark, [text, None, ""])
     assert [len(r[0]) for r in docs.orderBy("doc_id").select(pii.spans(F.col("text"))).collect()][1:] == [0, 0]
 
