@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import ordered
+from tidemark.functions import ordered, symbols
 from tidemark.functions import scalars as S
-from tidemark.operators import drift, graphs, joins, metrics, repository, risk, scaling, vectors
+from tidemark.operators import discovery, drift, graphs, joins, metrics, repository, risk, scaling, vectors
 from tidemark.sources import files
 from tidemark.streaming import bars
 
@@ -182,3 +182,13 @@ def test_graph_queries_have_edges_on_the_largest_tables(spark, name):
         assert rows.filter("depth > 1").count() > 0
     else:
         assert rows.count() > 0
+
+
+def test_identities_of_names(spark):
+    want = {
+        "EURUSDm": ("EURUSD", "EUR", "USD", "FOREX"), "eur_usd": ("EURUSD", "EUR", "USD", "FOREX"), "DJ30": ("US30", None, None, "INDEX"), "GOLD": ("XAUUSD", None, None, "METAL"),
+        "US30.cash": ("US30", None, None, "INDEX"), "BTCUSDpro": ("BTCUSD", None, None, "CRYPTO"), "UKOIL": ("UKOIL", None, None, "ENERGY"), "foo": ("FOO", None, None, "UNKNOWN"), "": ("", None, None, "UNKNOWN"),
+    }
+    rows = spark.createDataFrame([(n,) for n in want], "name string").select("name", symbols.identity(F.col("name")).alias("i"), discovery.market_type(F.col("name"), F.lit(None)).alias("m")).collect()
+    assert {r["name"]: tuple(r["i"]) for r in rows} == want
+    assert {r["name"]: r["m"]["market_type"] for r in rows if r["name"] in ("GOLD", "", "foo")} == {"GOLD": "COMMODITY", "": "UNKNOWN", "foo": "UNKNOWN"}

@@ -324,18 +324,27 @@ def graph_distances_strongest(spark, d):
     return graphs.distances(_strongest(spark, d), read(spark, d, "nation").select(F.col("n_nationkey").alias("node")), 3)
 
 
-_TREE = [("fx_major", "fx"), ("fx_minor", "fx"), ("fx", "currency"), ("currency", "asset"), ("metal", "commodity"), ("gold", "metal"), ("commodity", "asset"), ("asset", None)]
-_TREE_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', " + (f"'{b}'" if b else "NULL") + ")" for a, b in _TREE) + ") v(node, parent))"
+_PLACES_SQL = "t AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 'world', NULL)"
 
 
-@query("ontology_ancestors", f"WITH RECURSIVE {_TREE_SQL}, r AS (SELECT node, parent AS ancestor, 1 AS depth FROM t WHERE parent IS NOT NULL UNION ALL SELECT r.node, t.parent, depth + 1 FROM r JOIN t ON t.node = r.ancestor WHERE t.parent IS NOT NULL) SELECT * FROM r", "node ancestor depth")
+def _places(spark, d):
+    """The hierarchy of customers, nations, regions and the world."""
+
+    def level(table, node, parent):
+        return read(spark, d, table).select(F.concat(F.lit(node[0]), node).alias("node"), parent.alias("parent"))
+
+    customers = read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    return customers.unionByName(level("nation", "n_nationkey", F.concat(F.lit("r"), "n_regionkey"))).unionByName(level("region", "r_regionkey", F.lit("world"))).unionByName(spark.createDataFrame([("world", None)], "node string, parent string"))
+
+
+@query("ontology_ancestors", f"WITH RECURSIVE {_PLACES_SQL}, r AS (SELECT node, parent AS ancestor, 1 AS depth FROM t WHERE parent IS NOT NULL UNION ALL SELECT r.node, t.parent, depth + 1 FROM r JOIN t ON t.node = r.ancestor WHERE t.parent IS NOT NULL) SELECT * FROM r", "node ancestor depth")
 def ontology_ancestors(spark, d):
-    return graphs.ancestors(spark.createDataFrame(_TREE, "node string, parent string"))
+    return graphs.ancestors(_places(spark, d))
 
 
-@query("ontology_subtypes", "SELECT * FROM (VALUES ('fx_major'), ('fx_minor'), ('fx'), ('currency')) v(node)", "node")
+@query("ontology_subtypes", "SELECT 'r1' AS node UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", "node")
 def ontology_subtypes(spark, d):
-    return graphs.subtypes(spark.createDataFrame(_TREE, "node string, parent string"), "currency")
+    return graphs.subtypes(_places(spark, d), "r1")
 
 
 @query("correlation_edges", C("SELECT a AS src, b AS dst, CASE WHEN r > 0 THEN 'CORRELATES_WITH' ELSE 'OPPOSITE_OF' END AS kind, abs(r) AS weight FROM (SELECT p.symbol AS a, q.symbol AS b, corr(p.x, q.x) AS r FROM rr p JOIN rr q ON p.pos = q.pos AND p.symbol < q.symbol GROUP BY ALL) WHERE abs(r) > 0.01", _RETURNS), "src dst kind", "weight")

@@ -5,29 +5,49 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.symbols import CURRENCIES
 from ..operators import discovery, models, splits, vectors
 from .base import SERIES_SQL, full_sql, hourly, query, read, with_candles
 
 C = with_candles
-_SYMBOLS = [("EURUSD", "Forex\\Majors", "FOREX", 1.0), ("EURGBP", "", "FOREX", 0.6), ("BTCUSD", "Crypto", "CRYPTO", 1.0), ("US30", None, "INDEX", 0.5), ("GOLD", "Metals", "COMMODITY", 1.0), ("AAPL", "Stocks\\US", "STOCK", 0.9), ("/ES", "", "FUTURES", 0.6), ("ABCDEFGH", "", "UNKNOWN", 0.0), (None, None, "UNKNOWN", 0.0)]
+_MARKETS = "FOREX CRYPTO INDEX COMMODITY STOCK FUTURES".split()
+#: Symbols and paths that speak for markets, and how loudly.
+_SHAPES = [("EURUSD", "FOREX", 0.6), ("BTCUSD", "CRYPTO", 0.5), ("US30", "INDEX", 0.5), ("US30", "FUTURES", 0.3), ("GOLD", "COMMODITY", 0.5), ("AAPL", "STOCK", 0.4), ("/ES", "FUTURES", 0.6), ("ABCDEFGH", "STOCK", 0.0)]
+_PATHS = [("Forex/Majors", "FOREX", 0.4), ("Crypto", "CRYPTO", 0.5), ("Indices", "INDEX", 0.5), ("Metals", "COMMODITY", 0.5), ("Stocks/US", "STOCK", 0.5), ("Futures", "FUTURES", 0.4), ("", "STOCK", 0.0)]
 
 
 def _values(rows) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
 
-@query("market_types", f"SELECT symbol, market_type, confidence FROM {_values(_SYMBOLS)} t(symbol, path, market_type, confidence)", "symbol market_type", "confidence")
+def _names(rows) -> list[str]:
+    return list(dict.fromkeys(r[0] for r in rows))
+
+
+def _element(values, at: str):
+    return F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast({at} + 1 AS int)"))
+
+
+_LOUDEST = f"""WITH c AS (SELECT c_custkey, {_names(_SHAPES)}[c_custkey % 7 + 1] AS symbol, {_names(_PATHS)}[c_nationkey % 7 + 1] AS path FROM customer),
+votes AS (SELECT c_custkey, market, w FROM c JOIN {_values(_SHAPES)} s(symbol, market, w) USING (symbol) UNION ALL SELECT c_custkey, market, w FROM c JOIN {_values(_PATHS)} p(path, market, w) USING (path)),
+best AS (SELECT c_custkey, market, sum(w) AS confidence FROM votes GROUP BY c_custkey, market QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY confidence DESC, list_position({_MARKETS}, market)) = 1)
+SELECT c_custkey, CASE WHEN confidence >= 0.5 THEN market ELSE 'UNKNOWN' END AS market_type, CASE WHEN confidence >= 0.5 THEN least(confidence, 1) ELSE 0 END AS confidence FROM best"""
+
+
+@query("market_types", _LOUDEST, "c_custkey market_type", "confidence")
 def market_types(spark, d):
-    rows = spark.createDataFrame([r[:2] for r in _SYMBOLS], "symbol string, path string")
-    return rows.withColumn("_m", discovery.market_type(F.col("symbol"), F.col("path"))).select("symbol", "_m.*")
+    mine = discovery.market_type(_element(_names(_SHAPES), "c_custkey % 7"), _element(_names(_PATHS), "c_nationkey % 7"))
+    return read(spark, d, "customer").select("c_custkey", mine.alias("_m")).select("c_custkey", "_m.*")
 
 
-_PAIRS = [("EURUSD.a", "EUR", "USD", "major"), ("EUR/GBP", "EUR", "GBP", "cross"), ("USDZAR", "USD", "ZAR", "exotic"), ("US30", None, None, None)]
+_CODES = [*CURRENCIES[:8], "ZAR", "TRY", "MXN"]
+_QUOTE = "(c_nationkey % 8 + 1 + c_custkey % 10) % 11"
 
 
-@query("currency_pair_kinds", f"SELECT * FROM {_values(_PAIRS)} t(symbol, base, quote, kind)", "symbol base quote kind")
+@query("currency_pair_kinds", f"SELECT *, CASE WHEN quote IN ('ZAR', 'TRY', 'MXN') THEN 'exotic' WHEN 'USD' IN (base, quote) THEN 'major' ELSE 'cross' END AS kind FROM (SELECT c_custkey, {_CODES}[c_nationkey % 8 + 1] AS base, {_CODES}[{_QUOTE} + 1] AS quote FROM customer)", "c_custkey base quote kind")
 def currency_pair_kinds(spark, d):
-    return spark.createDataFrame([r[:1] for r in _PAIRS], "symbol string").withColumn("_p", discovery.currency_pair(F.col("symbol"))).select("symbol", "_p.*")
+    name = F.concat(_element(_CODES, "c_nationkey % 8"), F.lit("/"), _element(_CODES, _QUOTE))
+    return read(spark, d, "customer").select("c_custkey", discovery.currency_pair(name).alias("_p")).select("c_custkey", "_p.*")
 
 
 _IN = "CASE WHEN isodow(ts) >= 6 THEN s = 'weekend' WHEN s = 'asian' THEN h <= 9 WHEN s = 'european' THEN h BETWEEN 7 AND 16 WHEN s = 'us' THEN h BETWEEN 13 AND 22 WHEN s = 'pacific' THEN h >= 22 OR h <= 6 ELSE false END"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.symbols import identity, normalized, valid_symbol
+from ..functions.symbols import CURRENCIES, identity, normalized, valid_symbol
 from ..operators import repository as R
 from ..operators import resample
 from ..schema import timeframes
@@ -129,9 +130,11 @@ def minor_currencies(spark, d):
     return R.minor_currencies(spark.createDataFrame(_CODES, "code string, kind string"), _MAJORS)
 
 
-@query("timeframe_ladder", f"WITH {TIMEFRAMES_SQL} SELECT name, lag(name) OVER w AS lower, lead(name) OVER w AS higher, coalesce(lead(seconds) OVER w // seconds, 0)::BIGINT AS per_higher FROM tf WINDOW w AS (ORDER BY sort_order)", "name lower higher per_higher")
+@query("timeframe_ladder", f"WITH {TIMEFRAMES_SQL}, ladder AS (SELECT name, sort_order, lag(name) OVER w AS lower, lead(name) OVER w AS higher, coalesce(lead(seconds) OVER w // seconds, 0)::BIGINT AS per_higher FROM tf WINDOW w AS (ORDER BY sort_order)) SELECT c_custkey, name, lower, higher, per_higher FROM customer JOIN ladder ON sort_order = c_custkey % 9 + 1", "c_custkey name lower higher per_higher")
 def timeframe_ladder(spark, d):
-    return R.timeframe_ladder(timeframes(spark))
+    """The timeframe of each customer's series with its neighbours; the ladder has nine rows."""
+    mine = read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 9 + 1).alias("sort_order"))
+    return mine.join(F.broadcast(R.timeframe_ladder(timeframes(spark))), "sort_order")
 
 
 @query("paper_trade_stats", "SELECT t.n_trades, t.avg_pnl, t.total_pnl, t.worst_pnl, p.n_predictions, p.accuracy FROM (SELECT count(*) AS n_trades, avg(l_extendedprice * (l_discount - 0.05)) AS avg_pnl, sum(l_extendedprice * (l_discount - 0.05)) AS total_pnl, min(l_extendedprice * (l_discount - 0.05)) AS worst_pnl FROM lineitem WHERE l_returnflag <> 'N') t, (SELECT count(*) AS n_predictions, avg(CASE WHEN sign(value - 50) = sign(user_id % 3 - 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM events WHERE event_type <> 'view') p", "n_trades n_predictions", "avg_pnl total_pnl worst_pnl accuracy")
@@ -148,13 +151,22 @@ def champion_models(spark, d):
     return R.champion(models, first, "BUILDING", 3)
 
 
-_NAMES = [("EURUSD.a", "EURUSD", "EUR", "USD", "FOREX"), ("EURUSDm", "EURUSD", "EUR", "USD", "FOREX"), ("EUR/USD", "EURUSD", "EUR", "USD", "FOREX"), ("eur_usd", "EURUSD", "EUR", "USD", "FOREX"), ("DJ30", "US30", None, None, "INDEX"), ("GOLD", "XAUUSD", None, None, "METAL"), ("US30.cash", "US30", None, None, "INDEX"), ("BTCUSDpro", "BTCUSD", None, None, "CRYPTO"), ("UKOIL", "UKOIL", None, None, "ENERGY"), ("foo", "FOO", None, None, "UNKNOWN"), ("", "", None, None, "UNKNOWN")]
-_NAMES_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _NAMES) + ") t(name, canonical, base, quote, asset_class)"
+_MOST_TRADED, _FORMS = CURRENCIES[:8], ("{}{}", "{}{}.a", "{}{}m", "{}/{}", "{}_{}.cash")
+_QUOTE = "(c_nationkey + 1 + c_custkey % 7) % 8"
 
 
-@query("canonical_symbols", _NAMES_SQL, "name canonical base quote asset_class")
+def _element(values, at: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast({at} + 1 AS int)"))
+
+
+@query("canonical_symbols", f"SELECT c_custkey, base || quote AS canonical, base, quote, 'FOREX' AS asset_class FROM (SELECT c_custkey, {list(_MOST_TRADED)}[c_nationkey % 8 + 1] AS base, {list(_MOST_TRADED)}[{_QUOTE} + 1] AS quote FROM customer)", "c_custkey canonical base quote asset_class")
 def canonical_symbols(spark, d):
-    return spark.createDataFrame([(r[0],) for r in _NAMES], "name string").withColumn("_i", identity(F.col("name"))).select("name", "_i.*")
+    """Pairs of currencies of each customer, as brokers write them: with suffixes and separators, every third one in lower case."""
+    base, quote = _element(_MOST_TRADED, "c_nationkey % 8"), _element(_MOST_TRADED, _QUOTE)
+    forms = F.array(*[F.format_string(f.replace("{}", "%s"), base, quote) for f in _FORMS])
+    written = F.element_at(forms, F.expr("cast(c_custkey % 5 + 1 AS int)"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lower(written)).otherwise(written)
+    return read(spark, d, "customer").select("c_custkey", identity(name).alias("_i")).select("c_custkey", "_i.*")
 
 
 @query("symbol_checks", "SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '\\.(cash|pro|mini|ecn|raw|[a-z])$', ''), '_(swapfree|islamic|demo|live|test|practice|real|sim)$', '') AS plain, regexp_matches(p_brand, '^[A-Z0-9]{2,12}([._][A-Z0-9]{2,6})?$') AS valid FROM part", "p_partkey plain valid")

@@ -324,20 +324,24 @@ def time_functions(spark, d):
     return read(spark, d, "events").select("event_id", S.parse_time(text).alias("ts"), F.date_format("ts", "yyyyMMdd").alias("day"), F.unix_timestamp("ts").alias("seconds"))
 
 
-@query("human_units", "SELECT * FROM (VALUES (0, '0ms', '0 B'), (5, '5s', '5 B'), (65, '1m 5s', '65 B'), (3665, '1h 1m 5s', '3.58 KB'), (90061, '1d 1h 1m 1s', '87.95 KB'), (1500000, '17d 8h 40m', '1.43 MB')) t(n, took, size)", "n took size")
+_TOOK = "concat_ws(' ', " + ", ".join(f"CASE WHEN {n} > 0 THEN ({n})::VARCHAR || '{unit}' END" for n, unit in (("n // 86400", "d"), ("n // 3600 % 24", "h"), ("n // 60 % 60", "m"), ("n % 60", "s"))) + ")"
+
+
+@query("human_units", f"SELECT o_orderkey, CASE WHEN n = 0 THEN '0ms' ELSE {_TOOK} END AS took, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.2f}}', n / 1024.0::DOUBLE) || ' KB' ELSE format('{{:.2f}}', n / 1048576.0::DOUBLE) || ' MB' END AS size FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN floor(o_totalprice / 1000) ELSE floor(o_totalprice * 10) END::BIGINT AS n FROM orders)", "o_orderkey took size")
 def human_units(spark, d):
-    n = spark.createDataFrame([(0,), (5,), (65,), (3665,), (90061,), (1500000,)], "n long")
-    return n.select("n", S.duration(F.col("n")).alias("took"), S.byte_size(F.col("n")).alias("size"))
+    n = F.floor(F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") / 1000).otherwise(F.col("o_totalprice") * 10))
+    return read(spark, d, "orders").select("o_orderkey", S.duration(n).alias("took"), S.byte_size(n).alias("size"))
 
 
-@query("date_range", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 6 HOUR)) AS ts", times="ts")
+@query("date_range", "SELECT o_orderkey, unnest(generate_series(o_orderdate::TIMESTAMP, o_orderdate::TIMESTAMP + to_days((o_orderkey % 4)::INT), INTERVAL 6 HOUR)) AS ts FROM orders", "o_orderkey", times="ts")
 def date_range(spark, d):
-    return spark.range(1).select(F.explode(S.intervals(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp"), 21600)).alias("ts"))
+    last = F.col("o_orderdate") + F.make_dt_interval(days=(F.col("o_orderkey") % 4).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", F.explode(S.intervals(F.col("o_orderdate"), last, 21600)).alias("ts"))
 
 
-@query("content_hashes", "SELECT count(*) AS n, count(DISTINCT p_name || '|' || p_brand) AS hashes FROM part", "n hashes")
+@query("content_hashes", """SELECT p_partkey, sha256('{"p_name":"' || p_name || '","p_brand":"' || p_brand || '"}') AS hash FROM part""", "p_partkey hash")
 def content_hashes(spark, d):
-    return read(spark, d, "part").select(S.content_hash(F.col("p_name"), F.col("p_brand")).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("hashes"))
+    return read(spark, d, "part").select("p_partkey", S.content_hash(F.col("p_name"), F.col("p_brand")).alias("hash"))
 
 
 @query("softmax", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))) AS denominator, 1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)))) AS top FROM embeddings", "vec_id", "top")
