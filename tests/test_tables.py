@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -192,3 +193,26 @@ def test_identities_of_names(spark):
     rows = spark.createDataFrame([(n,) for n in want], "name string").select("name", symbols.identity(F.col("name")).alias("i"), discovery.market_type(F.col("name"), F.lit(None)).alias("m")).collect()
     assert {r["name"]: tuple(r["i"]) for r in rows} == want
     assert {r["name"]: r["m"]["market_type"] for r in rows if r["name"] in ("GOLD", "", "foo")} == {"GOLD": "COMMODITY", "": "UNKNOWN", "foo": "UNKNOWN"}
+
+
+def test_scans_over_ranges_are_those_of_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None, "c"]), k, rng.randint(-9, 9), k if rng.random() < 0.02 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k long, v long, n long").repartition(3)
+    results = {"s": ("sum", F.col("v")), "p": ("peak", F.col("v")), "t": ("total", F.col("v")), "l": ("last", F.col("n")), "a": ("after", F.col("k"))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for order, turn in ((F.col("k").asc(), False), (F.col("k").desc(), True)):
+            out = ordered.scanned(df, [order], results, ("g",))
+            windows = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if " Window [" in line]
+            assert windows and all("_range" in line for line in windows if "_side" in line)
+            want = []
+            for g in ("a", None, "c"):
+                own, s, p, last = sorted((r for r in rows if r[0] == g), key=lambda r: r[1], reverse=turn), 0, None, None
+                for r, after in zip(own, [*own[1:], None], strict=True):
+                    s += r[2]
+                    p, last = s if p is None else max(p, s), last if r[3] is None else r[3]
+                    want.append((*r, s, p, sum(x[2] for x in own), last, after and after[1]))
+            assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

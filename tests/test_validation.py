@@ -184,3 +184,12 @@ def test_cleaning_counts_what_each_step_meets(spark):
         assert counters() == {"rows": 43, "invalid": 2, "duplicates": 1, "missing": 1, "outliers": 1, "kept": kept}
         assert len(got) == kept and got[rows[5][2]] == 10.0 and got[rows[3][2]] == 10.1 and got.get(rows[20][2], 0.0) < 99
         assert out.columns == df.columns
+
+
+def test_no_task_holds_all_lots_of_a_symbol(spark):
+    fills = spark.range(2000).select(F.lit("a").alias("symbol"), F.col("id").cast("timestamp").alias("ts"), F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("side"), F.col("id").cast("double").alias("price"), (1.0 + F.col("id") % 4).alias("size"))
+    out = validation.lots(fills)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and "unboundedfollowing" not in plan and all("_range" in line for line in windows)
+    assert out.agg(F.sum(F.col("size") * F.when(F.col("exit").isNull(), 1).otherwise(2))).first()[0] == sum(1.0 + k % 4 for k in range(2000))

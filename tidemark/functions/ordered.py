@@ -49,24 +49,57 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """`df` with, by name, the sum of each of `totals` over its rows up to and including this one, in `order`, in each group of `by`.
-
-    Rows are dealt by ranges of the order and summed within each range; what lies before a range comes from
-    a table of one row for each range and group. Rows of equal order are taken in any order, so let it be unique.
+def scanned(df: DataFrame, order: list[Column], results: dict[str, tuple[str, Column]], by: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with, by name, one of these over the rows of its group of `by`, in `order`:
+
+    `sum` and `peak`: the sum of a column up to and including this row, and the largest such sum so far; `total`: its
+    sum over the group; `last`: its latest known value up to this row; `after`: its value in the next row.
+    Rows are dealt by ranges of groups and order and written once. What a range needs of the others are two rows for
+    each group in it, one before and one after its own rows, so no task holds a whole group, however large it is.
+    Rows of equal order are taken in any order, so let it be unique.
     """
-    ranged = df.withColumns({f"_v{k}": c for k, c in enumerate(totals.values())}).repartitionByRange(*[F.col(b).asc() for b in by], *order)
-    rows = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
-    names = [f"_v{k}" for k in range(len(totals))]
-    sums = rows.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in names])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_off") for n in names])
-    on = F.col("_range") == F.col("_r")
-    for k, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"_by{k}"))
-    here = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, on)
-    return joined.select(*df.columns, *[(F.col(f"_v{k}_off") + F.sum(f"_v{k}").over(here)).alias(n) for k, n in enumerate(totals)])
+    kinds, one = [kind for kind, _ in results.values()], [*by, "_range"]
+    ranged = df.withColumns({f"_v{k}": c for k, (_, c) in enumerate(results.values())}).repartitionByRange(*[F.col(b).asc() for b in by], *order)
+    rows = written(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    told, inside = rows, Window.partitionBy(*one).orderBy(*order)
+    if {"peak", "last", "after"} & set(kinds):
+        so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+        told = rows.withColumns({"_i": F.row_number().over(inside)} | {f"_w{k}": F.sum(f"_v{k}").over(so_far) if kind == "peak" else F.last(f"_v{k}", ignorenulls=True).over(so_far) for k, kind in enumerate(kinds) if kind in ("peak", "last")})
+    found = []
+    for k, kind in enumerate(kinds):
+        whole = {"last": lambda k: F.max_by(f"_w{k}", "_i"), "after": lambda k: F.min_by(f"_v{k}", "_i")}.get(kind, lambda k: F.sum(f"_v{k}"))
+        found += [whole(k).alias(f"_v{k}")] + ([F.max(f"_w{k}").alias(f"_w{k}")] if kind == "peak" else [])
+    ranges = told.groupBy(*one).agg(*found)
+    own, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    entering, leaving = {}, {}
+    for k, kind in enumerate(kinds):
+        v = F.col(f"_v{k}")
+        if kind == "after":
+            leaving[f"_v{k}"] = F.lead(v).over(own.orderBy("_range"))
+        else:
+            entering[f"_v{k}"] = F.last(v, ignorenulls=True).over(earlier) if kind == "last" else F.sum(v).over(own if kind == "total" else earlier)
+        if kind == "peak":
+            ranges = ranges.withColumn(f"_w{k}", F.coalesce(F.sum(v).over(earlier), F.lit(0)) + F.col(f"_w{k}"))
+            entering[f"_w{k}"] = F.max(f"_w{k}").over(earlier)
+    apart = {f"_v{k}": F.lit(None).cast(ranges.schema[f"_v{k}"].dataType) for k, kind in enumerate(kinds) if kind == "total"}
+    every = rows.withColumns(apart | {"_side": F.lit(0)})
+    for side, values in ((-1, entering), (1, leaving)):
+        if values:
+            every = every.unionByName(ranges.select(*one, *[c.alias(n) for n, c in values.items()], F.lit(side).alias("_side")), allowMissingColumns=True)
+    ahead = Window.partitionBy(*one).orderBy("_side", *order)
+    upto = ahead.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"_p{k}": F.when(F.col("_side") == -1, F.col(f"_w{k}")).otherwise(F.sum(f"_v{k}").over(upto)) for k, kind in enumerate(kinds) if kind == "peak"}
+    every = every.withColumns(sums) if sums else every
+    made = {
+        "sum": lambda k: F.sum(f"_v{k}").over(upto), "peak": lambda k: F.max(f"_p{k}").over(upto), "total": lambda k: F.max(f"_v{k}").over(upto),
+        "last": lambda k: F.last(f"_v{k}", ignorenulls=True).over(upto), "after": lambda k: F.lead(f"_v{k}").over(ahead),
+    }
+    return every.select(*df.columns, "_side", *[made[kind](k).alias(n) for k, (n, kind) in enumerate(zip(results, kinds, strict=True))]).filter("_side = 0").drop("_side")
+
+
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with, by name, the sum of each of `totals` over its rows up to and including this one, in `order`, in each group of `by`; by `scanned`."""
+    return scanned(df, order, {n: ("sum", c) for n, c in totals.items()}, by)
 
 
 def counted(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.ordered import running_totals, scanned
 from ..functions.scalars import clip, div
 
 #: Gap of accuracy and least training accuracy of an overfit model; early Sharpe that can collapse, and the share that is left then.
@@ -94,19 +95,19 @@ def lots(fills: DataFrame, by=("symbol",), order=("ts",)) -> DataFrame:
     Bought and sold quantities are laid end to end, each side on an axis of its own, in order of time; what the k-th
     unit bought and the k-th unit sold have in common is one lot, opened by the earlier fill and closed by the later
     one. So a fill that closes more than is open opens the other side with the rest, and positions of both sides
-    never stand at once. The overlaps come from the ends of all intervals in order, by two windows: no pair of
-    fills is tried, and no state is kept in a loop. Fills without a positive size do not count.
+    never stand at once. The overlaps come from the ends of all intervals in order, scanned by ranges: no pair of
+    fills is tried, no state is kept in a loop, and no task holds a whole symbol. Fills without a positive size do not count.
     """
     key, keys = F.struct(*[F.col(c) for c in order]), list(by)
-    own = Window.partitionBy(*keys, "side").orderBy(*order)
     rows = fills.filter((F.col("size") > 0) & F.col("side").isin(1, -1)).select(*keys, *order, "side", "price", F.col("size").cast("double").alias("size"))
-    rows = rows.withColumn("_end", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running_totals(rows, [F.col(c).asc() for c in order], {"_end": F.col("size")}, (*keys, "side"))
     # Every end of an interval closes a part: it belongs to the fill of either side that reaches that far.
     fill = F.struct(key.alias("at"), F.col("price").alias("price"))
-    ends = rows.groupBy(*keys, "_end").agg(*[F.max(F.when(F.col("side") == s, fill)).alias(f"_{n}") for s, n in ((1, "long"), (-1, "short"))])
-    ahead = Window.partitionBy(*keys).orderBy("_end")
-    here = {f"_{n}": F.first(f"_{n}", ignorenulls=True).over(ahead.rowsBetween(0, Window.unboundedFollowing)) for n in ("long", "short")}
-    parts = ends.withColumns(here).withColumn("size", F.col("_end") - F.coalesce(F.lag("_end").over(ahead), F.lit(0.0))).filter(F.col("size") > 0)
+    ends = rows.groupBy(*keys, "_end").agg(*[F.max(F.when(F.col("side") == s, fill)).alias(f"_to_{n}") for s, n in ((1, "long"), (-1, "short"))])
+    # From the last end back: the latest fill seen is the first that reaches this far, and the next end is the one below.
+    here = {"_long": ("last", F.col("_to_long")), "_short": ("last", F.col("_to_short")), "_below": ("after", F.col("_end"))}
+    parts = scanned(ends, [F.col("_end").desc()], here, tuple(keys))
+    parts = parts.withColumn("size", F.col("_end") - F.coalesce("_below", F.lit(0.0))).filter(F.col("size") > 0)
     first = F.col("_short").isNull() | (F.col("_long.at") < F.col("_short.at"))
     parts = parts.withColumns({"side": F.when(first, 1).otherwise(-1), "_open": F.when(first, F.col("_long")).otherwise(F.col("_short")), "_close": F.when(first, F.col("_short")).otherwise(F.col("_long"))})
     parts = parts.withColumns({"entry": F.col("_open.price"), "exit": F.col("_close.price")})
