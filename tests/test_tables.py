@@ -216,3 +216,33 @@ def test_scans_over_ranges_are_those_of_one_pass(spark):
             assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trades_of_one_group_are_scanned_by_ranges(spark):
+    rng = random.Random(8)
+    rows = [("a" if k % 5 else None, k, rng.choice([None, -2.0, -1.0, 1.0, 3.0])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, ts long, r double").repartition(3)
+    told = {"streaks": metrics.streaks(df, by=("g",)), "equity": metrics.equity(df, by=("g",), start=100.0), "risk": metrics.risk(df, by=("g",))}
+    for out in (told["streaks"], told["equity"]):
+        windows = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if " Window [" in line]
+        assert windows and all("_range" in line for line in windows)
+    assert " Join" not in told["risk"]._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "", 1)
+    streaks, curve, risk_of = ({k: [r for r in out.collect() if r["g"] == k] for k in ("a", None)} for out in told.values())
+    for g in ("a", None):
+        own, runs, at, peak, want = [r[2] for r in rows if r[0] == g], {True: 0, False: 0}, 100.0, 100.0, []
+        run, kind = 0, None
+        for r in own:
+            now = None if r is None else r > 0
+            run, kind = (run + 1 if now == kind else 1), now
+            if now is not None:
+                runs[now] = max(runs[now], run)
+            at += r or 0.0
+            peak = max(peak, at)
+            want.append((at, peak))
+        assert [(r["max_wins"], r["max_losses"]) for r in streaks[g]] == [(runs[True], runs[False])]
+        assert [(r["equity"], r["peak"]) for r in sorted(curve[g], key=lambda r: r["ts"])] == want
+        known = np.array([r for r in own if r is not None])
+        for p in (95, 99):
+            q = np.quantile(known, 1 - p / 100)
+            assert risk_of[g][0][f"var_{p}"] == pytest.approx(q) and risk_of[g][0][f"cvar_{p}"] == pytest.approx(known[known <= q].mean())
+    assert tuple(metrics.risk(df.limit(0)).first()) == (None,) * 5

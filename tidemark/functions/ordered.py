@@ -59,12 +59,14 @@ def scanned(df: DataFrame, order: list[Column], results: dict[str, tuple[str, Co
     Rows of equal order are taken in any order, so let it be unique.
     """
     kinds, one = [kind for kind, _ in results.values()], [*by, "_range"]
-    ranged = df.withColumns({f"_v{k}": c for k, (_, c) in enumerate(results.values())}).repartitionByRange(*[F.col(b).asc() for b in by], *order)
+    # Their number is given, so that adaptive plans do not put more of them into a task the more there are.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns({f"_v{k}": c for k, (_, c) in enumerate(results.values())}).repartitionByRange(parts, *[F.col(b).asc() for b in by], *order)
     rows = written(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     told, inside = rows, Window.partitionBy(*one).orderBy(*order)
     if {"peak", "last", "after"} & set(kinds):
         so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-        told = rows.withColumns({"_i": F.row_number().over(inside)} | {f"_w{k}": F.sum(f"_v{k}").over(so_far) if kind == "peak" else F.last(f"_v{k}", ignorenulls=True).over(so_far) for k, kind in enumerate(kinds) if kind in ("peak", "last")})
+        told = rows.repartition(parts, *one).withColumns({"_i": F.row_number().over(inside)} | {f"_w{k}": F.sum(f"_v{k}").over(so_far) if kind == "peak" else F.last(f"_v{k}", ignorenulls=True).over(so_far) for k, kind in enumerate(kinds) if kind in ("peak", "last")})
     found = []
     for k, kind in enumerate(kinds):
         whole = {"last": lambda k: F.max_by(f"_w{k}", "_i"), "after": lambda k: F.min_by(f"_v{k}", "_i")}.get(kind, lambda k: F.sum(f"_v{k}"))
@@ -86,6 +88,7 @@ def scanned(df: DataFrame, order: list[Column], results: dict[str, tuple[str, Co
     for side, values in ((-1, entering), (1, leaving)):
         if values:
             every = every.unionByName(ranges.select(*one, *[c.alias(n) for n, c in values.items()], F.lit(side).alias("_side")), allowMissingColumns=True)
+    every = every.repartition(parts, *one)
     ahead = Window.partitionBy(*one).orderBy("_side", *order)
     upto = ahead.rowsBetween(Window.unboundedPreceding, 0)
     sums = {f"_p{k}": F.when(F.col("_side") == -1, F.col(f"_w{k}")).otherwise(F.sum(f"_v{k}").over(upto)) for k, kind in enumerate(kinds) if kind == "peak"}
@@ -108,31 +111,40 @@ def counted(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.filter(x.isNotNull()).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, q): exact interpolated quantiles of the known values of each group, as an array in the order of `fractions`.
 
     Equal values are counted before they are ordered, and ranks are running totals over ranges of the values, so
-    no task holds the distinct values of a group. A group without a known value has no row. `few` as in `with_group`.
+    no task holds the distinct values of a group. A group without a known value has no row.
     """
-    return quantiles_of(counted(df, value, by), fractions, by, few)
+    return quantiles_of(counted(df, value, by), fractions, by)
 
 
-def quantiles_of(counts: DataFrame, fractions: list[float], by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
-    """`quantiles` of what `counted` gives."""
+def quantiles_of(counts: DataFrame, fractions: list[float], by: tuple[str, ...] = (), tails: bool = False) -> DataFrame:
+    """`quantiles` of what `counted` gives; with `tails` also the mean of the values at or below each of them, as an array `tail`."""
     keys = by or ("_one",)
-    ranked = running_totals(counts if by else counts.withColumn("_one", F.lit(1)), [F.col("_x").asc()], {"_upto": F.col("_n")}, keys)
-    placed = with_group(ranked, ranked.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys, few or not by)
+    n = F.col("_n")
+    placed = scanned(counts if by else counts.withColumn("_one", F.lit(1)), [F.col("_x").asc()], {"_upto": ("sum", n), "_total": ("total", n)}, keys)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_x")))
 
     places = [(F.col("_total") - 1) * F.lit(float(f)) for f in fractions]
-    ends = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *[at(F.floor(p)).alias(f"_low{k}") for k, p in enumerate(places)], *[at(F.ceil(p)).alias(f"_high{k}") for k, p in enumerate(places)])
+    ends = {"_low": [at(F.floor(p)) for p in places], "_high": [at(F.ceil(p)) for p in places]}
+    if tails:
+        for name, rank in (("_upto_low", F.floor), ("_upto_high", F.ceil)):
+            inside = [F.col("_upto") - F.col("_n") <= rank(p) for p in places]
+            ends |= {f"{name}_sum": [F.sum(F.when(i, F.col("_x") * F.col("_n"))) for i in inside], f"{name}_n": [F.sum(F.when(i, F.col("_n"))) for i in inside]}
+    out = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *[c.alias(f"{name}{k}") for name, columns in ends.items() for k, c in enumerate(columns)])
     between = [
         F.when(F.col(f"_low{k}") == F.col(f"_high{k}"), F.col(f"_low{k}")).otherwise((F.ceil(p) - p) * F.col(f"_low{k}") + (p - F.floor(p)) * F.col(f"_high{k}"))
         for k, p in enumerate(places)
     ]
-    return ends.select(*by, F.array(*between).alias("q"))
+    if not tails:
+        return out.select(*by, F.array(*between).alias("q"))
+    # Rounding may put a quantile on the upper of its two values.
+    means = [F.when(F.col(f"_high{k}") <= q, F.col(f"_upto_high_sum{k}") / F.col(f"_upto_high_n{k}")).otherwise(F.col(f"_upto_low_sum{k}") / F.col(f"_upto_low_n{k}")) for k, q in enumerate(between)]
+    return out.select(*by, F.array(*between).alias("q"), F.array(*means).alias("tail"))
 
 
 def with_group(rows: DataFrame, groups: DataFrame, by: tuple[str, ...], few: bool = False) -> DataFrame:

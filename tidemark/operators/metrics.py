@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import quantiles, running_totals, with_group
+from ..functions.ordered import counted, quantiles_of, running_totals, scanned, with_group
 from ..functions.scalars import clip, div
 
 INF = float("inf")
@@ -124,24 +124,23 @@ def trades(df: DataFrame, result: str = "r", by=(), periods: int = 252) -> DataF
 
 def risk(df: DataFrame, result: str = "r", by=()) -> DataFrame:
     """Value at risk at 95 and 99 percent (interpolated) and the mean result at or beyond it, and mean over deviation without a year."""
-    one = ("_one",)
-    rows, keys = (df, tuple(by)) if by else (df.withColumn("_one", F.lit(1)), one)
+    rows, keys = (df, tuple(by)) if by else (df.withColumn("_one", F.lit(1)), ("_one",))
     moments = rows.groupBy(*keys).agg(F.avg(result).alias("mean"), F.stddev_samp(result).alias("std"))
-    levels = with_group(moments, quantiles(rows, result, [0.05, 0.01], keys), keys).select(*keys, F.get("q", F.lit(0)).alias("var_95"), F.get("q", F.lit(1)).alias("var_99"), "mean", "std")
-    both = with_group(rows, levels if by else F.broadcast(levels), keys)  # without groups, levels are one row
-    r = F.col(result)
-    return _grouped(both, by).agg(
-        F.first("var_95").alias("var_95"), F.first("var_99").alias("var_99"), F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"), F.avg(F.when(r <= F.col("var_99"), r)).alias("cvar_99"), F.first(div(F.col("mean"), F.col("std"), 0.0)).alias("sharpe_plain"),
-    )
+    levels = with_group(moments, quantiles_of(counted(rows, result, keys), [0.05, 0.01], keys, tails=True), keys)  # a row for each group on both sides
+    told = levels.select(*by, *[F.get(c, F.lit(k)).alias(f"{n}_{p}") for n, c in (("var", "q"), ("cvar", "tail")) for k, p in enumerate((95, 99))], div(F.col("mean"), F.col("std"), 0.0).alias("sharpe_plain"))
+    return told if by else told.agg(*[F.first(c).alias(c) for c in told.columns])  # a row even of no rows
 
 
 def equity(df: DataFrame, result: str = "r", by=(), order=("ts",), start: float = 1.0, compounded: bool = False) -> DataFrame:
-    """`df` with equity after each row, its peak so far and the drawdown from it as a negative share."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = F.coalesce(F.col(result), F.lit(0.0))
-    curve = start * F.exp(F.sum(F.ln(F.greatest(1 + r, F.lit(1e-12)))).over(w)) if compounded else start + F.sum(r).over(w)
-    out = df.withColumn("equity", curve)
-    out = out.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(start)))
+    """`df` with equity after each row, its peak so far and the drawdown from it as a negative share; scanned by ranges of the order. A compounded curve starts above 0."""
+    r = F.coalesce(F.col(result).cast("double"), F.lit(0.0))
+    step = F.ln(F.greatest(1 + r, F.lit(1e-12))) if compounded else r
+    out = scanned(df.drop("equity", "peak"), [F.col(c).asc() for c in order], {"equity": ("sum", step), "peak": ("peak", step)}, tuple(by))
+
+    def curve(c: str) -> Column:
+        return start * F.exp(c) if compounded else start + F.col(c)
+
+    out = out.withColumns({"equity": curve("equity"), "peak": F.greatest(curve("peak"), F.lit(start))})
     return out.withColumn("drawdown", div(F.col("equity") - F.col("peak"), F.col("peak"), 0.0))
 
 
@@ -153,12 +152,11 @@ def drawdown(curve: DataFrame, by=(), order: str = "ts") -> DataFrame:
 
 
 def streaks(df: DataFrame, result: str = "r", by=(), order=("ts",)) -> DataFrame:
-    """The longest runs of wins and of losses, by islands."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_win", F.col(result) > 0)
-    rows = rows.withColumn("_new", (F.col("_win") != F.lag("_win").over(w)).cast("int"))
-    rows = rows.withColumn("_island", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(*by, "_island", "_win").agg(F.count(F.lit(1)).alias("_n"))
+    """The longest runs of wins and of losses, by islands: rows of a run have as many rows of another kind before them. Unknown results end a run."""
+    rows = df.select(*by, *order, (F.col(result) > 0).alias("_win"))
+    same = {"_all": F.lit(1), "_wins": F.when(F.col("_win"), 1).otherwise(0), "_losses": F.when(~F.col("_win"), 1).otherwise(0)}
+    rows = scanned(rows, [F.col(c).asc() for c in order], {n: ("sum", c) for n, c in same.items()}, tuple(by))
+    runs = rows.groupBy(*by, "_win", (F.col("_all") - F.when(F.col("_win"), F.col("_wins")).otherwise(F.col("_losses"))).alias("_island")).agg(F.count(F.lit(1)).alias("_n"))
     return _grouped(runs, by).agg(F.coalesce(F.max(F.when(F.col("_win"), F.col("_n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(~F.col("_win"), F.col("_n"))), F.lit(0)).alias("max_losses"))
 
 

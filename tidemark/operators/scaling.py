@@ -30,7 +30,7 @@ def fit(df: DataFrame, columns: list[str], method: str | None = None) -> DataFra
     )
     if method not in (None, "robust"):
         return moments.withColumns({n: F.lit(None).cast("double") for n in QUARTILES})
-    out = with_group(moments, quantiles(long, "x", [0.25, 0.5, 0.75], ("field",), few=True), ("field",), few=True)
+    out = with_group(moments, quantiles(long, "x", [0.25, 0.5, 0.75], ("field",)), ("field",), few=True)
     return out.select("*", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(QUARTILES)]).drop("q")
 
 
