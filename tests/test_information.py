@@ -78,3 +78,19 @@ def test_information_of_few_rows(spark):
     assert spark.range(1, 40).select(F.max(F.abs(information.digamma(F.col("id").cast("double")) - F.lit(psi(1)))).alias("x")).first()["x"] > 3
     for m in (1, 2, 7, 300):
         assert math.isclose(spark.range(1).select(information.digamma(F.lit(float(m))).alias("x")).first()["x"], psi(m), abs_tol=1e-11)
+
+
+def test_points_are_moved_once_and_look_beyond_their_region(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=900).round(2), rng.normal(size=900).round(1)
+    x[:200], y[100:250] = 1.25, 0.5
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "a double, b double")
+    whole = tuple(information.knn_information(df, "a", "b", 3).first())
+    for name, size in (("TILE", 60), ("BLOCK", 16), ("STRETCH", 90), ("CHUNK", 50)):
+        monkeypatch.setattr(information, name, size)
+    rows = df.groupBy("a", "b").count().select(F.monotonically_increasing_id().alias("_id"), F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("count").alias("_w")).localCheckpoint()
+    got = {(r["_x"], r["_y"]): r["_d"] for r in information.kth_distances(rows, 3).collect()}
+    gaps = np.sort(np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y)), axis=1)[:, 3]
+    assert got == dict(zip(zip(x.tolist(), y.tolist(), strict=True), gaps.tolist(), strict=True))
+    cut = tuple(information.knn_information(df, "a", "b", 3).first())
+    assert cut[0] == whole[0] and math.isclose(cut[1], whole[1], rel_tol=1e-9)

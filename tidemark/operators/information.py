@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_totals, written
+from ..functions.ordered import written
 
-#: Levels of the grid (2 ** LEVELS tiles a side at the finest), points wished for in the tile of a point, and rows of a chunk of a tile.
-LEVELS, TILE, CHUNK = 14, 256, 2048
+#: Points of a region in the mean, regions at most, points of the sample for each of them, and points of a block within a region.
+TILE, REGIONS, SAMPLE, BLOCK = 20_000, 4096, 32, 128
+#: Points of a stretch of an axis in the mean, and queries of a chunk of one.
+STRETCH, CHUNK = 250_000, 500_000
 #: Distances that differ by less than this share are equal.
 EQUAL = 1e-9
 
@@ -23,98 +26,200 @@ def digamma(m: Column) -> Column:
     return series - sum((1.0 / (m + float(j)) for j in range(10)), F.lit(0.0))
 
 
-def _tile(c: str, level: int) -> Column:
-    return F.least(F.floor(F.col(f"_u{c}") * float(1 << level)), F.lit((1 << level) - 1)).cast("int")
-
-
-def _start(points: DataFrame) -> int:
-    """The coarsest level at which a point's tile holds TILE points in the mean, or the finest."""
-    tiles = points.select(_tile("x", LEVELS).alias("x"), _tile("y", LEVELS).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    every = tiles.select("n", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
-    shift = F.pow(F.lit(2), F.lit(LEVELS) - F.col("level"))
-    held = every.groupBy("level", F.floor(F.col("x") / shift), F.floor(F.col("y") / shift)).agg(F.sum("n").alias("n"))
-    mean = held.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean"))
-    return min((r["level"] for r in mean.filter(F.col("mean") <= TILE).collect()), default=LEVELS)
-
-
-def _near(points: DataFrame, wanted: DataFrame, level: int, k: int) -> DataFrame:
-    """(_id, _d): for each of `wanted` its distance to the k-th neighbour, of those in its tile and the eight around."""
-    x, y = (_tile(c, level).alias(f"_t{c}") for c in "xy")
-    left = wanted.select("_id", "_x", "_y", "_w", x, y)
-    around = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    right = points.select("_id", "_x", "_y", "_w", x, y).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    right = right.select("_id", "_x", "_y", "_w", (F.col("_tx") + F.col("_dx")).alias("_tx"), (F.col("_ty") + F.col("_dy")).alias("_ty"))
-    tile = ["_tx", "_ty"]
-    sizes = left.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_l")).join(right.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_r")), tile)
-
-    def spread(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        chunk = F.pmod(F.xxhash64("_id"), F.col(f"_{own}")).cast("int").alias(f"_c{own}")
-        return rows.join(sizes, tile).select("_id", "_x", "_y", "_w", *tile, chunk, F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(f"_c{other}"), F.lit(side).alias("_side"))
-
-    def nearest(key, table):
-        side = table.column("_side").to_numpy()
-        ids, px, py, w = (table.column(c).to_numpy() for c in ("_id", "_x", "_y", "_w"))
-        mine, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = []
-        for low in range(0, len(mine), 256):
-            a = mine[low : low + 256]
-            d = np.maximum(np.abs(px[a][:, None] - px[others]), np.abs(py[a][:, None] - py[others]))
-            weight = np.where(ids[a][:, None] == ids[others], w[others] - 1, w[others])  # of its own kind, all but itself
-            d = np.where(weight > 0, d, np.inf)
-            take = min(k, d.shape[1])
-            first = np.argpartition(d, take - 1, axis=1)[:, :take]
-            near = np.take_along_axis(d, first, 1)
-            i, j = np.nonzero(np.isfinite(near))
-            out.append((ids[a][i], near[i, j], weight[i, first[i, j]]))
-        return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["_id", "_d", "_w"])
-
-    both = spread(left, "l", "r", 0).unionByName(spread(right, "r", "l", 1))
-    found = both.groupBy(*tile, "_cl", "_cr").applyInArrow(nearest, "_id long, _d double, _w long")
-    so_far = F.sum("_w").over(Window.partitionBy("_id").orderBy("_d").rangeBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("_so", so_far).filter(F.col("_so") >= k).groupBy("_id").agg(F.min("_d").alias("_d"))
+def _halved(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The plane halved at medians until no part has more than `most` points, or all are equal: (cuts, boxes, members).
+
+    A row of `cuts` is (axis, value, part below, part from it on), parts below 0 being -1 - the number of a box; a row of `boxes`
+    is (low x, low y, high x, high y), the high ends not included; `members` are the points of each box.
+    """
+    v, cuts, boxes, members = (x, y), [], [], []
+    todo = [(np.arange(len(x)), (-np.inf, -np.inf, np.inf, np.inf), None)]
+    while todo:
+        own, box, above = todo.pop()
+        spans = [np.ptp(c[own]) if len(own) > most else 0.0 for c in v]
+        axis = int(spans[1] > spans[0])
+        if above is not None:
+            cuts[above[0]][above[1]] = len(cuts) if spans[axis] > 0 else -1 - len(boxes)
+        if not spans[axis] > 0:
+            boxes.append(box)
+            members.append(own)
+            continue
+        c = v[axis][own]
+        at = np.partition(c, len(c) // 2)[len(c) // 2]
+        at = at if (c < at).any() else c[c > at].min()
+        cuts.append([axis, at, 0, 0])
+        for side, inside in ((2, c < at), (3, c >= at)):
+            edges = list(box)
+            edges[axis + 2 if side == 2 else axis] = at
+            todo.append((own[inside], tuple(edges), (len(cuts) - 1, side)))
+    return np.array(cuts, float).reshape(-1, 4), np.array(boxes, float), members
+
+
+def _box_of(cuts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of the box of each point."""
+    part = np.full(len(x), 0 if len(cuts) else -1)
+    while (open_ := np.flatnonzero(part >= 0)).size:
+        cut = cuts[part[open_]]
+        beyond = np.where(cut[:, 0] == 0, x[open_], y[open_]) >= cut[:, 1]
+        part[open_] = np.where(beyond, cut[:, 3], cut[:, 2])
+    return -1 - part
+
+
+def _nearest(points, queries, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(d, w), a row for each query: distances of its k nearest points but itself, in order, and how often each is there; inf and 0 where there are fewer.
+
+    Points and queries are (id, x, y, w). Points beyond `reach` need not be found; without, queries are the points.
+    Queries of a block meet the blocks of points that are as near as the farthest reach of one of them.
+    """
+    ids, px, py, w = points
+    near, often = np.full((len(queries[0]), k), np.inf), np.zeros((len(queries[0]), k), np.int64)
+    blocks = _halved(px, py, BLOCK)[2]
+    box = np.array([(px[m].min(), py[m].min(), px[m].max(), py[m].max()) for m in blocks])
+
+    def gaps(q, c):
+        return np.maximum(np.abs(queries[1][q][:, None] - px[c]), np.abs(queries[2][q][:, None] - py[c]))
+
+    for q in blocks if reach is None else _halved(queries[1], queries[2], BLOCK)[2]:
+        x, y = queries[1][q], queries[2][q]
+        if reach is not None:
+            far = reach[q].max()
+        else:
+            far = np.partition(gaps(q, q), k, axis=1)[:, k].max() if len(q) > k else np.inf
+        far *= 1 + EQUAL
+        met = (box[:, 0] <= x.max() + far) & (box[:, 2] >= x.min() - far) & (box[:, 1] <= y.max() + far) & (box[:, 3] >= y.min() - far)
+        if not met.any():
+            continue
+        c = np.concatenate([blocks[m] for m in np.flatnonzero(met)])
+        weight = w[c] - (queries[0][q][:, None] == ids[c])
+        d = np.where(weight > 0, gaps(q, c), np.inf)
+        take = min(k, len(c))
+        first = np.argpartition(d, take - 1, axis=1)[:, :take]
+        d = np.take_along_axis(d, first, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        near[q, :take], often[q, :take] = np.take_along_axis(d, order, 1), np.take_along_axis(np.take_along_axis(weight, first, 1), order, 1)
+    often[~np.isfinite(near)] = 0
+    return near, often
+
+
+def _columns(table, *names):
+    return tuple(table.column(n).to_numpy() for n in names)
 
 
 def kth_distances(points: DataFrame, k: int) -> DataFrame:
-    """(_id, _x, _y, _w, _d) of points (_id, _x, _y, _w: how often each is there, _ux and _uy: 0 to 1): the largest of the two gaps to the k-th neighbour.
+    """(_id, _x, _y, _w, _d) of points (_id, _x, _y, _w: how often each is there): the largest of the two gaps to the k-th neighbour.
 
-    Points look in their tile of a grid and the eight around it; those whose k-th neighbour there may not be the
-    nearest look again on a grid of tiles four times as wide, until the tile is everything.
+    The plane is cut into regions of about as many points each, by medians of a sample. Points look in their own
+    region; only those whose k-th neighbour may lie beyond its edges go to the regions in reach, too. A region's
+    points are moved once for each of the two, whatever their number, and no copy of a point is made.
+    """
+    n = points.count()
+    regions = min(REGIONS, -(-n // TILE))
+    sample = max(SAMPLE, 4 * (k + 1))
+    drawn = points.select("_x", "_y").sample(min(1.0, regions * sample / n), seed=7).toArrow() if regions > 1 else None
+    cuts, boxes, _ = _halved(*(_columns(drawn, "_x", "_y") if drawn is not None else (np.empty(0), np.empty(0))), sample)
+
+    def placed(batches):
+        for batch in batches:
+            x, y = _columns(batch, "_x", "_y")
+            yield batch.append_column("_region", pa.array(_box_of(cuts, x, y).astype(np.int32)))
+
+    def inside(table):
+        own = _columns(table, "_id", "_x", "_y", "_w")
+        near, often = _nearest(own, own, k)
+        d = np.where(np.cumsum(often, 1) >= k, near, np.inf).min(1)
+        box, reach = boxes[table.column("_region")[0].as_py()], d * (1 + EQUAL)
+        beyond = (own[1] - reach < box[0]) | (own[2] - reach < box[1]) | (own[1] + reach >= box[2]) | (own[2] + reach >= box[3])
+        beyond &= len(boxes) > 1
+        lists = [pa.array([list(r) if b else None for r, b in zip(v.tolist(), beyond, strict=True)], t) for v, t in ((near, pa.list_(pa.float64())), (often, pa.list_(pa.int64())))]
+        return pa.table([*[table.column(c) for c in ("_id", "_x", "_y", "_w", "_region")], pa.array(d), *lists], ["_id", "_x", "_y", "_w", "_region", "_d", "_near", "_often"])
+
+    def reaching(batches):
+        for batch in batches:
+            x, y, d, own = _columns(batch, "_x", "_y", "_d", "_region")
+            for low in range(0, len(x), 1000):
+                at = slice(low, low + 1000)
+                a, b, r = x[at, None], y[at, None], d[at, None] * (1 + EQUAL)
+                row, region = np.nonzero((a - r < boxes[:, 2]) & (b - r < boxes[:, 3]) & (a + r >= boxes[:, 0]) & (b + r >= boxes[:, 1]) & (own[at, None] != np.arange(len(boxes))))
+                part = batch.slice(low, 1000).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("_id", "_x", "_y", "_w")], pa.array(region.astype(np.int32)), part.column("_d")], ["_id", "_x", "_y", "_w", "_region", "_d"])
+
+    def outside(table):
+        asks = pc.is_valid(table.column("_d"))
+        queries, own = table.filter(asks), table.filter(pc.invert(asks))
+        if not len(queries) or not len(own):
+            return pa.table({"_id": pa.array([], pa.int64()), "_near": pa.array([], pa.list_(pa.float64())), "_often": pa.array([], pa.list_(pa.int64()))})
+        near, often = _nearest(_columns(own, "_id", "_x", "_y", "_w"), _columns(queries, "_id", "_x", "_y", "_w"), k, queries.column("_d").to_numpy())
+        return pa.table([queries.column("_id"), pa.array(near.tolist(), pa.list_(pa.float64())), pa.array(often.tolist(), pa.list_(pa.int64()))], ["_id", "_near", "_often"])
+
+    base = "_id long, _x double, _y double, _w long, _region int"
+    dealt = points.select("_id", "_x", "_y", "_w").mapInArrow(placed, base)
+    told = written(dealt.groupBy("_region").applyInArrow(inside, f"{base}, _d double, _near array<double>, _often array<long>"), "near")
+    whole = told.filter("_near IS NULL").select("_id", "_x", "_y", "_w", "_d")
+    if len(boxes) == 1:
+        return whole
+    asking = told.filter("_near IS NOT NULL")
+    asked = asking.select("_id", "_x", "_y", "_w", "_region", "_d").mapInArrow(reaching, f"{base}, _d double")
+    others = told.select("_id", "_x", "_y", "_w", "_region", F.lit(None).cast("double").alias("_d")).unionByName(asked)
+    found = others.groupBy("_region").applyInArrow(outside, "_id long, _near array<double>, _often array<long>").unionByName(asking.select("_id", "_near", "_often"))
+    every = found.groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_near", "_often")))).alias("_all"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("d"))
+    kth = F.aggregate("_all", start, lambda s, v: F.struct((s["n"] + v["_often"]).alias("n"), F.when((s["n"] < k) & (s["n"] + v["_often"] >= k), v["_near"]).otherwise(s["d"]).alias("d")))
+    return whole.unionByName(asking.select("_id", "_x", "_y", "_w").join(every.select("_id", kth["d"].alias("_d")), "_id"))
+
+
+def _counts_within(near: DataFrame) -> DataFrame:
+    """(psi): the sum over both axes and all points of digamma of how many points are nearer than _d there, itself included, times how often the point is there.
+
+    Axes are cut into stretches by a sample. Values of a stretch are summed up before they move; a point asks in each
+    stretch that its interval meets, which for nearly all is one. Those whose stretch holds very many are dealt in chunks.
     """
-    level, wanted, done = _start(points), points, None
-    spans = points.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
-    (x0, x1), (y0, y1) = spans[:2], spans[2:]
-    while True:
-        near = wanted.join(_near(points, wanted, level, k), "_id", "left")
-        edges = [
-            F.least(F.col(c) - (low + (_tile(u, level) - 1) * step), low + (_tile(u, level) + 2) * step - F.col(c))
-            for c, u, low, step in (("_x", "x", F.lit(x0), (x1 - x0) / (1 << level)), ("_y", "y", F.lit(y0), (y1 - y0) / (1 << level)))
-        ]
-        # Nothing lies beyond the grid, so an axis without width never hides a neighbour.
-        safe = [e for e, span in zip(edges, (x1 - x0, y1 - y0), strict=True) if span > 0]
-        enough = F.lit(True) if level == 0 or not safe else F.col("_d") <= (F.least(*safe) if len(safe) > 1 else safe[0]) * (1 - EQUAL)
-        near = written(near.withColumn("_ok", F.coalesce(enough, F.lit(level == 0))), "near")
-        found = near.filter("_ok").select("_id", "_x", "_y", "_w", "_d")
-        done = found if done is None else done.unionByName(found)
-        wanted = near.filter("NOT _ok").drop("_d", "_ok")
-        if level == 0 or wanted.isEmpty():
-            return done
-        level = max(0, level - 2)
-
-
-def _within(points: DataFrame) -> DataFrame:
-    """(_axis, _id, _n): how many points are nearer than _d on each axis, itself included; ranks by ranges of the values."""
-    reach = F.col("_d") * (1 - EQUAL)
-    axes = [points.select(F.lit(a).alias("_axis"), "_id", F.col(f"_{a}").alias("_v"), "_w", reach.alias("_r")) for a in "xy"]
-    every = axes[0].unionByName(axes[1])
-    marks = F.explode(F.array(
-        F.struct((F.col("_v") - F.col("_r")).alias("v"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("w")),
-        F.struct(F.col("_v").alias("v"), F.lit(1).alias("kind"), F.col("_w").alias("w")),
-        F.struct((F.col("_v") + F.col("_r")).alias("v"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("w")),
-    ))
-    rows = every.select("_axis", "_id", marks.alias("_m")).select("_axis", "_id", "_m.*")
-    ranked = running_totals(rows, [F.col("v"), F.col("kind"), F.col("_id")], {"upto": F.col("w")}, ("_axis",))
-    sign = F.when(F.col("kind") == 2, 1).when(F.col("kind") == 0, -1).otherwise(0)
-    return ranked.groupBy("_axis", "_id").agg(F.sum(sign * F.col("upto")).alias("_n"))
+    n = near.count()
+    stretches = min(REGIONS, -(-n // STRETCH))
+    drawn = near.select("_x", "_y").sample(min(1.0, stretches * SAMPLE / n), seed=11).toArrow() if stretches > 1 else None
+    ends = [np.unique(np.quantile(v, np.arange(1, stretches) / stretches)) if drawn is not None and len(v) else np.empty(0) for v in (_columns(drawn, "_x", "_y") if drawn is not None else (np.empty(0),) * 2)]
+
+    def held(batches):
+        for batch in batches:
+            axis, v = _columns(batch, "_axis", "_v")
+            at = np.where(axis == 0, np.searchsorted(ends[0], v, "right"), np.searchsorted(ends[1], v, "right"))
+            yield batch.append_column("_at", pa.array(at.astype(np.int32)))
+
+    def asked(batches):
+        for batch in batches:
+            ids, w, d = _columns(batch, "_id", "_w", "_d")
+            for axis, c in enumerate(("_x", "_y")):
+                v = batch.column(c).to_numpy()
+                low, high = v - d * (1 - EQUAL), v + d * (1 - EQUAL)
+                first, last = (np.searchsorted(ends[axis], e, "right") for e in (low, high))
+                many = last - first + 1
+                row = np.repeat(np.arange(len(v)), many)
+                at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (np.full(len(row), axis, np.int32), at.astype(np.int32), ids[row], low[row], high[row], w[row], many[row].astype(np.int32))], ["_axis", "_at", "_id", "_low", "_high", "_w", "_many"])
+
+    def counted(table):
+        values, queries = (table.filter(pc.is_valid(table.column(c))) for c in ("_v", "_low"))
+        v, w = _columns(values, "_v", "_w")
+        order = np.argsort(v)
+        upto = np.concatenate([[0], np.cumsum(w[order])]).astype(np.int64)
+        low, high = _columns(queries, "_low", "_high")
+        number = upto[np.searchsorted(v[order], high, "right")] - upto[np.searchsorted(v[order], low, "left")]
+        return pa.table([queries.column("_axis"), queries.column("_id"), pa.array(number), queries.column("_w"), queries.column("_many")], ["_axis", "_id", "_n", "_w", "_many"])
+
+    axes = [near.select(F.lit(k).alias("_axis"), F.col(c).alias("_v"), "_w") for k, c in enumerate(("_x", "_y"))]
+    values = axes[0].unionByName(axes[1]).groupBy("_axis", "_v").agg(F.sum("_w").alias("_w")).mapInArrow(held, "_axis int, _v double, _w long, _at int")
+    queries = near.mapInArrow(asked, "_axis int, _at int, _id long, _low double, _high double, _w long, _many int")
+    chunks = F.broadcast(queries.groupBy("_axis", "_at").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks")))  # a row for each stretch
+    values = values.join(chunks, ["_axis", "_at"]).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    queries = queries.join(chunks, ["_axis", "_at"]).withColumn("_chunk", F.pmod(F.xxhash64("_id"), "_chunks").cast("int")).drop("_chunks")
+    both = values.unionByName(queries, allowMissingColumns=True)
+    found = both.groupBy("_axis", "_at", "_chunk").applyInArrow(counted, "_axis int, _id long, _n long, _w long, _many int")
+
+    def psi(number: Column, weight: Column) -> Column:
+        return weight * digamma(number.cast("double"))
+
+    alone = F.col("_many") == 1
+    sums = found.groupBy("_axis", F.when(~alone, F.col("_id")).alias("_part")).agg(F.sum(F.when(alone, psi(F.col("_n"), F.col("_w")))).alias("_psi"), F.sum("_n").alias("_n"), F.max("_w").alias("_w"))
+    return sums.agg(F.sum(F.when(F.col("_part").isNull(), F.col("_psi")).otherwise(psi(F.col("_n"), F.col("_w")))).alias("psi"))
 
 
 def knn_information(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
@@ -133,11 +238,9 @@ def knn_information(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
     if n <= k:
         return df.sparkSession.createDataFrame([(n, None)], "n long, information double")
     counts = rows.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    unit = [F.when(F.lit(s[f"high{c}"] > s[f"low{c}"]), (F.col(c) - s[f"low{c}"]) / ((s[f"high{c}"] - s[f"low{c}"]) or 1.0)).otherwise(0.0).alias(f"_u{c[1]}") for c in ("_x", "_y")]
     scaled = [((F.col(c) - s[f"low{c}"]) / (s[f"std{c}"] or 1.0)).alias(c) for c in ("_x", "_y")]
-    points = written(counts.select(F.monotonically_increasing_id().alias("_id"), *scaled, "_w", *unit), "points")
+    points = written(counts.select(F.monotonically_increasing_id().alias("_id"), *scaled, "_w"), "points")
     near = written(kth_distances(points, k), "distances")
-    told = _within(near).join(near.select("_id", "_w"), "_id")
-    mean = told.agg((F.sum(F.col("_w") * digamma(F.col("_n").cast("double"))) / n).alias("_mean"))
+    mean = _counts_within(near).select((F.col("psi") / n).alias("_mean"))
     value = digamma(F.lit(float(n))) + digamma(F.lit(float(k))) - F.col("_mean")
     return mean.select(F.lit(n).cast("long").alias("n"), F.greatest(F.lit(0.0), value).alias("information"))
