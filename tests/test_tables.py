@@ -246,3 +246,12 @@ def test_trades_of_one_group_are_scanned_by_ranges(spark):
             q = np.quantile(known, 1 - p / 100)
             assert risk_of[g][0][f"var_{p}"] == pytest.approx(q) and risk_of[g][0][f"cvar_{p}"] == pytest.approx(known[known <= q].mean())
     assert tuple(metrics.risk(df.limit(0)).first()) == (None,) * 5
+
+
+def test_softmax_works_out_its_largest_element_and_sum_once(spark):
+    rows = [([1.0, 2.0, 800.0, 801.0],), ([],), (None,), ([3.0] * 500,)]
+    out = spark.createDataFrame(rows, "x array<double>").select(S.softmax(F.col("x")).alias("p"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_max(") == 1
+    got = [r["p"] for r in out.collect()]
+    e = np.exp(np.array(rows[0][0]) - 801.0)
+    assert got[0] == pytest.approx(e / e.sum()) and got[1:3] == [[], None] and got[3] == pytest.approx([1 / 500] * 500)

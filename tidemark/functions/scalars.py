@@ -83,8 +83,11 @@ def content_hash(*columns: Column) -> Column:
 
 def softmax(x: Column) -> Column:
     """Of an array; shifted by its largest element."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+    # A column named within a lambda is worked out again for each element, so largest element and sum go along with the elements instead.
+    known = F.array(F.struct(x.alias("x"), F.array_max(x).alias("top")))
+    shifted = F.transform(known, lambda s: F.transform(s["x"], lambda v: F.exp(v - s["top"])))
+    summed = F.transform(shifted, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda s, w: s + w).alias("total")))
+    return F.get(F.transform(summed, lambda s: F.transform(s["e"], lambda v: v / s["total"])), F.lit(0))
 
 
 def percentage(value: Column, total: Column) -> Column:
