@@ -52,6 +52,45 @@ def test_density_clusters(spark, monkeypatch, metric, chunk):
     assert {kind for _, _, kind, _ in got} == {"core", "border", "noise"}
 
 
+def shuffled(spark):
+    return spark._jsparkSession.sparkContext().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_density_clusters_shuffle_grows_with_rows(spark):
+    """All vectors are in each other's cells: their copies are as many as cells, not as rows."""
+    rng, took = np.random.default_rng(5), []
+    for n in (12_000, 48_000):
+        x = rng.normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "k long, v array<double>").cache()
+        df.count()
+        before = shuffled(spark)
+        clustering.dbscan(df, "k", "v", 0.5, 3).write.format("noop").mode("overwrite").save()
+        took.append(shuffled(spark) - before)
+    assert 0 < took[1] < 5 * took[0]
+
+
+@pytest.mark.parametrize(("shift", "step"), [(0.0, 5), (0.0, 1024), (1e7, 5)])
+@pytest.mark.parametrize("same", [True, False])
+def test_near_pairs_on_the_edge(monkeypatch, shift, step, same):
+    monkeypatch.setattr(clustering, "STEP", step)
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(0, 9, (n, 3)) / 4 + shift for n in (40, 33))
+    y = x if same else y
+    got = [(int(a), int(b)) for i, j in clustering._near_pairs(x, y, 1.25, same) for a, b in zip(i, j)]
+    want = [(a, b) for a in range(len(x)) for b in range(a if same else 0, len(y)) if euclidean(x[a], y[b]) <= 1.25]
+    assert sorted(got) == want and any(euclidean(x[a], y[b]) == 1.25 for a, b in want)
+
+
+@pytest.mark.parametrize("least", [1, 3, 40])
+def test_links_of_a_block_are_few_and_tell_all(least):
+    """Every pair is near; what is told is a forest where rows are sure, and nothing is left out where they are not."""
+    n = 30
+    pairs = [(np.array([i]), np.array([j])) for i in range(n) for j in range(i, n)]
+    near, a, b, c, d = clustering._linked(np.ones(n, np.int64), np.ones(n, np.int64), iter(pairs), least, True)
+    assert near.tolist() == [n - 1] * n and (len(a), len(c)) == ((n - 1, 0) if least < n else (0, n * (n - 1) // 2))
+
+
 def test_density_clusters_of_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [0.0, 0.0]), (7, [0.0, 0.0]), (8, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "k long, v array<double>")
