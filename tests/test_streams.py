@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from tidemark import catalog
+from tidemark.catalog import analysis
 from tidemark.streaming import bars
 
 T0 = dt.datetime(2024, 1, 1)
@@ -42,3 +44,23 @@ def test_windows_go_on_across_micro_batches(rocks, tmp_path):
             held = own[max(0, k - 5) : k + 1]
             want.append((s, own[k][1], len(held), round(held[-1][2] - sum(r[2] for r in held) / len(held) + max(r[3] for r in held), 9)))
     assert got == sorted(want) and len(query.recentProgress) >= 3
+
+
+def test_ordered_micro_batches_are_slices(spark, monkeypatch, tmp_path):
+    """A worker holds a symbol's rows of a micro-batch, so none has many more than a slice, and they come in order."""
+    monkeypatch.setattr(analysis, "SLICE", 300)
+    rows = spark.range(1000).selectExpr("(id * 617) % 1000 AS ts", "id")
+    stream, seen = analysis._stream_of(spark, rows, str(tmp_path), ("ts",)), []
+    bars.upsert_batches(stream, lambda batch, number: seen.append(sorted(r["ts"] for r in batch.collect())), str(tmp_path / "state")).awaitTermination()
+    assert len(seen) == 4 and max(map(len, seen)) < 400 and sum(seen, []) == list(range(1000))
+
+
+@pytest.mark.parametrize("name", ["stream_volume_bars", "stream_live_monitor"])
+def test_queries_are_the_same_in_slices(spark, monkeypatch, name):
+    """Bars and states go on from slice to slice, over pauses longer than an hour as well, which these few ticks have."""
+    def told():
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+
+    whole = told()
+    monkeypatch.setattr(analysis, "SLICE", 300)
+    assert whole and told() == whole

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Window
@@ -438,16 +439,35 @@ def _folder(spark) -> str:
     return path
 
 
-def _stream_of(spark, source, at: str):
-    """Rows as a stream of the files that they are written to."""
-    source.write.parquet(f"{at}/in")
-    return spark.readStream.schema(T.StructType(source.schema.fields)).parquet(f"{at}/in")
+#: Rows of a micro-batch where workers put a symbol's rows of one into order.
+SLICE = 1_000_000
 
 
-def _streamed(spark, source, make, mode: str = "append"):
+def _stream_of(spark, source, at: str, order: tuple[str, ...] = ()):
+    """Rows as a stream of the files that they are written to.
+
+    With `order`, micro-batches follow each other in it and have about SLICE rows each. A stream takes files by the time of their
+    writing, so slices are written one after the other, a second apart, as some stores keep whole seconds.
+    """
+    schema, slices = T.StructType(source.schema.fields), -(-source.count() // SLICE) if order else 1
+    stream = spark.readStream.schema(schema)
+    if slices <= 1:
+        source.write.parquet(f"{at}/in")
+        return stream.parquet(f"{at}/in")
+    ranged = source.repartitionByRange(slices, *[F.col(c).asc_nulls_last() for c in order])
+    ranged.withColumn("_slice", F.spark_partition_id()).write.partitionBy("_slice").parquet(f"{at}/slices")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(f"{at}/slices")
+    for k in sorted(r["_slice"] for r in rows.select("_slice").distinct().collect()):  # a row for each slice
+        began = time.monotonic()
+        rows.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        time.sleep(max(0.0, 1 - (time.monotonic() - began)))
+    return stream.option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def _streamed(spark, source, make, mode: str = "append", order: tuple[str, ...] = ()):
     """Runs a stream over the rows once, into a folder of its own, and reads what it wrote."""
     at = _folder(spark)
-    out = make(_stream_of(spark, source, at))
+    out = make(_stream_of(spark, source, at, order))
     bars.stream_into(out, f"{at}/out", f"{at}/state", mode).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
@@ -464,8 +484,13 @@ def stream_tumbling_bars(spark, d):
 
 @query("stream_volume_bars", f"WITH {TICKS_SQL}, g AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1) // 20 AS g FROM ticks) SELECT symbol, min(ts) AS ts, first(last ORDER BY ts, event_id) AS open, max(last) AS high, min(last) AS low, last(last ORDER BY ts, event_id) AS close, count(*) AS volume FROM g GROUP BY symbol, g", "symbol", "open high low close volume", "ts")
 def stream_volume_bars(spark, d):
-    """Bars of 20 ticks; the last one of each symbol closes when the watermark is an hour past it."""
-    return _streamed(spark, bars.with_closing_tick(_tick_source(spark, d)), lambda s: bars.volume_bars(s, 20.0, ("ts", "event_id"), idle=3600))
+    """Bars of 20 ticks; the last one of each symbol closes when the watermark is an hour past it.
+
+    The watermark stays behind all ticks until the closing one, so a bar goes on over any pause, whatever the micro-batches.
+    """
+    rows, order = _tick_source(spark, d), ("ts", "event_id")
+    span = 1 + (rows.agg(F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).first()[0] or 0)
+    return _streamed(spark, bars.with_closing_tick(rows, f"{span + 86_400} seconds"), lambda s: bars.volume_bars(s, 20.0, order, idle=3600, late=f"{span} seconds"), order=order)
 
 
 @query("stream_distinct_ticks", "SELECT DISTINCT event_type AS symbol, ts, value AS last FROM events", "symbol", "last", "ts")
@@ -479,7 +504,7 @@ def stream_distinct_ticks(spark, d):
 def stream_live_monitor(spark, d):
     """The last snapshot of each symbol."""
     rows, at = _tick_source(spark, d).withColumn("r", (F.col("last") - 50) / 1000), _folder(spark)
-    shown = bars.live_monitor(_stream_of(spark, rows, at), order=("ts", "event_id"))
+    shown = bars.live_monitor(_stream_of(spark, rows, at, ("ts", "event_id")), order=("ts", "event_id"))
     bars.upsert_batches(shown, lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"), f"{at}/state", "update").awaitTermination()
     written = spark.read.schema(T.StructType([*shown.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
     return written.groupBy("symbol").agg(F.max_by(F.struct(*shown.columns[1:]), "batch").alias("_s")).select("symbol", "_s.*")

@@ -55,7 +55,7 @@ def volume_bars(ticks: DataFrame, threshold: float, order: tuple[str, ...] = ("t
             out.append((key[0], *bar[:-1]))
             bar = None
         else:
-            rows = pd.concat([*batches]).dropna(subset=["last"]).sort_values(list(order))
+            rows = pd.concat([b[[*names, "_at"]].dropna(subset=["last"]) for b in batches], ignore_index=True).sort_values(list(order))
             for ts, price, volume, at in rows[["ts", "last", "volume", "_at"]].itertuples(index=False, name=None):
                 if bar is None:
                     bar = [ts, price, price, price, price, 0.0, at]
@@ -85,8 +85,10 @@ def live_monitor(results: DataFrame, keep: int = 500, order: tuple[str, ...] = (
     Results of one micro-batch are put into `order` together.
     """
 
+    names = list(dict.fromkeys([*order, "ts", "r"]))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches]).sort_values(list(order))
+        rows = pd.concat([b[names] for b in batches], ignore_index=True).sort_values(list(order))
         held = ((list(state.get[0]) if state.exists else []) + rows["r"].tolist())[-keep:]
         state.update((held,))
         r = pd.Series(held, dtype=float)
@@ -96,7 +98,7 @@ def live_monitor(results: DataFrame, keep: int = 500, order: tuple[str, ...] = (
         yield pd.DataFrame([(key[0], rows["ts"].iloc[-1], len(r), float(equity.iloc[-1]), float((r > 0).mean()), float(r.mean() / std) if std else 0.0, drawdown)], columns=["symbol", "ts", "n", "equity", "win_rate", "sharpe", "drawdown"])
 
     schema = "symbol string, ts timestamp, n long, equity double, win_rate double, sharpe double, drawdown double"
-    rows = results.select("symbol", *dict.fromkeys([*order, "ts", "r"]))
+    rows = results.select("symbol", *names)
     return rows.groupBy("symbol").applyInPandasWithState(step, schema, "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
